@@ -41,8 +41,13 @@ def parse_compact(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{8}T\d{6}Z$"), F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmmss'Z'")))
 
 
+def micros(then: Column) -> Column:
+    """Microseconds since the epoch, for timestamps with or without a zone."""
+    return F.unix_micros(then.cast("timestamp"))
+
+
 def age_text(then: Column, now: Column) -> Column:
     """"5 h ago" below 48 hours, else "3 d ago"; half-even rounding."""
-    hours = (F.unix_micros(now) - F.unix_micros(then)).cast("double") / F.lit(3.6e9)
+    hours = (micros(now) - micros(then)).cast("double") / F.lit(3.6e9)
     return F.when(hours < 48, F.concat(F.rint(hours).cast("long").cast("string"), F.lit(" h ago"))).otherwise(
         F.concat(F.rint(hours / 24).cast("long").cast("string"), F.lit(" d ago")))

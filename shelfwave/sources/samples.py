@@ -139,7 +139,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def product_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of every product: colour (twice for parts with two supplier codes), material, shape, type and lamination."""
-    keys = load(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg()
+    keys = load(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     part = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
     first, second = words("p_name")
     neighbour = part.select((F.col("p_partkey") - 1).alias("n_key"), first.alias("next_word"))
