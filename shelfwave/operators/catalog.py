@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwave.functions.dates import age_text, micros
 from shelfwave.functions.numbers import ratio, rounded
-from shelfwave.operators.shelf import is_creator
+from shelfwave.operators.joins import bounded
+from shelfwave.operators.shelf import distinct_attributes, is_creator
 from shelfwave.rules import DEFAULT_RULES, STORE_STATUS_FR, Rules
 
 
@@ -28,13 +29,13 @@ def retired_products(products: DataFrame, starts: DataFrame, now: datetime, rule
     """Products dropped within the last days by stores that have a baseline; the date bound reaches the scan."""
     since = now - timedelta(days=rules.new_days)
     gone = products.where(~F.col("is_active") & (F.col("dropped_at") >= F.lit(since)))
-    return gone.join(starts.select("source_id"), "source_id", "left_semi")
+    return gone.join(bounded(starts.select("source_id")), "source_id", "left_semi")
 
 
 def new_products(products: DataFrame, starts: DataFrame, now: datetime, rules: Rules = DEFAULT_RULES) -> DataFrame:
     since = now - timedelta(days=rules.new_days)
     fresh = products.where(F.col("is_active") & (F.col("first_seen_at") >= F.lit(since)))
-    return fresh.join(starts, "source_id").where(is_new(now, rules)).drop("start")
+    return fresh.join(bounded(starts), "source_id").where(is_new(now, rules)).drop("start")
 
 
 def creator_scope(sources: DataFrame, starts: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
@@ -47,7 +48,7 @@ def new_by_store(products: DataFrame, scope: DataFrame, now: datetime, rules: Ru
     """(store, new, retired, catalog): stores with active products or with products retired lately."""
     since = now - timedelta(days=rules.new_days)
     gone = ~F.col("is_active") & (F.col("dropped_at") >= F.lit(since))
-    rows = products.where(F.col("is_active") | gone).join(scope, "source_id")
+    rows = products.where(F.col("is_active") | gone).join(bounded(scope), "source_id")
     return rows.groupBy("store").agg(
         F.count_if(F.col("is_active") & is_new(now, rules)).alias("new"), F.count_if(~F.col("is_active")).alias("retired"),
         F.count_if("is_active").alias("catalog")).orderBy("store")
@@ -56,11 +57,10 @@ def new_by_store(products: DataFrame, scope: DataFrame, now: datetime, rules: Ru
 def new_by_attribute(products: DataFrame, tags: DataFrame, scope: DataFrame, now: datetime, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Attributes of the new products against the whole catalog, most new first. Shares only above the minimum of new
     products. A product counts once per attribute, whatever its supplier codes."""
-    active = products.where("is_active").join(scope.select("source_id", "start"), "source_id").select(
-        F.col("id").alias("product_id"), is_new(now, rules).alias("fresh"))
+    active = products.where("is_active").join(bounded(scope.select("source_id", "start")), "source_id").select(
+        "id", is_new(now, rules).alias("fresh"))
     totals = active.agg(F.count_if("fresh").alias("n_new"), F.count(F.lit(1)).alias("n_all"))
-    rows = (active.join(tags.where(F.col("dimension").isin(*rules.new_dimensions)).select("product_id", "dimension", "code"), "product_id")
-            .dropDuplicates(["product_id", "dimension", "code"])
+    rows = (active.join(distinct_attributes(tags, *rules.new_dimensions), "id")
             .groupBy("dimension", "code").agg(F.count_if("fresh").alias("new"), F.count(F.lit(1)).alias("catalog"))
             .where(F.col("new") > 0))
     n_new, n_all = totals.select("n_new").scalar(), totals.select("n_all").scalar()

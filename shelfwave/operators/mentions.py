@@ -7,18 +7,19 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwave.functions.numbers import ratio
+from shelfwave.operators.joins import bounded
 
 STANCES = ("rising", "neutral", "declining")
 
 
 def enrich(mentions: DataFrame, documents: DataFrame, sources: DataFrame) -> DataFrame:
-    """mention x document x source, inner. Sources are joined to documents first: the size test that lets Spark
-    broadcast the smaller side then applies before the fact table is touched."""
+    """mention x document x source, inner. Documents meet their sources first, by broadcast when the source count allows it: one
+    source may hold a large part of all documents."""
     doc = documents.select(
         F.col("id").alias("document_id"), "source_id", F.col("title"), F.col("url"), F.col("summary_fr").alias("summary"),
         F.col("lang"), "is_demo")
     src = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"), "kind")
-    return mentions.join(doc.join(src, "source_id"), "document_id")
+    return mentions.join(doc.join(bounded(src), "source_id"), "document_id")
 
 
 def mention_kinds(mentions: DataFrame, documents: DataFrame, sources: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def mention_kinds(mentions: DataFrame, documents: DataFrame, sources: DataFrame)
     doc = documents.select(F.col("id").alias("document_id"), "source_id")
     src = sources.select(F.col("id").alias("source_id"), "kind")
     rows = mentions.select("document_id", "dimension", "code", "stance", "occurred_on")
-    return rows.join(doc.join(src, "source_id"), "document_id").select("dimension", "code", "stance", "occurred_on", "kind")
+    return rows.join(doc.join(bounded(src), "source_id"), "document_id").select("dimension", "code", "stance", "occurred_on", "kind")
 
 
 def filter_mentions(rows: DataFrame, dimension: str | None = None, code: str | None = None, lang: str | None = None,
@@ -105,7 +106,7 @@ def document_page(documents: DataFrame, sources: DataFrame, mentions: DataFrame,
     matching = filter_mentions(mentions, dimension, code, since=since)
     src = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"), "kind")
     when = F.coalesce("published_at", "collected_at")
-    rows = documents_with(documents.where(F.col("status") == "extracted"), matching).join(src, "source_id")
+    rows = documents_with(documents.where(F.col("status") == "extracted"), matching).join(bounded(src), "source_id")
     if lang is not None:
         rows = rows.where(F.col("lang") == lang)
     if kind is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfwave.functions.numbers import ratio
-from shelfwave.operators.shelf import active_products
+from shelfwave.operators.shelf import active_products, distinct_attributes
 from shelfwave.rules import DEFAULT_RULES, Rules
 
 
@@ -20,14 +20,13 @@ def pairing_rows(products: DataFrame, tags: DataFrame, sources: DataFrame, known
     layers = F.array_distinct(F.split("code", r"\+"))
     partners = F.flatten(F.transform(layers, lambda a: F.transform(
         F.array_append(F.filter(layers, lambda b: b != a), F.lit(None)), lambda b: F.struct(a.alias("color"), b.alias("partner")))))
-    combos = tags.where(F.col("dimension") == "lamination").select(
-        F.col("product_id").alias("id"), F.explode(partners).alias("p")).select("id", "p.color", "p.partner")
+    combos = (distinct_attributes(tags, "lamination").select("id", F.explode(partners).alias("p"))
+              .select("id", "p.color", "p.partner").distinct())
     active = active_products(products, sources).select(
         "id", "store", "name", "url", listing_order().alias("place"), F.coalesce("flags.is_bestseller", F.lit(False)).alias("best"))
-    codes = known.select(F.col("code").alias("partner")).distinct()
-    rows = active.join(combos, "id").dropDuplicates(["id", "color", "partner"])
-    return rows.where(F.col("partner").isNull()).unionByName(
-        rows.where(F.col("partner").isNotNull()).join(codes, "partner", "left_semi"))
+    codes = known.select(F.col("code").alias("partner")).distinct().withColumn("known", F.lit(True))
+    rows = active.join(combos, "id").join(codes, "partner", "left")
+    return rows.where(F.col("partner").isNull() | F.col("known")).drop("known")
 
 
 def pairing_counts(rows: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfwave.functions.numbers import rounded
 from shelfwave.operators.catalog import baselines, is_new
+from shelfwave.operators.joins import bounded
 from shelfwave.operators.pairings import listing_order
-from shelfwave.operators.shelf import active_products, markdown, markdown_stats, store_baselines, store_names, with_attribute
+from shelfwave.operators.shelf import active_products, distinct_attributes, markdown, markdown_stats, store_baselines, store_names, with_attribute
 from shelfwave.rules import DEFAULT_RULES, Rules
 
 BY = ["dimension", "code"]
@@ -20,15 +21,15 @@ def presence_rows(products: DataFrame, tags: DataFrame, sources: DataFrame, craw
     """One row per (attribute, product on the shelf or lately retired), with the flags the header counts."""
     since = now - timedelta(days=rules.new_days)
     gone = ~F.col("is_active") & (F.col("dropped_at") >= F.lit(since))
-    rows = (products.where(F.col("is_active") | gone).join(store_names(sources), "source_id")
-            .join(baselines(crawls), "source_id", "left")
+    rows = (products.where(F.col("is_active") | gone).join(bounded(store_names(sources).join(baselines(crawls), "source_id", "left")), "source_id")
             .where(F.col("is_active") | F.col("start").isNotNull())
             .select("id", "source_id", "store", "country", "is_active", "price", "currency", "seen_at", markdown().alias("md"),
                     is_new(now, rules).alias("fresh"), F.coalesce("flags.is_bestseller", F.lit(False)).alias("best")))
-    types = (tags.where(F.col("dimension") == "product_type").groupBy(F.col("product_id").alias("id"))
-             .agg(F.bool_or(F.col("code") == "optical").alias("optical"), F.bool_or(F.col("code") == "sun").alias("sun")))
-    attributes = tags.where(F.col("dimension") != "product_type").select(F.col("product_id").alias("id"), *BY)
-    return rows.join(types, "id", "left").join(attributes, "id").dropDuplicates(["id", *BY])
+    attributes = distinct_attributes(tags)
+    kind = F.col("dimension") == "product_type"
+    types = attributes.groupBy("id").agg(F.bool_or(kind & (F.col("code") == "optical")).alias("optical"),
+                                         F.bool_or(kind & (F.col("code") == "sun")).alias("sun"))
+    return rows.join(attributes.where(~kind).join(types, "id"), "id")
 
 
 def presence_cells(rows: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def presence_sample(products: DataFrame, tags: DataFrame, sources: DataFrame, cr
     Both candidate lists are top-k per store or overall, cut before the shuffle; only those few rows meet at the end."""
     size, slots = rules.sample_size, rules.new_slots
     rows = (with_attribute(active_products(products, sources), tags, dimension, code)
-            .join(baselines(crawls), "source_id", "left")
+            .join(bounded(baselines(crawls)), "source_id", "left")
             .select("id", "store", "name", "brand", "price", "currency", "url", listing_order().alias("place"),
                     F.coalesce("flags.out_of_stock", F.lit(False)).alias("out"), F.coalesce("flags.is_bestseller", F.lit(False)).alias("best"),
                     is_new(now, rules).alias("fresh")))

@@ -1,8 +1,8 @@
 """The shelf: active products by attribute, prices, markdowns against the store's usual sale, vocabulary coverage.
 
-One pass over products and tags feeds everything: each product is unfolded into its attribute rows and its
-dimension rows, and one aggregate keyed by (shelf, dimension, code, store, currency) does the heavy work with partial sums.
-Store baselines then meet the aggregate, never the products."""
+Tags are placed by product once; that exchange serves the duplicate removal, the per-product flags and the join. The heavy
+aggregates are keyed by (shelf, dimension, code, store, currency) with partial sums, and store baselines meet those
+aggregates, never the products."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfwave.functions.numbers import ratio, rounded
 from shelfwave.functions.text import fold
+from shelfwave.operators.joins import bounded
 from shelfwave.rules import DEFAULT_RULES, Rules
 
 ALL = "all"
@@ -32,12 +33,12 @@ def store_names(sources: DataFrame) -> DataFrame:
 
 
 def active_products(products: DataFrame, sources: DataFrame, country: str | None = None) -> DataFrame:
-    """Products on their store's shelf with the store's name and country; optionally one market only. The sources table
-    is small in practice and Spark broadcasts it by its measured size; beyond that the skew-aware join takes over."""
+    """Products on their store's shelf with the store's name and country; optionally one market only. One store may hold a large
+    part of all products, so the stores are broadcast when their count allows it."""
     stores = store_names(sources)
     if country is not None:
         stores = stores.where(F.col("country") == country)
-    return products.where("is_active").join(stores, "source_id")
+    return products.where("is_active").join(bounded(stores), "source_id")
 
 
 def is_creator(country: Column, rules: Rules = DEFAULT_RULES) -> Column:
@@ -102,60 +103,82 @@ def stated_dimensions(raw_specs: Column, labels: dict[str, tuple[str, ...]] = SP
     return F.coalesce(F.array_distinct(F.flatten(found)), F.array().cast("array<string>"))
 
 
-def product_attributes(tags: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
-    """(id, attrs, types): the distinct attributes of each product in the given dimensions and its product types. The
-    lists are bounded by the dictionary: supplier codes are gone before they are collected."""
-    kept = tags.where(F.col("dimension").isin(*dimensions, "product_type"))
-    attribute = F.when(F.col("dimension") != "product_type", F.struct("dimension", "code"))
-    return kept.groupBy(F.col("product_id").alias("id")).agg(
-        F.collect_set(attribute).alias("attrs"),
-        F.collect_set(F.when(F.col("dimension") == "product_type", F.col("code"))).alias("types"))
-
-
-def shelf_cells(active: DataFrame, tags: DataFrame, by_type: bool = False, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """The aggregate every shelf figure comes from, one row per (shelf, dimension, code, source_id, currency); code is NULL on
-    dimension rows, dimension is NULL on the row that counts the shelf's products."""
-    none = F.array().cast("array<struct<dimension:string,code:string>>")
-    rows = active.join(product_attributes(tags, rules.dimensions), "id", "left").select(
-        "source_id", "price", F.when((F.col("price") > 0) & (F.col("currency") != ""), F.col("currency")).alias("currency"),
-        markdown().alias("md"), F.coalesce("attrs", none).alias("attrs"), F.coalesce("types", F.array().cast("array<string>")).alias("types"),
-        F.array_intersect(stated_dimensions(F.col("flags.raw_specs")), F.array(*[F.lit(d) for d in rules.dimensions])).alias("stated"))
-    if by_type:
-        shelves = F.array_intersect(F.col("types"), F.array(*[F.lit(t) for t in rules.product_types]))
-        rows = rows.withColumn("shelf", F.explode(shelves))
-    else:
-        rows = rows.withColumn("shelf", F.lit(ALL))
-    tagged = F.array_distinct(F.transform("attrs", lambda a: a["dimension"]))
-    unit = lambda dim, code, sku, tag, stated, missed: F.struct(
-        dim.alias("dimension"), code.alias("code"), F.lit(sku).alias("sku"), tag.alias("tagged"), stated.alias("stated"), missed.alias("unmapped"))
-    zero, one, null = F.lit(0), F.lit(1), F.lit(None).cast("string")
-    rows = rows.withColumn("tagged", tagged).withColumn("unit", F.explode(F.concat(
-        F.transform("attrs", lambda a: unit(a["dimension"], a["code"], 1, zero, zero, zero)),
-        F.transform(F.col("tagged"), lambda d: unit(d, null, 0, one, zero, zero)),
-        F.transform("stated", lambda d: unit(d, null, 0, zero, one, (~F.array_contains(F.col("tagged"), d)).cast("int"))),
-        F.array(unit(null, null, 1, zero, zero, zero)))))
-    item = F.col("unit.sku") == 1
-    md = F.when(item, F.col("md"))
-    return rows.groupBy("shelf", "unit.dimension", "unit.code", "source_id", "currency").agg(
-        F.sum("unit.sku").alias("n"), F.sum("unit.tagged").alias("tagged"), F.sum("unit.stated").alias("with_value"),
-        F.sum("unit.unmapped").alias("unmapped"), F.sum(F.when(item & F.col("currency").isNotNull(), F.col("price"))).alias("price_sum"),
-        F.coalesce(F.sum(md), F.lit(0.0)).alias("md_sum"), F.count_if(item & (F.col("md") > 0)).alias("n_cut"),
-        F.sum(F.when(F.col("md") > 0, md)).alias("cut_sum"))
-
-
-def shelf_items(cells: DataFrame, baselines: DataFrame) -> DataFrame:
+def distinct_attributes(tags: DataFrame, *dimensions: str) -> DataFrame:
+    """(id, dimension, code) of each product, supplier codes folded away. Placed by product once: the duplicate removal, the
+    per-product flags and the join with products all reuse that exchange, and all of them are hash operators."""
+    rows = tags.where(F.col("dimension").isin(*dimensions)) if dimensions else tags
+    return rows.select(F.col("product_id").alias("id"), "dimension", "code").repartition("id").distinct()
+
+
+def product_flags(attributes: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """Per product, one boolean per tracked dimension (tagged at all) and one per product type."""
+    has = lambda keep, name: F.bool_or(keep).alias(name)
+    return attributes.groupBy("id").agg(
+        *[has(F.col("dimension") == d, f"has_{d}") for d in rules.dimensions],
+        *[has((F.col("dimension") == "product_type") & (F.col("code") == t), f"is_{t}") for t in rules.product_types])
+
+
+def shelf_cells(active: DataFrame, tags: DataFrame, by_type: bool = False, rules: Rules = DEFAULT_RULES) -> tuple[DataFrame, DataFrame]:
+    """The two aggregates every shelf figure comes from.
+
+    units: (shelf, dimension, source_id) with tagged, with_value and unmapped; rows without a dimension count the products and
+    their markdowns, and always include the whole shelf, which the store baselines need.
+    items: (shelf, dimension, code, source_id, currency) with counts and sums of prices and markdowns."""
+    attributes = distinct_attributes(tags, *rules.dimensions, "product_type")
+    products = active.join(product_flags(attributes, rules), "id", "left")
+    typed = F.filter(F.array(*[F.when(F.col(f"is_{t}"), F.lit(t)) for t in rules.product_types]), lambda t: t.isNotNull())
+    everything = F.array(F.lit(ALL))
+
+    unit = lambda d: F.struct(F.lit(d).alias("dimension"), F.coalesce(f"has_{d}", F.lit(False)).alias("tagged"),
+                              F.array_contains("stated", d).alias("stated"))
+    whole = F.struct(F.lit(None).cast("string").alias("dimension"), F.lit(False).alias("tagged"), F.lit(False).alias("stated"))
+    none = F.col("u.dimension").isNull()
+    units = (products.select("source_id", markdown().alias("md"), (F.col("list_price") != 0).alias("lists"),
+                             stated_dimensions(F.col("flags.raw_specs")).alias("stated"), *[f"has_{d}" for d in rules.dimensions],
+                             F.explode(F.concat(everything, typed) if by_type else everything).alias("shelf"))
+             .select("shelf", "source_id", "md", "lists", F.explode(F.array(*[unit(d) for d in rules.dimensions], whole)).alias("u"))
+             .groupBy("shelf", "u.dimension", "source_id")
+             .agg(F.count_if(none).alias("n"), F.count_if("u.tagged").alias("tagged"), F.count_if("u.stated").alias("with_value"),
+                  F.count_if(F.col("u.stated") & ~F.col("u.tagged")).alias("unmapped"), F.sum("md").alias("md_sum"),
+                  F.coalesce(F.bool_or("lists"), F.lit(False)).alias("lists")))
+
+    priced = F.when((F.col("price") > 0) & (F.col("currency") != ""), F.col("currency"))
+    md = F.col("md")
+    sold = products if by_type else active
+    items = (sold.select("id", F.explode(typed if by_type else everything).alias("shelf"), "source_id", "price",
+                         priced.alias("currency"), markdown().alias("md"))
+             .join(attributes.where(F.col("dimension").isin(*rules.dimensions)), "id")
+             .groupBy("shelf", "dimension", "code", "source_id", "currency")
+             .agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("currency").isNotNull(), F.col("price"))).alias("price_sum"),
+                  F.sum(md).alias("md_sum"), F.count_if(md > 0).alias("n_cut"), F.sum(F.when(md > 0, md)).alias("cut_sum")))
+    return units, items
+
+
+def cell_baselines(units: DataFrame) -> DataFrame:
+    """Store baselines read off the whole-shelf rows."""
+    rows = units.where((F.col("shelf") == ALL) & F.col("dimension").isNull() & F.col("lists"))
+    return rows.select("source_id", (F.col("md_sum") / F.col("n")).alias("baseline"))
+
+
+def shelf_items(units: DataFrame, items: DataFrame) -> DataFrame:
     """(shelf, dimension, code): distinct products, share of the dimension's tagged products and markdown figures."""
     by = ["shelf", "dimension", "code"]
-    items = cells.where(F.col("code").isNotNull())
-    sku = items.groupBy(*by).agg(F.sum("n").alias("sku"))
-    tagged = cells.where(F.col("dimension").isNotNull()).groupBy("shelf", "dimension").agg(F.sum("tagged").alias("tagged"))
-    return (sku.join(tagged, ["shelf", "dimension"]).join(markdown_stats(items, baselines, by), by, "left")
-            .withColumn("share", ratio(F.col("sku"), F.col("tagged"))))
+    compared = F.col("baseline").isNotNull()
+    rows = items.join(cell_baselines(units), "source_id", "left").groupBy(*by).agg(
+        F.sum("n").alias("sku"), F.sum(F.when(compared, F.col("n"))).alias("compared"),
+        F.sum(F.when(compared, F.col("n_cut"))).alias("discounted"), F.sum(F.when(compared, F.col("cut_sum"))).alias("cut_sum"),
+        F.sum(F.col("md_sum") - F.col("n") * F.col("baseline")).alias("excess"))
+    tagged = units.where(F.col("dimension").isNotNull()).groupBy("shelf", "dimension").agg(F.sum("tagged").alias("tagged"))
+    return rows.join(tagged, ["shelf", "dimension"]).select(
+        *by, "sku", "tagged", ratio(F.col("sku"), F.col("tagged")).alias("share"), "compared", "discounted",
+        rounded(ratio(F.col("discounted"), F.col("compared")), 4).alias("share_discounted"),
+        F.when(F.col("discounted") > 0, rounded(F.col("cut_sum") / F.col("discounted"), 4)).alias("avg_depth"),
+        rounded(F.col("excess") / F.col("compared"), 4).alias("relative_depth"))
 
 
-def shelf_prices(cells: DataFrame) -> DataFrame:
+def shelf_prices(items: DataFrame) -> DataFrame:
     """(shelf, dimension, code, currency): mean price of the products with a positive price and a currency."""
-    return (cells.where(F.col("code").isNotNull() & F.col("currency").isNotNull())
+    return (items.where(F.col("currency").isNotNull())
             .groupBy("shelf", "dimension", "code", "currency").agg(F.sum("n").alias("priced"), F.sum("price_sum").alias("s"))
             .select("shelf", "dimension", "code", "currency", "priced", rounded(F.col("s") / F.col("priced"), 2).alias("avg_price")))
 
@@ -166,22 +189,22 @@ def shelf_grid(spark: SparkSession, by_type: bool, rules: Rules = DEFAULT_RULES)
     return spark.createDataFrame([(s, d) for s in shelves for d in rules.dimensions], "shelf string, dimension string")
 
 
-def shelf_dimensions(cells: DataFrame, by_type: bool = False, rules: Rules = DEFAULT_RULES) -> DataFrame:
+def shelf_dimensions(units: DataFrame, by_type: bool = False, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """(shelf, dimension): tagged products, products stating a value, stated values not recognised, and whether the figures can
     be compared at all."""
-    seen = cells.where(F.col("dimension").isNotNull()).groupBy("shelf", "dimension").agg(
+    seen = units.where(F.col("dimension").isNotNull()).groupBy("shelf", "dimension").agg(
         F.sum("tagged").alias("tagged"), F.sum("with_value").alias("with_value"), F.sum("unmapped").alias("unmapped"))
     zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
-    rows = shelf_grid(cells.sparkSession, by_type, rules).join(seen, ["shelf", "dimension"], "left").select(
+    rows = shelf_grid(units.sparkSession, by_type, rules).join(seen, ["shelf", "dimension"], "left").select(
         "shelf", "dimension", zero("tagged"), zero("with_value"), zero("unmapped"))
     unmapped = F.coalesce(ratio(F.col("unmapped"), F.col("with_value")), F.lit(0.0))
     return rows.withColumn("unmapped_share", unmapped).withColumn(
         "comparable", (F.col("tagged") >= rules.min_tagged) & (unmapped <= rules.max_unmapped))
 
 
-def shelf_counts(cells: DataFrame) -> DataFrame:
+def shelf_counts(units: DataFrame) -> DataFrame:
     """Products per shelf."""
-    return cells.where(F.col("dimension").isNull()).groupBy("shelf").agg(F.sum("n").alias("products"))
+    return units.where(F.col("dimension").isNull()).groupBy("shelf").agg(F.sum("n").alias("products"))
 
 
 def store_summary(active: DataFrame) -> DataFrame:
@@ -190,11 +213,10 @@ def store_summary(active: DataFrame) -> DataFrame:
 
 
 def shelf(products: DataFrame, tags: DataFrame, sources: DataFrame, by_type: bool = False, country: str | None = "market",
-          rules: Rules = DEFAULT_RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(items, dimensions, cells) of the market's shelf (or of every store with country=None)."""
+          rules: Rules = DEFAULT_RULES) -> tuple[DataFrame, DataFrame]:
+    """(units, items) of the market's shelf, or of every store with country=None."""
     active = active_products(products, sources, rules.market_country if country == "market" else country)
-    cells = shelf_cells(active, tags, by_type, rules)
-    return shelf_items(cells, store_baselines(active)), shelf_dimensions(cells, by_type, rules), cells
+    return shelf_cells(active, tags, by_type, rules)
 
 
 def tag_counts(tags: DataFrame, approximate: bool = False) -> DataFrame:

@@ -76,8 +76,7 @@ WITH {ACTIVE}, {BASE.format('tn')}, {ITEMS}, {ITEM_SELECT.format('rows_all')}
 SELECT dimension, code, sku, tagged, round(sku / tagged, 6) AS share, compared, discounted, round(discounted / compared, 4) AS share_discounted,
   round(avg_depth, 4) AS avg_depth, round(relative_depth, 4) + 0.0 AS relative_depth FROM it JOIN tg USING (shelf, dimension)"""))
 def shelf_by_attribute(spark, sf):
-    items, _, _ = H.shelf(*tables(spark, sf))
-    return items.select("dimension", "code", "sku", "tagged", F.round("share", 6).alias("share"), "compared", "discounted",
+    return H.shelf_items(*H.shelf(*tables(spark, sf))).select("dimension", "code", "sku", "tagged", F.round("share", 6).alias("share"), "compared", "discounted",
                         "share_discounted", "avg_depth", "relative_depth")
 
 
@@ -86,16 +85,15 @@ WITH {ACTIVE}, {BASE.format('tn')}, {ITEMS}, {ITEM_SELECT.format('rows_typed')}
 SELECT shelf, dimension, code, sku, tagged, round(sku / tagged, 6) AS share, compared, round(relative_depth, 4) + 0.0 AS relative_depth
 FROM it JOIN tg USING (shelf, dimension)"""))
 def shelf_by_type(spark, sf):
-    items, _, _ = H.shelf(*tables(spark, sf), by_type=True)
-    return items.select("shelf", "dimension", "code", "sku", "tagged", F.round("share", 6).alias("share"), "compared", "relative_depth")
+    return H.shelf_items(*H.shelf(*tables(spark, sf), by_type=True)).select("shelf", "dimension", "code", "sku", "tagged", F.round("share", 6).alias("share"), "compared", "relative_depth")
 
 
 @query("shelf_prices", with_views("prod tags sources", f"""
 WITH {ACTIVE}, {ITEMS} SELECT dimension, code, currency, count(*) AS priced, round_even(avg(price) * 100, 0) / 100 AS avg_price FROM rows_all
 WHERE price > 0 GROUP BY 1, 2, 3"""))
 def shelf_prices(spark, sf):
-    _, _, cells = H.shelf(*tables(spark, sf))
-    return H.shelf_prices(cells).select("dimension", "code", "currency", "priced", "avg_price")
+    _, items = H.shelf(*tables(spark, sf))
+    return H.shelf_prices(items).select("dimension", "code", "currency", "priced", "avg_price")
 
 
 COVERAGE = """st AS (SELECT id, 'color' AS dimension FROM tn WHERE p_size % 2 = 0 UNION ALL SELECT id, 'material' FROM tn WHERE p_size % 3 = 0
@@ -115,8 +113,8 @@ COVERAGE_TYPED = COVERAGE.format("ty.shelf", "JOIN ty ON ty.product_id = st.id",
 WITH {ACTIVE}, {BASE.format('tn')}, {ITEMS}, {ITEM_SELECT.format('rows_all')}, {COVERAGE_ALL}
 SELECT dimension, tagged, with_value, unmapped, round(unmapped_share, 6) AS unmapped_share, comparable FROM dm"""))
 def vocabulary_coverage(spark, sf):
-    _, dimensions, _ = H.shelf(*tables(spark, sf))
-    return dimensions.select("dimension", "tagged", "with_value", "unmapped", F.round("unmapped_share", 6).alias("unmapped_share"), "comparable")
+    units, _ = H.shelf(*tables(spark, sf))
+    return H.shelf_dimensions(units).select("dimension", "tagged", "with_value", "unmapped", F.round("unmapped_share", 6).alias("unmapped_share"), "comparable")
 
 
 @query("store_summary", with_views("prod sources", f"WITH {ACTIVE} SELECT store, count(*) AS products, CAST(CAST(max(seen_at) AS DATE) AS VARCHAR) AS updated FROM tn GROUP BY store"))
@@ -157,8 +155,8 @@ gk AS (SELECT *, CASE WHEN status IN ('en_hausse', 'au_pic') AND share < 0.2 THE
 WITH {ACTIVE}, {BASE.format('tn')}, {ITEMS}, {ITEM_SELECT.format('rows_all')}, {COVERAGE_ALL}, {GAP_SNAPS}, {GAP_KIND}
 SELECT kind, dimension, code, status, momentum, sku, round(share, 6) AS share, relative_depth, clearance FROM gk WHERE kind IS NOT NULL"""))
 def shelf_gaps(spark, sf):
-    items, dimensions, _ = H.shelf(*tables(spark, sf), rules=RULES)
-    rows = G.ranked(G.shelf_gaps(gap_snapshots(spark, sf), items, dimensions, WEEK, rules=RULES))
+    units, items = H.shelf(*tables(spark, sf), rules=RULES)
+    rows = G.ranked(G.shelf_gaps(gap_snapshots(spark, sf), H.shelf_items(units, items), H.shelf_dimensions(units), WEEK, rules=RULES))
     return rows.select("kind", "dimension", "code", "status", "momentum", "sku", F.round("share", 6).alias("share"), "relative_depth", "clearance")
 
 
@@ -183,14 +181,14 @@ def gaps_grouped(spark, sf):
 WITH {ACTIVE}, {BASE.format('tn')}, {ITEMS}, {ITEM_SELECT.format('rows_typed')}, {COVERAGE_TYPED}
 SELECT shelf, dimension, tagged, round(unmapped_share, 6) AS unmapped_share FROM dm WHERE NOT comparable"""))
 def skipped_dimensions(spark, sf):
-    _, dimensions, _ = H.shelf(*tables(spark, sf), by_type=True)
-    return G.skipped_dimensions(dimensions).withColumn("unmapped_share", F.round("unmapped_share", 6))
+    units, _ = H.shelf(*tables(spark, sf), by_type=True)
+    return G.skipped_dimensions(H.shelf_dimensions(units, True)).withColumn("unmapped_share", F.round("unmapped_share", 6))
 
 
 @query("shelf_products_by_type", with_views("prod tags sources", f"WITH {ACTIVE}, {ITEMS} SELECT shelf, count(*) AS products FROM tn JOIN ty ON ty.product_id = tn.id GROUP BY shelf"))
 def shelf_products_by_type(spark, sf):
-    _, _, cells = H.shelf(*tables(spark, sf), by_type=True)
-    return H.shelf_counts(cells)
+    units, _ = H.shelf(*tables(spark, sf), by_type=True)
+    return H.shelf_counts(units.where(F.col("shelf") != H.ALL))
 
 
 @query("gap_labels", with_views("snaps dict", """

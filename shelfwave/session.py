@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # call-site capture on every column expression costs seconds of driver time on wide plans
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -19,7 +21,7 @@ def local_session(cpus: str | None = None, app: str = "shelfwave", **extra: str)
     """A local session for tests and benchmarks. On a cluster, apply SETTINGS to the cluster's own session."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
-               .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+               .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
                .config("spark.sql.shuffle.partitions", str(cpus if cpus.isdigit() else 8)))
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
@@ -30,8 +32,9 @@ def local_session(cpus: str | None = None, app: str = "shelfwave", **extra: str)
 
 def ensure_session(spark: SparkSession) -> SparkSession:
     """UTC days and weeks whatever session the caller brings."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for key in ("spark.sql.session.timeZone", "spark.python.sql.dataFrameDebugging.enabled"):
+        if spark.conf.get(key, None) != SETTINGS[key]:
+            spark.conf.set(key, SETTINGS[key])
     return spark
 
 

@@ -161,10 +161,11 @@ def product_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
         tag("lamination", F.array_join(layers, "+"), none,
             F.col("next_word").isNotNull() & (F.size(layers) > 1) & (F.pmod("p_partkey", F.lit(3)) == 0)),
     ), lambda t: t["keep"])
-    return (keys.join(described, F.col("l_partkey") == F.col("p_partkey"))
-            .select((F.col("l_suppkey") * 10000000 + F.col("l_partkey")).alias("product_id"), F.explode(tags).alias("t"))
-            .select("product_id", "t.dimension", "t.code", F.lit("name").alias("field"), F.col("t.code").alias("term"),
-                    F.lit(1).alias("rules_version"), F.when(F.col("t.dimension") == "color", F.col("t.code")).alias("color_family"),
+    by_part = described.select("p_partkey", F.explode(tags).alias("t"))
+    return (keys.join(by_part, F.col("l_partkey") == F.col("p_partkey"))
+            .select((F.col("l_suppkey") * 10000000 + F.col("l_partkey")).alias("product_id"), "t.dimension", "t.code", F.lit("name").alias("field"), F.col("t.code").alias("term"),
+                    F.lit(1).alias("rules_version"),
+                    F.when(F.col("t.dimension") == "color", F.col("t.code")).alias("color_family"),
                     F.lit(None).cast("string").alias("color_hex"), "t.supplier_code"))
 
 
