@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -69,32 +70,40 @@ def strip_tags(html: Column) -> Column:
     return F.regexp_replace(html, "<[^>]+>", " ")
 
 
+INDEX_TYPE = "array<struct<needle:string,phrase:string,code:string>>"
+
+
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` evaluated once per row, also when `body` uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def phrase_index(pairs) -> Column:
+    """A literal index from (phrase, code) pairs: most words first, then most characters, then by phrase and code. Built
+    from one JSON literal, which the optimizer folds, so a dictionary costs one expression."""
+    ordered = sorted({(p, c) for p, c in pairs if p}, key=lambda pc: (-len(pc[0].split()), -len(pc[0]), pc[0], pc[1]))
+    rows = [{"needle": f" {p} ", "phrase": p, "code": c} for p, c in ordered]
+    return F.from_json(F.lit(json.dumps(rows)), INDEX_TYPE)
+
+
 def match_phrases(folded: Column, index: Column) -> Column:
     """Whole-word phrases found in folded text, in index order, each match consuming its span.
 
-    `index`: array<struct<phrase, code>> sorted longest first. Result: array<struct<phrase, code>>. Phrases that do
-    not occur at all are pruned before the ordered pass, so the sequential part only walks candidates."""
+    Result: array<struct<needle, phrase, code>>. Phrases that do not occur at all are pruned first, so the ordered pass only
+    walks candidates. Whole texts are matched; nothing is cut."""
     padded = F.concat(F.lit(" "), F.coalesce(folded, F.lit("")), F.lit(" "))
-    needle = lambda entry: F.concat(F.lit(" "), entry["phrase"], F.lit(" "))
-    candidates = F.filter(index, lambda entry: padded.contains(needle(entry)))
-    empty = F.filter(index, lambda entry: F.lit(False))
-    start = F.struct(padded.alias("text"), empty.alias("found"))
 
     def take(state: Column, entry: Column) -> Column:
-        hit = state["text"].contains(needle(entry))
+        hit = state["text"].contains(entry["needle"])
         return F.struct(
-            F.when(hit, F.replace(state["text"], needle(entry), F.lit(" | "))).otherwise(state["text"]).alias("text"),
+            F.when(hit, F.replace(state["text"], entry["needle"], F.lit(" | "))).otherwise(state["text"]).alias("text"),
             F.when(hit, F.concat(state["found"], F.array(entry))).otherwise(state["found"]).alias("found"))
 
-    return F.aggregate(candidates, start, take, lambda state: state["found"])
+    def run(text: Column) -> Column:
+        start = F.struct(text.alias("text"), F.array().cast(INDEX_TYPE).alias("found"))
+        return F.aggregate(F.filter(index, lambda e: text.contains(e["needle"])), start, take, lambda state: state["found"])
 
-
-def phrase_index(pairs) -> Column:
-    """A literal index column from (phrase, code) pairs: most words first, then most characters, then by phrase."""
-    ordered = sorted(pairs, key=lambda pc: (-len(pc[0].split()), -len(pc[0]), pc[0], pc[1]))
-    if not ordered:
-        return F.array().cast("array<struct<phrase:string,code:string>>")
-    return F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(c).alias("code")) for p, c in ordered])
+    return let(padded, run)
 
 
 def label_join(labels: Column) -> Column:
