@@ -201,3 +201,108 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.select("dimension", "code", F.initcap("code").alias("label"),
                         F.concat(F.lit("#"), F.lower(F.substring(F.md5("code"), 1, 6))).alias("hex"),
                         (F.col("code") == "hot").alias("multicolor"))
+
+
+def quarter_index(day: Column) -> Column:
+    return (F.year(day) - 1995) * 4 + F.quarter(day) - 1
+
+
+def listing_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One crawl per supplier and quarter; each order line is a card."""
+    line, part = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        (F.col("l_suppkey") * 100 + quarter_index(F.col("l_shipdate"))).alias("crawl_id"), F.col("l_suppkey").alias("source_id"),
+        F.pmod("p_size", F.lit(3)).cast("int").alias("entry"), (F.pmod("l_orderkey", F.lit(3)) + 1).cast("int").alias("page"),
+        F.col("l_partkey").alias("pos"),
+        F.concat(F.lit("https://store"), F.col("l_suppkey"), F.lit(".example/p/m"), F.pmod("l_partkey", F.lit(50)), F.lit("-"), F.col("l_partkey")).alias("url"),
+        F.when(F.pmod("p_size", F.lit(3)) > 0, F.concat(F.lit("cat"), F.pmod("p_size", F.lit(3)))).alias("category"),
+        "l_returnflag", "l_linestatus", "l_linenumber", "l_orderkey", "l_quantity")
+
+
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page per order line number of a supplier's quarter; some are empty or were not fetched."""
+    line = load(spark, sf_dir, "lineitem")
+    cards = F.count_if(F.col("l_returnflag") != "N")
+    return (line.groupBy((F.col("l_suppkey") * 100 + quarter_index(F.col("l_shipdate"))).alias("crawl_id"),
+                         F.pmod("l_linenumber", F.lit(2)).cast("int").alias("entry"), F.pmod("l_orderkey", F.lit(4)).alias("p"))
+            .agg(cards.alias("cards"), F.max("l_quantity").alias("q"), F.min("l_tax").alias("t"))
+            .select("crawl_id", "entry", F.concat(F.lit("/list"), F.col("entry")).alias("start"), (F.col("p") + 1).cast("int").alias("page"),
+                    (F.col("q") > 12).alias("fetched"), F.when(F.col("q") > 12, F.col("cards")).otherwise(0).alias("cards"),
+                    (F.col("t") < 0.03).alias("has_next"), F.lit(4).alias("max_pages"), F.lit(True).alias("paginated"),
+                    (F.pmod("crawl_id", F.lit(2)) == 0).alias("via_next")))
+
+
+def facet_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facet passes of the same crawls: return flag is the facet value, line status a flag facet."""
+    cards = listing_cards(spark, sf_dir)
+    off = F.when((F.pmod("l_orderkey", F.lit(5)) == 0) | (F.pmod("crawl_id", F.lit(7)) == 0), F.concat(F.col("url"), F.lit("?x"))).otherwise(F.col("url"))
+    value = F.struct(F.lit("Return").alias("facet"), F.col("l_returnflag").alias("label"), F.lit(None).cast("string").alias("flag"),
+                     F.lit(True).alias("per_variant"), F.ascii("l_returnflag").alias("ord"))
+    flag = F.struct(F.lit("Best").alias("facet"), F.lit("Yes").alias("label"), F.lit("is_bestseller").alias("flag"), F.lit(False).alias("per_variant"), F.lit(0).alias("ord"))
+    units = F.when(F.col("l_linestatus") == "O", F.array(value, flag)).otherwise(F.array(value))
+    return cards.select("crawl_id", "source_id", "entry", off.alias("url"), F.col("l_linenumber").cast("string").alias("variant_id"),
+                        F.explode(units).alias("u")).select("crawl_id", "source_id", "entry", "url", "variant_id", "u.*")
+
+
+def facet_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = facet_cards(spark, sf_dir)
+    return (cards.groupBy("crawl_id", "entry", "facet", "label", "flag", "per_variant", "ord").agg(F.count(F.lit(1)).alias("cards"))
+            .withColumn("fetched", F.pmod("crawl_id", F.lit(5)) != 0).withColumn("page", F.lit(1)))
+
+
+def _observed(line: DataFrame, part: DataFrame) -> DataFrame:
+    shared = F.pmod("l_partkey", F.lit(17)) == 0
+    url = F.when(shared, F.concat(F.lit("https://shared.example/p/"), F.col("l_partkey"))).otherwise(
+        F.concat(F.lit("https://store"), F.col("l_suppkey"), F.lit(".example/p/"), F.col("l_partkey")))
+    return line.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("url", url)
+
+
+def typed_flags(specs: Column, best: Column) -> Column:
+    from shelfwave.sources.tables import FLAGS
+    text, flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    return F.struct(specs.alias("raw_specs"), F.lit(None).cast("array<struct<code:string,color:string,in_stock:boolean,layers:array<string>,id:string,parts:array<string>,subparts:array<string>,swatch:string>>").alias("variants"),
+                    text.alias("categories"), text.alias("description"), text.alias("material"), best.alias("is_bestseller"), flag.alias("out_of_stock"),
+                    flag.alias("is_new"), flag.alias("is_limited")).cast(FLAGS)
+
+
+def stored_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog as left by the order lines before the cut: the last observation of each URL, by its first store."""
+    line = load(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit(SYNC_CUT))
+    rows = _observed(line, load(spark, sf_dir, "part"))
+    one = rows.groupBy("url").agg(F.min("l_suppkey").alias("source_id"), F.min("p_name").alias("name"), F.min("p_brand").alias("brand"),
+                                  F.max("l_extendedprice").alias("price"), F.min("l_shipdate").alias("first_seen_at"), F.max("l_shipdate").alias("seen_at"))
+    active = F.col("seen_at") >= F.lit(date(2000, 6, 1))
+    return one.select(F.xxhash64("url").alias("id"), "source_id", "url", "name", "brand", "price", F.lit(None).cast("double").alias("list_price"),
+                      F.lit("TND").alias("currency"), F.lit(None).cast("int").alias("rank"),
+                      typed_flags(F.create_map(F.lit("Materials"), F.concat(F.lit("Metal, "), F.col("brand"))), F.lit(True)).alias("flags"),
+                      F.lit(None).cast("string").alias("image_url"), F.col("seen_at").cast("timestamp").alias("seen_at"),
+                      F.col("first_seen_at").cast("timestamp").alias("first_seen_at"), active.alias("is_active"),
+                      F.when(~active, F.col("seen_at").cast("timestamp")).alias("dropped_at"))
+
+
+def product_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new crawl of every supplier: the order lines of the first quarter after the cut."""
+    line = load(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= F.lit(SYNC_CUT)) & (F.col("l_shipdate") < F.lit(SYNC_END)))
+    rows = _observed(line, load(spark, sf_dir, "part"))
+    return rows.select(F.col("l_suppkey").alias("crawl_id"), F.col("l_suppkey").alias("source_id"),
+                       (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), "url", F.col("p_name").alias("name"), F.col("p_brand").alias("brand"),
+                       F.col("l_extendedprice").alias("price"), F.lit(None).cast("double").alias("list_price"), F.lit("TND").alias("currency"),
+                       F.lit(None).cast("int").alias("rank"),
+                       typed_flags(F.create_map(F.lit("Materials"), F.col("p_brand")), F.lit(None).cast("boolean")).alias("flags"),
+                       F.lit(None).cast("string").alias("image_url"), F.col("l_shipdate").cast("timestamp").alias("seen_at"))
+
+
+def crawl_reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(listed, reports, gaps) of that crawl: URLs on the shelf beside the batch, problems, failed facets."""
+    line = load(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= F.lit(date(2000, 1, 1))) & (F.col("l_shipdate") < F.lit(SYNC_CUT)))
+    seen = _observed(line, load(spark, sf_dir, "part"))
+    listed = seen.where((F.col("l_returnflag") != "R") | (F.pmod("l_suppkey", F.lit(3)) == 0)).select(F.col("l_suppkey").alias("source_id"), "url").distinct()
+    supplier = load(spark, sf_dir, "supplier")
+    broken = F.pmod("s_suppkey", F.lit(6)) == 1
+    reports = supplier.select(F.col("s_suppkey").alias("source_id"), F.when(broken, F.array(F.lit("/a page 2: not fetched"), F.lit("/b: first page listed nothing")))
+                              .otherwise(F.array().cast("array<string>")).alias("problems"))
+    text = F.lit(None).cast("string")
+    units = F.array(F.struct(F.lit("Materials").alias("facet"), F.lit("Metal").alias("label"), text.alias("flag"), F.lit(False).alias("per_variant"), F.lit(0).alias("ord")),
+                    F.struct(F.lit("Best").alias("facet"), F.lit("Yes").alias("label"), F.lit("is_bestseller").alias("flag"), F.lit(False).alias("per_variant"), F.lit(1).alias("ord")))
+    gaps = supplier.where(F.pmod("s_suppkey", F.lit(4)) == 0).select(F.col("s_suppkey").alias("source_id"), F.explode(units).alias("u")).select("source_id", "u.*")
+    return listed, reports, gaps
