@@ -12,3 +12,16 @@ def bounded(side: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     shuffle join with skew handling applies. Meant for narrow dimension tables (sources, stores), whose count is a cheap,
     column-free scan that stops at the bound."""
     return F.broadcast(side) if side.limit(max_rows + 1).count() <= max_rows else side
+
+
+def numbered(rows: DataFrame, group: list[str], position: str, name: str = "n", bucket: int = 10_000) -> DataFrame:
+    """1-based number of each row in its group by a distinct integer position. Rows are numbered inside position buckets and the
+    bucket sizes are summed, so a group holding a large part of all rows is spread over many tasks."""
+    from pyspark.sql import Window
+    placed = rows.withColumn("_b", F.floor(F.col(position) / bucket))
+    sizes = placed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*group, "_b", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_b").orderBy(position))
+    return placed.withColumn("_k", inside).join(offsets, [*group, "_b"]).withColumn(
+        name, (F.col("_offset") + F.col("_k")).cast("long")).drop("_b", "_k", "_offset")
