@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 # Letters and signs whose folded form is more than one character.
 EXPANSIONS = (
     ("œ", "oe"), ("æ", "ae"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"),
-    ("ĳ", "ij"), ("½", "1 2"), ("¼", "1 4"), ("¾", "3 4"), ("™", "tm"), ("№", "no"),
+    ("ĳ", "ij"), ("ǆ", "dz"), ("ǉ", "lj"), ("ǌ", "nj"), ("ǳ", "dz"), ("ŀ", "l "), ("ŉ", " n"), ("½", "1 2"), ("¼", "1 4"), ("¾", "3 4"), ("™", "tm"), ("№", "no"),
 )
 
 
