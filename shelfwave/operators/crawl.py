@@ -7,40 +7,43 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfwave.functions.text import label_join
 from shelfwave.operators.joins import bounded
 
-ORDER = ["entry", "page", "pos"]
+
+def position() -> Column:
+    """A card's place in its crawl as one number: entry, page and place on the page (entries below 2^15, pages below 2^16, places
+    below 2^32). A number keeps the minima below in hash aggregates; a struct would sort all cards."""
+    part = lambda name: F.col(name).cast("long")
+    return F.shiftleft(part("entry"), 48) + F.shiftleft(part("page"), 32) + part("pos")
 
 
 def first_appearances(cards: DataFrame, model: Column | None = None) -> DataFrame:
-    """One row per crawl and URL with its first position (entry, page, pos) and its model key."""
+    """One row per crawl and URL with its first place and its model key, an expression on the URL."""
     key = F.lit(None).cast("string") if model is None else model
-    return cards.withColumn("model", key).groupBy("crawl_id", "url").agg(
-        F.min(F.struct(*ORDER)).alias("first"), F.first("model").alias("model"))
+    return cards.groupBy("crawl_id", "url").agg(F.min(position()).alias("first")).withColumn("model", key)
 
 
 def kept_cards(firsts: DataFrame) -> DataFrame:
     """The first URL of each model; URLs without a model key are all kept. The others stay listed but are not products."""
-    keyed = firsts.where(F.col("model").isNotNull())
-    best = keyed.groupBy("crawl_id", "model").agg(F.min("first").alias("best"))
-    chosen = keyed.join(best, ["crawl_id", "model"]).where(F.col("first") == F.col("best")).drop("best")
-    return chosen.unionByName(firsts.where(F.col("model").isNull()).select(*chosen.columns))
+    best = firsts.where(F.col("model").isNotNull()).groupBy("crawl_id", "model").agg(F.min("first").alias("best"))
+    rows = firsts.join(best, ["crawl_id", "model"], "left")
+    return rows.where(F.col("model").isNull() | (F.col("first") == F.col("best"))).select("crawl_id", "url", "first", "model")
 
 
 def listing_ranks(kept: DataFrame) -> DataFrame:
     """1-based rank of each kept URL in its crawl's listing order. Cards are numbered inside their page and pages are
     numbered by a prefix sum over page counts, so one long crawl is spread over its pages instead of one sorted task."""
-    rows = kept.select("crawl_id", "url", "model", "first.entry", "first.page", "first.pos")
-    sizes = rows.groupBy("crawl_id", "entry", "page").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("crawl_id").orderBy("entry", "page").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("crawl_id", "entry", "page", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("crawl_id", "entry", "page").orderBy("pos", "url")
-    return (rows.withColumn("k", F.row_number().over(inside)).join(offsets, ["crawl_id", "entry", "page"])
+    rows = kept.select("crawl_id", "url", "model", "first", F.shiftright("first", 48).cast("int").alias("entry"), F.shiftright("first", 32).alias("leaf"))
+    sizes = rows.groupBy("crawl_id", "leaf").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("crawl_id").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("crawl_id", "leaf", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("crawl_id", "leaf").orderBy("first", "url")
+    return (rows.withColumn("k", F.row_number().over(inside)).join(offsets, ["crawl_id", "leaf"])
             .select("crawl_id", "url", "model", "entry", (F.col("offset") + F.col("k")).cast("long").alias("rank")))
 
 
 def category_labels(cards: DataFrame) -> DataFrame:
     """(crawl_id, url, categories): the categories of the entries a URL is listed under, in order of appearance, ", "-joined."""
     seen = (cards.where(F.col("category").isNotNull()).groupBy("crawl_id", "url", "category")
-            .agg(F.min(F.struct(*ORDER)).alias("first")))
+            .agg(F.min(position()).alias("first")))
     return seen.groupBy("crawl_id", "url").agg(
         label_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "category"))), lambda x: x["category"])).alias("categories"))
 

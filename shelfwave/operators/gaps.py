@@ -46,8 +46,8 @@ def skipped_dimensions(dimensions: DataFrame) -> DataFrame:
 def gaps_by_type(snapshots: DataFrame, products: DataFrame, tags: DataFrame, sources: DataFrame, week: date,
                  rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Gaps of the optical and the sunglasses shelf in one pass, markdown baselines staying store-wide."""
-    units, items = shelf(products, tags, sources, by_type=True, rules=rules)
-    return shelf_gaps(snapshots, shelf_items(units, items), shelf_dimensions(units, True, rules), week, True, rules)
+    cells = shelf(products, tags, sources, by_type=True, rules=rules)
+    return shelf_gaps(snapshots, shelf_items(cells), shelf_dimensions(cells.units, True, rules), week, True, rules)
 
 
 def with_labels(rows: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -36,8 +36,10 @@ def _text(v: Column) -> Column:
 
 
 def _as_list(v: Column) -> Column:
-    items = F.try_variant_get(v, "$", "array<variant>")
-    return F.when(v.isNull() | F.is_variant_null(v), F.array().cast("array<variant>")).otherwise(F.coalesce(items, F.array(v)))
+    """A JSON list's elements, any other value as a list of one, nothing for null; the value is evaluated once."""
+    none = F.array().cast("array<variant>")
+    return F.coalesce(let(v, lambda x: F.when(x.isNull() | F.is_variant_null(x), none).otherwise(
+        F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array(x)))), none)
 
 
 def _is_object(v: Column) -> Column:
@@ -61,12 +63,15 @@ def json_ld_nodes(html: Column) -> Column:
     """Every JSON-LD node of a page with its path in reading order; nested graphs and item lists are flattened. Scripts that are
     not JSON are skipped."""
     roots = F.transform(script_bodies(html, r'type="application/ld\+json"'), lambda s: F.try_parse_json(s))
-    level = F.flatten(F.transform(roots, lambda r, i: _numbered(_as_list(r), F.lpad(i.cast("string"), 5, "0"))))
-    levels = [level]
-    for _ in range(MAX_NESTING - 1):
-        level = F.flatten(F.transform(level, _children))
-        levels.append(level)
-    return F.filter(F.concat(*levels), lambda n: _is_object(n["node"]))
+    first = F.flatten(F.transform(roots, lambda r, i: _numbered(_as_list(r), F.lpad(i.cast("string"), 5, "0"))))
+
+    def below(level: Column, depth: int) -> Column:
+        # a level is evaluated once and handed both to the result and to the next level
+        if depth == 0:
+            return level
+        return let(level, lambda l: F.concat(l, F.when(F.size(l) > 0, below(F.flatten(F.transform(l, _children)), depth - 1)).otherwise(F.array().cast(NODE))))
+
+    return F.filter(below(first, MAX_NESTING - 1), lambda n: _is_object(n["node"]))
 
 
 def _types(node: Column) -> Column:
@@ -103,22 +108,23 @@ def json_ld_products(pages: DataFrame) -> DataFrame:
     rows = rows.select("page_id", "page_url", F.col("n.path").alias("path"), node.alias("node"),
                        resolve(_first(_get(node, "brand")), nodes).alias("brand_node"), resolve(_first(_get(node, "image")), nodes).alias("image_node"),
                        F.transform(_as_list(_get(node, "offers")), lambda o: resolve(o, nodes)).alias("offers"))
-    offer = F.when(_is_object(F.get("offers", F.lit(0))), F.get("offers", F.lit(0)))
-    brand = F.when(_is_object(F.col("brand_node")), _text(_get(F.col("brand_node"), "name"))).otherwise(_text(F.col("brand_node")))
-    image = F.when(_is_object(F.col("image_node")), F.coalesce(blank_to_null(_text(_get(F.col("image_node"), "url"))), _text(_get(F.col("image_node"), "contentUrl")))).otherwise(_text(F.col("image_node")))
-    specs = _get(offer, "priceSpecification")
-    current = _price_spec(specs, False)
-    has_price = F.array_contains(F.map_keys(F.try_variant_get(offer, "$", "map<string,variant>")), "price")
-    stated = F.when(has_price, json_price(_get(offer, "price"))).otherwise(json_price(_get(offer, "lowPrice")))
-    price = F.coalesce(stated, json_price(_get(current, "price")))
-    own = _text(_get(offer, "priceCurrency"))
-    currency = F.when(stated.isNotNull(), own).otherwise(F.coalesce(blank_to_null(own), _text(_get(current, "priceCurrency"))))
+    head = F.get("offers", F.lit(0))
+    rows = rows.withColumn("offer", F.when(_is_object(head), F.try_variant_get(head, "$", "map<string,variant>")))
+    offer = F.col("offer")
+    rows = rows.withColumns({
+        "current": _price_spec(offer["priceSpecification"], False), "listed": _price_spec(offer["priceSpecification"], True),
+        "stated": F.when(F.map_contains_key(offer, "price"), json_price(offer["price"])).otherwise(json_price(offer["lowPrice"])), "own": _text(offer["priceCurrency"]),
+        "brand_text": F.coalesce(_text(F.col("brand_node")), _text(_get(F.col("brand_node"), "name"))),
+        "image_text": F.coalesce(_text(F.col("image_node")), blank_to_null(_text(_get(F.col("image_node"), "url"))), _text(_get(F.col("image_node"), "contentUrl"))),
+        "name_text": _text(_get(F.col("node"), "name")), "url_text": _text(_get(F.col("node"), "url"))})
+    price = F.coalesce("stated", json_price(_get(F.col("current"), "price")))
+    currency = F.when(F.col("stated").isNotNull(), F.col("own")).otherwise(F.coalesce(blank_to_null(F.col("own")), _text(_get(F.col("current"), "priceCurrency"))))
     clean = lambda c: blank_to_null(F.trim(c))
     return rows.select(
-        "page_id", "page_url", "path", clean(_text(_get(F.col("node"), "name"))).alias("name"), clean(brand).alias("brand"), price.alias("price"),
-        F.when(price.isNotNull(), json_price(_get(_price_spec(specs, True), "price"))).alias("list_price"), currency.alias("currency"),
-        F.when(clean(image).isNotNull(), absolute(F.col("page_url"), clean(image))).alias("image_url"),
-        F.when(_text(_get(F.col("node"), "url")).isNotNull(), absolute(F.col("page_url"), _text(_get(F.col("node"), "url")))).alias("url"),
+        "page_id", "page_url", "path", clean("name_text").alias("name"), clean("brand_text").alias("brand"), price.alias("price"),
+        F.when(price.isNotNull(), json_price(_get(F.col("listed"), "price"))).alias("list_price"), currency.alias("currency"),
+        F.when(clean("image_text").isNotNull(), absolute(F.col("page_url"), clean("image_text"))).alias("image_url"),
+        F.when(F.col("url_text").isNotNull(), absolute(F.col("page_url"), F.col("url_text"))).alias("url"),
         _text(_get(F.col("node"), "description")).alias("description"), "offers")
 
 

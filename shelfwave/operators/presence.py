@@ -6,11 +6,11 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shelfwave.functions.numbers import rounded
+from shelfwave.functions.numbers import ratio, rounded
 from shelfwave.operators.catalog import baselines, is_new
 from shelfwave.operators.joins import bounded
 from shelfwave.operators.pairings import listing_order
-from shelfwave.operators.shelf import active_products, distinct_attributes, markdown, markdown_stats, store_baselines, store_names, with_attribute
+from shelfwave.operators.shelf import active_products, distinct_attributes, markdown, store_baselines, store_names, with_attribute
 from shelfwave.rules import DEFAULT_RULES, Rules
 
 BY = ["dimension", "code"]
@@ -48,14 +48,22 @@ def presence_cells(rows: DataFrame) -> DataFrame:
 
 
 def presence_header(cells: DataFrame, store_markdowns: DataFrame) -> DataFrame:
-    """Per attribute: products, stores, best-sellers, new, retired, markets, shelves, newest observation and markdown."""
-    on = F.col("n") > 0
-    header = cells.groupBy(*BY).agg(
+    """Per attribute: products, stores, best-sellers, new, retired, markets, shelves, newest observation and markdown. The store
+    baselines join the aggregate, so the products are read once."""
+    on, compared = F.col("n") > 0, F.col("baseline").isNotNull()
+    rows = cells.join(store_markdowns, "source_id", "left").groupBy(*BY).agg(
         F.sum("n").alias("sku"), F.count_distinct(F.when(on, F.col("store"))).alias("stores"), F.sum("bestsellers").alias("bestsellers"),
         F.sum("new").alias("new"), F.sum("retired").alias("retired"),
         F.array_sort(F.collect_set(F.when(on, F.col("country")))).alias("countries"), F.sum("optical").alias("optical"),
-        F.sum("sun").alias("sun"), F.max("updated").alias("updated"))
-    return header.join(markdown_stats(cells.where(on), store_markdowns, BY), BY, "left")
+        F.sum("sun").alias("sun"), F.max("updated").alias("updated"), F.nullif(F.sum(F.when(compared, F.col("n"))), F.lit(0)).alias("compared"),
+        F.sum(F.when(compared, F.col("n_cut"))).alias("discounted"), F.sum(F.when(compared, F.col("cut_sum"))).alias("cut_sum"),
+        F.sum(F.col("md_sum") - F.col("n") * F.col("baseline")).alias("excess"))
+    return rows.select(
+        *BY, "sku", "stores", "bestsellers", "new", "retired", "countries", "optical", "sun", "updated", "compared",
+        F.when(F.col("compared").isNotNull(), F.col("discounted")).alias("discounted"),
+        rounded(ratio(F.col("discounted"), F.col("compared")), 4).alias("share_discounted"),
+        F.when(F.col("discounted") > 0, rounded(F.col("cut_sum") / F.col("discounted"), 4)).alias("avg_depth"),
+        rounded(F.col("excess") / F.col("compared"), 4).alias("relative_depth"))
 
 
 def presence_prices(cells: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ aggregates, never the products."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfwave.functions.numbers import ratio, rounded
@@ -121,8 +123,7 @@ def product_flags(attributes: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFr
 def shelf_cells(active: DataFrame, tags: DataFrame, by_type: bool = False, rules: Rules = DEFAULT_RULES) -> tuple[DataFrame, DataFrame]:
     """The two aggregates every shelf figure comes from.
 
-    units: (shelf, dimension, source_id) with tagged, with_value and unmapped; rows without a dimension count the products and
-    their markdowns, and always include the whole shelf, which the store baselines need.
+    units: (shelf, dimension, source_id) with tagged, with_value and unmapped; rows without a dimension count the products.
     items: (shelf, dimension, code, source_id, currency) with counts and sums of prices and markdowns."""
     attributes = distinct_attributes(tags, *rules.dimensions, "product_type")
     products = active.join(product_flags(attributes, rules), "id", "left")
@@ -133,14 +134,12 @@ def shelf_cells(active: DataFrame, tags: DataFrame, by_type: bool = False, rules
                               F.array_contains("stated", d).alias("stated"))
     whole = F.struct(F.lit(None).cast("string").alias("dimension"), F.lit(False).alias("tagged"), F.lit(False).alias("stated"))
     none = F.col("u.dimension").isNull()
-    units = (products.select("source_id", markdown().alias("md"), (F.col("list_price") != 0).alias("lists"),
-                             stated_dimensions(F.col("flags.raw_specs")).alias("stated"), *[f"has_{d}" for d in rules.dimensions],
-                             F.explode(F.concat(everything, typed) if by_type else everything).alias("shelf"))
-             .select("shelf", "source_id", "md", "lists", F.explode(F.array(*[unit(d) for d in rules.dimensions], whole)).alias("u"))
+    units = (products.select("source_id", stated_dimensions(F.col("flags.raw_specs")).alias("stated"), *[f"has_{d}" for d in rules.dimensions],
+                             F.explode(typed if by_type else everything).alias("shelf"))
+             .select("shelf", "source_id", F.explode(F.array(*[unit(d) for d in rules.dimensions], whole)).alias("u"))
              .groupBy("shelf", "u.dimension", "source_id")
              .agg(F.count_if(none).alias("n"), F.count_if("u.tagged").alias("tagged"), F.count_if("u.stated").alias("with_value"),
-                  F.count_if(F.col("u.stated") & ~F.col("u.tagged")).alias("unmapped"), F.sum("md").alias("md_sum"),
-                  F.coalesce(F.bool_or("lists"), F.lit(False)).alias("lists")))
+                  F.count_if(F.col("u.stated") & ~F.col("u.tagged")).alias("unmapped")))
 
     priced = F.when((F.col("price") > 0) & (F.col("currency") != ""), F.col("currency"))
     md = F.col("md")
@@ -154,21 +153,22 @@ def shelf_cells(active: DataFrame, tags: DataFrame, by_type: bool = False, rules
     return units, items
 
 
-def cell_baselines(units: DataFrame) -> DataFrame:
-    """Store baselines read off the whole-shelf rows."""
-    rows = units.where((F.col("shelf") == ALL) & F.col("dimension").isNull() & F.col("lists"))
-    return rows.select("source_id", (F.col("md_sum") / F.col("n")).alias("baseline"))
+class Shelf(NamedTuple):
+    """The aggregates of one shelf reading: see `shelf_cells`; baselines are store-wide whatever the shelf."""
+    units: DataFrame
+    items: DataFrame
+    baselines: DataFrame
 
 
-def shelf_items(units: DataFrame, items: DataFrame) -> DataFrame:
+def shelf_items(cells: Shelf) -> DataFrame:
     """(shelf, dimension, code): distinct products, share of the dimension's tagged products and markdown figures."""
     by = ["shelf", "dimension", "code"]
     compared = F.col("baseline").isNotNull()
-    rows = items.join(cell_baselines(units), "source_id", "left").groupBy(*by).agg(
+    rows = cells.items.join(cells.baselines, "source_id", "left").groupBy(*by).agg(
         F.sum("n").alias("sku"), F.sum(F.when(compared, F.col("n"))).alias("compared"),
         F.sum(F.when(compared, F.col("n_cut"))).alias("discounted"), F.sum(F.when(compared, F.col("cut_sum"))).alias("cut_sum"),
         F.sum(F.col("md_sum") - F.col("n") * F.col("baseline")).alias("excess"))
-    tagged = units.where(F.col("dimension").isNotNull()).groupBy("shelf", "dimension").agg(F.sum("tagged").alias("tagged"))
+    tagged = (cells.units.where(F.col("dimension").isNotNull()).groupBy("shelf", "dimension").agg(F.sum("tagged").alias("tagged")))
     return rows.join(tagged, ["shelf", "dimension"]).select(
         *by, "sku", "tagged", ratio(F.col("sku"), F.col("tagged")).alias("share"), "compared", "discounted",
         rounded(ratio(F.col("discounted"), F.col("compared")), 4).alias("share_discounted"),
@@ -213,10 +213,11 @@ def store_summary(active: DataFrame) -> DataFrame:
 
 
 def shelf(products: DataFrame, tags: DataFrame, sources: DataFrame, by_type: bool = False, country: str | None = "market",
-          rules: Rules = DEFAULT_RULES) -> tuple[DataFrame, DataFrame]:
-    """(units, items) of the market's shelf, or of every store with country=None."""
+          rules: Rules = DEFAULT_RULES) -> Shelf:
+    """The market's shelf, or the shelf of every store with country=None."""
     active = active_products(products, sources, rules.market_country if country == "market" else country)
-    return shelf_cells(active, tags, by_type, rules)
+    units, items = shelf_cells(active, tags, by_type, rules)
+    return Shelf(units, items, store_baselines(active))
 
 
 def tag_counts(tags: DataFrame, approximate: bool = False) -> DataFrame:

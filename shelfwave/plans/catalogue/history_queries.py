@@ -172,6 +172,17 @@ def facet_variant_colors(spark, sf):
     return rows.select("crawl_id", "url", F.explode("variant_colors").alias("variant_id", "label"))
 
 
+@query("variant_facet_labels", f"""
+WITH {CARDS}, {FACETS}, c AS (SELECT crawl_id, url, arg_min(label, ord) AS label FROM fm WHERE known AND flag IS NULL AND variant_id = '1' GROUP BY 1, 2)
+SELECT rk.crawl_id, rk.url, c.label AS first_color, 'kept' AS second_color FROM rk LEFT JOIN c ON c.crawl_id = rk.crawl_id AND c.url = rk.url""")
+def variant_facet_labels(spark, sf):
+    order, _, matches, _ = facet_plan(spark, sf)
+    variant = lambda i, color: F.struct(F.lit(i).alias("id"), F.lit(color).cast("string").alias("color"))
+    products = order.select("crawl_id", "url", F.array(variant("1", None), variant("2", "kept")).alias("variants"))
+    rows = W.with_variant_colors(products, W.variant_colors(matches))
+    return rows.select("crawl_id", "url", F.col("variants")[0]["color"].alias("first_color"), F.col("variants")[1]["color"].alias("second_color"))
+
+
 @query("facet_flags", f"""
 WITH {CARDS}, {FACETS}, ps AS (SELECT crawl_id, entry, bool_or(reason IS NOT NULL) AS broken FROM gp WHERE flag IS NOT NULL GROUP BY 1, 2),
 hit AS (SELECT DISTINCT crawl_id, url FROM fm WHERE known AND flag IS NOT NULL)

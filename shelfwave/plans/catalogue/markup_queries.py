@@ -13,7 +13,7 @@ from shelfwave.sources import samples as S
 
 def product_pages(spark, sf):
     """One page per part with a JSON-LD graph: product, referenced brand and image, offers of several kinds."""
-    part = S.load(spark, sf, "part")
+    part = S.spread(S.load(spark, sf, "part"))
     key = F.col("p_partkey")
     offer_kind = F.pmod(key, F.lit(3))
     text = lambda c: F.to_json(F.struct(c.alias("x")))

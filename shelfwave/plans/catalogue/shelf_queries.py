@@ -65,8 +65,8 @@ ITEMS = """t AS (SELECT DISTINCT product_id, dimension, code FROM tags WHERE dim
 ty AS (SELECT product_id, code AS shelf FROM tags WHERE dimension = 'product_type'),
 rows_all AS (SELECT 'all' AS shelf, t.dimension, t.code, tn.* FROM tn JOIN t ON t.product_id = tn.id),
 rows_typed AS (SELECT ty.shelf, t.dimension, t.code, tn.* FROM tn JOIN t ON t.product_id = tn.id JOIN ty ON ty.product_id = tn.id)"""
-ITEM_SELECT = """it AS (SELECT shelf, dimension, code, count(DISTINCT r.id) AS sku, count(bl.source_id) AS compared,
-  count(*) FILTER (md > 0 AND bl.source_id IS NOT NULL) AS discounted, avg(md) FILTER (md > 0 AND bl.source_id IS NOT NULL) AS avg_depth,
+ITEM_SELECT = """it AS (SELECT shelf, dimension, code, count(DISTINCT r.id) AS sku, nullif(count(bl.source_id), 0) AS compared,
+  CASE WHEN count(bl.source_id) > 0 THEN count(*) FILTER (md > 0 AND bl.source_id IS NOT NULL) END AS discounted, avg(md) FILTER (md > 0 AND bl.source_id IS NOT NULL) AS avg_depth,
   avg(md - baseline) AS relative_depth FROM {0} r LEFT JOIN bl USING (source_id) GROUP BY 1, 2, 3),
 tg AS (SELECT shelf, dimension, count(DISTINCT id) AS tagged FROM {0} GROUP BY 1, 2)"""
 
@@ -76,7 +76,7 @@ WITH {ACTIVE}, {BASE.format('tn')}, {ITEMS}, {ITEM_SELECT.format('rows_all')}
 SELECT dimension, code, sku, tagged, round(sku / tagged, 6) AS share, compared, discounted, round(discounted / compared, 4) AS share_discounted,
   round(avg_depth, 4) AS avg_depth, round(relative_depth, 4) + 0.0 AS relative_depth FROM it JOIN tg USING (shelf, dimension)"""))
 def shelf_by_attribute(spark, sf):
-    return H.shelf_items(*H.shelf(*tables(spark, sf))).select("dimension", "code", "sku", "tagged", F.round("share", 6).alias("share"), "compared", "discounted",
+    return H.shelf_items(H.shelf(*tables(spark, sf))).select("dimension", "code", "sku", "tagged", F.round("share", 6).alias("share"), "compared", "discounted",
                         "share_discounted", "avg_depth", "relative_depth")
 
 
@@ -85,15 +85,14 @@ WITH {ACTIVE}, {BASE.format('tn')}, {ITEMS}, {ITEM_SELECT.format('rows_typed')}
 SELECT shelf, dimension, code, sku, tagged, round(sku / tagged, 6) AS share, compared, round(relative_depth, 4) + 0.0 AS relative_depth
 FROM it JOIN tg USING (shelf, dimension)"""))
 def shelf_by_type(spark, sf):
-    return H.shelf_items(*H.shelf(*tables(spark, sf), by_type=True)).select("shelf", "dimension", "code", "sku", "tagged", F.round("share", 6).alias("share"), "compared", "relative_depth")
+    return H.shelf_items(H.shelf(*tables(spark, sf), by_type=True)).select("shelf", "dimension", "code", "sku", "tagged", F.round("share", 6).alias("share"), "compared", "relative_depth")
 
 
 @query("shelf_prices", with_views("prod tags sources", f"""
 WITH {ACTIVE}, {ITEMS} SELECT dimension, code, currency, count(*) AS priced, round_even(avg(price) * 100, 0) / 100 AS avg_price FROM rows_all
 WHERE price > 0 GROUP BY 1, 2, 3"""))
 def shelf_prices(spark, sf):
-    _, items = H.shelf(*tables(spark, sf))
-    return H.shelf_prices(items).select("dimension", "code", "currency", "priced", "avg_price")
+    return H.shelf_prices(H.shelf(*tables(spark, sf)).items).select("dimension", "code", "currency", "priced", "avg_price")
 
 
 COVERAGE = """st AS (SELECT id, 'color' AS dimension FROM tn WHERE p_size % 2 = 0 UNION ALL SELECT id, 'material' FROM tn WHERE p_size % 3 = 0
@@ -113,8 +112,7 @@ COVERAGE_TYPED = COVERAGE.format("ty.shelf", "JOIN ty ON ty.product_id = st.id",
 WITH {ACTIVE}, {BASE.format('tn')}, {ITEMS}, {ITEM_SELECT.format('rows_all')}, {COVERAGE_ALL}
 SELECT dimension, tagged, with_value, unmapped, round(unmapped_share, 6) AS unmapped_share, comparable FROM dm"""))
 def vocabulary_coverage(spark, sf):
-    units, _ = H.shelf(*tables(spark, sf))
-    return H.shelf_dimensions(units).select("dimension", "tagged", "with_value", "unmapped", F.round("unmapped_share", 6).alias("unmapped_share"), "comparable")
+    return H.shelf_dimensions(H.shelf(*tables(spark, sf)).units).select("dimension", "tagged", "with_value", "unmapped", F.round("unmapped_share", 6).alias("unmapped_share"), "comparable")
 
 
 @query("store_summary", with_views("prod sources", f"WITH {ACTIVE} SELECT store, count(*) AS products, CAST(CAST(max(seen_at) AS DATE) AS VARCHAR) AS updated FROM tn GROUP BY store"))
@@ -155,8 +153,8 @@ gk AS (SELECT *, CASE WHEN status IN ('en_hausse', 'au_pic') AND share < 0.2 THE
 WITH {ACTIVE}, {BASE.format('tn')}, {ITEMS}, {ITEM_SELECT.format('rows_all')}, {COVERAGE_ALL}, {GAP_SNAPS}, {GAP_KIND}
 SELECT kind, dimension, code, status, momentum, sku, round(share, 6) AS share, relative_depth, clearance FROM gk WHERE kind IS NOT NULL"""))
 def shelf_gaps(spark, sf):
-    units, items = H.shelf(*tables(spark, sf), rules=RULES)
-    rows = G.ranked(G.shelf_gaps(gap_snapshots(spark, sf), H.shelf_items(units, items), H.shelf_dimensions(units), WEEK, rules=RULES))
+    cells = H.shelf(*tables(spark, sf), rules=RULES)
+    rows = G.ranked(G.shelf_gaps(gap_snapshots(spark, sf), H.shelf_items(cells), H.shelf_dimensions(cells.units), WEEK, rules=RULES))
     return rows.select("kind", "dimension", "code", "status", "momentum", "sku", F.round("share", 6).alias("share"), "relative_depth", "clearance")
 
 
@@ -181,14 +179,12 @@ def gaps_grouped(spark, sf):
 WITH {ACTIVE}, {BASE.format('tn')}, {ITEMS}, {ITEM_SELECT.format('rows_typed')}, {COVERAGE_TYPED}
 SELECT shelf, dimension, tagged, round(unmapped_share, 6) AS unmapped_share FROM dm WHERE NOT comparable"""))
 def skipped_dimensions(spark, sf):
-    units, _ = H.shelf(*tables(spark, sf), by_type=True)
-    return G.skipped_dimensions(H.shelf_dimensions(units, True)).withColumn("unmapped_share", F.round("unmapped_share", 6))
+    return G.skipped_dimensions(H.shelf_dimensions(H.shelf(*tables(spark, sf), by_type=True).units, True)).withColumn("unmapped_share", F.round("unmapped_share", 6))
 
 
 @query("shelf_products_by_type", with_views("prod tags sources", f"WITH {ACTIVE}, {ITEMS} SELECT shelf, count(*) AS products FROM tn JOIN ty ON ty.product_id = tn.id GROUP BY shelf"))
 def shelf_products_by_type(spark, sf):
-    units, _ = H.shelf(*tables(spark, sf), by_type=True)
-    return H.shelf_counts(units.where(F.col("shelf") != H.ALL))
+    return H.shelf_counts(H.shelf(*tables(spark, sf), by_type=True).units)
 
 
 @query("gap_labels", with_views("snaps dict", """
@@ -369,7 +365,7 @@ WITH {PRES}, bl AS (SELECT source_id, avg(md) AS baseline FROM al WHERE is_activ
 SELECT dimension, code, count(*) FILTER (is_active) AS sku, count(DISTINCT store) FILTER (is_active) AS stores, count(*) FILTER (is_active AND is_bestseller) AS bestsellers,
   count(*) FILTER (is_active AND fresh) AS new, count(*) FILTER (NOT is_active) AS retired, count(*) FILTER (is_active AND ptype = 'optical') AS optical,
   array_to_string(list_sort(list(DISTINCT country) FILTER (is_active AND country IS NOT NULL)), '+') AS countries,
-  CAST(CAST(max(seen_at) FILTER (is_active) AS DATE) AS VARCHAR) AS updated, count(baseline) FILTER (is_active) AS compared,
+  CAST(CAST(max(seen_at) FILTER (is_active) AS DATE) AS VARCHAR) AS updated, nullif(count(baseline) FILTER (is_active), 0) AS compared,
   round(avg(md - baseline) FILTER (is_active), 4) + 0.0 AS relative_depth
 FROM pr LEFT JOIN bl USING (source_id) GROUP BY 1, 2"""))
 def retail_presence(spark, sf):

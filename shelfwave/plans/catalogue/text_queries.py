@@ -79,7 +79,7 @@ def tagged_parts(spark, sf):
     specs = F.map_filter(F.create_map(F.lit("Couleur"), F.when(F.pmod("p_size", F.lit(2)) == 0, F.col("p_brand")),
                                       F.lit("Matière"), F.when(F.pmod("p_size", F.lit(3)) == 0, F.col("p_brand"))), lambda k, v: v.isNotNull())
     text = F.lit(None).cast("string")
-    return S.load(spark, sf, "part").select(
+    return S.spread(S.load(spark, sf, "part")).select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.struct(
             specs.alias("raw_specs"), text.alias("description"), text.alias("material"),
             F.when(F.pmod("p_partkey", F.lit(2)) == 0, "Optique").otherwise("Soleil").alias("categories"),
@@ -121,7 +121,7 @@ def color_tiers(spark, sf):
     steps("x", WORDS.pairs(d, True), f"m_{d}", "f") for d in WORDS.dimensions) + "\n" + " UNION ALL ".join(
     f"SELECT doc_id AS document_id, '{d}' AS dimension, code, arg_min(phrase, n) AS term FROM m_{d} GROUP BY 1, 2, 3" for d in WORDS.dimensions))
 def document_mentions(spark, sf):
-    docs = S.load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("title"), "text",
+    docs = S.spread(S.load(spark, sf, "documents")).select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("title"), "text",
                                                  F.lit(None).cast("timestamp").alias("published_at"), F.lit("2024-01-02").cast("timestamp").alias("collected_at"))
     return A.detect_mentions(docs, WORDS).select("document_id", "dimension", "code", "term")
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
-from shelfwave.functions.numbers import rounded
 from shelfwave.operators import mentions as M, scoring, series, trends as T
 from shelfwave.operators.series import KEY
 from shelfwave.plans.catalogue.shared import START, WEEK, WEEKS, counts, enriched, kinds, snapshots, text_day
@@ -290,6 +289,12 @@ def document_page(spark, sf):
         ":", a["dimension"], a["code"], a["stance"])), " ").alias("attributes"), "quote")
 
 
+@query("document_total", with_views("ment docs", """
+SELECT count(*) AS total FROM docs WHERE status = 'extracted' AND id IN (SELECT document_id FROM ment WHERE dimension = 'SMALL' AND occurred_on >= DATE '2000-01-01')"""))
+def document_total(spark, sf):
+    return M.document_total(S.documents(spark, sf), S.mentions(spark, sf), dimension="SMALL", since=date(2000, 1, 1))
+
+
 @query("stance_counts_4w", with_views("ment docs sources", """
 SELECT dimension, code, count(*) FILTER (stance = 'rising') AS rising, count(*) FILTER (stance = 'neutral') AS neutral,
   count(*) FILTER (stance = 'declining') AS declining, round(count(*) FILTER (stance = 'rising') / count(*), 6) AS rising_share,

@@ -62,11 +62,11 @@ def attribute_detail(documents: DataFrame, mentions: DataFrame, sources: DataFra
 def retail_overview(snapshots: DataFrame, products: DataFrame, tags: DataFrame, sources: DataFrame, dictionary: DataFrame, week: date,
                     rules: Rules = DEFAULT_RULES) -> Frames:
     """Market shelf against press: stores, products per shelf, gaps, dimensions left out, thresholds."""
-    units, items = H.shelf(products, tags, sources, by_type=True, rules=rules)
-    dimensions = H.shelf_dimensions(units, True, rules)
-    gaps = G.shelf_gaps(snapshots, H.shelf_items(units, items), dimensions, week, True, rules)
+    cells = H.shelf(products, tags, sources, by_type=True, rules=rules)
+    dimensions = H.shelf_dimensions(cells.units, True, rules)
+    gaps = G.shelf_gaps(snapshots, H.shelf_items(cells), dimensions, week, True, rules)
     thresholds = [("opportunity_share", rules.opportunity_share), ("risk_share", rules.risk_share), ("min_tagged", float(rules.min_tagged))]
-    return {"stores": H.store_summary(H.active_products(products, sources, rules.market_country)), "types": H.shelf_counts(units.where(F.col("shelf") != H.ALL)),
+    return {"stores": H.store_summary(H.active_products(products, sources, rules.market_country)), "types": H.shelf_counts(cells.units),
             "gaps": G.ranked(G.with_labels(gaps, dictionary)), "skipped": G.skipped_dimensions(dimensions),
             "thresholds": products.sparkSession.createDataFrame(thresholds, "name string, value double")}
 

@@ -17,8 +17,22 @@ SYNC_CUT = date(2001, 1, 1)          # observations before it are the stored cat
 SYNC_END = date(2001, 4, 1)
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One sample table; its file footers are read once per process, then the schema is declared."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to every core when the input has fewer files than cores, for work that is heavy per row. A table of many
+    files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def words(column: str) -> tuple[Column, Column]:

@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import date, datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from shelfwave.operators import scoring, series
 from shelfwave.sources import sinks
@@ -93,7 +93,7 @@ def test_documents_are_stored_once_per_url(spark, tmp_path, rows):
 
 
 def test_catalog_follows_a_crawl_stream(spark, tmp_path):
-    extra = schema_of("product_observations").add("listed_only", "boolean").add("problems", "array<string>")
+    extra = schema_of("product_observations").add("listed_only", T.BooleanType()).add("problems", T.ArrayType(T.StringType()))
 
     def crawl(crawl_id, slugs, source=1):
         return [(crawl_id, source, k, f"https://s{source}.test/{s}", s, None, 1.0, None, "TND", None, None, None, datetime(2026, 9, crawl_id), False, []) for k, s in enumerate(slugs)]
