@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfwave.functions.text import label_join
-from shelfwave.operators.joins import bounded
 
 
 def position() -> Column:
@@ -130,14 +129,12 @@ def facet_flags(matches: DataFrame, ranks: DataFrame, gaps: DataFrame, facets: D
     flag) of the flag facets that were passed."""
     true = matches.where(F.col("flag").isNotNull()).select("crawl_id", "url", "flag").distinct().withColumn("hit", F.lit(True))
     broken = gaps.where(F.col("flag").isNotNull()).select("crawl_id", "entry", "flag").distinct().withColumn("broken", F.lit(True))
-    passed = bounded(facets.select("crawl_id", "entry", "flag").distinct().join(broken, ["crawl_id", "entry", "flag"], "left"))
-    rows = ranks.select("crawl_id", "entry", "url").join(passed, ["crawl_id", "entry"]).join(true, ["crawl_id", "url", "flag"], "left")
+    passed = facets.select("crawl_id", "entry", "flag").distinct().join(broken, ["crawl_id", "entry", "flag"], "left")
+    # a product can also be hit through another entry's pass of the same flag, hence the outer join
+    rows = (ranks.select("crawl_id", "entry", "url").join(passed, ["crawl_id", "entry"])
+            .join(true, ["crawl_id", "url", "flag"], "full_outer"))
     value = F.when(F.col("hit"), F.lit(True)).when(F.col("broken").isNull(), F.lit(False))
-    known = rows.withColumn("value", value).where(F.col("value").isNotNull())
-    # a product can be hit through another entry's pass of the same flag
-    return (known.select("crawl_id", "url", "flag", "value").unionByName(
-        true.join(ranks.select("crawl_id", "url"), ["crawl_id", "url"], "left_semi").select("crawl_id", "url", "flag", F.col("hit").alias("value")))
-        .groupBy("crawl_id", "url", "flag").agg(F.bool_or("value").alias("value")))
+    return rows.select("crawl_id", "url", "flag", value.alias("value")).where(F.col("value").isNotNull())
 
 
 def flag_listing(cards: DataFrame, ranks: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ def sync(catalog: DataFrame, observations: DataFrame, listed: DataFrame, reports
     fresh = accepted.select("url", F.col("source_id").alias("n_source_id"), *[F.col(c).alias(f"n_{c}") for c in VALUES])
     present = (observations.select("source_id", "url").unionByName(listed.select("source_id", "url")).distinct()
                .withColumn("present", F.lit(True)))
-    decisions = bounded(drop_decisions(catalog, observations, listed, reports, now, accept_drops, rules))
+    decisions = bounded(drop_decisions(catalog, observations, listed, reports, now, accept_drops, rules), measured=reports)
     rows = (catalog.join(present, ["source_id", "url"], "left").join(fresh, "url", "full_outer")
             .join(decisions.select("source_id", "may_drop", "dropped_when"), "source_id", "left"))
     if gaps is None:
@@ -192,6 +192,6 @@ def activity_backfill(products: DataFrame, days: int = 14) -> DataFrame:
     """History for a catalog that has none: first seen when last seen; inactive when seen more than `days` before its store's
     newest observation. The store maxima are an aggregate joined back, so one large store is not one task."""
     newest = products.groupBy("source_id").agg(F.max("seen_at").alias("newest"))
-    rows = products.join(bounded(newest), "source_id")
+    rows = products.join(newest, "source_id")
     active = F.col("seen_at") >= F.col("newest") - F.expr(f"INTERVAL {days} DAYS")
     return rows.withColumn("first_seen_at", F.col("seen_at")).withColumn("is_active", active).drop("newest")

@@ -113,7 +113,7 @@ def archive_items(items: DataFrame, since: datetime, stop_after: int | None = No
     votes = rows.where("old").select("source_id", F.explode(F.sequence(F.col("n"), F.col("n") + (stop_after - 1))).alias("place"))
     stops = (votes.groupBy("source_id", "place").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") == stop_after)
              .groupBy("source_id").agg(F.min("place").alias("stop")))
-    kept = rows.join(bounded(stops), "source_id", "left").where(~F.col("old") & (F.col("stop").isNull() | (F.col("n") < F.col("stop"))))
+    kept = rows.join(stops, "source_id", "left").where(~F.col("old") & (F.col("stop").isNull() | (F.col("n") < F.col("stop"))))
     return kept.drop("n", "old", "stop")
 
 

@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 MAX_BROADCAST_ROWS = 200_000
 
 
-def bounded(side: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def bounded(side: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, measured: DataFrame | None = None) -> DataFrame:
     """Broadcast `side` only when it was measured to hold at most `max_rows` rows; otherwise hand it back unhinted, and the
-    shuffle join with skew handling applies. Meant for narrow dimension tables (sources, stores), whose count is a cheap,
-    column-free scan that stops at the bound."""
-    return F.broadcast(side) if side.limit(max_rows + 1).count() <= max_rows else side
+    shuffle join with skew handling applies. Meant for narrow dimension tables (sources, stores, reports), whose count is a
+    cheap, column-free scan that stops at the bound. `measured` is counted instead where `side` is computed from large tables
+    but has at most one row for each of its rows."""
+    counted = side if measured is None else measured
+    return F.broadcast(side) if counted.limit(max_rows + 1).count() <= max_rows else side
 
 
 def numbered(rows: DataFrame, group: list[str], position: str, name: str = "n", bucket: int = 10_000) -> DataFrame:

@@ -21,7 +21,7 @@ def presence_rows(products: DataFrame, tags: DataFrame, sources: DataFrame, craw
     """One row per (attribute, product on the shelf or lately retired), with the flags the header counts."""
     since = now - timedelta(days=rules.new_days)
     gone = ~F.col("is_active") & (F.col("dropped_at") >= F.lit(since))
-    rows = (products.where(F.col("is_active") | gone).join(bounded(store_names(sources).join(baselines(crawls), "source_id", "left")), "source_id")
+    rows = (products.where(F.col("is_active") | gone).join(bounded(store_names(sources).join(baselines(crawls), "source_id", "left"), measured=sources), "source_id")
             .where(F.col("is_active") | F.col("start").isNotNull())
             .select("id", "source_id", "store", "country", "is_active", "price", "currency", "seen_at", markdown().alias("md"),
                     is_new(now, rules).alias("fresh"), F.coalesce("flags.is_bestseller", F.lit(False)).alias("best")))
