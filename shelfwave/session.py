@@ -12,7 +12,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # call-site capture on every column expression costs seconds of driver time on wide plans
+    # static: call-site capture on every column expression costs seconds of driver time on wide plans
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
@@ -32,9 +32,8 @@ def local_session(cpus: str | None = None, app: str = "shelfwave", **extra: str)
 
 def ensure_session(spark: SparkSession) -> SparkSession:
     """UTC days and weeks whatever session the caller brings."""
-    for key in ("spark.sql.session.timeZone", "spark.python.sql.dataFrameDebugging.enabled"):
-        if spark.conf.get(key, None) != SETTINGS[key]:
-            spark.conf.set(key, SETTINGS[key])
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
