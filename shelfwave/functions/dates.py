@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, functions as F
 
@@ -41,6 +41,12 @@ def parse_compact(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{8}T\d{6}Z$"), F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmmss'Z'")))
 
 
+def instant(moment: datetime) -> Column:
+    """A Python datetime as a timestamp literal; a naive one is UTC, whatever the time zone of the machine."""
+    utc = moment.astimezone(timezone.utc) if moment.tzinfo else moment
+    return F.lit(utc.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
+
+
 def micros(then: Column) -> Column:
     """Microseconds since the epoch, for timestamps with or without a zone."""
     return F.unix_micros(then.cast("timestamp"))

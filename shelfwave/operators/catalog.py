@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfwave.functions.dates import age_text, micros
+from shelfwave.functions.dates import age_text, instant, micros
 from shelfwave.functions.numbers import ratio, rounded
 from shelfwave.operators.joins import bounded
 from shelfwave.operators.shelf import distinct_attributes, is_creator
@@ -22,19 +22,19 @@ def baselines(crawls: DataFrame) -> DataFrame:
 def is_new(now: datetime, rules: Rules = DEFAULT_RULES) -> Column:
     """First seen after the store's baseline and within the last days; false without a baseline."""
     since = now - timedelta(days=rules.new_days)
-    return F.coalesce((F.col("first_seen_at") > F.col("start")) & (F.col("first_seen_at") >= F.lit(since)), F.lit(False))
+    return F.coalesce((F.col("first_seen_at") > F.col("start")) & (F.col("first_seen_at") >= instant(since)), F.lit(False))
 
 
 def retired_products(products: DataFrame, starts: DataFrame, now: datetime, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Products dropped within the last days by stores that have a baseline; the date bound reaches the scan."""
     since = now - timedelta(days=rules.new_days)
-    gone = products.where(~F.col("is_active") & (F.col("dropped_at") >= F.lit(since)))
+    gone = products.where(~F.col("is_active") & (F.col("dropped_at") >= instant(since)))
     return gone.join(bounded(starts.select("source_id")), "source_id", "left_semi")
 
 
 def new_products(products: DataFrame, starts: DataFrame, now: datetime, rules: Rules = DEFAULT_RULES) -> DataFrame:
     since = now - timedelta(days=rules.new_days)
-    fresh = products.where(F.col("is_active") & (F.col("first_seen_at") >= F.lit(since)))
+    fresh = products.where(F.col("is_active") & (F.col("first_seen_at") >= instant(since)))
     return fresh.join(bounded(starts), "source_id").where(is_new(now, rules)).drop("start")
 
 
@@ -47,7 +47,7 @@ def creator_scope(sources: DataFrame, starts: DataFrame, rules: Rules = DEFAULT_
 def new_by_store(products: DataFrame, scope: DataFrame, now: datetime, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """(store, new, retired, catalog): stores with active products or with products retired lately."""
     since = now - timedelta(days=rules.new_days)
-    gone = ~F.col("is_active") & (F.col("dropped_at") >= F.lit(since))
+    gone = ~F.col("is_active") & (F.col("dropped_at") >= instant(since))
     rows = products.where(F.col("is_active") | gone).join(bounded(scope), "source_id")
     return rows.groupBy("store").agg(
         F.count_if(F.col("is_active") & is_new(now, rules)).alias("new"), F.count_if(~F.col("is_active")).alias("retired"),
@@ -97,7 +97,7 @@ def store_status(stores: DataFrame, sources: DataFrame, crawls: DataFrame, produ
     no crawl), never, late (older than two cadences) or ok."""
     since = now - timedelta(days=rules.new_days)
     heads = crawl_heads(crawls)
-    gone = ~F.col("is_active") & (F.col("dropped_at") >= F.lit(since))
+    gone = ~F.col("is_active") & (F.col("dropped_at") >= instant(since))
     counted = (products.where(F.col("is_active") | gone).groupBy("source_id", "first_seen_at").agg(
         F.count_if("is_active").alias("active"), F.count_if(~F.col("is_active")).alias("gone"))
         .join(heads.select("source_id", "start"), "source_id", "left")
@@ -106,7 +106,7 @@ def store_status(stores: DataFrame, sources: DataFrame, crawls: DataFrame, produ
     rows = _configured(stores, sources).join(heads, "source_id", "left").join(counted, "source_id", "left")
     zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
     newer = (F.col("tried.status") != "ok") & (F.col("ok_at").isNull() | (F.col("tried.finished_at") > F.col("ok_at")))
-    late = micros(F.lit(now)) - micros(F.col("ok_at")) > F.col("crawl_every_days").cast("long") * F.lit(rules.late_factor * 86400 * 10 ** 6)
+    late = micros(instant(now)) - micros(F.col("ok_at")) > F.col("crawl_every_days").cast("long") * F.lit(rules.late_factor * 86400 * 10 ** 6)
     status = (F.when(newer, F.col("tried.status"))
               .when(F.col("ok_at").isNull(), F.when(F.coalesce("products", F.lit(0)) > 0, "manual").otherwise("never"))
               .when(late, "late").otherwise("ok"))
@@ -127,7 +127,7 @@ def due_stores(stores: DataFrame, sources: DataFrame, crawls: DataFrame, now: da
                rules: Rules = DEFAULT_RULES) -> DataFrame:
     """(name, domain, due, reason): which stores to observe again. Interrupted attempts say nothing about a store."""
     rows = _configured(stores, sources).join(crawl_heads(crawls), "source_id", "left")
-    clock = F.lit(now).cast("timestamp")
+    clock = instant(now)
     age = lambda then: micros(clock) - micros(then)
     hour = 3600 * 10 ** 6
     fresh = age(F.col("ok_at")) < F.col("crawl_every_days").cast("long") * F.lit(24 * hour) - F.lit(rules.cadence_slack_hours * hour)

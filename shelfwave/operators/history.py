@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfwave.functions.dates import instant
 from shelfwave.functions.text import let
 from shelfwave.operators.joins import bounded
 from shelfwave.rules import DEFAULT_RULES, Rules
@@ -106,7 +107,7 @@ def drop_decisions(catalog: DataFrame, observations: DataFrame, listed: DataFram
     if not accept_drops:
         skipped = F.coalesce(skipped, F.when(shrunk, F.concat(F.lit("listing shrank "), n_active.cast("string"), F.lit(" -> "), n_present.cast("string"))))
     return rows.select("source_id", skipped.isNull().alias("may_drop"), skipped.alias("drop_skipped"),
-                       F.coalesce("seen", F.lit(default_when).cast(observations.schema["seen_at"].dataType)).alias("dropped_when"))
+                       F.coalesce("seen", instant(default_when).cast(observations.schema["seen_at"].dataType)).alias("dropped_when"))
 
 
 def sync(catalog: DataFrame, observations: DataFrame, listed: DataFrame, reports: DataFrame, gaps: DataFrame | None,

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shelfwave.functions.dates import parse_iso
+from shelfwave.functions.dates import instant, parse_iso
 from shelfwave.functions.urls import title_from_url
 from shelfwave.operators.joins import bounded, numbered
 
@@ -103,7 +103,7 @@ def archive_items(items: DataFrame, since: datetime, stop_after: int | None = No
 
     The run test needs no per-source window: each old item votes for itself and the following places, and a place with
     `stop_after` votes ends the source."""
-    limit = F.lit(since).cast("timestamp")
+    limit = instant(since)
     checked = items.where(F.col("lastmod").isNull() | (F.col("lastmod") >= limit))
     rows = checked.withColumn("published_at", published_at(F.col("lastmod"), F.col("page_date"), False))
     old = F.coalesce(F.col("published_at") < limit, F.lit(False))

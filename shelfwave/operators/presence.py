@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shelfwave.functions.dates import instant
 from shelfwave.functions.numbers import ratio, rounded
 from shelfwave.operators.catalog import baselines, is_new
 from shelfwave.operators.joins import bounded
@@ -20,7 +21,7 @@ def presence_rows(products: DataFrame, tags: DataFrame, sources: DataFrame, craw
                   rules: Rules = DEFAULT_RULES) -> DataFrame:
     """One row per (attribute, product on the shelf or lately retired), with the flags the header counts."""
     since = now - timedelta(days=rules.new_days)
-    gone = ~F.col("is_active") & (F.col("dropped_at") >= F.lit(since))
+    gone = ~F.col("is_active") & (F.col("dropped_at") >= instant(since))
     rows = (products.where(F.col("is_active") | gone).join(bounded(store_names(sources).join(baselines(crawls), "source_id", "left"), measured=sources), "source_id")
             .where(F.col("is_active") | F.col("start").isNotNull())
             .select("id", "source_id", "store", "country", "is_active", "price", "currency", "seen_at", markdown().alias("md"),

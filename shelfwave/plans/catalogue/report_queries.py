@@ -80,9 +80,9 @@ def sitemap_documents(spark, sf):
     orders = S.load(spark, sf, "orders")
     key = F.col("o_orderkey")
     loc = F.concat(F.lit("https://s.example/"), F.when(F.pmod(key, F.lit(2)) == 0, "news/").otherwise("shop/"), F.lit("a-b-"), key, F.lit("?x=1&y=2"))
-    configs = S.sources(spark, sf).select(F.col("id").alias("source_id"), F.lit(datetime(2001, 3, 1)).alias("since"), F.array(F.lit("news/")).alias("include"), F.lit(40).alias("max_checked"), F.lit(15).alias("max_new"))
+    configs = S.sources(spark, sf).select(F.col("id").alias("source_id"), D.instant(datetime(2001, 3, 1)).alias("since"), F.array(F.lit("news/")).alias("include"), F.lit(40).alias("max_checked"), F.lit(15).alias("max_new"))
     stored = orders.where(F.pmod(key, F.lit(4)) == 0).select(loc.alias("url"))
-    pages = orders.where(F.pmod(key, F.lit(7)) != 0).select(loc.alias("loc"), F.when(F.pmod(key, F.lit(6)) == 2, F.lit(datetime(1999, 1, 1))).cast("timestamp").alias("page_date"),
+    pages = orders.where(F.pmod(key, F.lit(7)) != 0).select(loc.alias("loc"), F.when(F.pmod(key, F.lit(6)) == 2, D.instant(datetime(1999, 1, 1))).alias("page_date"),
                                                            F.when(F.pmod(key, F.lit(8)) == 6, F.concat(F.lit("T"), key)).alias("title"), F.lit("new frames").alias("text"))
     rows = I.sitemap_documents(I.sitemap_candidates(ordered_entries(spark, sf), configs, stored), pages, r"\bframes?\b")
     return rows.select("source_id", "loc", "title")
