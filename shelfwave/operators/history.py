@@ -158,11 +158,11 @@ def sync_summary(changes: DataFrame, batch_claims: DataFrame, decisions: DataFra
 
 
 def replay(catalog: DataFrame, steps: list[tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]], now: datetime,
-           checkpoint_dir: str | None = None, rules: Rules = DEFAULT_RULES) -> DataFrame:
+           rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Several crawls in order. Each guard looks at the state the one before left, so the steps are sequential; each step handles
     all its stores at once. The plan is cut after every step by a reliable checkpoint."""
     for observations, listed, reports, gaps in steps:
-        catalog = cut_lineage(sync(catalog, observations, listed, reports, gaps, now, rules=rules).drop("action", "carried"), checkpoint_dir)
+        catalog = cut_lineage(sync(catalog, observations, listed, reports, gaps, now, rules=rules).drop("action", "carried"))
     return catalog
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,24 +28,30 @@ def local_session(cpus: str | None = None, app: str = "shelfwave", **extra: str)
         builder = builder.config(key, value)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    return ensure_session(session)
 
 
 def ensure_session(spark: SparkSession) -> SparkSession:
-    """UTC days and weeks whatever session the caller brings."""
+    """UTC days and weeks whatever session the caller brings; Python workers find this package where the driver found it (on a cluster: --py-files)."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
-def cut_lineage(df, fallback_dir: str | None = None):
-    """Reliable checkpoint in the folder the cluster names (spark.checkpoint.dir). Only where that is unset does
-    `fallback_dir` apply, as in tests."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: spark.checkpoint.dir. Where it is unset, a local session takes one in its warehouse; a cluster raises."""
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+def cut_lineage(df):
+    """Reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir", None) or fallback_dir
-        if configured is None:
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(configured)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
