@@ -104,3 +104,41 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfwave.llm.quality import quality
 
     return quality(documents(spark, sf_dir), keep=["doc_id"])
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(words) - 3, 1) + 1), lambda k: list_slice(words, k, k + 3))) END AS shingles FROM w),
+n AS (SELECT doc_id, len(shingles) AS n_shingles FROM s),
+one AS (SELECT doc_id, md5(array_to_string(sh, ' ')) AS h FROM (SELECT doc_id, unnest(shingles) AS sh FROM s)),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM one a JOIN one b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n_shingles + y.n_shingles - common)),
+near AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a)
+SELECT doc_id, n_shingles, min(b) AS component_id, doc_id = min(b) AS kept FROM n JOIN reach ON a = doc_id GROUP BY doc_id, n_shingles"""
+
+
+@query("op1_minhash_near_dedup", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfwave.llm.minhash import Banding, near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), Banding(width=4)).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfwave.llm.toxicity import fit, held_out, toxicity
+
+    docs = documents(spark, sf_dir)
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()))
+    return toxicity(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op9_personal_data")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfwave.llm.pii import personal_data, train
+
+    docs = documents(spark, sf_dir)
+    return personal_data(docs, train(docs), keep=["doc_id"])
