@@ -6,6 +6,7 @@ overlapping windows over the whole text. Scores of overlapping windows are blend
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 from collections.abc import Iterator
@@ -126,7 +127,10 @@ def plausible(text: str, kind: str) -> bool:
     low, high = _NUMBERS[kind]
     if not low <= digits <= high or any(c.isalpha() for c in text):
         return False
-    return kind != "ip" or len(re.findall("[0-9]+", text)) == 4
+    if kind == "card":
+        return luhn("".join(c for c in text if "0" <= c <= "9"))
+    numbers = re.findall("[0-9]+", text)
+    return kind != "ip" or len(numbers) == 4 and all(int(n) <= 255 for n in numbers)
 
 
 def found_spans(texts: list[str], tagger: Tagger, group: int = 512) -> list[list[Span]]:
@@ -264,9 +268,20 @@ def training_rows(real: list[tuple[str, str]], made: int = MADE, seed: int = 3)
 
 
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, made: int = MADE, epochs: int = 8) -> Tagger:
-    """A tagger from the rules' spans in at most `sample` windows of `docs` and `made` made-up ones; an empty table leaves the latter."""
+    """A tagger from the rules' spans in at most `sample` windows of `docs` and `made` made-up ones; an empty table leaves the latter. It is fitted in
+    one task, as the rows are bounded, and comes back with its parameters (some thousand numbers)."""
+    rows = docs.sparkSession.createDataFrame([(json.dumps(labelled_windows(docs, sample, text)),)], "rows string").coalesce(1)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for given in batch.column(0).to_pylist():
+                tagger = Tagger(len(KINDS))
+                tagger.train(*training_rows([tuple(r) for r in json.loads(given)], made), epochs=epochs)
+                yield pa.RecordBatch.from_arrays([pa.array(list(tagger.p)), pa.array([v.astype("<f4").tobytes() for v in tagger.p.values()], pa.binary())], ["name", "value"])
+
     tagger = Tagger(len(KINDS))
-    tagger.train(*training_rows(labelled_windows(docs, sample, text), made), epochs=epochs)
+    for r in rows.mapInArrow(fit, "name string, value binary").collect():
+        tagger.p[r["name"]] = np.frombuffer(r["value"], "<f4").reshape(tagger.p[r["name"]].shape).copy()
     return tagger
 
 

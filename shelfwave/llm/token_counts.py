@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfwave.llm.common import map_texts
 from shelfwave.session import cut_lineage
@@ -22,8 +21,8 @@ from shelfwave.session import cut_lineage
 UNSAFE = re.compile(r"\s ")
 BOUNDARY = re.compile(r"(?<=\S)(?= )")
 FLUSH = 300_000
-#: The most frequent pre-tokens are looked up in each task; at most so many, each of at most HEAVY_BYTES, so the broadcast is below 16 MB.
-HEAVY, HEAVY_BYTES = 1 << 17, 64
+#: Frequent pre-tokens are looked up in each task; at most HEAVY, each of at most HEAVY_BYTES, so the broadcast is below 32 MB.
+HEAVY, HEAVY_BYTES, SEEN = 1 << 18, 64, 10_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -47,90 +46,95 @@ def pretokens(text: str) -> Counter:
     return found
 
 
-def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """(unit, uses, pieces) of every distinct pre-token of all documents."""
+def _pieces(units: list[str], path: str) -> list[int]:
+    encode, n = tokenizer(path).encode_batch_fast, []
+    for k in range(0, len(units), 1000):
+        n += map(len, encode(units[k:k + 1000], add_special_tokens=False))
+    return n
+
+
+def frequent(docs: DataFrame, path: str, text: str = "text", most: int = HEAVY, rows: int = SEEN) -> dict[str, int]:
+    """Pieces of pre-tokens that are frequent in about `rows` rows, at most `most` of them. They are only looked up sooner than others: which they are
+    changes no count."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                seen.update(pretokens(t))
+                seen.update(u for u in pretokens(t) if len(u.encode()) <= HEAVY_BYTES)
                 if len(seen) >= FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["unit", "uses"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "uses"])
                     seen.clear()
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["unit", "uses"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "uses"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode_batch_fast
         for batch in batches:
-            units, n = batch.column(0).to_pylist(), []
-            for k in range(0, len(units), 1000):
-                n += map(len, encode(units[k:k + 1000], add_special_tokens=False))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], ["unit", "uses", "pieces"])
-
-    rows = docs.where(f"length(`{text}`) > 0").select(F.col(f"`{text}`")).mapInArrow(count, "unit string, uses bigint")
-    return cut_lineage(rows.groupBy("unit").agg(F.sum("uses").alias("uses")).mapInArrow(pieces, "unit string, uses bigint, pieces bigint"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_pieces(batch.column(0).to_pylist(), path), pa.int64())], ["unit", "pieces"])
 
-
-def heavy(vocab: DataFrame, most: int = HEAVY) -> dict[str, int]:
-    """Pieces of the most frequent pre-tokens, at most `most`: all from the frequency class on at which they fit."""
-    classes = (vocab.where(f"octet_length(unit) <= {HEAVY_BYTES}").groupBy(F.floor(F.log2("uses") * 8).alias("class")).count().orderBy(F.desc("class")).collect())
+    every = max(1, docs.count() // rows)
+    some = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"), F.monotonically_increasing_id().alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(every)) == 0)
+    uses = cut_lineage(some.select("t").mapInArrow(count, "unit string, uses bigint").groupBy("unit").agg(F.sum("uses").alias("uses")))
+    degree = F.floor(F.log2("uses") * 8)
     total, least = 0, None
-    for c in classes:  # a few hundred classes at most
+    for c in uses.groupBy(degree.alias("degree")).count().orderBy(F.desc("degree")).collect():  # some hundred degrees at most
         total += c["count"]
         if total > most:
             break
-        least = c["class"]
+        least = c["degree"]
     if least is None:
         return {}
-    picked = vocab.where(f"octet_length(unit) <= {HEAVY_BYTES}").where(F.floor(F.log2("uses") * 8) >= least).select("unit", "pieces").toArrow()
+    picked = uses.where(degree >= least).select("unit").mapInArrow(pieces, "unit string, pieces bigint").toArrow()
     return dict(zip(picked.column(0).to_pylist(), picked.column(1).to_pylist(), strict=True))
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), most: int = HEAVY) -> DataFrame:
     """The kept columns, n_bytes and n_tokens of every row as the tokenizer file gives them, without added special tokens.
 
-    Frequent pre-tokens are summed in the task, by a broadcast of checked size; every other (row, pre-token, frequency) is joined to the
-    vocabulary, so no join key is frequent. Rows are told apart by their place in the input, which must be repeatable (a table, a checkpoint):
-    repeated rows and null ids each keep a row. Null or empty text: 0 tokens. Result columns replace input columns of the same name."""
+    Frequent pre-tokens are joined in the task to a broadcast of checked size. Every other (row, pre-token, frequency) is moved to its pre-token, where
+    each distinct one is counted once; none of these is frequent, so no key is hot. Rows are told apart by their place in the input, which must be
+    repeatable (a table, a checkpoint): repeated rows and null ids each keep a row. Null or empty text: 0 tokens. Result columns replace input columns
+    of the same name."""
     carried = [c for c in keep if c not in ("n_bytes", "n_tokens")]
-    vocab = vocabulary(docs, path, text)
-    known = docs.sparkSession.sparkContext.broadcast(heavy(vocab, most))
-    source = docs.select(*[F.col(f"`{c}`") for c in carried], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], *T._parse_datatype_string("n_bytes bigint, __row bigint, __unit string, __uses bigint, __sum bigint").fields])
+    known = docs.sparkSession.sparkContext.broadcast(frequent(docs, path, text, most) if most else {})
+    full = F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        table, row = known.value, TaskContext.get().partitionId() << 36
+        table = known.value
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                take, size, key, unit, uses, total = [], [], [], [], [], []
-                for k, t in enumerate(part.column(part.num_columns - 1).to_pylist()):
-                    rest, found = [], 0
+                row, unit, uses = [], [], []
+                for r, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    found = 0
                     for u, n in pretokens(t).items():
                         pieces = table.get(u)
                         if pieces is None:
-                            rest.append((u, n))
+                            row.append(r)
+                            unit.append(u)
+                            uses.append(n)
                         else:
                             found += n * pieces
-                    rest = rest or [(f"\0{row}", 0)]  # joined to nothing
-                    m = len(rest)
-                    take += [k] * m
-                    size += [len(t.encode())] * m
-                    key += [row] * m
-                    unit += [u for u, _ in rest]
-                    uses += [n for _, n in rest]
-                    total += [found] + [0] * (m - 1)
-                    row += 1
-                head = [c.take(pa.array(take)) for c in part.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*head, *map(pa.array, (size, key)), pa.array(unit, pa.string()), *map(pa.array, (uses, total))], schema.names)
-
-    spread = source.mapInArrow(rows, schema)
-    joined = spread.join(vocab.select(F.col("unit").alias("__unit"), F.col("pieces").alias("__pieces")), "__unit", "left")
-    each = F.col("__sum") + F.col("__uses") * F.coalesce("__pieces", F.lit(0))
-    return (joined.groupBy("__row", *[F.col(f"`{c}`") for c in carried], "n_bytes").agg(F.sum(each).alias("n_tokens"))
+                    row.append(r)
+                    unit.append(str(r))  # what is counted already goes as a number below 0, to no pre-token of its own
+                    uses.append(-1 - found)
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(unit, pa.string()), pa.array(uses, pa.int64())], ["row", "unit", "uses"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str | None, int] = (None, 0)
+        for batch in batches:  # sorted by unit
+            units, uses = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            here = list(dict.fromkeys(u for u, n in zip(units, uses, strict=True) if n >= 0))
+            new = here[here[:1] == [last[0]]:]
+            pieces = dict([last, *zip(new, _pieces(new, path), strict=True)])
+            tokens = [n * pieces[u] if n >= 0 else -1 - n for u, n in zip(units, uses, strict=True)]
+            if here:
+                last = here[-1], pieces[here[-1]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64())], ["row", "tokens"])
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`") for c in carried], full.alias("__text"))
+    spread = numbered.select("row", "__text").mapInArrow(rows, "row bigint, unit string, uses bigint")
+    sums = (spread.repartition("unit").sortWithinPartitions("unit").mapInArrow(joined, "row bigint, tokens bigint").groupBy("row").agg(F.sum("tokens").alias("n_tokens")))
+    return (numbered.select("row", *[F.col(f"`{c}`") for c in carried], F.octet_length("__text").cast("long").alias("n_bytes")).join(sums, "row")
             .select(*[F.col(f"`{c}`") for c in carried], "n_bytes", "n_tokens"))
 
 
