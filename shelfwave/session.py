@@ -34,6 +34,8 @@ def local_session(cpus: str | None = None, app: str = "shelfwave", **extra: str)
 def ensure_session(spark: SparkSession) -> SparkSession:
     """UTC days and weeks whatever session the caller brings; Python workers find this package where the driver found it (on a cluster: --py-files)."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; whole texts need smaller batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
