@@ -115,7 +115,7 @@ class Tagger:
         np.add.at(grads["embed"], x.ravel(), demb.reshape(-1, demb.shape[2]))
         return float((total.sum() - score) / size), grads
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 48, rate: float = 0.01, seed: int = 11) -> list[float]:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 7, batch: int = 48, rate: float = 0.01, seed: int = 11) -> list[float]:
         """Adam with a falling rate; returns the mean loss of each epoch. The same rows in the same order give the same model."""
         r, losses = np.random.default_rng(seed), []
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))

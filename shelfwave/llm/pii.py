@@ -191,7 +191,7 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[S
 # --- training --------------------------------------------------------------------------------------------------------------------------
 
 SAMPLE = 1500  # most windows of the corpus that labels are taken from
-MADE = 1500  # windows with made-up forms
+MADE = 2000  # windows with made-up forms
 
 
 def _digits(r: random.Random, n: int) -> str:
@@ -249,7 +249,9 @@ def labelled_windows(docs: DataFrame, most: int, text: str) -> list[tuple[str, s
 def training_rows(real: list[tuple[str, str]], made: int = MADE, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Windows and tags: the corpus's own, and made-up forms set between words of the same windows."""
     r = random.Random(seed)
-    words = [w for t, _ in real for w in re.findall(r"[^\W\d_]{1,14}[.,]?", t)] or "the of and to in is it that was for on with as at by from".split()
+    words = [w for t, _ in real for w in re.findall(r"[^\W\d_]{1,14}[.,]?", t)]
+    # few windows hold few words, so made-up ones join them
+    words += ["".join(r.choices("eeeaaiioonnttrrssldhcumpgéü", k=r.randrange(1, 10))) + r.choice(["", "", "", ".", ","]) for _ in range(max(500, len(words) // 4))]
     rows = list(real)
     for _ in range(made):
         form, kind = made_form(r)
@@ -267,7 +269,7 @@ def training_rows(real: list[tuple[str, str]], made: int = MADE, seed: int = 3)
     return x, y
 
 
-def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, made: int = MADE, epochs: int = 8) -> Tagger:
+def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, made: int = MADE, epochs: int = 7) -> Tagger:
     """A tagger from the rules' spans in at most `sample` windows of `docs` and `made` made-up ones; an empty table leaves the latter. It is fitted in
     one task, as the rows are bounded, and comes back with its parameters (some thousand numbers)."""
     rows = docs.sparkSession.createDataFrame([(json.dumps(labelled_windows(docs, sample, text)),)], "rows string").coalesce(1)
