@@ -24,13 +24,13 @@ def document_day() -> Column:
     return F.to_date(F.coalesce("published_at", "collected_at"))
 
 
-def evidence_around(padded: Column, needle: Column, words: int = 8, chars: int = 200) -> Column:
-    """Up to `words` words on each side of the first occurrence, looked for within `chars` characters."""
+def evidence_around(padded: Column, needle: Column, words: int = 8) -> Column:
+    """Up to `words` whole words on each side of the first occurrence, however long they are."""
     at = F.position(needle, padded)
-    before = F.substring(padded, F.greatest(at - F.lit(chars), F.lit(1)), F.least(at, F.lit(chars + 1)))
-    after = F.substring(padded, at + F.length(needle) - 1, F.lit(chars))
-    return F.trim(F.concat(F.regexp_extract(before, rf"((?:\S+ ){{0,{words}}})$", 1), F.trim(needle),
-                           F.regexp_extract(after, rf"^((?: \S+){{0,{words}}})", 1)))
+    before, after = F.substring(padded, F.lit(1), at), F.substring(padded, at + F.length(needle) - 1, F.length(padded))
+    left = F.filter(F.split(F.substring_index(before, " ", -(words + 2)), " "), lambda w: w != "")
+    right = F.filter(F.split(F.substring_index(after, " ", words + 2), " "), lambda w: w != "")
+    return F.concat_ws(" ", F.slice(left, F.greatest(F.size(left) - words + 1, F.lit(1)), F.lit(words)), F.trim(needle), F.slice(right, 1, words))
 
 
 def _has_word(text: Column, words: tuple[str, ...]) -> Column:
@@ -107,9 +107,10 @@ def annotated_documents(parsed: DataFrame) -> DataFrame:
 
 # --- selection and re-reading ----------------------------------------------------------------------
 
-def pending_documents(documents: DataFrame, limit: int = 100) -> DataFrame:
-    """The oldest pending documents."""
-    return documents.where(F.col("status") == "pending").orderBy("collected_at", "id").limit(limit)
+def pending_documents(documents: DataFrame, limit: int | None = None) -> DataFrame:
+    """All pending documents, or the `limit` oldest where a caller asks for a page."""
+    rows = documents.where(F.col("status") == "pending")
+    return rows if limit is None else rows.orderBy("collected_at", "id").limit(limit)
 
 
 def reread_candidates(documents: DataFrame, dimension: str, current: str) -> DataFrame:

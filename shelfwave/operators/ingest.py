@@ -11,6 +11,9 @@ from shelfwave.functions.urls import title_from_url
 from shelfwave.operators.joins import bounded, numbered
 
 MAX_TITLE = 500
+# Elements of the public sitemap format.
+URL_BLOCK = "(?s)<url>(.*?)</url>"
+SITEMAP_LOC = r"(?s)<sitemap>\s*<loc>\s*([^<\s]+)\s*</loc>"
 
 
 def unseen(batch: DataFrame, stored: DataFrame, key: str = "url") -> DataFrame:
@@ -21,19 +24,28 @@ def unseen(batch: DataFrame, stored: DataFrame, key: str = "url") -> DataFrame:
 def new_documents(batch: DataFrame, documents: DataFrame, order: str = "seq") -> DataFrame:
     """Documents to add: one per URL, the first of the batch, unless already stored; titles cut to their column, status
     pending. Copies of one URL are reduced before the shuffle."""
-    keep = [c for c in batch.columns if c not in ("url", order)]
-    first = batch.groupBy("url").agg(F.min_by(F.struct(*keep), order).alias("d"))
-    rows = unseen(first, documents).select("url", "d.*")
+    # the least place of each URL first: two numbers and a key are hashed, so texts are neither sorted nor moved for it
+    first = batch.groupBy("url").agg(F.min(order).alias(order))
+    rows = unseen(batch.join(first, ["url", order], "left_semi"), documents).dropDuplicates(["url"]).drop(order)
     return rows.withColumn("title", F.substring("title", 1, MAX_TITLE)).withColumn("status", F.lit("pending"))
 
 
 def with_sources(sources: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The source table plus the wanted ones it lacks (by URL); ids of new rows are a hash of the URL, so no sequence is needed."""
-    first = wanted.dropDuplicates(["url"])
-    fresh = unseen(first, sources).withColumn("id", F.xxhash64("url")).withColumn("active", F.lit(True))
+    """The source table plus the wanted ones it lacks (by URL), the least row of each URL in column order. New ids follow the largest
+    stored one in the order of URLs, so two URLs never share one; sources are configured sites, a few thousand rows at most."""
+    rest = [c for c in wanted.columns if c != "url"]
+    first = wanted.groupBy("url").agg(F.min(F.struct(*rest)).alias("s")).select("url", "s.*") if rest else wanted.distinct()
+    fresh = numbered_urls(unseen(first, sources)).withColumn("active", F.lit(True))
+    last = sources.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    fresh = fresh.join(F.broadcast(last)).withColumn("id", (F.col("last") + F.col("n")).cast("long"))
     return sources.unionByName(fresh.select(*sources.columns))
 
 
+def numbered_urls(rows: DataFrame, name: str = "n") -> DataFrame:
+    """1-based number by URL order; the rows are new sources, a configured list."""
+    return rows.withColumn(name, F.row_number().over(Window.orderBy("url")))
+
+
 def sync_listed_sources(sources: DataFrame, listed: DataFrame, kind: str = "press") -> DataFrame:
     """Sources of one kind follow a list: listed ones active, others inactive, history kept. `changed` marks the flips; other kinds
     are left alone."""
@@ -47,17 +59,22 @@ def sync_listed_sources(sources: DataFrame, listed: DataFrame, kind: str = "pres
 
 def sitemap_entries(sitemaps: DataFrame) -> DataFrame:
     """(source_id, pos, loc, lastmod) of sitemap texts (source_id, xml): one row per <url> block with a <loc>."""
-    blocks = F.regexp_extract_all("xml", F.lit("(?s)<url>(.*?)</url>"), F.lit(1))
+    blocks = F.regexp_extract_all("xml", F.lit(URL_BLOCK), F.lit(1))
     rows = sitemaps.select("source_id", F.posexplode(blocks).alias("pos", "block"))
     tag = lambda name: F.regexp_extract("block", rf"<{name}>\s*([^<\s]+)\s*</{name}>", 1)
     return rows.where(tag("loc") != "").select(
         "source_id", F.col("pos").cast("long").alias("pos"), F.replace(tag("loc"), F.lit("&amp;"), F.lit("&")).alias("loc"), parse_iso(tag("lastmod")).alias("lastmod"))
 
 
-def sitemap_children(indexes: DataFrame, limit: int = 60) -> DataFrame:
-    """Child sitemap URLs of sitemap index texts, at most `limit` each (the collector's own bound on downloads)."""
-    found = F.regexp_extract_all("xml", F.lit(r"(?s)<sitemap>\s*<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))
-    return indexes.select("source_id", F.explode(F.slice(found, 1, limit)).alias("loc")).withColumn("loc", F.replace("loc", F.lit("&amp;"), F.lit("&")))
+def sitemap_children(indexes: DataFrame) -> DataFrame:
+    """All child sitemap URLs of sitemap index texts."""
+    found = F.regexp_extract_all("xml", F.lit(SITEMAP_LOC), F.lit(1))
+    return indexes.select("source_id", F.explode(found).alias("loc")).withColumn("loc", F.replace("loc", F.lit("&amp;"), F.lit("&")))
+
+
+def landed_children(indexes: DataFrame, landed: DataFrame) -> DataFrame:
+    """(source_id, xml) of every landed child text (loc, xml) that an index names; repeated mentions count once."""
+    return sitemap_children(indexes).distinct().join(landed, "loc").select("source_id", "xml")
 
 
 def included(url: Column, parts: Column) -> Column:
@@ -75,25 +92,25 @@ def page_title(title: Column, url: Column) -> Column:
 
 
 def sitemap_candidates(entries: DataFrame, configs: DataFrame, stored: DataFrame) -> DataFrame:
-    """The pages a source may check this run: changed since `since`, not stored, newest first, at most its `max_checked`. The cap is a
-    top-k per source, so rows beyond it never leave their task. `configs`: (source_id, since, include, max_checked, max_new, kind of the
+    """The pages a source may check this run: changed since `since`, not stored, newest first; at most its `max_checked` where
+    that is given, all where it is NULL. The cap is a top-k per source, so rows beyond it never leave their task. `configs`: (source_id, since, include, max_checked, max_new, kind of the
     run's other columns)."""
     rows = entries.join(bounded(configs), "source_id")
     rows = rows.where((F.col("lastmod") >= F.col("since")) & included(F.col("loc"), F.col("include")))
     rows = rows.join(stored.select(F.col("url").alias("loc")), "loc", "left_anti")
     w = Window.partitionBy("source_id").orderBy(F.desc("lastmod"), "pos")
-    return rows.withColumn("checked", F.row_number().over(w)).where(F.col("checked") <= F.col("max_checked"))
+    return rows.withColumn("checked", F.row_number().over(w)).where(F.col("max_checked").isNull() | (F.col("checked") <= F.col("max_checked")))
 
 
 def sitemap_documents(candidates: DataFrame, pages: DataFrame, topic: str) -> DataFrame:
-    """Candidates whose page was fetched, is recent by its own date and speaks about the topic; at most `max_new` per source, newest
-    first. `pages`: (loc, page_date, title, text)."""
+    """Candidates whose page was fetched, is recent by its own date and speaks about the topic, newest first; at most `max_new`
+    per source where that is given, all where it is NULL. `pages`: (loc, page_date, title, text)."""
     rows = candidates.join(pages, "loc")
     rows = rows.withColumn("published_at", published_at(F.col("lastmod"), F.col("page_date"), True)).where(F.col("published_at") >= F.col("since"))
     title = page_title(F.col("title"), F.col("loc"))
     rows = rows.withColumn("title", title).where(F.concat_ws(" ", "title", "text").rlike(f"(?iU){topic}"))
     w = Window.partitionBy("source_id").orderBy("checked")
-    return rows.withColumn("added", F.row_number().over(w)).where(F.col("added") <= F.col("max_new"))
+    return rows.withColumn("added", F.row_number().over(w)).where(F.col("max_new").isNull() | (F.col("added") <= F.col("max_new")))
 
 
 def archive_items(items: DataFrame, since: datetime, stop_after: int | None = None) -> DataFrame:
@@ -122,13 +139,16 @@ def archive_items(items: DataFrame, since: datetime, stop_after: int | None = No
 INTEREST_KEY = ["code", "lang", "geo", "week"]
 
 
-def upserted_interest(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """Stored rows with the batch's values over them: an existing key keeps its id and takes value and keyword."""
+def upserted_interest(stored: DataFrame, batch: DataFrame, order: str | None = None) -> DataFrame:
+    """Stored rows with the batch's values over them: an existing key keeps its id and takes value and keyword. A key repeated in the batch takes
+    its last row by `order`; each group of columns comes from one row, whatever the partitions."""
     columns = ["id", "dimension", *INTEREST_KEY, "keyword", "value", "is_demo"]
-    rows = stored.select(*columns, F.lit(0).alias("turn")).unionByName(batch.select(*columns, F.lit(1).alias("turn")))
-    return rows.groupBy(*INTEREST_KEY).agg(
-        F.min_by("id", "turn").alias("id"), F.min_by("dimension", "turn").alias("dimension"), F.max_by("keyword", "turn").alias("keyword"),
-        F.max_by("value", "turn").alias("value"), F.min_by("is_demo", "turn").alias("is_demo")).select(*columns)
+    at = F.col(order) if order else F.struct("value", "keyword", "id")  # without a stated order the greatest row comes last
+    rows = stored.select(*columns, F.lit(0).alias("turn"), F.lit(None).cast(batch.select(at.alias("at")).schema["at"].dataType).alias("at")).unionByName(
+        batch.select(*columns, F.lit(1).alias("turn"), at.alias("at")))
+    rank = F.struct("turn", "at")
+    first, last = F.min_by(F.struct("id", "dimension", "is_demo"), rank), F.max_by(F.struct("keyword", "value"), rank)
+    return rows.groupBy(*INTEREST_KEY).agg(first.alias("f"), last.alias("l")).select("f.*", "l.*", *INTEREST_KEY).select(*columns)
 
 
 # --- demo rows and keys ----------------------------------------------------------------------------

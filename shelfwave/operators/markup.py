@@ -18,8 +18,7 @@ LIST_PRICE_TYPES = ("listprice", "strikethroughprice", "msrp", "srp")
 SOLD_OUT = ("outofstock", "soldout", "discontinued")
 # The keys that nest further nodes.
 NESTING = ("@graph", "itemListElement", "item")
-NODE = "array<struct<path:string,node:variant>>"
-MAX_NESTING = 5  # script list, graph, item list, list element, item
+NODE = "array<struct<path:array<int>,node:variant>>"
 
 
 def script_bodies(html: Column, attribute: str) -> Column:
@@ -50,28 +49,32 @@ def _first(v: Column) -> Column:
     return F.get(_as_list(v), F.lit(0))
 
 
-def _numbered(values: Column, prefix: Column) -> Column:
-    return F.transform(values, lambda v, i: F.struct(F.concat(prefix, F.lpad(i.cast("string"), 5, "0")).alias("path"), v.alias("node")))
-
-
 def _children(parent: Column) -> Column:
-    parts = [_numbered(_as_list(_get(parent["node"], key)), F.concat(parent["path"], F.lit(f".{n}."))) for n, key in enumerate(NESTING)]
-    return F.concat(*parts)
+    """The elements of a list, or the values under an object's nesting keys, with their places appended to the path."""
+    node, path = parent["node"], parent["path"]
+    at = lambda i, v: F.struct(F.concat(path, F.array(i)).alias("path"), v.alias("node"))
+    elements = F.transform(F.try_variant_get(node, "$", "array<variant>"), lambda v, i: at(i, v))
+    values = F.filter(F.array(*[at(F.lit(n), _get(node, key)) for n, key in enumerate(NESTING)]), lambda c: c["node"].isNotNull())
+    return F.coalesce(elements, values)
 
 
 def json_ld_nodes(html: Column) -> Column:
-    """Every JSON-LD node of a page with its path in reading order; nested graphs and item lists are flattened. Scripts that are
-    not JSON are skipped."""
-    roots = F.transform(script_bodies(html, r'type="application/ld\+json"'), lambda s: F.try_parse_json(s))
-    first = F.flatten(F.transform(roots, lambda r, i: _numbered(_as_list(r), F.lpad(i.cast("string"), 5, "0"))))
+    """Every JSON-LD node of a page with its path in reading order; nested graphs, item lists and lists in lists are followed to any depth. Scripts
+    that are not JSON are skipped.
+
+    Every step down takes one "[" or ":" of the text, so their number bounds the steps; steps after the last level do nothing."""
+    bodies = script_bodies(html, r'type="application/ld\+json"')
+    steps = F.aggregate(bodies, F.lit(0), lambda n, s: n + F.length(s) - F.length(F.translate(s, "[:", "")))
+    roots = F.transform(bodies, lambda s, i: F.struct(F.array(i).alias("path"), F.try_parse_json(s).alias("node")))
+    first = F.filter(roots, lambda r: r["node"].isNotNull())
 
-    def below(level: Column, depth: int) -> Column:
-        # a level is evaluated once and handed both to the result and to the next level
-        if depth == 0:
-            return level
-        return let(level, lambda l: F.concat(l, F.when(F.size(l) > 0, below(F.flatten(F.transform(l, _children)), depth - 1)).otherwise(F.array().cast(NODE))))
+    def down(acc: Column, _: Column) -> Column:
+        below = lambda level: let(F.flatten(F.transform(level, _children)), lambda n: F.struct(n.alias("level"), F.concat(acc["all"], n).alias("all")))
+        return F.when(F.size(acc["level"]) == 0, acc).otherwise(below(acc["level"]))
 
-    return F.filter(below(first, MAX_NESTING - 1), lambda n: _is_object(n["node"]))
+    turns = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+    walked = let(first, lambda f: F.aggregate(turns, F.struct(f.alias("level"), f.alias("all")), down)["all"])
+    return F.filter(walked, lambda n: _is_object(n["node"]))
 
 
 def _types(node: Column) -> Column:
@@ -102,12 +105,13 @@ def _price_spec(specs: Column, listed: bool) -> Column:
 
 def json_ld_products(pages: DataFrame) -> DataFrame:
     """schema.org Product nodes of pages (page_id, url, html) with their fields and raw offers, in reading order (`path`)."""
-    rows = (pages.select("page_id", F.col("url").alias("page_url"), json_ld_nodes(F.col("html")).alias("nodes"))
-            .select("page_id", "page_url", "nodes", F.explode(F.filter("nodes", lambda n: F.array_contains(_types(n["node"]), "Product"))).alias("n")))
-    node, nodes = F.col("n.node"), F.col("nodes")
-    rows = rows.select("page_id", "page_url", F.col("n.path").alias("path"), node.alias("node"),
-                       resolve(_first(_get(node, "brand")), nodes).alias("brand_node"), resolve(_first(_get(node, "image")), nodes).alias("image_node"),
-                       F.transform(_as_list(_get(node, "offers")), lambda o: resolve(o, nodes)).alias("offers"))
+    # references are resolved while the page is one row, so its nodes do not travel with every product
+    product = lambda n, nodes: F.struct(
+        n["path"].alias("path"), n["node"].alias("node"), resolve(_first(_get(n["node"], "brand")), nodes).alias("brand_node"),
+        resolve(_first(_get(n["node"], "image")), nodes).alias("image_node"), F.transform(_as_list(_get(n["node"], "offers")), lambda o: resolve(o, nodes)).alias("offers"))
+    found = lambda nodes: F.transform(F.filter(nodes, lambda n: F.array_contains(_types(n["node"]), "Product")), lambda n: product(n, nodes))
+    rows = (pages.select("page_id", F.col("url").alias("page_url"), F.explode(let(json_ld_nodes(F.col("html")), found)).alias("n"))
+            .select("page_id", "page_url", "n.*"))
     head = F.get("offers", F.lit(0))
     rows = rows.withColumn("offer", F.when(_is_object(head), F.try_variant_get(head, "$", "map<string,variant>")))
     offer = F.col("offer")

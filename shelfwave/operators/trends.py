@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfwave.functions.dates import last_weeks, monday
-from shelfwave.functions.numbers import NARROW_NBSP, js_round, rounded
+from shelfwave.functions.numbers import js_round, rounded
 from shelfwave.operators.series import KEY
 from shelfwave.rules import DEFAULT_RULES, STATUS_FR, Rules
 
@@ -83,12 +83,21 @@ def rising_streaks(snapshots: DataFrame, end: date, weeks: int = 12) -> DataFram
             .select(*KEY, (F.lit(weeks - 1) - broken).cast("long").alias("streak")))
 
 
+def in_tenths(mentions: Column) -> Column:
+    """Weighted mentions as the whole tenths they are. Sums of these are exact in any order; sums of the doubles are not."""
+    return F.rint(mentions * 10).cast("long")
+
+
+def share_of(mentions: Column, total: Column) -> Column:
+    """One division of whole tenths; a total of 0 counts as 1 mention."""
+    return in_tenths(mentions) / F.when(total == 0, F.lit(10)).otherwise(total)
+
+
 def share_of_voice(snapshots: DataFrame, end: date, weeks: int = 1) -> DataFrame:
     """Share of each attribute in its dimension's mentions of the week; a total of 0 counts as 1."""
     rows = between(snapshots, end, weeks)
-    totals = rows.groupBy("dimension", "week").agg(F.sum("mentions").alias("total"))
-    return rows.join(totals, ["dimension", "week"]).withColumn(
-        "share", F.col("mentions") / F.when(F.col("total") == 0, F.lit(1.0)).otherwise(F.col("total"))).drop("total")
+    totals = rows.groupBy("dimension", "week").agg(F.sum(in_tenths(F.col("mentions"))).alias("total"))
+    return rows.join(totals, ["dimension", "week"]).withColumn("share", share_of(F.col("mentions"), F.col("total"))).drop("total")
 
 
 def palette(snapshots: DataFrame, week: date, dimension: str) -> DataFrame:
@@ -99,7 +108,7 @@ def palette(snapshots: DataFrame, week: date, dimension: str) -> DataFrame:
 
 def four_week_volume(snapshots: DataFrame, week: date) -> DataFrame:
     """Weighted mentions over the four weeks ending with `week`."""
-    return between(snapshots, week, 4).groupBy(*KEY).agg(F.sum("mentions").alias("volume_4w"))
+    return between(snapshots, week, 4).groupBy(*KEY).agg((F.sum(in_tenths(F.col("mentions"))) / 10).alias("volume_4w"))
 
 
 def must_cite(snapshots: DataFrame, week: date, rules: Rules = DEFAULT_RULES) -> DataFrame:
@@ -107,7 +116,7 @@ def must_cite(snapshots: DataFrame, week: date, rules: Rules = DEFAULT_RULES) ->
     rows = at_week(snapshots, week).where(
         (F.col("dimension") == rules.must_cite_dimension) & F.col("status").isin("en_hausse", "au_pic"))
     volume = four_week_volume(snapshots.where(F.col("dimension") == rules.must_cite_dimension), week)
-    return (rows.join(volume, KEY).where(F.col("volume_4w") * 10 >= rules.must_cite_min - 1e-6)
+    return (rows.join(volume, KEY).where(in_tenths(F.col("volume_4w")) >= rules.must_cite_min)
             .orderBy(F.desc("momentum"), "code"))
 
 
@@ -154,10 +163,8 @@ def trend_table(snapshots: DataFrame, end: date, weeks: int = 12, dimension: str
         week_columns(F.col("search"), week_list, F.lit(None).cast("double")).alias("search"),
         F.coalesce(last("momentum"), F.lit(0.0)).alias("momentum"), F.coalesce(last("status"), F.lit("stable")).alias("status"),
         last("tone").alias("tone"), last("decline_share").alias("decline_share"), F.coalesce(last("mentions"), F.lit(0.0)).alias("current"))
-    totals = series.groupBy("dimension").agg(F.sum("current").alias("total"))
-    joined = series.join(totals, "dimension")
-    return with_reason(joined.withColumn("share", F.col("current") / F.when(F.col("total") == 0, F.lit(1.0)).otherwise(F.col("total")))
-                       .drop("total"))
+    totals = series.groupBy("dimension").agg(F.sum(in_tenths(F.col("current"))).alias("total"))
+    return with_reason(series.join(totals, "dimension").withColumn("share", share_of(F.col("current"), F.col("total"))).drop("total"))
 
 
 # --- search demand ---------------------------------------------------------------------------------
@@ -220,5 +227,3 @@ def status_label(status: Column) -> Column:
         out = F.when(status == code, F.lit(label)).otherwise(out)
     return out
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["NARROW_NBSP"]

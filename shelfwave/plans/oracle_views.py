@@ -44,7 +44,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'O'
 GROUP BY p_type, split_part(p_name, ' ', 1), 4, 5, 6"""
 
 VIEWS["prod"] = """
-SELECT l_suppkey * 10000000 + l_partkey AS id, l_suppkey AS source_id, l_partkey AS part_id, p_size,
+SELECT l_suppkey * 10000000000 + l_partkey AS id, l_suppkey AS source_id, l_partkey AS part_id, p_size,
        'https://store' || l_suppkey || '.example/p/' || l_partkey AS url, p_name AS name, p_brand AS brand,
        top * (1 - cut) AS price, CASE WHEN l_suppkey % 5 <> 0 THEN top END AS list_price,
        CASE n_regionkey WHEN 0 THEN 'TND' WHEN 1 THEN 'USD' WHEN 3 THEN 'EUR' ELSE 'GBP' END AS currency,
@@ -69,7 +69,7 @@ WITH pk AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
            UNION ALL SELECT p_partkey, 'product_type', CASE WHEN p_partkey % 2 = 0 THEN 'optical' ELSE 'sun' END, NULL FROM d
            UNION ALL SELECT p_partkey, 'lamination', least(w1, w3) || '+' || greatest(w1, w3), NULL FROM d
                      WHERE w3 IS NOT NULL AND w1 <> w3 AND p_partkey % 3 = 0)
-SELECT l_suppkey * 10000000 + l_partkey AS product_id, dimension, code, supplier_code
+SELECT l_suppkey * 10000000000 + l_partkey AS product_id, dimension, code, supplier_code
 FROM pk JOIN t ON l_partkey = p_partkey"""
 
 VIEWS["crawls"] = """

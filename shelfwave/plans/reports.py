@@ -110,6 +110,7 @@ def _section(rows: DataFrame, section: int, order: list, title: str | None = Non
     return head.unionByName(lines)
 
 
+# Titles and sentence patterns of the weekly brief, which its readers match.
 SCORES_TITLE = ("Scores (dimension | attribut | mentions pondérées cette semaine | mentions sur 4 sem. | momentum du volume | statut | part des avis "
                 "« en recul » sur 4 sem.):")
 MUST_CITE_TITLE = ("Couleurs à citer obligatoirement (≥ {0} mentions sur 4 sem., en hausse ou au pic ; au moins une puce dédiée, famille nommée telle quelle) :")
@@ -125,7 +126,7 @@ def press_brief(snapshots: DataFrame, mentions: DataFrame, documents: DataFrame,
     shown = rows.where((F.col("mentions") > 0) | (F.coalesce("search", F.lit(0.0)) != 0))
     by_momentum = [F.desc("momentum"), "dimension", "code"]
     cited = rows.where((F.col("dimension") == rules.must_cite_dimension) & F.col("status").isin("en_hausse", "au_pic")
-                       & (F.col("volume_4w") * 10 >= rules.must_cite_min - 1e-6))
+                       & (T.in_tenths(F.col("volume_4w")) >= rules.must_cite_min))
     used = M.documents_with(documents.where(F.col("summary_fr").isNotNull()), mentions.where(F.col("occurred_on") >= F.lit(week)))
     days = mentions.where(F.col("occurred_on") >= F.lit(week)).groupBy(F.col("document_id").alias("id")).agg(F.max("occurred_on").alias("day"))
     texts = (used.join(days, "id").groupBy("summary_fr").agg(F.max("day").alias("day")).orderBy(F.desc("day"), "summary_fr").limit(extracts)

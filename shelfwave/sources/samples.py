@@ -134,7 +134,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (base.join(part, F.col("l_partkey") == F.col("p_partkey"))
             .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
             .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-            .select((F.col("l_suppkey") * 10000000 + F.col("l_partkey")).alias("id"),
+            .select((F.col("l_suppkey") * 10_000_000_000 + F.col("l_partkey")).alias("id"),
                     F.col("l_suppkey").cast("long").alias("source_id"),
                     F.concat(F.lit("https://store"), F.col("l_suppkey"), F.lit(".example/p/"), F.col("l_partkey")).alias("url"),
                     F.col("p_name").alias("name"), F.col("p_brand").alias("brand"),
@@ -177,7 +177,7 @@ def product_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), lambda t: t["keep"])
     by_part = described.select("p_partkey", F.explode(tags).alias("t"))
     return (keys.join(by_part, F.col("l_partkey") == F.col("p_partkey"))
-            .select((F.col("l_suppkey") * 10000000 + F.col("l_partkey")).alias("product_id"), "t.dimension", "t.code", F.lit("name").alias("field"), F.col("t.code").alias("term"),
+            .select((F.col("l_suppkey") * 10_000_000_000 + F.col("l_partkey")).alias("product_id"), "t.dimension", "t.code", F.lit("name").alias("field"), F.col("t.code").alias("term"),
                     F.lit(1).alias("rules_version"),
                     F.when(F.col("t.dimension") == "color", F.col("t.code")).alias("color_family"),
                     F.lit(None).cast("string").alias("color_hex"), "t.supplier_code"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfwave.functions.numbers import fr_number
 from shelfwave.operators.ingest import duplicate_keys, upserted_interest
-from shelfwave.operators.trends import at_week, status_label
+from shelfwave.operators.trends import at_week, in_tenths, status_label
 
 
 def write_partitioned(df: DataFrame, path: str, partition: str) -> None:
@@ -63,9 +63,9 @@ BOM = "﻿"
 def export_rows(snapshots: DataFrame, dictionary: DataFrame, dimension: str, week: date) -> DataFrame:
     """One dimension and week as French text, most mentions first."""
     rows = at_week(snapshots.where(F.col("dimension") == dimension), week)
-    total = rows.agg(F.coalesce(F.nullif(F.sum("mentions"), F.lit(0.0)), F.lit(1.0)).alias("t")).scalar()
+    total = rows.agg(F.coalesce(F.nullif(F.sum(in_tenths(F.col("mentions"))), F.lit(0)), F.lit(10)).alias("t")).scalar()
     labels = dictionary.where(F.col("dimension") == dimension).select("code", "label")
-    shown = rows.join(labels, "code", "left").withColumn("part", F.lit(100.0) * F.col("mentions") / total)
+    shown = rows.join(labels, "code", "left").withColumn("part", F.lit(100.0) * in_tenths(F.col("mentions")) / total)
     texts = (F.col("label"), F.col("code"), F.col("week").cast("string"), fr_number(F.col("mentions")), fr_number(F.col("part")),
              fr_number(100 * F.col("momentum"), 0), status_label(F.col("status")), F.coalesce(fr_number(100 * F.col("decline_share"), 0), F.lit("")),
              F.coalesce(fr_number(F.col("search")), F.lit("")))
