@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +22,7 @@ from pyspark.sql import types as T
 from shelfwave.llm.token_counts import tokenizer
 
 WINDOW, END = 2048, 1
-CACHE = 400_000  # distinct words a worker remembers
-#: Units whose tokens do not depend on their neighbours: the tokenizer drops white space, and nothing it matches crosses a blank or line end.
-UNITS = re.compile(r"[ \n]+")
+CACHE = 700_000  # distinct words, and distinct pieces of words, that a worker remembers: some 250 MB
 PLAIN = re.compile(r"[!-~¡-¬®-ÿ]+")  # printable Latin-1: no white space, nothing to normalise but case
 
 
@@ -31,6 +31,7 @@ class WordIds:
     own pattern and given to its model; all others go through the whole library."""
 
     def __init__(self, path: str):
+        assert array("I").itemsize == 4 and sys.byteorder == "little"
         import json
 
         import regex
@@ -47,28 +48,28 @@ class WordIds:
 
     def unit(self, unit: str) -> bytes:
         if PLAIN.fullmatch(unit) and "<|" not in unit:
-            got = b"".join(self.pieces.get(p) or self.piece(p) for p in self.split(unit.lower()))
-        else:
-            got = np.array(self.library.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
-        return got
+            known = self.pieces
+            low = unit.lower()
+            if low.isalpha():
+                return known.get(low) or self.piece(low)
+            return b"".join([known.get(p) or self.piece(p) for p in self.split(low)])
+        return array("I", self.library.encode(unit, add_special_tokens=False).ids).tobytes()
 
     def piece(self, piece: str) -> bytes:
-        tokens = self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
-        got = self.pieces[piece] = np.array([t.id for t in tokens], "<u4").tobytes()
+        tokens = self.library.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet))
+        got = self.pieces[piece] = array("I", [t.id for t in tokens]).tobytes()
         return got
 
     def __call__(self, text: str) -> bytes:
-        units, known = UNITS.split(text), self.units
-        if len(known) > CACHE or len(self.pieces) > CACHE:
+        # the tokenizer drops white space and nothing it matches crosses a blank or line end, so units do not depend on their neighbours
+        units, known = text.replace("\n", " ").split(" "), self.units
+        if len(known) > CACHE:
             known.clear()
+        if len(self.pieces) > CACHE:
             self.pieces.clear()
-        try:
-            return b"".join(map(known.__getitem__, units))
-        except KeyError:
-            for u in units:
-                if u not in known:
-                    known[u] = self.unit(u)
-            return b"".join(map(known.__getitem__, units))
+        for u in set(units).difference(known):
+            known[u] = self.unit(u)
+        return b"".join(map(known.__getitem__, units))
 
 
 @functools.lru_cache(maxsize=2)
