@@ -143,12 +143,13 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), text: str = "
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowded.select("id")).distinct()
     sets = _sets(rows, wanted.join(classes.select("id", "row", "k1", "k2"), "id"), banding, "text")
 
+    # joins over two columns are merge joins: a hashed table of such a key takes a page of 64 MB in the driver, however small it is
     # 1: the pair of each class with the pivot it shares most buckets with
     best = pairs.groupBy("a").agg(F.max(F.struct("votes", (-F.col("b")).alias("b"))).alias("top")).select("a", (-F.col("top.b")).alias("b"))
     links = _linked(best, sets, banding.percent)
     groups = cut_lineage(components(links))
     # 2: its other pivots, where they are of another component
-    more = _across(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), groups)
+    more = _across(pairs.select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti"), groups)
     found = _linked(more, sets, banding.percent)
     if found.take(1):
         links = links.unionByName(found)
@@ -160,7 +161,7 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), text: str = "
     mixed = cut_lineage(named.join(named.where("c <> pc").select("bucket").distinct(), "bucket", "left_semi"))
     apart = mixed.where("c <> pc").select("bucket", F.col("id").alias("a"), F.col("n").alias("pn"), F.col("c").alias("ca"))
     rest = (apart.join(mixed.select("bucket", "id", "n", "c"), "bucket").where("c <> ca and a <> id").where(near)
-            .select(F.greatest("a", "id").alias("a"), F.least("a", "id").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+            .select(F.greatest("a", "id").alias("a"), F.least("a", "id").alias("b")).distinct().join(pairs.select("a", "b").hint("merge"), ["a", "b"], "left_anti"))
     found = _linked(rest, sets, banding.percent)
     if found.take(1):
         groups = cut_lineage(components(links.unionByName(found)))
@@ -169,7 +170,7 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), text: str = "
     heads = cut_lineage(class_of.groupBy("c").agg(F.min("leader").alias("head")))
     placed = cut_lineage(class_of.select("k1", "k2", "c").join(heads, "c").select("k1", "k2", "head"))
     full = signed.drop("buckets")
-    return (full.where("n_shingles > 0").join(placed, ["k1", "k2"])
+    return (full.where("n_shingles > 0").join(placed.hint("merge"), ["k1", "k2"])
             .select("__row", F.col("key").alias(key), "n_shingles", F.when(F.col("head.least") < LAST, F.col("head.least")).otherwise(F.col("key")).alias("component_id"), (F.col("head.row") == F.col("__row")).alias("stays"))
             .unionByName(full.where("n_shingles = 0").select("__row", F.col("key").alias(key), "n_shingles", F.col("key").alias("component_id"), F.lit(True).alias("stays"))))
 
