@@ -2,32 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shelfwave.functions.dates import monday
 from shelfwave.operators.series import KEY
 from shelfwave.plans.registry import query
+from shelfwave.session import shared_folder
 from shelfwave.sources import samples as S
 from shelfwave.streaming import jobs as J
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a local one only where none is configured, as in tests."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='shelfwave-')}/{uuid.uuid4().hex}"
+    """A new folder in the shared folder."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    schema = S.load(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
+def stream_of(spark: SparkSession, rows: DataFrame, folder: str, files: int = 3) -> DataFrame:
+    """The rows as a stream of at least `files` micro-batches: landed in the shared folder in as many files, read one at a time."""
+    rows.repartition(files).write.parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def event_mentions(rows: DataFrame) -> DataFrame:
     stance = F.when(F.col("value") > 40, "rising").when(F.col("value") < 10, "declining").otherwise("neutral")
     return rows.select(F.col("event_type").alias("dimension"), F.concat(F.lit("u"), F.pmod("user_id", F.lit(8))).alias("code"), stance.alias("stance"),
-                       F.when(F.pmod("user_id", F.lit(2)) == 0, "store").otherwise("social").alias("kind"), F.col("ts").cast("timestamp").alias("at"))
+                       F.when(F.pmod("user_id", F.lit(2)) == 0, "store").otherwise("social").alias("kind"), F.to_date("ts").alias("occurred_on"))
 
 
 EVENTS = """e AS (SELECT event_type AS dimension, 'u' || (user_id % 8) AS code, CASE WHEN value > 40 THEN 'rising' WHEN value < 10 THEN 'declining' ELSE 'neutral' END AS stance,
@@ -39,17 +40,27 @@ WITH {EVENTS} SELECT dimension, code, CAST(wk AS VARCHAR) AS week, CAST(sum(CASE
   CAST(sum(CASE WHEN stance = 'declining' THEN w ELSE 0 END) AS BIGINT) AS declining, CAST(sum(w) AS BIGINT) AS volume FROM e GROUP BY 1, 2, 3""")
 def streamed_weekly_counts(spark, sf):
     folder = work_folder(spark)
-    job = J.maintain_weekly_counts(event_mentions(stream_of(spark, sf, "events")), f"{folder}/weekly", f"{folder}/state", "60 days")
-    job.awaitTermination()
+    stream = stream_of(spark, event_mentions(S.load(spark, sf, "events")), f"{folder}/in")  # weeks come in any order: most rows are late
+    J.maintain_weekly_counts(stream, f"{folder}/mentions", f"{folder}/weekly", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/weekly").select(*KEY, F.col("week").cast("string").alias("week"), "rising", "declining", "volume")
 
 
+@query("streamed_snapshots", f"""
+WITH {EVENTS}, last AS (SELECT max(wk) AS w FROM e) SELECT dimension, code, CAST(wk AS VARCHAR) AS week, sum(w) / 10.0 AS mentions FROM e GROUP BY 1, 2, 3""")
+def streamed_snapshots(spark, sf):
+    folder, events = work_folder(spark), event_mentions(S.load(spark, sf, "events"))
+    span = events.agg(F.min("occurred_on").alias("first"), F.max("occurred_on").alias("last")).first()
+    weeks = (monday(span["last"]) - monday(span["first"])).days // 7 + 1
+    J.maintain_snapshots(stream_of(spark, events, f"{folder}/in"), f"{folder}/mentions", f"{folder}/snapshots", f"{folder}/state", lambda: span["last"], weeks).awaitTermination()
+    return spark.read.parquet(f"{folder}/snapshots").where("mentions > 0").select(*KEY, F.col("week").cast("string").alias("week"), "mentions")
+
+
 @query("streamed_documents", r"""
 SELECT url, md5(text) AS text FROM (SELECT lang || md5(text) AS url, text FROM documents WHERE regexp_matches(chr(10) || text, '(^|[^\w\x{C0}-\x{24F}])(nicht|pour|with)($|[^\w\x{C0}-\x{24F}])', 'i'))
 GROUP BY url, text""")
 def streamed_documents(spark, sf):
     folder = work_folder(spark)
-    rows = stream_of(spark, sf, "documents").select(F.concat("lang", F.md5(F.col("text").cast("binary"))).alias("url"), F.lit("").alias("title"), "text",
-                                                    F.lit("2024-01-01").cast("timestamp").alias("collected_at"))
-    J.ingest_documents(rows, f"{folder}/documents", f"{folder}/state", r"\b(nicht|pour|with)\b").awaitTermination()
+    rows = S.load(spark, sf, "documents").select(F.concat("lang", F.md5(F.col("text").cast("binary"))).alias("url"), F.lit("").alias("title"), "text",
+                                                 F.lit("2024-01-01").cast("timestamp").alias("collected_at"))
+    J.ingest_documents(stream_of(spark, rows.unionByName(rows), f"{folder}/in"), f"{folder}/documents", f"{folder}/state", r"\b(nicht|pour|with)\b").awaitTermination()
     return spark.read.parquet(f"{folder}/documents").select("url", F.md5(F.col("text").cast("binary")).alias("text"))

@@ -12,8 +12,14 @@ from shelfwave.operators.trends import at_week, in_tenths, status_label
 
 
 def write_partitioned(df: DataFrame, path: str, partition: str) -> None:
-    """Replace only the partitions the frame holds. Files of one partition are grouped first, so a week is few files."""
-    (df.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
+    """Replace only the partitions the frame holds. Rows of one partition are brought together, so a week is few files; the rebalance hint lets
+    adaptive execution split a large one over several tasks."""
+    (df.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
+
+
+def write_batch(df: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
+    """Store a micro-batch in its own folders (below those of `partitions`), where its tasks have the rows. A repeated batch overwrites itself."""
+    (df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions, "batch").parquet(path))
 
 
 def drop_partitions(spark: SparkSession, path: str, partition: str, doomed) -> list[str]:
@@ -33,17 +39,23 @@ def drop_partitions(spark: SparkSession, path: str, partition: str, doomed) -> l
 
 
 def replace_snapshots(snapshots: DataFrame, path: str, start: date, weeks: list[date]) -> list[str]:
-    """Store recomputed snapshots: every week from `start` on is replaced, later weeks that are no longer computed disappear too."""
-    write_partitioned(snapshots, path, "week")
+    """Store recomputed snapshots: every week from `start` on is replaced. Weeks that are no longer computed go first, so a failure in between
+    leaves none of them behind; running it again completes the rest."""
     kept = {w.isoformat() for w in weeks}
-    return drop_partitions(snapshots.sparkSession, path, "week", lambda v: v >= start.isoformat() and v not in kept)
+    gone = drop_partitions(snapshots.sparkSession, path, "week", lambda v: v >= start.isoformat() and v not in kept)
+    write_partitioned(snapshots, path, "week")
+    return gone
+
+
+def touched_weeks(batch: DataFrame) -> list:
+    """Weeks of a batch: at most as many as the calendar has, so they may be listed and prune a scan."""
+    return [r["week"] for r in batch.select("week").distinct().collect()]
 
 
-def upsert_search_interest(batch: DataFrame, path: str) -> None:
+def upsert_search_interest(batch: DataFrame, path: str, order: str | None = None) -> None:
     """Merge a batch into the week-partitioned table; only the batch's weeks are read and rewritten."""
-    spark = batch.sparkSession
-    stored = spark.read.parquet(path).join(F.broadcast(batch.select("week").distinct()), "week", "left_semi")
-    write_partitioned(upserted_interest(stored, batch), path, "week")
+    stored = batch.sparkSession.read.parquet(path).where(F.col("week").isin(touched_weeks(batch)))
+    write_partitioned(upserted_interest(stored, batch, order), path, "week")
 
 
 def publish(table: DataFrame, path: str, key: tuple[str, ...]) -> None:

@@ -3,17 +3,17 @@ sink is idempotent per micro-batch, so a lost executor or a restarted query repe
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfwave.functions.dates import last_weeks, monday
+from shelfwave.functions.dates import last_weeks, monday, week_start
 from shelfwave.operators import history as H, ingest as I, scoring, series
 from shelfwave.operators.annotations import TOPIC
-from shelfwave.operators.series import KEY
 from shelfwave.rules import DEFAULT_RULES, Rules
-from shelfwave.sources.sinks import drop_partitions, write_partitioned
+from shelfwave.sources.sinks import replace_snapshots, write_batch, write_partitioned
 
 
 def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -39,58 +39,57 @@ def ingest_documents(stream: DataFrame, path: str, checkpoint: str, topic: str =
     def store(batch: DataFrame, batch_id: int) -> None:
         stored = _existing(batch.sparkSession, path, batch.withColumn("batch", F.lit(0)).schema)
         fresh = I.new_documents(batch.withColumn("_order", F.struct(order, F.xxhash64(*batch.columns))), stored.where(F.col("batch") != batch_id), "_order")
-        write_partitioned(fresh.select(*batch.columns).withColumn("batch", F.lit(batch_id)), path, "batch")
+        write_batch(fresh.select(*batch.columns), path, batch_id)
 
     return _start(kept.writeStream.foreachBatch(store).outputMode("append"), checkpoint, available_now)
 
 
-def weekly_windows(stream: DataFrame, delay: str = "28 days", rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """Weekly stance counts in tenths of a mention stream (dimension, code, stance, kind, at): tumbling seven-day windows that start on
-    Mondays. Late mentions within the delay update their week."""
-    weight = series.source_weight(F.col("kind"), rules)
-    return (stream.withWatermark("at", delay).groupBy(F.window("at", "7 days", "7 days", "4 days"), *KEY)
-            .agg(*series.stance_sums(weight, F.col("stance")))
-            .select(*KEY, F.to_date("window.start").alias("week"), "rising", "neutral", "declining", "volume"))
+def _store_mentions(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Append a micro-batch of mentions (with occurred_on) to the mention table, by week; the weeks it touched."""
+    dated = batch.withColumn("week", week_start(F.col("occurred_on")))
+    write_batch(dated, path, batch_id, "week")
+    return dated.select("week").distinct()
 
 
-def maintain_weekly_counts(stream: DataFrame, path: str, checkpoint: str, delay: str = "28 days", available_now: bool = True,
-                           rules: Rules = DEFAULT_RULES) -> StreamingQuery:
-    """Keep the weekly counts table (partitioned by week) up to date. In update mode a batch carries the new totals of the changed
-    attributes only; the other rows of a touched week are kept."""
+def maintain_weekly_counts(stream: DataFrame, mentions_path: str, path: str, checkpoint: str, available_now: bool = True, rules: Rules = DEFAULT_RULES) -> StreamingQuery:
+    """Keep the weekly counts table (partitioned by week) equal to the batch result of all mentions so far (dimension, code, stance, kind,
+    occurred_on). A micro-batch is stored, then the weeks it touched are counted again from the stored mentions of those weeks alone: no state, and a
+    mention counts however late it comes."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        touched = batch.select("week").distinct()
-        stored = _existing(batch.sparkSession, path, batch.schema).join(F.broadcast(touched), "week", "left_semi")
-        rows = stored.join(batch.select(*KEY, "week"), [*KEY, "week"], "left_anti").unionByName(batch)
-        write_partitioned(rows, path, "week")
-        batch.unpersist()
+        spark = batch.sparkSession
+        weeks = [r["week"] for r in _store_mentions(batch, mentions_path, batch_id).collect()]  # calendar-sized
+        if weeks:
+            rows = spark.read.parquet(mentions_path).where(F.col("week").isin(weeks)).drop("week")
+            write_partitioned(series.weekly_counts(rows, None, rules), path, "week")
 
-    return _start(weekly_windows(stream, delay, rules).writeStream.foreachBatch(store).outputMode("update"), checkpoint, available_now)
+    return _start(stream.writeStream.foreachBatch(store).outputMode("append"), checkpoint, available_now)
 
 
-def maintain_snapshots(stream: DataFrame, mentions_path: str, snapshots_path: str, checkpoint: str, today: date, weeks: int = 12,
-                       available_now: bool = True, rules: Rules = DEFAULT_RULES) -> StreamingQuery:
-    """After each micro-batch of enriched mentions (dimension, code, stance, occurred_on, kind): append it to the mention table (its own
-    batch partition) and recompute the last `weeks` weeks from that table's recent days only."""
-    week_list = last_weeks(monday(today), weeks)
+def maintain_snapshots(stream: DataFrame, mentions_path: str, snapshots_path: str, checkpoint: str, today: date | Callable[[], date], weeks: int = 12,
+                       interest: Callable[[SparkSession], DataFrame] | None = None, available_now: bool = True, rules: Rules = DEFAULT_RULES) -> StreamingQuery:
+    """After each micro-batch of enriched mentions (dimension, code, stance, occurred_on, kind): append it to the mention table (by week and
+    batch) and recompute the last `weeks` weeks. The week filter prunes the mention table to those weeks. `today` and `interest` (a reader of the
+    search interest) may be functions, asked anew for each batch, so a long-running stream moves on."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        write_partitioned(batch.withColumn("batch", F.lit(batch_id)), mentions_path, "batch")
-        rows = spark.read.parquet(mentions_path)
-        write_partitioned(scoring.compute_snapshots(rows, None, today, weeks, rules), snapshots_path, "week")
-        kept = {w.isoformat() for w in week_list}
-        drop_partitions(spark, snapshots_path, "week", lambda v: v >= week_list[0].isoformat() and v not in kept)
+        day = today() if callable(today) else today
+        week_list = last_weeks(monday(day), weeks)
+        write_batch(batch.withColumn("week", week_start(F.col("occurred_on"))), mentions_path, batch_id, "week")
+        rows = spark.read.parquet(mentions_path).where(F.col("week") >= F.lit(week_list[0])).drop("week")
+        snapshots = scoring.compute_snapshots(rows, None if interest is None else interest(spark), day, weeks, rules)
+        replace_snapshots(snapshots, snapshots_path, week_list[0], week_list)
 
     return _start(stream.writeStream.foreachBatch(store).outputMode("append"), checkpoint, available_now)
 
 
 def maintain_catalog(stream: DataFrame, catalog_path: str, checkpoint: str, now, available_now: bool = True,
                      rules: Rules = DEFAULT_RULES) -> StreamingQuery:
-    """Catalog versions from a stream of crawl results (product_observations plus `listed_only` and `problems`). The drop guard looks at
-    store-wide totals and at the state the crawl before left, so a micro-batch is replayed crawl by crawl per store: the n-th crawl of every
-    store makes one step. Each step writes a version folder; a repeated batch starts again from the version before it."""
+    """Catalog versions from a stream of crawl results (product_observations plus `listed_only`, `problems` and, where facets may have failed, `gaps`:
+    array of (ord, facet, label, flag, per_variant)). The drop guard looks at store-wide totals and at the state the crawl before left, so a
+    micro-batch is replayed crawl by crawl per store: the n-th crawl of every store makes one step, with its gaps carried over. Each step writes a
+    version folder; a repeated batch starts again from the version before it, and versions before that one are removed."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -104,18 +103,27 @@ def maintain_catalog(stream: DataFrame, catalog_path: str, checkpoint: str, now,
         current = spark.read.parquet(_folder(catalog_path, older[-1])) if older else spark.createDataFrame([], _catalog_schema())
         for turn in range(1, n_turns + 1):
             step = batch.join(F.broadcast(turns.where(F.col("turn") == turn).drop("turn")), ["source_id", "crawl_id"])
-            seen = step.where(~F.col("listed_only")).drop("listed_only", "problems")
+            seen = step.where(~F.col("listed_only")).drop("listed_only", "problems", "gaps")
             listed = step.select("source_id", "url").distinct()
-            reports = step.groupBy("source_id").agg(F.first("problems").alias("problems"))
-            changed = H.sync(current, seen, listed, reports, None, now, rules=rules).drop("action", "carried")
+            reports = step.groupBy("source_id").agg(F.max("problems").alias("problems"))  # one list a crawl, repeated on its rows
+            gaps = step.select("source_id", F.explode("gaps").alias("g")).distinct().select("source_id", "g.*") if "gaps" in step.columns else None
+            changed = H.sync(current, seen, listed, reports, gaps, now, rules=rules).drop("action", "carried")
             target = _folder(catalog_path, (batch_id, turn))
             changed.write.mode("overwrite").parquet(target)
             current = spark.read.parquet(target)
         batch.unpersist()
+        _remove(spark, catalog_path, older[:-1] if n_turns else [])
 
     return _start(stream.writeStream.foreachBatch(store).outputMode("append"), checkpoint, available_now)
 
 
+def _remove(spark, path: str, versions: list[tuple[int, int]]) -> None:
+    jvm = spark.sparkContext._jvm
+    for v in versions:
+        folder = jvm.org.apache.hadoop.fs.Path(_folder(path, v))
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _catalog_schema():
     from shelfwave.sources.tables import schema_of
     return schema_of("products")

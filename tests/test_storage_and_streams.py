@@ -66,8 +66,9 @@ def test_weekly_counts_of_a_stream_equal_the_batch(spark, tmp_path, rows):
     at = lambda d, h=0: datetime(2026, 9, d, h)
     batches = [[("shape", "round", "rising", "store", at(21)), ("shape", "round", "declining", "press", at(27, 23))], [("shape", "round", "neutral", "social", at(28)), ("shape", "oval", "rising", "press", at(22))],
                [("shape", "round", "odd", "press", at(21, 5))]]  # the last one is late and updates its week
-    stream = landed(spark, tmp_path / "in", batches, SCHEMA)
-    J.maintain_weekly_counts(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    batches.append([("shape", "round", "rising", "press", at(1)), ("shape", "round", "rising", "press", datetime(2024, 1, 3))])  # years late counts too
+    stream = landed(spark, tmp_path / "in", batches, SCHEMA).withColumn("occurred_on", F.to_date("at"))
+    J.maintain_weekly_counts(stream, str(tmp_path / "m"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     columns = ["dimension", "code", "week", "rising", "neutral", "declining", "volume"]
     batch = spark.createDataFrame([r for b in batches for r in b], SCHEMA).withColumn("occurred_on", F.to_date("at"))
     assert rows(spark.read.parquet(str(tmp_path / "out")), *columns) == rows(series.weekly_counts(batch), *columns)
@@ -77,9 +78,11 @@ def test_snapshots_follow_a_mention_stream(spark, tmp_path, rows):
     schema = "dimension string, code string, stance string, occurred_on date, kind string"
     batches = [[("shape", "round", "rising", WEEK - timedelta(days=k), "press")] * 3 for k in range(0, 40, 9)]
     stream = landed(spark, tmp_path / "in", batches, schema)
-    J.maintain_snapshots(stream, str(tmp_path / "m"), str(tmp_path / "s"), str(tmp_path / "cp"), WEEK, 6).awaitTermination()
-    want = scoring.compute_snapshots(spark.createDataFrame([r for b in batches for r in b], schema), None, WEEK, 6)
-    assert rows(spark.read.parquet(str(tmp_path / "s")).select(*want.columns)) == rows(want)
+    interest = spark.createDataFrame([(k, "shape", c, "k", "fr", "FR", WEEK - timedelta(weeks=k), 10.0 * k, False) for k in range(5) for c in ("round", "oval")], schema_of("search_interest"))
+    days = iter([WEEK - timedelta(weeks=3)] * 2 + [WEEK] * 9)  # the clock moves on between batches
+    J.maintain_snapshots(stream, str(tmp_path / "m"), str(tmp_path / "s"), str(tmp_path / "cp"), lambda: next(days), 6, lambda _: interest).awaitTermination()
+    want = scoring.compute_snapshots(spark.createDataFrame([r for b in batches for r in b], schema), interest, WEEK, 6)
+    assert rows(spark.read.parquet(str(tmp_path / "s")).where(F.col("week") >= F.lit(WEEK - timedelta(weeks=5))).select(*want.columns)) == rows(want)
 
 
 def test_documents_are_stored_once_per_url(spark, tmp_path, rows):
@@ -104,3 +107,51 @@ def test_catalog_follows_a_crawl_stream(spark, tmp_path):
     end = J.latest_catalog(spark, str(tmp_path / "cat"))
     assert {r.name for r in end.where("is_active AND source_id = 1").collect()} == set("abcde")
     assert {r.name for r in end.where("NOT is_active").collect()} == set("fghij") and end.where("source_id = 2 AND is_active").count() == 2
+
+
+def test_a_failed_facet_keeps_what_it_did_not_read_again(spark, tmp_path):
+    gap = "array<struct<ord:int,facet:string,label:string,flag:string,per_variant:boolean>>"
+    extra = schema_of("product_observations").add("listed_only", T.BooleanType()).add("problems", T.ArrayType(T.StringType()))
+    extra = extra.add("gaps", T.StructType.fromDDL(f"g {gap}").fields[0].dataType)
+    flag_names = [f.name for f in extra["flags"].dataType.fields]
+    flags = lambda best: tuple({"is_bestseller": best, "raw_specs": {}}.get(n) for n in flag_names)
+    row = lambda crawl, best, gaps: (crawl, 1, 0, "https://s1.test/a", "a", None, 1.0, None, "TND", None, flags(best), None, datetime(2026, 9, crawl), False, [], gaps)
+    for name, gaps, kept in (("lost", [(0, "Best", "Yes", "is_bestseller", False)], True), ("read", [], None)):
+        stream = landed(spark, tmp_path / name, [[row(1, True, [])], [row(2, None, gaps)], [row(3, None, gaps)]], extra)
+        J.maintain_catalog(stream, str(tmp_path / f"{name}-cat"), str(tmp_path / f"{name}-cp"), datetime(2026, 9, 30)).awaitTermination()
+        assert [r["flags"]["is_bestseller"] for r in J.latest_catalog(spark, str(tmp_path / f"{name}-cat")).collect()] == [kept]
+        assert len(list((tmp_path / f"{name}-cat").glob("v*"))) == 2  # the one before the last batch stays for a repeat
+
+
+def test_shares_do_not_depend_on_partitions(spark, rows):
+    from shelfwave.operators import trends as T_
+
+    made = [("shape", f"c{k}", WEEK, round(0.1 * (k * 7 % 23), 1), None, 0.0, "stable", None, None) for k in range(200)]
+    want = None
+    for n in (1, 7, 64):
+        got = rows(T_.share_of_voice(spark.createDataFrame(made, schema_of("trend_snapshots")).repartition(n), WEEK), "code", "share")
+        want = want or got
+        assert got == want
+
+
+def test_upserts_do_not_depend_on_order(spark, rows):
+    from shelfwave.operators import ingest as I
+
+    make = lambda rs: spark.createDataFrame([(i, "shape", "round", kw, "fr", "FR", WEEK, v, False) for i, kw, v in rs], schema_of("search_interest")).withColumn("at", F.col("id"))
+    stored, batch = [(1, "k", 5.0)], [(7, "b", 3.0), (8, "a", 9.0), (9, "c", 1.0)]
+    got = {tuple(rows(I.upserted_interest(make(stored).drop("at"), make(b).repartition(n), "at"), "id", "keyword", "value")) for b in (batch, batch[::-1]) for n in (1, 5)}
+    assert got == {((1, "c", 1.0),)}
+    wanted = [("u", "press", "fr"), ("u", "news", "en"), ("v", "press", "fr")]
+    sources = spark.createDataFrame([], schema_of("sources"))
+    named = lambda ws, n: spark.createDataFrame([(f"n{k}", u, k, l, None) for u, k, l in ws], "name string, url string, kind string, lang string, country string").repartition(n)
+    ids = {tuple(rows(I.with_sources(sources, named(w, n)), "id", "url", "kind")) for w in (wanted, wanted[::-1]) for n in (1, 4)}
+    assert ids == {((1, "u", "news"), (2, "v", "press"))}
+
+
+def test_every_landed_child_of_a_sitemap_index_is_read(spark):
+    from shelfwave.operators import ingest as I
+
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>https://s.test/{k}.xml</loc></sitemap>" for k in range(150)) + "</sitemapindex>"
+    landed_ = spark.createDataFrame([(f"https://s.test/{k}.xml", f"<urlset><url><loc>https://s.test/p{k}</loc></url></urlset>") for k in range(120)], "loc string, xml string")
+    children = I.landed_children(spark.createDataFrame([(1, index), (1, index)], "source_id bigint, xml string"), landed_)
+    assert I.sitemap_entries(children).count() == 120
