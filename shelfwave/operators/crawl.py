@@ -7,11 +7,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfwave.functions.text import label_join
 
 
+_PAGE, _ENTRY = 10 ** 18, 10 ** 28
+
+
 def position() -> Column:
-    """A card's place in its crawl as one number: entry, page and place on the page (entries below 2^15, pages below 2^16, places
-    below 2^32). A number keeps the minima below in hash aggregates; a struct would sort all cards."""
-    part = lambda name: F.col(name).cast("long")
-    return F.shiftleft(part("entry"), 48) + F.shiftleft(part("page"), 32) + part("pos")
+    """A card's place in its crawl as one number: entry, page (both int) and place on the page (below 10^18). A decimal keeps the minima below
+    in hash aggregates, where a struct would sort all cards, and holds every value of these columns."""
+    part = lambda name, size: F.col(name).cast("decimal(20,0)") * F.lit(str(size)).cast("decimal(29,0)")
+    return (part("entry", _ENTRY) + part("page", _PAGE) + F.col("pos").cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
+def _entry_and_page(place: str) -> tuple[Column, Column]:
+    """The parts of a position again."""
+    entry = F.expr(f"cast({place} div cast('{_ENTRY}' as decimal(29,0)) as int)")
+    page = F.expr(f"cast(({place} % cast('{_ENTRY}' as decimal(29,0))) div cast('{_PAGE}' as decimal(19,0)) as int)")
+    return entry, page
 
 
 def first_appearances(cards: DataFrame, model: Column | None = None) -> DataFrame:
@@ -30,12 +40,13 @@ def kept_cards(firsts: DataFrame) -> DataFrame:
 def listing_ranks(kept: DataFrame) -> DataFrame:
     """1-based rank of each kept URL in its crawl's listing order. Cards are numbered inside their page and pages are
     numbered by a prefix sum over page counts, so one long crawl is spread over its pages instead of one sorted task."""
-    rows = kept.select("crawl_id", "url", "model", "first", F.shiftright("first", 48).cast("int").alias("entry"), F.shiftright("first", 32).alias("leaf"))
-    sizes = rows.groupBy("crawl_id", "leaf").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("crawl_id").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("crawl_id", "leaf", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("crawl_id", "leaf").orderBy("first", "url")
-    return (rows.withColumn("k", F.row_number().over(inside)).join(offsets, ["crawl_id", "leaf"])
+    entry, page = _entry_and_page("first")
+    rows = kept.select("crawl_id", "url", "model", "first", entry.alias("entry"), page.alias("page"))
+    sizes = rows.groupBy("crawl_id", "entry", "page").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("crawl_id").orderBy("entry", "page").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("crawl_id", "entry", "page", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("crawl_id", "entry", "page").orderBy("first", "url")
+    return (rows.withColumn("k", F.row_number().over(inside)).join(offsets, ["crawl_id", "entry", "page"])
             .select("crawl_id", "url", "model", "entry", (F.col("offset") + F.col("k")).cast("long").alias("rank")))
 
 

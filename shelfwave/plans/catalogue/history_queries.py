@@ -8,6 +8,7 @@ from shelfwave.functions.urls import model_key
 from shelfwave.operators import crawl as W, history as H
 from shelfwave.plans.oracle_views import with_views
 from shelfwave.plans.registry import query
+from shelfwave.session import cut_lineage
 from shelfwave.sources import samples as S
 
 URL = "CASE WHEN l_partkey % 17 = 0 THEN 'https://shared.example/p/' || l_partkey ELSE 'https://store' || l_suppkey || '.example/p/' || l_partkey END"
@@ -150,8 +151,10 @@ gp AS (SELECT crawl_id, entry, facet, label, any_value(flag) AS flag, any_value(
 
 
 def facet_plan(spark, sf):
-    order, cards = ranks(spark, sf), S.facet_cards(spark, sf)
-    return order, cards, W.facet_matches(cards, order), W.facet_gaps(S.facet_pages(spark, sf), cards, order)
+    """Ranked listing and facet cards, landed once, as matches, gaps and flags all read them; then the matches, the gaps and the pages."""
+    order, cards = cut_lineage(ranks(spark, sf)), cut_lineage(S.facet_cards(spark, sf))
+    pages = S.facet_pages(spark, sf, cards)
+    return order, cards, W.facet_matches(cards, order), W.facet_gaps(pages, cards, order), pages
 
 
 @query("facet_gaps", f"WITH {CARDS}, {FACETS} SELECT crawl_id, entry, facet, label, reason FROM gp WHERE reason IS NOT NULL")
@@ -176,7 +179,7 @@ def facet_variant_colors(spark, sf):
 WITH {CARDS}, {FACETS}, c AS (SELECT crawl_id, url, arg_min(label, ord) AS label FROM fm WHERE known AND flag IS NULL AND variant_id = '1' GROUP BY 1, 2)
 SELECT rk.crawl_id, rk.url, c.label AS first_color, 'kept' AS second_color FROM rk LEFT JOIN c ON c.crawl_id = rk.crawl_id AND c.url = rk.url""")
 def variant_facet_labels(spark, sf):
-    order, _, matches, _ = facet_plan(spark, sf)
+    order, _, matches, _, _ = facet_plan(spark, sf)
     variant = lambda i, color: F.struct(F.lit(i).alias("id"), F.lit(color).cast("string").alias("color"))
     products = order.select("crawl_id", "url", F.array(variant("1", None), variant("2", "kept")).alias("variants"))
     rows = W.with_variant_colors(products, W.variant_colors(matches))
@@ -189,14 +192,14 @@ hit AS (SELECT DISTINCT crawl_id, url FROM fm WHERE known AND flag IS NOT NULL)
 SELECT rk.crawl_id, rk.url, hit.url IS NOT NULL AS value FROM rk LEFT JOIN ps USING (crawl_id, entry) LEFT JOIN hit ON hit.crawl_id = rk.crawl_id AND hit.url = rk.url
 WHERE hit.url IS NOT NULL OR (ps.crawl_id IS NOT NULL AND NOT broken)""")
 def facet_flags(spark, sf):
-    order, cards, matches, gaps = facet_plan(spark, sf)
-    passed = S.facet_pages(spark, sf).where(F.col("flag").isNotNull())
+    order, _, matches, gaps, pages = facet_plan(spark, sf)
+    passed = pages.where(F.col("flag").isNotNull())
     return W.facet_flags(matches, order, gaps, passed).select("crawl_id", "url", "value")
 
 
 @query("flag_listing", f"WITH {CARDS}, {FACETS} SELECT DISTINCT crawl_id, url, true AS value FROM fm WHERE known AND flag IS NOT NULL")
 def flag_listing(spark, sf):
-    order, cards, _, _ = facet_plan(spark, sf)
+    order, cards, _, _, _ = facet_plan(spark, sf)
     return W.flag_listing(cards.where(F.col("flag").isNotNull()), order).select("crawl_id", "url", "value")
 
 

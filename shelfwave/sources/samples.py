@@ -258,8 +258,8 @@ def facet_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.explode(units).alias("u")).select("crawl_id", "source_id", "entry", "url", "variant_id", "u.*")
 
 
-def facet_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = facet_cards(spark, sf_dir)
+def facet_pages(spark: SparkSession, sf_dir: str, cards: DataFrame | None = None) -> DataFrame:
+    cards = facet_cards(spark, sf_dir) if cards is None else cards
     return (cards.groupBy("crawl_id", "entry", "facet", "label", "flag", "per_variant", "ord").agg(F.count(F.lit(1)).alias("cards"))
             .withColumn("fetched", F.pmod("crawl_id", F.lit(5)) != 0).withColumn("page", F.lit(1)))
 
