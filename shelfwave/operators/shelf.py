@@ -18,14 +18,37 @@ from shelfwave.rules import DEFAULT_RULES, Rules
 ALL = "all"
 # Folded spec labels and the dimension (or dimensions) their values speak about.
 SPEC_DIMENSIONS: dict[str, tuple[str, ...]] = {
-    **{label: ("material",) for label in (
-        "materials", "material", "matiere", "matieres", "materiau", "materiaux", "matiere du cadre", "front material",
-        "temple material", "matiere face", "matiere branches", "matiere des branches", "materiau du cadre",
-        "matiere de la monture", "materiau de la monture")},
-    **{label: ("audience",) for label in ("gender", "genre", "sexe", "le sexe")},
-    **{label: ("color",) for label in ("color", "colour", "couleur", "coloris")},
-    **{label: ("shape",) for label in (
-        "forme", "shape", "build", "forme lunette", "forme de lunette", "forme monture", "forme de la monture", "front type")},
+    "materials": ("material",),
+    "material": ("material",),
+    "matiere": ("material",),
+    "matieres": ("material",),
+    "materiau": ("material",),
+    "materiaux": ("material",),
+    "matiere du cadre": ("material",),
+    "front material": ("material",),
+    "temple material": ("material",),
+    "matiere face": ("material",),
+    "matiere branches": ("material",),
+    "matiere des branches": ("material",),
+    "materiau du cadre": ("material",),
+    "matiere de la monture": ("material",),
+    "materiau de la monture": ("material",),
+    "gender": ("audience",),
+    "genre": ("audience",),
+    "sexe": ("audience",),
+    "le sexe": ("audience",),
+    "color": ("color",),
+    "colour": ("color",),
+    "couleur": ("color",),
+    "coloris": ("color",),
+    "forme": ("shape",),
+    "shape": ("shape",),
+    "build": ("shape",),
+    "forme lunette": ("shape",),
+    "forme de lunette": ("shape",),
+    "forme monture": ("shape",),
+    "forme de la monture": ("shape",),
+    "front type": ("shape",),
     "style": ("style", "audience"),
 }
 
