@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwave.functions.text import fold, fold_py, let, match_phrases, phrase_index, supplier_code
+from shelfwave.operators.history import tag_changes
 from shelfwave.operators.shelf import SPEC_DIMENSIONS
 from shelfwave.sources.dictionary import CATEGORY_WORDS, Dictionary
 
@@ -136,3 +137,13 @@ def tag_products(products: DataFrame, dictionary: Dictionary, rules_version: int
             .select("product_id", "t.dimension", "t.code", "t.field", "t.term", F.lit(rules_version).alias("rules_version"),
                     F.when(color, F.col("t.code")).alias("color_family"), F.when(color, hexes[F.col("t.code")]).alias("color_hex"),
                     "t.supplier_code"))
+
+
+def retagged(products: DataFrame, stored: DataFrame, dictionary: Dictionary, rules_version: int, source_id: int | None = None,
+             labels: dict[str, tuple[str, ...]] = SPEC_DIMENSIONS) -> tuple[DataFrame, DataFrame]:
+    """(tag table, difference) after new rules over the products of one store, or of all: their tags are found anew, those of other products stay."""
+    mine = products if source_id is None else products.where(F.col("source_id") == source_id)
+    wanted = tag_products(mine, dictionary, rules_version, labels)
+    own = mine.select(F.col("id").alias("product_id"))
+    difference = tag_changes(stored.join(own, "product_id", "left_semi"), wanted)
+    return wanted.unionByName(stored.join(own, "product_id", "left_anti").select(*wanted.columns)), difference

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from shelfwave.functions.urls import model_key
@@ -46,6 +48,34 @@ def catalog_sync(spark, sf):
     return synced(spark, sf).select("url", "source_id", "action", "carried", "is_active")
 
 
+REPLAYED = [date(2001, 1, 1), date(2001, 4, 1), date(2001, 7, 1), date(2001, 10, 1)]  # the last crawl takes all order lines that are left
+
+
+def replay_sql() -> str:
+    """One step of the sync rules per crawl, each on what the one before left."""
+    steps = [f"""c0 AS (SELECT {URL} AS url, min(l_suppkey) AS source_id, max(l_shipdate) >= DATE '2000-06-01' AS is_active FROM lineitem WHERE l_shipdate < DATE '2001-01-01' GROUP BY 1)"""]
+    for k, start in enumerate(REPLAYED, 1):
+        before = f" AND l_shipdate < DATE '{REPLAYED[k]}'" if k < len(REPLAYED) else ""
+        steps.append(f"""o{k} AS (SELECT DISTINCT l_suppkey AS source_id, {URL} AS url FROM lineitem WHERE l_shipdate >= DATE '{start}'{before}),
+w{k} AS (SELECT url, source_id FROM (SELECT o.*, coalesce(c.source_id, min(o.source_id) OVER (PARTITION BY o.url)) AS owner FROM o{k} o LEFT JOIN c{k - 1} c USING (url)) WHERE owner = source_id),
+d{k} AS (SELECT s_suppkey AS source_id FROM supplier LEFT JOIN (SELECT source_id, count(*) AS p FROM o{k} GROUP BY 1) o ON o.source_id = s_suppkey
+  LEFT JOIN (SELECT source_id, count(*) FILTER (is_active) AS a FROM c{k - 1} GROUP BY 1) c ON c.source_id = s_suppkey
+  WHERE s_suppkey % 6 <> 1 AND NOT (coalesce(a, 0) > 0 AND coalesce(p, 0) * 10 < a * 7)),
+c{k} AS (SELECT coalesce(c.url, w.url) AS url, coalesce(c.source_id, w.source_id) AS source_id,
+  CASE WHEN w.url IS NOT NULL THEN true WHEN d.source_id IS NOT NULL AND o.url IS NULL THEN false ELSE c.is_active END AS is_active
+  FROM c{k - 1} c FULL JOIN w{k} w ON c.url = w.url LEFT JOIN o{k} o ON o.url = c.url AND o.source_id = c.source_id LEFT JOIN d{k} d ON d.source_id = c.source_id)""")
+    return "WITH " + ",\n".join(steps) + f"\nSELECT url, source_id, is_active FROM c{len(REPLAYED)}"
+
+
+@query("catalog_replay", replay_sql())
+def catalog_replay(spark, sf):
+    """All crawls after the cut, one quarter each: drops, returns and the guard against the state the crawl before left."""
+    reports = S.crawl_reports(spark, sf)[1]
+    none = S.stored_catalog(spark, sf).select("source_id", "url").limit(0)
+    steps = [(S.product_observations(spark, sf, a, b), none, reports, None) for a, b in zip(REPLAYED, [*REPLAYED[1:], None], strict=True)]
+    return H.replay(S.stored_catalog(spark, sf), steps, S.STATUS_NOW).select("url", "source_id", "is_active")
+
+
 @query("carried_flags", f"""
 WITH {SYNC} SELECT url, CASE WHEN carried THEN p.b || ', Metal' ELSE p.b END AS materials, CASE WHEN carried THEN true END AS best
 FROM ac JOIN (SELECT DISTINCT url, min(p_brand) AS b FROM obs GROUP BY url) p USING (url) WHERE new AND old""")

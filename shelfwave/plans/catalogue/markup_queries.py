@@ -79,6 +79,16 @@ def catalog_json_products(spark, sf):
                        F.col("variants")[0]["color"].alias("color"), "material", "is_new", "is_bestseller", "description")
 
 
+@query("json_ld_deep_products", "SELECT p_partkey AS page_id, p_name AS name, CAST(1 + 3 * (p_partkey % 40) AS INTEGER) AS depth FROM part")
+def json_ld_deep_products(spark, sf):
+    """Products under item lists of lists, up to 39 of them; the path says how deep."""
+    deep = F.pmod("p_partkey", F.lit(40)).cast("int")
+    html = F.concat(F.lit('<script type="application/ld+json">'), F.repeat(F.lit('{"@type":"ItemList","itemListElement":[["x",'), deep), F.lit('{"@type":"Product","name":"'), F.col("p_name"),
+                    F.lit('"}'), F.repeat(F.lit("]]}"), deep), F.lit("</script>"))
+    pages = S.load(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://shop.example/").alias("url"), html.alias("html"))
+    return K.json_ld_products(pages).select("page_id", "name", F.size("path").alias("depth"))
+
+
 def family_listings(spark, sf):
     part = S.load(spark, sf, "part")
     member = F.struct(F.col("p_partkey").cast("string").alias("id"), F.get(F.split("p_name", " "), F.lit(0)).alias("color"), (F.pmod("p_partkey", F.lit(4)) == 0).alias("isInStock"), F.col("p_name").alias("name"),

@@ -94,6 +94,28 @@ def product_tags_by_rules(spark, sf):
     return G.tag_products(rows, PARTS).select("product_id", "dimension", "code", "field", "term")
 
 
+# The rules before the last change: no round shape yet.
+BEFORE = Dictionary(PARTS.dimensions, tuple(i for i in PARTS.items if i.code != "round"), aliases=PARTS.aliases)
+
+
+def retag_inputs(spark, sf):
+    rows = tagged_parts(spark, sf).withColumn("source_id", F.pmod("id", F.lit(4))).withColumn("flags", F.col("flags").withField("variants", F.lit(None).cast(
+        "array<struct<code:string,color:string,layers:array<string>>>")))
+    return rows, G.tag_products(rows, BEFORE)
+
+
+@query("retagged_products", f"""SELECT product_id, dimension, code FROM ({tag_sql()}) WHERE code <> 'round' OR product_id % 4 = 2""")
+def retagged_products(spark, sf):
+    rows, stored = retag_inputs(spark, sf)
+    return G.retagged(rows, stored, PARTS, 1, 2)[0].select("product_id", "dimension", "code")
+
+
+@query("retag_difference", f"""SELECT product_id, dimension, code, CASE WHEN code = 'round' THEN 'added' ELSE 'changed' END AS change FROM ({tag_sql()})""")
+def retag_difference(spark, sf):
+    rows, stored = retag_inputs(spark, sf)
+    return G.retagged(rows, stored, PARTS, 2)[1].select("product_id", "dimension", "code", "change")
+
+
 # Layers of the sample variants: first word of the part name, "Blue" and sometimes an unknown one.
 @query("variant_tags_by_rules", """
 WITH v AS (SELECT p_partkey AS product_id, 'C' || p_size AS supplier_code, p_size % 5 = 0 AS zebra,
@@ -126,6 +148,23 @@ def document_mentions(spark, sf):
     return A.detect_mentions(docs, WORDS).select("document_id", "dimension", "code", "term")
 
 
+NEAR = Dictionary({"color": "Couleur"}, (Item("color", "red", "Rouge", ("red",), hex="#c03030"), Item("color", "blue", "Bleu", ("blue",), hex="#3050c0")))
+
+
+@query("mention_stances", f"""
+WITH p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS c, p_partkey % 12 AS n, p_size % 12 AS m, ' ' || repeat('y', 70) AS f FROM part)
+SELECT p_partkey AS document_id, 'color' AS dimension, c AS code, CASE WHEN n <= 7 AND m > 7 THEN 'rising' WHEN n > 7 AND m <= 7 THEN 'declining' ELSE 'neutral' END AS stance,
+  trim(CASE WHEN n <= 7 THEN 'rising' ELSE '' END || repeat(f, least(n, 8)) || ' ' || c || repeat(f, least(m, 8)) || CASE WHEN m <= 7 THEN ' fading' ELSE '' END) AS evidence,
+  '2024-01-02' AS occurred_on, c AS term FROM p WHERE c IN ('red', 'blue')""")
+def mention_stances(spark, sf):
+    """One text per part: a stance word, long words, the colour, long words, the other stance word."""
+    filler = lambda n: F.repeat(F.lit(" " + "y" * 70), n.cast("int"))
+    text = F.concat(F.lit("Rising"), filler(F.pmod("p_partkey", F.lit(12))), F.lit(" "), F.get(F.split("p_name", " "), F.lit(0)), filler(F.pmod("p_size", F.lit(12))), F.lit(" fading."))
+    docs = S.load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lit(None).cast("string").alias("title"), text.alias("text"),
+                                            F.lit(None).cast("timestamp").alias("published_at"), F.lit("2024-01-02").cast("timestamp").alias("collected_at"))
+    return A.detect_mentions(docs, NEAR).withColumn("occurred_on", F.col("occurred_on").cast("string"))
+
+
 @query("topic_candidates", r"""
 SELECT doc_id FROM documents WHERE regexp_matches(chr(10) || text, '(^|[^\w\x{C0}-\x{24F}])(nicht|pour|with)($|[^\w\x{C0}-\x{24F}])', 'i')""")
 def topic_candidates(spark, sf):

@@ -294,9 +294,10 @@ def stored_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.when(~active, F.col("seen_at").cast("timestamp")).alias("dropped_at"))
 
 
-def product_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The new crawl of every supplier: the order lines of the first quarter after the cut."""
-    line = load(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= F.lit(SYNC_CUT)) & (F.col("l_shipdate") < F.lit(SYNC_END)))
+def product_observations(spark: SparkSession, sf_dir: str, start: date = SYNC_CUT, end: date | None = SYNC_END) -> DataFrame:
+    """A crawl of every supplier: the order lines from `start` on, before `end`; by default those of the first quarter after the cut."""
+    line = load(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit(start))
+    line = line if end is None else line.where(F.col("l_shipdate") < F.lit(end))
     rows = _observed(line, load(spark, sf_dir, "part"))
     return rows.select(F.col("l_suppkey").alias("crawl_id"), F.col("l_suppkey").alias("source_id"),
                        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), "url", F.col("p_name").alias("name"), F.col("p_brand").alias("brand"),
