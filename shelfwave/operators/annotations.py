@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwave.functions.text import fold, fold_py, let, match_phrases, phrase_index
+from shelfwave.operators.joins import bounded
 from shelfwave.sources.dictionary import Dictionary
 
 # The default topic words of the candidate filter.
@@ -84,7 +85,7 @@ def annotation_entries(parsed: DataFrame, codes: DataFrame, dimensions: tuple[st
     lists = F.flatten(F.array(*[F.coalesce(entry(d), F.array()) for d in dimensions]))
     rows = parsed.where("a.is_relevant").select("document_id", F.explode(lists).alias("e")).select("document_id", "e.*")
     known = codes.select("dimension", "code").distinct().withColumn("known", F.lit(True))
-    return (rows.join(F.broadcast(known), ["dimension", "code"], "left")
+    return (rows.join(bounded(known), ["dimension", "code"], "left")
             .withColumn("valid", F.coalesce("known", F.lit(False)) & F.coalesce(F.col("stance").isin(*STANCES), F.lit(False))).drop("known"))
 
 

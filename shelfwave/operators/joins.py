@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 8 << 20
 
 
-def bounded(side: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, measured: DataFrame | None = None) -> DataFrame:
-    """Broadcast `side` only when it was measured to hold at most `max_rows` rows; otherwise hand it back unhinted, and the
-    shuffle join with skew handling applies. Meant for narrow dimension tables (sources, stores, reports), whose count is a
-    cheap, column-free scan that stops at the bound. `measured` is counted instead where `side` is computed from large tables
-    but has at most one row for each of its rows."""
-    counted = side if measured is None else measured
-    return F.broadcast(side) if counted.limit(max_rows + 1).count() <= max_rows else side
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size of a frame from the statistics of its scans; no job runs. Without statistics the size is beyond any bound."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def bounded(side: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES, measured: DataFrame | None = None) -> DataFrame:
+    """Broadcast `side` only when its scans hold at most `max_bytes`; otherwise hand it back unhinted, and adaptive execution chooses by the real size
+    (a shuffle join with skew handling, or a broadcast below its own threshold). `measured` is measured instead where `side` is computed from large
+    tables but has at most one row for each of its rows."""
+    return F.broadcast(side) if estimated_bytes(side if measured is None else measured) <= max_bytes else side
 
 
 def numbered(rows: DataFrame, group: list[str], position: str, name: str = "n", bucket: int = 10_000) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwave.functions.text import fold, fold_py, let, match_phrases, phrase_index, supplier_code
+from shelfwave.operators.joins import bounded
 from shelfwave.operators.history import tag_changes
 from shelfwave.operators.shelf import SPEC_DIMENSIONS
 from shelfwave.sources.dictionary import CATEGORY_WORDS, Dictionary
@@ -18,7 +19,7 @@ def normalize_terms(terms: DataFrame, phrases: DataFrame, column: str = "term",
     unknown. `phrases` is dictionary-sized."""
     table = phrases if dimension is None else phrases.where(F.col("dimension") == dimension)
     first = table.groupBy("phrase").agg(F.min_by(F.struct("dimension", "code"), "ord").alias("hit"))
-    rows = terms.withColumn("_folded", fold(F.col(column))).join(F.broadcast(first), F.col("_folded") == F.col("phrase"), "left")
+    rows = terms.withColumn("_folded", fold(F.col(column))).join(bounded(first), F.col("_folded") == F.col("phrase"), "left")
     return rows.select(*[F.col(c) for c in terms.columns], F.col("hit.dimension").alias("dimension"), F.col("hit.code").alias("code"))
 
 

@@ -102,7 +102,7 @@ def maintain_catalog(stream: DataFrame, catalog_path: str, checkpoint: str, now,
         older = [v for v in done if v < (batch_id, 0)]
         current = spark.read.parquet(_folder(catalog_path, older[-1])) if older else spark.createDataFrame([], _catalog_schema())
         for turn in range(1, n_turns + 1):
-            step = batch.join(F.broadcast(turns.where(F.col("turn") == turn).drop("turn")), ["source_id", "crawl_id"])
+            step = batch.join(turns.where(F.col("turn") == turn).drop("turn"), ["source_id", "crawl_id"])
             seen = step.where(~F.col("listed_only")).drop("listed_only", "problems", "gaps")
             listed = step.select("source_id", "url").distinct()
             reports = step.groupBy("source_id").agg(F.max("problems").alias("problems"))  # one list a crawl, repeated on its rows
