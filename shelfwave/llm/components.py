@@ -16,7 +16,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), forget_size=True)
     if large:
         out = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -28,12 +28,12 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, component) for each node of edges (a, b) of any orderable type; component is the smallest node reachable. Loops, repeated edges and
     either direction are fine; a null end makes no link. Each round is checkpointed, and nothing but two sums a round reaches the driver. Rounds grow with the logarithm of the
     diameter; should `most_rounds` not do, it raises."""
-    now = cut_lineage(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = cut_lineage(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), forget_size=True)
     mark = None
     for _ in range(most_rounds):
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if seen["n"] == 0 or (seen["n"], seen["s"]) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         mark = (seen["n"], seen["s"])
-        now = cut_lineage(_stars(cut_lineage(_stars(now, True)), False))
+        now = cut_lineage(_stars(cut_lineage(_stars(now, True), forget_size=True), False), forget_size=True)
     raise ValueError(f"components did not settle in {most_rounds} rounds")
