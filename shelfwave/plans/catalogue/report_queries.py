@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from shelfwave.functions import dates as D, numbers as N
 from shelfwave.operators import catalog as C, gaps as G, ingest as I, shelf as H
 from shelfwave.plans import reports as R
+from shelfwave.plans.catalogue import trend_queries as _trends  # noqa: F401  registers what sql_of names
 from shelfwave.plans.catalogue.shared import WEEK, WEEKS, snapshots
 from shelfwave.plans.catalogue.shelf_queries import (ACTIVE, BASE, COVERAGE_TYPED, GAP_KIND, GAP_SNAPS, ITEM_SELECT, ITEMS, RULES, SCOPE, SINCE,
                                                      gap_snapshots, scope, tables)
 from shelfwave.plans.oracle_views import with_views
-from shelfwave.plans.registry import query
+from shelfwave.plans.registry import query, sql_of
 from shelfwave.rules import Rules
 from shelfwave.sources import samples as S, sinks
 from shelfwave.sources.tables import UNIQUE_KEYS
@@ -215,6 +216,55 @@ def attribute_detail(spark, sf):
     return keyed.join(frames["share"].select("dimension", "code", F.round("share", 4).alias("share")), ["dimension", "code"]).select("momentum", "status", "this_week", "share", "avg_4w")
 
 
+# --- the other frames of the composite reports ------------------------------------------------------
+
+def overview_frames(spark, sf):
+    return R.overview(S.documents(spark, sf), S.mentions(spark, sf), S.sources(spark, sf), snapshots(spark, sf), S.dictionary(spark, sf), WEEK, 3)
+
+
+@query("overview_counters", sql_of("header_counters"))
+def overview_counters(spark, sf):
+    return overview_frames(spark, sf)["counters"]
+
+
+@query("overview_declining", with_views("snaps dict", """
+WITH sp AS (SELECT dimension, code, string_agg(CAST(CAST(round(mentions * 10) AS BIGINT) AS VARCHAR), '|' ORDER BY wk) AS spark FROM snaps WHERE wk >= DATE '2001-08-06' GROUP BY 1, 2)
+SELECT s.dimension, s.code, label, CASE WHEN momentum <= -0.25 THEN 'volume' ELSE 'tonalite' END AS decline_reason, spark FROM (SELECT * FROM snaps WHERE wk = DATE '2001-09-24' AND status = 'en_baisse'
+  ORDER BY least(momentum, -coalesce(decline_share, 0.0)), dimension, code LIMIT 3) s JOIN sp USING (dimension, code) JOIN dict USING (dimension, code)"""))
+def overview_declining(spark, sf):
+    rows = overview_frames(spark, sf)["declining"]
+    return rows.select("dimension", "code", "label", "decline_reason", F.array_join(F.transform("spark", lambda v: F.round(v * 10).cast("long").cast("string")), "|").alias("spark"))
+
+
+def retail_frames(spark, sf):
+    return R.retail_overview(gap_snapshots(spark, sf), *tables(spark, sf), S.dictionary(spark, sf), WEEK)
+
+
+@query("retail_overview_stores", sql_of("store_summary"))
+def retail_overview_stores(spark, sf):
+    return retail_frames(spark, sf)["stores"].select("store", "products", F.to_date("updated").cast("string").alias("updated"))
+
+
+@query("retail_overview_types", sql_of("shelf_products_by_type"))
+def retail_overview_types(spark, sf):
+    return retail_frames(spark, sf)["types"]
+
+
+@query("retail_overview_skipped", sql_of("skipped_dimensions"))
+def retail_overview_skipped(spark, sf):
+    return retail_frames(spark, sf)["skipped"].withColumn("unmapped_share", F.round("unmapped_share", 6))
+
+
+def monitor_frames(spark, sf):
+    products, tags, sources = tables(spark, sf)
+    return R.catalog_monitor(S.stores(spark, sf), sources, S.store_crawls(spark, sf), products, tags, S.dictionary(spark, sf), S.CATALOG_NOW)
+
+
+@query("catalog_monitor_totals", f"SELECT CAST(sum(new) AS BIGINT) AS new_total, CAST(sum(retired) AS BIGINT) AS retired_total FROM ({sql_of('new_by_store')})")
+def catalog_monitor_totals(spark, sf):
+    return monitor_frames(spark, sf)["totals"]
+
+
 @query("retail_overview_gaps", with_views("prod tags sources snaps dict", f"""
 WITH {ACTIVE}, {BASE.format('tn')}, {ITEMS}, {ITEM_SELECT.format('rows_typed')}, {COVERAGE_TYPED}, {GAP_SNAPS}, {GAP_KIND}
 SELECT shelf, kind, gk.dimension, gk.code, sku FROM gk WHERE kind IS NOT NULL"""))

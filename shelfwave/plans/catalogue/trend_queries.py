@@ -357,9 +357,10 @@ a AS (SELECT dimension, code, max(fr) > 0 AS home, avg(fr) FILTER (p < 4) AS fr1
              max(world) > 0 AS abroad, avg(world) FILTER (p < 4) AS w1, avg(world) FILTER (p BETWEEN 4 AND 7) AS w2 FROM v JOIN w USING (dimension, wk) GROUP BY 1, 2),
 b AS (SELECT dimension, code, CASE WHEN home THEN 'home' ELSE 'world' END AS geo, CASE WHEN home THEN fr1 WHEN abroad THEN w1 END AS recent,
              CASE WHEN home THEN fr2 WHEN abroad THEN w2 END AS base FROM a)
-SELECT dimension, code, geo, round(recent, 4) AS recent, round(base, 4) AS base FROM b"""))
+SELECT dimension, code, geo, round(recent, 4) AS recent, round(base, 4) AS base, CASE WHEN recent IS NULL OR base IS NULL THEN '—' WHEN base = 0 THEN CASE WHEN recent > 0 THEN 'nouveau' ELSE '—' END
+  ELSE CASE WHEN pc > 0 THEN '+' WHEN pc < 0 THEN '−' ELSE '' END || abs(pc) || ' %' END AS change FROM (SELECT *, CAST(floor((recent - base) / nullif(base, 0) * 100 + 0.5) AS BIGINT) AS pc FROM b)"""))
 def demand_change(spark, sf):
-    return T.demand_change(S.search_interest(spark, sf)).select(*KEY, "geo", F.round("recent", 4).alias("recent"), F.round("base", 4).alias("base"))
+    return T.demand_change(S.search_interest(spark, sf)).select(*KEY, "geo", F.round("recent", 4).alias("recent"), F.round("base", 4).alias("base"), "change")
 
 
 @query("demand_list", with_views("search snaps", """

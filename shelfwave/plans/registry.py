@@ -38,6 +38,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return wrap
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query registered before: for a report's frame that shows the same content."""
+    return _ENTRIES[name].sql
+
+
 def entries() -> dict[str, Entry]:
     from shelfwave.plans import catalogue
     for module in pkgutil.iter_modules(catalogue.__path__):
