@@ -151,9 +151,7 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), text: str = "
     # 2: its other pivots, where they are of another component
     more = _across(pairs.select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti"), groups)
     found = _linked(more, sets, banding.percent)
-    if found.take(1):
-        links = links.unionByName(found)
-        groups = cut_lineage(components(links))
+    groups = _joined(groups, found)
     # 3: members that share a crowded bucket but are of different components; one side is never of the pivot's component
     named = (crowded.join(groups.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left")
              .join(groups.select(F.col("node").alias("pivot"), F.col("component").alias("pc")), "pivot", "left")
@@ -163,8 +161,7 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), text: str = "
     rest = (apart.join(mixed.select("bucket", "id", "n", "c"), "bucket").where("c <> ca and a <> id").where(near)
             .select(F.greatest("a", "id").alias("a"), F.least("a", "id").alias("b")).distinct().join(pairs.select("a", "b").hint("merge"), ["a", "b"], "left_anti"))
     found = _linked(rest, sets, banding.percent)
-    if found.take(1):
-        groups = cut_lineage(components(links.unionByName(found)))
+    groups = _joined(groups, found)
 
     class_of = classes.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("k1", "k2", F.struct("least", "row").alias("leader"), F.coalesce("component", "id").alias("c"))
     heads = cut_lineage(class_of.groupBy("c").agg(F.min("leader").alias("head")))
@@ -175,10 +172,22 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), text: str = "
             .unionByName(full.where("n_shingles = 0").select("__row", F.col("key").alias(key), "n_shingles", F.col("key").alias("component_id"), F.lit(True).alias("stays"))))
 
 
+def _named(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs with the components of their ends; an end that is in none is its own."""
+    name = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    return pairs.join(name("a"), "a", "left").join(name("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+
+
 def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components."""
-    name = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    return pairs.join(name("a"), "a", "left").join(name("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    return _named(pairs, groups).where("ca <> cb").select("a", "b")
+
+
+def _joined(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """Components after more links: only the components that these touch are joined, as nodes of a smaller graph."""
+    over = cut_lineage(components(_named(found, groups).select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+    moved = groups.join(over.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return cut_lineage(moved.unionByName(over).distinct(), forget_size=True)
 
 
 def without_near_duplicates(docs: DataFrame, banding: Banding = Banding(), text: str = "text", key: str = "doc_id") -> DataFrame:
