@@ -10,10 +10,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfwave.llm.common import map_texts, mix, word_shingles
 from shelfwave.llm.components import components
@@ -80,9 +80,36 @@ def _signed(docs: DataFrame, banding: Banding, text: str) -> DataFrame:
     return map_texts(docs, sign, "n_shingles bigint, k1 bigint, k2 bigint, buckets array<bigint>", text)
 
 
+BITS = 1 << 26  # of the bitmap of wanted rows: 8 MB at most
+
+
+def _bit(row: str):
+    return F.pmod(F.xxhash64(row), F.lit(BITS)) + 1
+
+
+def _in_bitmap(wanted: DataFrame):
+    """Column function: whether a bit is set by a wanted row."""
+    parts = (wanted.select(_bit("__row").alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect())
+    bits = np.zeros(BITS // 8, np.uint8)
+    for r in parts:  # at most BITS / 32768 of 4 KB
+        at = (r["part"] - 1) * 4096
+        bits[at:at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = wanted.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def has(bit: pd.Series) -> pd.Series:
+        k = bit.to_numpy(np.int64) - 1
+        return pd.Series(((shared.value[k >> 3] >> (k & 7).astype(np.uint8)) & 1).astype(bool))
+
+    return has
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, banding: Banding, text: str) -> DataFrame:
-    """(id, set) of the wanted classes, from their first rows' whole texts."""
-    found = docs.select("__row", F.col(f"`{text}`").alias("text")).join(wanted.select(F.col("row").alias("__row"), "id", "k1", "k2"), "__row")
+    """(id, set) of the wanted classes, from their first rows' whole texts. Most texts are not wanted and stay where they are: a bitmap of the wanted
+    rows' hashes, of a fixed size, tells them; what it lets through too much goes in the join."""
+    wanted = cut_lineage(wanted.select(F.col("row").alias("__row"), "id", "k1", "k2"))
+    near = docs.select("__row", F.col(f"`{text}`").alias("text")).where(_in_bitmap(wanted)(_bit("__row")))
+    found = near.join(wanted, "__row")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
