@@ -16,21 +16,26 @@ FIELDS = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigi
 
 @dataclass(frozen=True)
 class Bands:
-    """Allowed ratios (bytes before : after) by the bit length of the byte count. A longer text shares more with itself, so limits rise with
-    length; below `shortest` bits the frame of the format outweighs the text and only the upper limit holds. Fixed chunks catch what the whole
-    text evens out: a text fails when over `chunk_share` of its full chunks lie outside `chunk`."""
+    """Allowed ratios (bytes before : after) by the bit length of the byte count. A longer text shares more with itself, so the upper limit goes on
+    rising by `rise` a bit; below `shortest` bits the frame of the format outweighs the text and only the upper limit holds. Ordinary wording
+    repeats itself (terms, refrains), which gets `room` above `upper`, but not where over `symbol_share` of the bytes are symbols. Fixed chunks
+    catch what the whole text evens out: a text fails when over `chunk_share` of its full chunks lie outside `chunk`."""
 
     level: int = 3
     shortest: int = 9
     lower: tuple[float, ...] = (1.1, 1.2, 1.3, 1.35)  # from `shortest` on, the last one for all longer texts
-    upper: tuple[float, ...] = (2.1, 2.2, 2.3, 2.36, 2.46, 2.56, 2.66, 2.76)  # likewise; the first one also below
+    upper: tuple[float, ...] = (2.1, 2.2, 2.3, 2.36, 2.46, 2.56, 2.66, 2.76)  # likewise, and rising after the last one; the first one also below
+    rise: float = 0.1
+    room: float = 0.5
+    symbol_share: float = 0.05
     chunk_bytes: int = 4096
     chunk: tuple[float, float] = (1.3, 3.0)
     chunk_share: float = 0.3
 
-    def limits(self, n_bytes: int) -> tuple[float, float]:
+    def limits(self, n_bytes: int, n_symbols: int = 0) -> tuple[float, float]:
         k = n_bytes.bit_length() - self.shortest
-        return (self.lower[min(k, len(self.lower) - 1)] if k >= 0 else 0.0), self.upper[min(max(k, 0), len(self.upper) - 1)]
+        more = self.rise * max(0, k - len(self.upper) + 1) + (self.room if n_symbols <= self.symbol_share * n_bytes else 0.0)
+        return (self.lower[min(k, len(self.lower) - 1)] if k >= 0 else 0.0), self.upper[min(max(k, 0), len(self.upper) - 1)] + more
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -65,8 +70,9 @@ def judge(texts: list[str], bands: Bands) -> dict:
         chunks = [data[k:k + bands.chunk_bytes] for k in range(0, len(data) - bands.chunk_bytes + 1, bands.chunk_bytes)]
         off = sum(not low <= len(c) / len(press(c)) <= high for c in chunks) / len(chunks) if chunks else 0.0
         failed = n < 50 or 100 * repeated > 50 * n
-        least, most = bands.limits(len(data))
-        row = (n, len(text) - sum(map(data.count, (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))), len(data) - len(data.translate(None, b"#*$%&|<>")),
+        symbols = len(data) - len(data.translate(None, b"#*$%&|<>"))
+        least, most = bands.limits(len(data), symbols)
+        row = (n, len(text) - sum(map(data.count, (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))), symbols,
                len(lines) - len(set(lines)), repeated, failed, not failed and least <= ratio <= most and off <= bands.chunk_share, ratio, off)
         for k, v in zip(out, row, strict=True):
             out[k].append(v)
