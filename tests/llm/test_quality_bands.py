@@ -48,3 +48,20 @@ def test_repeated_texts_are_rejected_at_every_length():
         assert kept(once, once + once[:n * 9 // 10] + once) == [True, False]
     line = "the same long line over and over again with a number\n"
     assert kept("".join(f"{k} {line}" for k in range(6000))) == [False]
+
+
+def test_half_a_text_of_noise_is_rejected_wherever_it_lies():
+    r = random.Random(7)
+    noise = "".join(chr(r.randrange(33, 127)) for _ in range(40000))
+    for n in (600, 1500, 4095, 4096, 8191, 30000):
+        clean, half = prose(n, seed=4), n // 2
+        bad = noise[:half]
+        mixed = [clean[:half] + bad, bad + clean[:half], clean[:half // 2] + bad + clean[half // 2:half], clean]
+        assert kept(*mixed) == [False, False, False, True], n
+    assert kept(prose(4096) + noise[:4095], noise[:4095] + prose(4096), prose(4096) + noise[:300]) == [False, False, True]
+
+
+def test_every_byte_is_in_one_chunk_of_each_cut():
+    for n in (0, 1, 255, 511, 512, 4095, 4096, 4097, 8191, 32767, 32768, 100001):
+        for ends in Bands().cuts(n):
+            assert ends[-1] == n and (n == 0 or all(a < b <= a + 4096 for a, b in zip([0, *ends], ends)))
