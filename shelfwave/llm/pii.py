@@ -1,11 +1,13 @@
 """Personal data: rules for plain forms, and a character-level BiLSTM-CRF, trained here from labelled spans, for forms that the rules miss.
 
-Every span has a digit or an "@" (decoding allows no other), so the network needs to see only the surroundings of those characters: all of them, in
-overlapping windows over the whole text. Scores of overlapping windows are blended and each stretch is decoded once, as a whole."""
+Every span has a digit, an "@" or a spelled-out "at" with a dot after it (decoding allows no other), so the network needs to see only the surroundings
+of those: all of them, up to the ends of the tokens there and of what dots join to them, in overlapping windows. Scores of overlapping windows are
+blended and each stretch is decoded once, as a whole."""
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import random
 import re
@@ -26,7 +28,19 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ANCHOR = re.compile(r"[0-9@]")
 ANCHORS = re.compile(r"[0-9@](?:[^0-9@]{0,15}[0-9@])*")
-WINDOW, STRIDE, AROUND, LONGEST = 64, 32, 20, 2048
+_AT, _DOT = "(?:at|ät|arobase|arroba)", "(?:dot|punkt|point|punto)"
+AT = rf"(?:\s{{0,3}}[\[({{<]\s?{_AT}\s?[\])}}>]\s{{0,3}}|\s{{1,3}}{_AT}\s{{1,3}})"
+DOT = rf"(?:\s{{0,3}}[\[({{<]\s?(?:{_DOT}|\.)\s?[\])}}>]\s{{0,3}}|\s{{1,3}}{_DOT}\s{{1,3}}|\.(?=\S)|\s\.\s)"
+SPELLED = re.compile(rf"(?<=[\w%+-]){AT}(?=[A-Za-z0-9-]{{1,63}}{DOT}[A-Za-z0-9])", re.IGNORECASE)  # an "at" between a name and a host
+_BRACKETED = rf"\s{{0,3}}[\[({{<]\s?{_DOT}\s?[\])}}>]\s{{0,3}}"
+REST = re.compile(rf"[A-Za-z0-9-]*(?:(?:\.|{_BRACKETED})[A-Za-z0-9-]+)*", re.IGNORECASE)
+SIGN = re.compile(r"\s{0,3}[\[({<]?\s?@")
+NAME = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.+|{DOT})[A-Za-z0-9_%+-]+)*\.*$", re.IGNORECASE)
+HOST = re.compile(rf"\s?[\])}}>]?\s{{0,3}}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+", re.IGNORECASE)
+OPEN_DOT = re.compile(rf"[\[({{<]\s?{_DOT}?$", re.IGNORECASE)  # a span that ends within a bracketed dot
+TOKEN = re.compile(r"\S+")
+BINDS = re.compile(rf"[\[({{<]?(?:{_AT}|{_DOT}|[@.])[\])}}>]?|[\[({{<]|[\])}}>]", re.IGNORECASE)  # tokens that join those at their sides
+WINDOW, STRIDE, AROUND, LONGEST = 128, 64, 20, 2048
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 Span = tuple[int, int, str]
@@ -68,13 +82,49 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _starts_at(text: str, a: int, least: int) -> int:
+    """Where the token at `a` and those bound to it begin, but not before `least`."""
+    end = a
+    while end < len(text) and end - a < 12 and not text[end].isspace():
+        end += 1
+    while True:
+        while a > least and not text[a - 1].isspace():
+            a -= 1
+        e = a
+        while e > least and a - e < 3 and text[e - 1].isspace():
+            e -= 1
+        k = e
+        while k > least and not text[k - 1].isspace():
+            k -= 1
+        if k == e or e == a or not (BINDS.fullmatch(text, a, end) or BINDS.fullmatch(text, k, e)):
+            return a
+        a, end = k, e
+
+
+def _ends_at(text: str, b: int) -> int:
+    """Where the token at `b` and those bound to it end."""
+    start = b
+    while start > 0 and b - start < 12 and not text[start - 1].isspace():
+        start -= 1
+    while True:
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        m = TOKEN.search(text, b, b + 64)
+        if not m or m.start() > b + 3 or not (BINDS.fullmatch(text, start, b) or BINDS.fullmatch(text, *m.span())):
+            return b
+        start, b = m.start(), m.end()
+
+
 def stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches that hold every digit and "@" with their surroundings; overlapping ones are one."""
+    """Stretches that hold every digit, "@" and spelled-out "at" with their surroundings to the ends of the tokens; overlapping ones are one."""
     start = end = None
-    for m in ANCHORS.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+    for x, y in heapq.merge((m.span() for m in ANCHORS.finditer(text)), (m.span() for m in SPELLED.finditer(text))):
+        if end is not None and y + AROUND <= end:
+            continue
+        a = _starts_at(text, max(0, x - AROUND), end or 0) if end is None or x - AROUND > end else end
+        b = _ends_at(text, min(len(text), y + AROUND))
         if end is not None and a <= end:
-            end = b
+            end = max(end, b)
             continue
         if end is not None:
             yield start, end
@@ -88,9 +138,9 @@ def pieces(text: str) -> Iterator[tuple[int, int, int, int]]:
     for a, b in stretches(text):
         at = a
         while b - at > LONGEST:
-            yield at, at + LONGEST, at if at == a else at + 64, at + LONGEST - 64
-            at += LONGEST - 128
-        yield at, b, at if at == a else at + 64, b
+            yield at, at + LONGEST, at if at == a else at + WINDOW, at + LONGEST - WINDOW
+            at += LONGEST - 2 * WINDOW
+        yield at, b, at if at == a else at + WINDOW, b
 
 
 def tags_of(spans: list[Span], start: int, end: int) -> np.ndarray:
@@ -123,7 +173,7 @@ _NUMBERS = {"ip": (4, 12), "card": (12, 19), "phone": (7, 15)}
 def plausible(text: str, kind: str) -> bool:
     digits = sum("0" <= c <= "9" for c in text)
     if kind == "email":
-        return "@" in text and not text.startswith("@") and not text.endswith("@")
+        return "@" in text[1:-1] and text[0] != "@" != text[-1] or SPELLED.search(text) is not None
     low, high = _NUMBERS[kind]
     if not low <= digits <= high or any(c.isalpha() for c in text):
         return False
@@ -133,6 +183,28 @@ def plausible(text: str, kind: str) -> bool:
     return kind != "ip" or len(numbers) == 4 and all(int(n) <= 255 for n in numbers)
 
 
+def whole_address(text: str, a: int, b: int) -> tuple[int, int]:
+    """An email's span from the start of its name, which no dot joins to the word before, to the end of the host it ends in."""
+    while a > 0 and text[a] in _LOCAL and text[a - 1] in _LOCAL:
+        a -= 1
+    sign = min(filter(None, (SPELLED.search(text, a + 1, b), SIGN.search(text, a + 1, b))), key=lambda m: m.start(), default=None)
+    name = sign and NAME.search(text[a:sign.start()])
+    host = sign and HOST.match(text, sign.end(), b)
+    if host and host.end() < b and not OPEN_DOT.search(text, a, b) and not text[host.end()].isalnum():
+        b = host.end()
+    a += name.start() if name else 0
+    cut = OPEN_DOT.search(text, a, b)
+    return a, REST.match(text, cut.start() if cut and re.compile(_BRACKETED, re.IGNORECASE).match(text, cut.start()) else b).end()
+
+
+def addresses(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """The addresses of an email's span, which may run over several."""
+    while a < b and plausible(text[a:b], "email"):
+        start, end = whole_address(text, a, b)
+        yield start, end
+        a = max(end, a + 1)
+
+
 def found_spans(texts: list[str], tagger: Tagger, group: int = 512) -> list[list[Span]]:
     """Spans of the network for each text, without those of the rules."""
     jobs = [(k, *p) for k, t in enumerate(texts) for p in pieces(t)]
@@ -169,7 +241,8 @@ def found_spans(texts: list[str], tagger: Tagger, group: int = 512) -> list[list
             for (k, a, b, lo, hi), row in zip(some, tags, strict=True):
                 for s, t, kind in spans_of(row[:b - a]):
                     if lo <= a + s < hi and plausible(texts[k][a + s:a + t], KINDS[kind]):
-                        out[k].append((a + s, a + t, KINDS[kind]))
+                        places = addresses(texts[k], a + s, a + t) if KINDS[kind] == "email" else [(a + s, a + t)]
+                        out[k].extend((x, y, KINDS[kind]) for x, y in places)
     return out
 
 
@@ -191,7 +264,7 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[S
 # --- training --------------------------------------------------------------------------------------------------------------------------
 
 SAMPLE = 1500  # most windows of the corpus that labels are taken from
-MADE = 2000  # windows with made-up forms
+MADE = 3000  # windows with made-up forms
 
 
 def _digits(r: random.Random, n: int) -> str:
@@ -203,6 +276,14 @@ def made_form(r: random.Random) -> tuple[str, str | None]:
     name = "".join(r.choices("abcdefghijklmnoprstuvw", k=r.randrange(3, 9))) + r.choice(["", ".", "_", "-"]) * r.randrange(2) + r.choice(["", _digits(r, 2)])
     name = name.strip("._-") or "me"
     host = "".join(r.choices("abcdefghilmnoprstu", k=r.randrange(3, 8))) + r.choice(["", _digits(r, 1)]) + "." + r.choice(["com", "org", "net", "example.com", "co.uk", "de"])
+    word = lambda: "".join(r.choices("abcdefghijklmnoprstuvw", k=r.randrange(3, 11)))
+    long = r.choice("._-").join(word() for _ in range(r.randrange(2, 5)))
+    domain = ".".join(word() for _ in range(r.randrange(1, 4))) + "." + r.choice(["com", "org", "net", "example.com", "co.uk", "de"])
+    at = r.choice([" at ", " at ", "(at)", "[at]", " (at) ", " [at] ", " AT "])
+    dot = r.choice([" dot ", " dot ", "(dot)", "[dot]", " (dot) ", " [dot] ", " DOT "])
+    whose = r.choice([name, name, long])
+    spelled = r.choice([whose, whose.replace(".", dot)]) + at + r.choice([host, host, domain]).replace(".", dot)
+    bare = f"{whose} at {r.choice([host, domain]).replace('.', ' dot ')}"
     part = lambda: str(r.randrange(1, 256))
     d = lambda n: _digits(r, n)
     card = r.choice("3456") + d(14)
@@ -210,6 +291,8 @@ def made_form(r: random.Random) -> tuple[str, str | None]:
     four = [card[k:k + 4] for k in range(0, 16, 4)]
     forms = [
         (f"{name}@{host}", "email"), (f"{name} @ {host}", "email"), (f"{name}(@){host}", "email"), (f"{name}[@]{host}", "email"),
+        (f"{long}@{domain}", "email"), (f"{long}{r.choice([' @ ', ' (@) ', ' [@] ', '(@)', '[@]'])}{domain}", "email"), (spelled, "email"), (spelled, "email"), (bare, "email"), (bare, "email"), (bare, "email"), (f"{r.choice([name, long])}{r.choice(['(at)', '[at]', ' (at) ', ' [at] '])}{r.choice([host, domain])}", "email"),
+        (f"at {word()} {word()}", None), (f"at {word()}. {word().capitalize()}", None), (f"{word()} @{name}", None),
         (".".join(part() for _ in range(4)), "ip"), ("[.]".join(part() for _ in range(4)), "ip"), (" . ".join(part() for _ in range(4)), "ip"),
         (card, "card"), (" ".join(four), "card"), ("-".join(four), "card"), (".".join(four), "card"), ("/".join(four), "card"),
         (f"+{r.randrange(1, 99)} ({d(3)}) {d(3)}-{d(4)}", "phone"), (f"+{r.randrange(1, 99)} {d(3)} {d(3)} {d(4)}", "phone"), (f"({d(3)}) {d(3)}-{d(4)}", "phone"), (f"{d(3)}-{d(3)}-{d(4)}", "phone"), (f"00{d(2)} {d(3)} {d(3)} {d(3)}", "phone"),
@@ -234,6 +317,8 @@ def labelled_windows(docs: DataFrame, most: int, text: str) -> list[tuple[str, s
                     b = min(b, a + WINDOW)
                     if any((x < a < y) or (x < b < y) for x, y, _ in spans):
                         continue
+                    if SPELLED.search(t, max(0, a - WINDOW), b):  # the rules do not know these
+                        continue
                     y = tags_of(spans, a, b)
                     if any(len(m[0]) >= 12 and not y[m.start()] for m in CARD.finditer(t[a:b])):
                         continue
