@@ -142,3 +142,38 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     return personal_data(docs, train(docs), keep=["doc_id"])
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS uses FROM w GROUP BY 1, 2 HAVING count(DISTINCT row) >= 10),
+cells AS (SELECT lang, source, term, count(*) AS uses FROM w JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+groups AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, sum(uses) AS n FROM cells GROUP BY 1, 2),
+l AS (SELECT lang, count(*) AS v, sum(uses) AS n FROM kept GROUP BY 1),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(cells.uses, 0) AS uses,
+         CAST(1 + (1000000000::HUGEINT * (coalesce(cells.uses, 0) + 2)) // (coalesce(n.n, 0) + 2 * l.v) AS BIGINT) AS p,
+         CAST(1 + (1000000000::HUGEINT * (kept.uses + 2)) // (l.n + 2 * l.v) AS BIGINT) AS q
+  FROM groups g JOIN l USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source JOIN kept ON kept.lang = g.lang
+  LEFT JOIN cells ON cells.lang = g.lang AND cells.source = g.source AND cells.term = kept.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE uses > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10"""
+
+
+@query("op12_source_divergence", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfwave.llm.divergence import divergence
+
+    return divergence(documents(spark, sf_dir))
