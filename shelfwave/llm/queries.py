@@ -177,3 +177,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfwave.llm.divergence import divergence
 
     return divergence(documents(spark, sf_dir))
+
+
+@query("op13_cross_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfwave.llm.alignment import aligned
+
+    return aligned(documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"), keep=["doc_id"])
