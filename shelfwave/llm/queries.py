@@ -184,3 +184,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfwave.llm.alignment import aligned
 
     return aligned(documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
+@query("op11_repeated_passages")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfwave.llm.runindex import without_repeats
+
+    return without_repeats(documents(spark, sf_dir), keep=["doc_id"])
