@@ -162,10 +162,10 @@ def divergence(docs: DataFrame, least_docs: int = 10, most_terms: int = 10, text
     each. Other columns are not read. An empty table gives an empty result. A hot source or lang is summed in its tasks before anything moves; terms go to blocks
     of some `block` cells by hash, so no lang is one task's work. A block returns at most the square of its groups, as the result holds it anyway."""
     plain = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    counts = term_counts(docs, text, lang, source).repartition("lang", "term")
-    cells = counts.groupBy("lang", "term", "source").agg(F.sum("uses").alias("uses"), F.sum("docs").alias("docs"))
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("all_uses")).where(F.col("docs") >= least_docs)
-    cells = cut_lineage(cells.select("lang", "term", "source", "uses").join(kept.select("lang", "term", "all_uses"), ["lang", "term"]))
+    # one exchange: by (lang, term) the counts are summed by source and over the sources, of which a term has at most one row each
+    counts = term_counts(docs, text, lang, source).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("uses").alias("uses"), F.sum("docs").alias("docs"))
+    term = Window.partitionBy("lang", "term")
+    cells = cut_lineage(counts.select("lang", "term", "source", "uses", F.sum("docs").over(term).alias("docs"), F.sum("uses").over(term).alias("all_uses")).where(F.col("docs") >= least_docs).drop("docs"))
     every = docs.select(plain(lang).alias("lang"), plain(source).alias("source")).distinct()
     sums = cells.groupBy("lang", "source").agg(F.sum("uses").alias("n"), F.count("*").alias("terms"))
     langs = cells.groupBy("lang", "term").agg(F.max("all_uses").alias("uses")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("uses").alias("all_n"))
