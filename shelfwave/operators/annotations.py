@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwave.functions.text import fold, fold_py, let, match_phrases, phrase_index
 from shelfwave.operators.joins import bounded
+from shelfwave.operators.phrases import find_phrases
 from shelfwave.sources.dictionary import Dictionary
 
 # The default topic words of the candidate filter.
@@ -65,6 +66,18 @@ def detect_mentions(documents: DataFrame, dictionary: Dictionary, rising: tuple[
     return rows.select("document_id", "m.dimension", "m.code", stance.alias("stance"), "m.evidence", "occurred_on", "m.term")
 
 
+def mentions_by_index(documents: DataFrame, phrases: DataFrame, rising: tuple[str, ...] = RISING_WORDS, declining: tuple[str, ...] = DECLINING_WORDS) -> DataFrame:
+    """detect_mentions for a dictionary of any size: `phrases` (group, phrase, code) with a dimension as group is joined to the words of the texts."""
+    folded = documents.select(F.col("id").alias("text_id"), fold(F.concat_ws("\n", "title", "text")).alias("folded"))
+    found = find_phrases(folded, phrases, around=8)
+    firsts = let(F.col("matches"), lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda m: m["code"])), lambda c: F.get(F.filter(all_, lambda m: m["code"] == c), F.lit(0))))
+    rows = found.select(F.col("text_id").alias("document_id"), F.col("group").alias("dimension"), F.inline(firsts).alias("term", "code", "evidence", "at"))
+    up, down = _has_word(F.col("evidence"), rising), _has_word(F.col("evidence"), declining)
+    stance = F.when(up & ~down, "rising").when(down & ~up, "declining").otherwise("neutral")
+    days = documents.select(F.col("id").alias("document_id"), document_day().alias("occurred_on"))
+    return rows.join(days, "document_id").select("document_id", "dimension", "code", stance.alias("stance"), "evidence", "occurred_on", "term")
+
+
 # --- annotations made outside ----------------------------------------------------------------------
 
 def annotation_schema(dimensions: tuple[str, ...]) -> str:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwave.functions.text import fold, fold_py, let, match_phrases, phrase_index, supplier_code
 from shelfwave.operators.joins import bounded
 from shelfwave.operators.history import tag_changes
+from shelfwave.operators.phrases import MATCH, matched_texts
 from shelfwave.operators.shelf import SPEC_DIMENSIONS
 from shelfwave.sources.dictionary import CATEGORY_WORDS, Dictionary
 
@@ -34,54 +37,69 @@ def _tag(dimension: Column, code: Column, field: Column, term: Column, supplier:
 
 
 
-def _found(text: Column, pairs: list[tuple[str, str]], dimension: str, field: Column, supplier: Column | None = None) -> Column:
+#: (text, group of phrases) -> its matches: a walk over a literal list, or a look into what `matched_texts` joined to the row.
+Match = Callable[[Column, str], Column]
+
+
+def literal_match(dictionary: Dictionary) -> Match:
+    """For small dictionaries: the phrases are a literal of the plan."""
+    audience = [(fold_py(w), code) for (d, code), words in CATEGORY_WORDS.items() if d == "audience" for w in words]
+    pairs = {"spec:audience": audience, "category": [(fold_py(w), f"{d}/{c}") for (d, c), ws in CATEGORY_WORDS.items() for w in ws]}
+    for d in dictionary.dimensions:
+        pairs |= {f"free:{d}": dictionary.pairs(d, True), f"spec:{d}": dictionary.spec_pairs(d), f"spec-free:{d}": dictionary.spec_pairs(d, True)}
+    return lambda text, group: match_phrases(fold(text), phrase_index(pairs[group]))
+
+
+def joined_match(text: Column, group: str) -> Column:
+    return F.coalesce(F.col("_matches")[F.concat(F.lit(f"{group}\t"), fold(text))], F.array().cast(MATCH))
+
+
+def _found(text: Column, match: Match, group: str, dimension: str, field: Column, supplier: Column | None = None) -> Column:
     none = F.lit(None).cast("string") if supplier is None else supplier
-    return F.transform(match_phrases(fold(text), phrase_index(pairs)), lambda m: _tag(F.lit(dimension), m["code"], field, m["phrase"], none))
+    return F.transform(match(text, group), lambda m: _tag(F.lit(dimension), m["code"], field, m["phrase"], none))
 
 
 def _empty() -> Column:
     return F.array().cast(TAG)
 
 
-def _scoped(entries: Column, keys: list[str], pairs: list[tuple[str, str]], dimension: str) -> Column:
-    wanted = F.filter(entries, lambda e: fold(e["key"]).isin(keys))
-    return F.flatten(F.transform(wanted, lambda e: _found(e["value"], pairs, dimension, F.concat(F.lit("spec:"), e["key"]))))
+def _label_keys(dimensions: tuple[str, ...], labels: dict[str, tuple[str, ...]]) -> dict[str, list[str]]:
+    """Folded spec labels of each dimension that has any."""
+    keys = {d: [k for k, dims in labels.items() if d in dims] for d in (*dimensions, "audience")}
+    return {d: k for d, k in keys.items() if k}
 
 
-def spec_tags(raw_specs: Column, dictionary: Dictionary, labels: dict[str, tuple[str, ...]] = SPEC_DIMENSIONS) -> Column:
+def spec_tags(raw_specs: Column, dimensions: tuple[str, ...], match: Match, labels: dict[str, tuple[str, ...]] = SPEC_DIMENSIONS) -> Column:
     """Spec values, each matched only against the dimension(s) its label speaks about, store aliases included."""
     entries = F.map_entries(raw_specs)
-    audience = [(fold_py(w), code) for (d, code), words in CATEGORY_WORDS.items() if d == "audience" for w in words]
-    parts = []
-    for dimension in (*dictionary.dimensions, "audience"):
-        keys = [k for k, dims in labels.items() if dimension in dims]
-        if not keys:
-            continue
-        pairs = audience if dimension == "audience" else dictionary.spec_pairs(dimension)
-        parts.append(_scoped(entries, keys, pairs, dimension))
+
+    def of(dimension: str, keys: list[str]) -> Column:
+        wanted = F.filter(entries, lambda e: fold(e["key"]).isin(keys))
+        return F.flatten(F.transform(wanted, lambda e: _found(e["value"], match, f"spec:{dimension}", dimension, F.concat(F.lit("spec:"), e["key"]))))
+
+    parts = [of(dimension, keys) for dimension, keys in _label_keys(dimensions, labels).items()]
     return F.coalesce(F.concat(*parts), _empty())
 
 
-def text_tags(name: Column, flags: str, dictionary: Dictionary) -> Column:
+def text_tags(name: Column, flags: str, dimensions: tuple[str, ...], match: Match) -> Column:
     """Description (shapes only), material, categories and name, in that order of trust."""
     at = lambda key: F.col(f"{flags}.{key}")
     out = []
-    if "shape" in dictionary.dimensions:
-        out.append(_found(at("description"), dictionary.spec_pairs("shape", True), "shape", F.lit("description")))
-    if "material" in dictionary.dimensions:
-        out.append(_found(at("material"), dictionary.spec_pairs("material"), "material", F.lit("material")))
-    words = [(fold_py(w), f"{d}/{c}") for (d, c), ws in CATEGORY_WORDS.items() for w in ws]
-    out.append(F.transform(match_phrases(fold(at("categories")), phrase_index(words)), lambda m: _tag(
+    if "shape" in dimensions:
+        out.append(_found(at("description"), match, "spec-free:shape", "shape", F.lit("description")))
+    if "material" in dimensions:
+        out.append(_found(at("material"), match, "spec:material", "material", F.lit("material")))
+    out.append(F.transform(match(at("categories"), "category"), lambda m: _tag(
         F.get(F.split(m["code"], "/"), F.lit(0)), F.get(F.split(m["code"], "/"), F.lit(1)), F.lit("categories"), m["phrase"], F.lit(None).cast("string"))))
-    out += [_found(at("categories"), dictionary.pairs(d, True), d, F.lit("categories")) for d in dictionary.dimensions]
-    out += [_found(name, dictionary.pairs(d, True), d, F.lit("name")) for d in dictionary.dimensions]
+    out += [_found(at("categories"), match, f"free:{d}", d, F.lit("categories")) for d in dimensions]
+    out += [_found(name, match, f"free:{d}", d, F.lit("name")) for d in dimensions]
     return F.concat(*out)
 
 
-def layer_tags(layers: Column, code: Column, pairs: list[tuple[str, str]]) -> Column:
+def layer_tags(layers: Column, code: Column, match: Match) -> Column:
     """A layered variant: a tag per layer's family, two_tone unless every layer is the same known family, and a combination tag
     of the sorted distinct families when every layer has one."""
-    found = F.transform(layers, lambda x: match_phrases(fold(x), phrase_index(pairs)))
+    found = F.transform(layers, lambda x: match(x, "spec:color"))
     color, layer, whole = F.lit("color"), F.lit("variant-layer"), F.lit("variant-layers")
     term = F.substring(fold(F.array_join(layers, " / ")), 1, 100)
 
@@ -101,20 +119,44 @@ def layer_tags(layers: Column, code: Column, pairs: list[tuple[str, str]]) -> Co
     return let(found, build)
 
 
-def variant_tags(variants: Column, dictionary: Dictionary) -> Column:
-    """Variant colour labels; the tag keeps the variant's own code. Variants without a code give nothing."""
-    pairs = dictionary.spec_pairs("color")
+def _layers(v: Column) -> Column:
+    return F.filter(F.coalesce(v["layers"], F.array().cast("array<string>")), lambda x: x.isNotNull())
+
 
+def variant_tags(variants: Column, match: Match) -> Column:
+    """Variant colour labels; the tag keeps the variant's own code. Variants without a code give nothing."""
     def one(v: Column) -> Column:
         code = supplier_code(v["code"])
-        layers = F.filter(F.coalesce(v["layers"], F.array().cast("array<string>")), lambda x: x.isNotNull())
-        named = F.when(v["color"].isNotNull(), _found(v["color"], pairs, "color", F.lit("variant"), code)).otherwise(_empty())
-        layered = F.when(F.size(layers) >= 2, layer_tags(layers, code, pairs)).otherwise(_empty())
+        layers = _layers(v)
+        named = F.when(v["color"].isNotNull(), _found(v["color"], match, "spec:color", "color", F.lit("variant"), code)).otherwise(_empty())
+        layered = F.when(F.size(layers) >= 2, layer_tags(layers, code, match)).otherwise(_empty())
         return F.when(code.isNotNull(), F.concat(named, layered)).otherwise(_empty())
 
     return F.coalesce(F.flatten(F.transform(variants, one)), _empty())
 
 
+def product_texts(dimensions: tuple[str, ...], labels: dict[str, tuple[str, ...]] = SPEC_DIMENSIONS) -> Column:
+    """Every text of a product (name, flags) with each group of phrases it is matched against: array of structs (group, folded)."""
+    entry = lambda group, text: F.struct(F.lit(group).alias("group"), F.coalesce(fold(text), F.lit("")).alias("folded"))
+    none = F.array().cast("array<struct<group:string,folded:string>>")
+    at = lambda key: F.col(f"flags.{key}")
+    out = [F.array(entry("category", at("categories")), *[entry(f"free:{d}", c) for d in dimensions for c in (at("categories"), F.col("name"))])]
+
+    def stated(dimension: str, keys: list[str]) -> Column:
+        wanted = F.filter(F.map_entries(at("raw_specs")), lambda e: fold(e["key"]).isin(keys))
+        return F.coalesce(F.transform(wanted, lambda e: entry(f"spec:{dimension}", e["value"])), none)
+
+    out += [stated(d, keys) for d, keys in _label_keys(dimensions, labels).items()]
+    if "shape" in dimensions:
+        out.append(F.array(entry("spec-free:shape", at("description"))))
+    if "material" in dimensions:
+        out.append(F.array(entry("spec:material", at("material"))))
+    if "color" in dimensions:
+        words = F.flatten(F.transform(at("variants"), lambda v: F.concat(F.array(v["color"]), _layers(v))))
+        out.append(F.coalesce(F.transform(F.filter(words, lambda x: x.isNotNull()), lambda x: entry("spec:color", x)), none))
+    return F.concat(*out)
+
+
 def first_per_key(tags: Column) -> Column:
     """The first tag of each (dimension, code, supplier code); an uncoded tag goes when its attribute has coded ones."""
     same = lambda a, b: (a["dimension"] == b["dimension"]) & (a["code"] == b["code"])
@@ -126,12 +168,19 @@ def first_per_key(tags: Column) -> Column:
 
 
 def tag_products(products: DataFrame, dictionary: Dictionary, rules_version: int = 1,
-                 labels: dict[str, tuple[str, ...]] = SPEC_DIMENSIONS) -> DataFrame:
+                 labels: dict[str, tuple[str, ...]] = SPEC_DIMENSIONS, phrases: DataFrame | None = None) -> DataFrame:
     """product_tags rows of products (id, name, flags). The order of trust is specs, description, material, categories, name;
-    variants add coded tags. Runs anew over all products after a rules change; `history.tag_changes` gives the difference."""
-    parts = [spec_tags(F.col("flags.raw_specs"), dictionary, labels), text_tags(F.col("name"), "flags", dictionary)]
-    if "color" in dictionary.dimensions:
-        parts.append(variant_tags(F.col("flags.variants"), dictionary))
+    variants add coded tags. Runs anew over all products after a rules change; `history.tag_changes` gives the difference.
+
+    With `phrases` (group, phrase, code; see `phrases.phrase_table`) a dictionary of any size is joined, and each distinct text is matched once; without,
+    the dictionary's phrases are a literal and products stay where they are."""
+    dimensions = dictionary.dimensions
+    match = literal_match(dictionary) if phrases is None else joined_match
+    if phrases is not None:
+        products = matched_texts(products, "id", product_texts(dimensions, labels), phrases)
+    parts = [spec_tags(F.col("flags.raw_specs"), dimensions, match, labels), text_tags(F.col("name"), "flags", dimensions, match)]
+    if "color" in dimensions:
+        parts.append(variant_tags(F.col("flags.variants"), match))
     hexes = color_tiers(dictionary)
     color = F.col("t.dimension") == "color"
     return (products.select(F.col("id").alias("product_id"), F.explode(first_per_key(F.concat(*parts))).alias("t"))

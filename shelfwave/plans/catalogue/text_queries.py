@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shelfwave.functions import text as X
 from shelfwave.functions import urls as U
 from shelfwave.operators import annotations as A, tagging as G
+from shelfwave.operators.phrases import phrase_table
 from shelfwave.plans.oracle_views import with_views
 from shelfwave.plans.registry import query
 from shelfwave.sources import samples as S
@@ -66,8 +67,11 @@ def tag_sql() -> str:
     brand = "lower(replace(p_brand, '#', ' '))"
     parts += [steps(brand, PARTS.spec_pairs("color"), "s_color", "(SELECT * FROM part WHERE p_size % 2 = 0)"),
               steps(brand, PARTS.spec_pairs("material"), "s_material", "(SELECT * FROM part WHERE p_size % 3 = 0)")]
+    parts += [steps("lower(p_name)", PARTS.spec_pairs("shape", True), "d_shape", "(SELECT * FROM part WHERE p_partkey % 5 = 0)"),
+              steps("lower(p_name || ' ' || replace(p_brand, '#', ' '))", PARTS.spec_pairs("material"), "t_material", "(SELECT * FROM part WHERE p_size % 7 = 0)")]
     unions = [f"SELECT p_partkey AS product_id, '{d}' AS dimension, code, 'spec:{k}' AS field, phrase, 0 AS o, n FROM s_{d}"
               for d, k in (("color", "Couleur"), ("material", "Matière"))]
+    unions += ["SELECT p_partkey, 'shape', code, 'description', phrase, 1, n FROM d_shape", "SELECT p_partkey, 'material', code, 'material', phrase, 2, n FROM t_material"]
     unions.append("SELECT p_partkey, 'product_type', CASE WHEN p_partkey % 2 = 0 THEN 'optical' ELSE 'sun' END, 'categories', "
                   "CASE WHEN p_partkey % 2 = 0 THEN 'optique' ELSE 'soleil' END, 3, 0 FROM part")
     unions += [f"SELECT p_partkey, '{d}', code, 'name', phrase, 5, n FROM m_{d}" for d in PARTS.dimensions]
@@ -78,20 +82,41 @@ def tag_sql() -> str:
 def tagged_parts(spark, sf):
     specs = F.map_filter(F.create_map(F.lit("Couleur"), F.when(F.pmod("p_size", F.lit(2)) == 0, F.col("p_brand")),
                                       F.lit("Matière"), F.when(F.pmod("p_size", F.lit(3)) == 0, F.col("p_brand"))), lambda k, v: v.isNotNull())
-    text = F.lit(None).cast("string")
     return S.spread(S.load(spark, sf, "part")).select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.struct(
-            specs.alias("raw_specs"), text.alias("description"), text.alias("material"),
+            specs.alias("raw_specs"), F.when(F.pmod("p_partkey", F.lit(5)) == 0, F.col("p_name")).alias("description"),
+            F.when(F.pmod("p_size", F.lit(7)) == 0, F.concat_ws(" / ", "p_name", "p_brand")).alias("material"),
             F.when(F.pmod("p_partkey", F.lit(2)) == 0, "Optique").otherwise("Soleil").alias("categories"),
             F.array(F.struct(F.concat(F.lit(" C"), F.col("p_size"), F.lit(" ")).alias("code"), F.col("p_brand").alias("color"),
                              F.array(F.get(F.split("p_name", " "), F.lit(0)), F.lit("Blue"), F.when(F.pmod("p_size", F.lit(5)) == 0, "zebra")).alias("layers"))).alias("variants")).alias("flags"))
 
 
-@query("product_tags_by_rules", tag_sql())
+# Variants of the sample: the brand as colour, layers of the first word of the part name, "Blue" and sometimes an unknown one.
+VARIANT_SQL = """v AS (SELECT p_partkey AS product_id, 'C' || p_size AS sc, p_size % 5 = 0 AS zebra, p_brand = 'Brand#9' AS nine, split_part(p_name, ' ', 1) AS w,
+  CASE split_part(p_name, ' ', 1) WHEN 'red' THEN 'red' WHEN 'blue' THEN 'blue' WHEN 'hot' THEN 'warm' WHEN 'old' THEN 'grey' END AS f FROM part),
+vt AS (SELECT product_id, 'color' AS dimension, 'blue' AS code, 'variant' AS field, 'brand 9' AS term, sc, 700 AS o FROM v WHERE nine
+  UNION ALL SELECT product_id, 'color', f, 'variant-layer', w, sc, 800 FROM v WHERE f IS NOT NULL
+  UNION ALL SELECT product_id, 'color', 'blue', 'variant-layer', 'blue', sc, 801 FROM v
+  UNION ALL SELECT product_id, 'color', 'two_tone', 'variant-layers', w || ' blue' || CASE WHEN zebra THEN ' zebra' ELSE '' END, sc, 900 FROM v WHERE NOT coalesce(f = 'blue' AND NOT zebra, false)
+  UNION ALL SELECT product_id, 'lamination', least(f, 'blue') || '+' || greatest(f, 'blue'), 'variant-layers', w || ' blue', sc, 901 FROM v WHERE f <> 'blue' AND NOT zebra)"""
+TAGS_SQL = f"""WITH base AS ({tag_sql()}), {VARIANT_SQL},
+every AS (SELECT product_id, dimension, code, field, term, NULL AS supplier_code FROM base
+  UNION ALL SELECT product_id, dimension, code, arg_min(field, o), arg_min(term, o), sc FROM vt GROUP BY product_id, dimension, code, sc)
+SELECT e.*, CASE WHEN dimension = 'color' THEN code END AS color_family,
+  CASE WHEN dimension = 'color' THEN CASE code WHEN 'red' THEN '#c03030' WHEN 'blue' THEN '#3050c0' WHEN 'warm' THEN '#e08020' WHEN 'grey' THEN '#808080' END END AS color_hex
+FROM every e WHERE supplier_code IS NOT NULL OR (product_id, dimension, code) NOT IN (SELECT (product_id, dimension, code) FROM vt)"""
+
+
+@query("product_tags_by_rules", TAGS_SQL)
 def product_tags_by_rules(spark, sf):
-    rows = tagged_parts(spark, sf).withColumn("flags", F.col("flags").withField("variants", F.lit(None).cast(
-        "array<struct<code:string,color:string,layers:array<string>>>")))
-    return G.tag_products(rows, PARTS).select("product_id", "dimension", "code", "field", "term")
+    """All tags of all products, with their sources; the dictionary is a literal of the plan."""
+    return G.tag_products(tagged_parts(spark, sf), PARTS).drop("rules_version")
+
+
+@query("product_tags_by_index", TAGS_SQL)
+def product_tags_by_index(spark, sf):
+    """The same with the dictionary as a joined table."""
+    return G.tag_products(tagged_parts(spark, sf), PARTS, phrases=phrase_table(spark, PARTS)).drop("rules_version")
 
 
 # The rules before the last change: no round shape yet.
@@ -116,17 +141,9 @@ def retag_difference(spark, sf):
     return G.retagged(rows, stored, PARTS, 2)[1].select("product_id", "dimension", "code", "change")
 
 
-# Layers of the sample variants: first word of the part name, "Blue" and sometimes an unknown one.
-@query("variant_tags_by_rules", """
-WITH v AS (SELECT p_partkey AS product_id, 'C' || p_size AS supplier_code, p_size % 5 = 0 AS zebra,
-  CASE split_part(p_name, ' ', 1) WHEN 'red' THEN 'red' WHEN 'blue' THEN 'blue' WHEN 'hot' THEN 'warm' WHEN 'old' THEN 'grey' END AS f,
-  p_brand = 'Brand#9' AS nine FROM part),
-t AS (SELECT product_id, supplier_code, 'color' AS dimension, f AS code FROM v WHERE f IS NOT NULL
-  UNION SELECT product_id, supplier_code, 'color', 'blue' FROM v
-  UNION SELECT product_id, supplier_code, 'color', 'two_tone' FROM v WHERE NOT (f = 'blue' AND NOT zebra) OR f IS NULL
-  UNION SELECT product_id, supplier_code, 'lamination', least(f, 'blue') || '+' || greatest(f, 'blue') FROM v WHERE f <> 'blue' AND NOT zebra)
-SELECT * FROM t""")
+@query("variant_tags_by_rules", f"SELECT product_id, supplier_code, dimension, code FROM ({TAGS_SQL}) WHERE supplier_code IS NOT NULL")
 def variant_tags_by_rules(spark, sf):
+    """The coded tags alone."""
     return G.tag_products(tagged_parts(spark, sf), PARTS).where(F.col("supplier_code").isNotNull()).select("product_id", "supplier_code", "dimension", "code")
 
 
@@ -139,30 +156,60 @@ def color_tiers(spark, sf):
     return S.load(spark, sf, "part").select("p_partkey", code.alias("code"), G.color_tiers(PARTS)[code].alias("hex"), X.supplier_code(raw).alias("supplier_code"))
 
 
-@query("document_mentions", "WITH f AS (SELECT doc_id, " + FOLD.format("text") + " AS x FROM documents),\n" + ",\n".join(
+def free_phrases(spark, dictionary):
+    """The free-text phrases of a dictionary as a table, by dimension."""
+    rows = phrase_table(spark, dictionary).where(F.col("group").startswith("free:"))
+    return rows.withColumn("group", F.substring_index("group", ":", -1))
+
+
+MENTIONS_SQL = ("WITH f AS (SELECT doc_id, " + FOLD.format("text") + " AS x FROM documents),\n" + ",\n".join(
     steps("x", WORDS.pairs(d, True), f"m_{d}", "f") for d in WORDS.dimensions) + "\n" + " UNION ALL ".join(
     f"SELECT doc_id AS document_id, '{d}' AS dimension, code, arg_min(phrase, n) AS term FROM m_{d} GROUP BY 1, 2, 3" for d in WORDS.dimensions))
-def document_mentions(spark, sf):
-    docs = S.spread(S.load(spark, sf, "documents")).select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("title"), "text",
+
+
+def word_documents(spark, sf):
+    return S.spread(S.load(spark, sf, "documents")).select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("title"), "text",
                                                  F.lit(None).cast("timestamp").alias("published_at"), F.lit("2024-01-02").cast("timestamp").alias("collected_at"))
-    return A.detect_mentions(docs, WORDS).select("document_id", "dimension", "code", "term")
+
+
+@query("document_mentions", MENTIONS_SQL)
+def document_mentions(spark, sf):
+    return A.detect_mentions(word_documents(spark, sf), WORDS).select("document_id", "dimension", "code", "term")
+
+
+@query("document_mentions_by_index", MENTIONS_SQL)
+def document_mentions_by_index(spark, sf):
+    """The same with the dictionary as a joined table."""
+    return A.mentions_by_index(word_documents(spark, sf), free_phrases(spark, WORDS)).select("document_id", "dimension", "code", "term")
 
 
 NEAR = Dictionary({"color": "Couleur"}, (Item("color", "red", "Rouge", ("red",), hex="#c03030"), Item("color", "blue", "Bleu", ("blue",), hex="#3050c0")))
 
 
-@query("mention_stances", f"""
+STANCES_SQL = """
 WITH p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS c, p_partkey % 12 AS n, p_size % 12 AS m, ' ' || repeat('y', 70) AS f FROM part)
 SELECT p_partkey AS document_id, 'color' AS dimension, c AS code, CASE WHEN n <= 7 AND m > 7 THEN 'rising' WHEN n > 7 AND m <= 7 THEN 'declining' ELSE 'neutral' END AS stance,
   trim(CASE WHEN n <= 7 THEN 'rising' ELSE '' END || repeat(f, least(n, 8)) || ' ' || c || repeat(f, least(m, 8)) || CASE WHEN m <= 7 THEN ' fading' ELSE '' END) AS evidence,
-  '2024-01-02' AS occurred_on, c AS term FROM p WHERE c IN ('red', 'blue')""")
+  '2024-01-02' AS occurred_on, c AS term FROM p WHERE c IN ('red', 'blue')"""
+
+
+@query("mention_stances", STANCES_SQL)
 def mention_stances(spark, sf):
+    return near_mentions(spark, sf, lambda docs: A.detect_mentions(docs, NEAR))
+
+
+@query("mention_stances_by_index", STANCES_SQL)
+def mention_stances_by_index(spark, sf):
+    return near_mentions(spark, sf, lambda docs: A.mentions_by_index(docs, free_phrases(spark, NEAR)))
+
+
+def near_mentions(spark, sf, detect):
     """One text per part: a stance word, long words, the colour, long words, the other stance word."""
     filler = lambda n: F.repeat(F.lit(" " + "y" * 70), n.cast("int"))
     text = F.concat(F.lit("Rising"), filler(F.pmod("p_partkey", F.lit(12))), F.lit(" "), F.get(F.split("p_name", " "), F.lit(0)), filler(F.pmod("p_size", F.lit(12))), F.lit(" fading."))
     docs = S.load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lit(None).cast("string").alias("title"), text.alias("text"),
                                             F.lit(None).cast("timestamp").alias("published_at"), F.lit("2024-01-02").cast("timestamp").alias("collected_at"))
-    return A.detect_mentions(docs, NEAR).withColumn("occurred_on", F.col("occurred_on").cast("string"))
+    return detect(docs).withColumn("occurred_on", F.col("occurred_on").cast("string"))
 
 
 @query("topic_candidates", r"""
