@@ -12,22 +12,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelfwave.llm.common import kept_columns, mix
+from shelfwave.llm.sharing import MOST_FREQUENT, frequent_codes, shared_codes, slices
 from shelfwave.session import cut_lineage
 
 LENGTH, GRAM = 50, 20  # bytes of a string, bytes of an anchor
 BLOCK = 1 << 20  # bytes of a text hashed at once
-SLICE = 4 << 20  # bytes of texts whose anchors are sent together
+SLICE = 4 << 20  # bytes of texts cut at once
 STRETCH = 64  # strings of one stretch at most
 CHUNK = 1 << 20  # bytes of stretches indexed together, and the group of the last anchor
-HOT = 20_000  # rows with one anchor, up to which its stretches meet in one task
-MOST_HOT = 1 << 20  # anchors beyond that which every task is told: 8 MB
+HOT = 50_000  # rows with one anchor, up to which its stretches (some 7 MB) meet in one task
 PARTS = 8  # parts of the anchors for each shuffle partition
 
 
@@ -151,120 +150,42 @@ class RunIndex:
         return out
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with texts of about `most` bytes."""
-    for batch in batches:
-        upto, start = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64)), 0
-        while start < batch.num_rows:
-            end = max(start + 1, int(np.searchsorted(upto, most + (upto[start - 1] if start else 0), "right")))
-            yield batch.slice(start, end - start)
-            start = end
-
-
-def _runs(starts: np.ndarray) -> np.ndarray:
-    """Sorted numbers as runs (first, last + 1)."""
-    if not len(starts):
-        return np.zeros((0, 2), np.int64)
-    gap = np.flatnonzero(np.diff(starts) > 1)
-    return np.stack([starts[np.concatenate([[0], gap + 1])], starts[np.concatenate([gap, [len(starts) - 1]])] + 1], axis=1)
-
-
-def _marked(begin: np.ndarray, many: np.ndarray, off: np.ndarray) -> list[bytes]:
-    """Of each stretch the runs of starts whose place in `off` (all stretches' strings in order) is set, as bytes of 32-bit numbers."""
-    out, at = [], 0
-    for b, m in zip(begin.tolist(), many.tolist(), strict=True):
-        here = off[at:at + m]
-        at += m
-        out.append(np.array([[b, b + m]], "<u4").tobytes() if here.all() else (_runs(np.flatnonzero(here)) + b).astype("<u4").tobytes() if here.any() else b"")
-    return out
-
-
-def _anchored(rows: DataFrame, length: int, parts: int) -> DataFrame:
-    """(key, rid, found): of each text the codes of anchors that other rows have too, and (code, rows) of anchors in over HOT rows.
-
-    Anchors that several rows of a slice share are known to be shared at once: they travel as one number with a count. All others go to their part with
-    their row, so no task gets the rows of a frequent anchor."""
-    fields = "part int, low binary, row binary, ids binary, known binary, times binary, key bigint, rid bigint, found binary"
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _texts(batches, 2, SLICE):
-            keys, rids = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            own = [np.unique(_codes(anchors(t.as_py().encode(), length)[0], parts)) for t in batch.column(2)]
-            row, code = np.repeat(np.arange(len(own)), list(map(len, own))), np.concatenate(own)
-            order = np.argsort(code, kind="stable")
-            row, code = row[order], code[order]
-            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-            times = np.diff(np.append(first, len(code)))
-            several = np.repeat(times > 1, times)
-            out: list[tuple] = []
-            many_code, many_times = code[first[times > 1]], times[times > 1]
-            lone_code, lone_row = code[~several], row[~several]
-            both = np.unique(np.concatenate([many_code, lone_code]) >> 32)
-            for part in both.tolist():
-                a, b = np.searchsorted(lone_code, (part << 32, (part + 1) << 32))
-                c, d = np.searchsorted(many_code, (part << 32, (part + 1) << 32))
-                used, at = np.unique(lone_row[a:b], return_inverse=True)
-                out.append((part, lone_code[a:b].astype("<u4").tobytes(), at.astype("<u4").tobytes(), np.stack([keys[used], rids[used]], axis=1).astype("<i8").tobytes(),
-                            many_code[c:d].astype("<u4").tobytes(), many_times[c:d].astype("<u4").tobytes(), None, None, None))
-            by = np.argsort(row[several], kind="stable")
-            shared_row, shared_code = row[several][by], code[several][by]
-            for r in np.unique(shared_row).tolist():
-                a, b = np.searchsorted(shared_row, (r, r + 1))
-                out.append((int(rids[r]) % parts, None, None, None, None, None, int(keys[r]), int(rids[r]), shared_code[a:b].astype("<i8").tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
-
-    def judged(part: int, low: list, row: list, ids: list, known: list, times: list) -> pa.RecordBatch:
-        base = np.cumsum([0, *[len(i) for i in ids]])
-        at = np.concatenate([r.astype(np.int64) + b for r, b in zip(row, base, strict=False)])
-        code, n = np.unique(np.concatenate([*low, *known]), return_counts=True)
-        n -= np.bincount(np.searchsorted(code, np.concatenate(known)), minlength=len(code))
-        np.add.at(n, np.searchsorted(code, np.concatenate(known)), np.concatenate(times))
-        lone = np.concatenate(low)
-        lone_at = np.searchsorted(code, lone)
-        keep = n[lone_at] > 1
-        named = np.concatenate(ids)[at[keep]]
-        order = np.lexsort((lone[keep], named[:, 1], named[:, 0]))
-        named, full = named[order], lone[keep][order].astype(np.int64) + (part << 32)
-        cut = np.flatnonzero(np.any(named[1:] != named[:-1], axis=1)) + 1 if len(named) else np.zeros(0, np.int64)
-        some = named[np.concatenate([[0], cut])] if len(named) else named
-        found = [x.astype("<i8").tobytes() for x in np.split(full, cut)] if len(named) else []
-        hot = n > HOT
-        m, k = len(found), int(hot.sum())
-        return pa.RecordBatch.from_arrays([pa.array([*some[:, 0].tolist(), *[None] * k], pa.int64()), pa.array([*some[:, 1].tolist(), *[None] * k], pa.int64()), pa.array([*found, *[None] * k], pa.binary()),
-                                           pa.array([*[None] * m, *(code[hot].astype(np.int64) + (part << 32)).tolist()], pa.int64()), pa.array([*[None] * m, *n[hot].tolist()], pa.int64())], ["key", "rid", "found", "code", "rows"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, ([], [], [], [], [])
-        for batch in batches:  # sorted by part
-            past = batch.filter(pa.array(batch.column(8).is_valid()))
-            if past.num_rows:
-                yield pa.RecordBatch.from_arrays([*past.columns[6:9], pa.nulls(past.num_rows, pa.int64()), pa.nulls(past.num_rows, pa.int64())], ["key", "rid", "found", "code", "rows"])
-            rest = batch.filter(pa.array(batch.column(8).is_null()))
-            for part, *blobs in zip(*(c.to_pylist() for c in rest.columns[:6]), strict=True):
-                if part != last and held[0]:
-                    yield judged(last, *held)
-                    held = ([], [], [], [], [])
-                last = part
-                for into, b, kind in zip(held, blobs, ("<u4", "<u4", "<i8", "<u4", "<u4"), strict=True):
-                    values = np.frombuffer(b, kind)
-                    into.append(values.reshape(-1, 2) if kind == "<i8" else values)
-        if held[0]:
-            yield judged(last, *held)
-
-    arrow = to_arrow_schema(T.StructType.fromDDL(fields))
-    return cut_lineage(rows.select("key", "rid", "text").mapInArrow(send, fields).repartition("part").sortWithinPartitions("part").mapInArrow(gather, "key bigint, rid bigint, found binary, code bigint, rows bigint"))
-
-
-def _hot(found: DataFrame, most: int) -> np.ndarray:
-    """Codes of the anchors in most rows, at most `most`: those above HOT, or above the least power of two times it that leaves few enough."""
-    hot, bound = found.where("code is not null").select("code", "rows"), HOT
-    while hot.where(F.col("rows") > bound).count() > most:
-        bound *= 2
-    return np.sort(hot.where(F.col("rows") > bound).toArrow().column("code").to_numpy())
-
-
-def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, with_text: bool = False, most_hot: int = MOST_HOT) -> DataFrame:
+def _spans(begin: np.ndarray, many: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of starts whose place in `off` (all stretches' strings in order) is set: stretch of each run, and first * 2^32 + last + 1."""
+    base = np.cumsum(many) - many
+    edge = np.zeros(len(off) + 1, bool)
+    edge[base] = edge[-1] = True
+    first = np.flatnonzero(off & (edge[:-1] | ~np.concatenate([[False], off[:-1]])))
+    last = np.flatnonzero(off & (edge[1:] | ~np.concatenate([off[1:], [False]])))
+    of = np.searchsorted(base, first, "right") - 1
+    shift = begin[of] - base[of]
+    return of, ((first + shift) << 32) | (last + 1 + shift)
+
+
+def marked(raw: list[bytes], code: np.ndarray, key: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (stretch, anchor, document, start) that hold all rows of their anchors: row and span of each run of strings that a smaller document has."""
+    place: dict[tuple, int] = {}
+    at = np.array([place.setdefault(x, len(place)) for x in zip(code.tolist(), raw, strict=True)])
+    owner = np.full(len(place), np.iinfo(np.int64).max)
+    np.minimum.at(owner, at, key)
+    group = np.array([c for c, _ in place])
+    many = np.array([len(b) for _, b in place]) - (length - 1)
+    upto = np.cumsum(many)
+    least = np.repeat(owner, many)
+    # an anchor with one stretch has nothing to index: its strings are nowhere else
+    _, which, sizes = np.unique(group, return_inverse=True, return_counts=True)
+    several = sizes[which] > 1
+    if several.any():
+        text = np.frombuffer(b"".join([b for (_, b), s in zip(place, several.tolist(), strict=True) if s]), np.uint8)
+        some = many[several]
+        begin = np.cumsum(some + length - 1) - (some + length - 1)
+        least[np.repeat(several, many)] = RunIndex.of(text, begin, some, owner[several], length).least_owners(text, begin, some)
+    own = many[at]
+    here = np.repeat(upto[at] - np.cumsum(own), own) + np.arange(own.sum())
+    return _spans(start, own, least[here] < np.repeat(key, own))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, with_text: bool = False, most_hot: int = MOST_FREQUENT) -> DataFrame:
     """The kept columns, n_bytes, n_removed, n_spans and kept_sha256 of every row, where a byte is removed if a string of `length` bytes over it also starts
     in a row of a smaller key; `with_text` adds the rest of the text as `kept` (binary: a cut may part a character).
 
@@ -281,90 +202,83 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", k
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     source = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carried)], F.col(f"`{key}`").cast("long").alias("key"), whole.alias("text"), F.xxhash64(whole).alias("rid"), F.xxhash64(F.lit(1), whole).alias("rid2"))
     long_ = source.where((F.octet_length("text") >= length) & F.col("key").isNotNull())
-    found = _anchored(long_, length, parts)
-    hot = spark.sparkContext.broadcast(_hot(found, most_hot))
+    anchored = lambda t: np.unique(_codes(anchors(t.encode(), length)[0], parts))
+    found = shared_codes(long_.select("key", "rid", F.col("text").alias("value")), anchored, parts, HOT, narrow=True)
+    hot = spark.sparkContext.broadcast(frequent_codes(found, most_hot))
     heads = long_.groupBy("rid", "rid2").agg(F.min("key").alias("least"))
     named = cut_lineage(long_.select("key", "rid", "rid2").distinct().join(heads, ["rid", "rid2"]).select("key", "rid", (F.col("key") > F.col("least")).alias("copy")))
     wanted = (found.where("found is not null").groupBy("key", "rid").agg(F.collect_set("found").alias("found")).join(named.where("not copy").select("key", "rid"), ["key", "rid"]))
 
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, last = hot.value, None
-        for batch in _texts(batches, batch_text, SLICE):
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for k, r, t, f in zip(*(batch.column(c).to_pylist() for c in (*range(batch_text - 2, batch_text), batch_text, batch_text + 1)), strict=True):
-                if f is None or (k, r) == last:  # nothing shared, or a repeated row
-                    continue
-                last = k, r
-                raw = t.encode()
-                h, first, many = anchors(raw, length)
-                code = _codes(h, parts)
-                here = np.isin(code, np.concatenate([np.frombuffer(b, "<i8") for b in f]))
-                often = np.isin(code[here], frequent)
-                for c, s, m, o in zip(code[here].tolist(), first[here].tolist(), many[here].tolist(), often.tolist(), strict=True):
-                    for into, v in zip(out, (c, raw[s:s + m + length - 1], k, r, s, o), strict=True):
-                        into.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, stretch_schema, strict=True)], schema=stretch_schema)
-
-    stretch_fields = "code bigint, bytes binary, key bigint, rid bigint, start bigint, often boolean"
+    def stretches(often: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            frequent, last = hot.value, None
+            for batch in slices(batches, batch_text, SLICE):
+                out: tuple[list, ...] = ([], [], [], [], [])
+                for k, r, t, f in zip(*(batch.column(c).to_pylist() for c in (batch_text - 2, batch_text - 1, batch_text, batch_text + 1)), strict=True):
+                    if f is None or (k, r) == last:  # nothing shared, or a repeated row
+                        continue
+                    last = k, r
+                    codes = np.concatenate([np.frombuffer(b, "<i8") for b in f])
+                    codes = codes[np.isin(codes, frequent) == often]
+                    if not len(codes):
+                        continue
+                    raw = t.encode()
+                    h, first, many = anchors(raw, length)
+                    code = _codes(h, parts)
+                    here = np.isin(code, codes)
+                    first = first[here]
+                    for into, v in zip(out, (code[here].tolist(), [raw[a:b] for a, b in zip(first.tolist(), (first + many[here] + length - 1).tolist(), strict=True)],
+                                             [k] * len(first), [r] * len(first), first.tolist()), strict=True):
+                        into += v
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, stretch_schema, strict=True)], schema=stretch_schema)
+
+        return run
+
+    stretch_fields = "code bigint, bytes binary, key bigint, rid bigint, start bigint"
     stretch_schema = to_arrow_schema(T.StructType.fromDDL(stretch_fields))
-    # both joins to the texts are alike, so Spark moves the texts once and reads them twice
+    # all joins to the texts are alike, so Spark moves the texts once and reads them again
     names, batch_text = [*(f"c{k}" for k in range(len(carried))), "key", "rid", "text"], len(carried) + 2
-    met = source.join(wanted, ["key", "rid"], "left").select(*names, "found").mapInArrow(stretches, stretch_fields)
+    met = lambda often: source.join(wanted, ["key", "rid"], "left").select(*names, "found").mapInArrow(stretches(often), stretch_fields)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def marks(columns: list[list]) -> pa.RecordBatch:
-            _, raw, keys, rids, starts = columns
-            place: dict[bytes, int] = {}
-            at = np.array([place.setdefault(b, len(place)) for b in raw])
-            owners = np.array(keys, np.int64)
-            owner = np.full(len(place), np.iinfo(np.int64).max)
-            np.minimum.at(owner, at, owners)
-            many = np.array([len(b) - length + 1 for b in place], np.int64)
-            size = many + length - 1
-            begin, joined = np.cumsum(size) - size, np.frombuffer(b"".join(place), np.uint8)
-            least = RunIndex.of(joined, begin, many, owner, length).least_owners(joined, begin, many)
-            # each occurrence looks at its own stretch's strings
-            upto = np.cumsum(many)
-            many_at = many[at]
-            here = np.repeat(upto[at] - np.cumsum(many_at), many_at) + np.arange(many_at.sum())
-            off = least[here] < np.repeat(owners, many_at)
-            spans = _marked(np.array(starts, np.int64), many_at, off)
-            hit = [k for k, s in enumerate(spans) if s]
-            return pa.RecordBatch.from_arrays([pa.array([keys[k] for k in hit], pa.int64()), pa.array([rids[k] for k in hit], pa.int64()), pa.array([spans[k] for k in hit], pa.binary())], ["key", "rid", "spans"])
-
-        held, size, last = [[] for _ in range(5)], 0, None
+        def marks(raw: list, numbers: np.ndarray) -> pa.RecordBatch:
+            row, span = marked(raw, numbers[0], numbers[1], numbers[3], length)
+            return pa.RecordBatch.from_arrays([pa.array(numbers[1][row]), pa.array(numbers[2][row]), pa.array(span)], ["key", "rid", "span"])
+
+        raw, numbers, size = [], np.zeros((4, 0), np.int64), 0
         for batch in batches:  # sorted by code
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != last and size > CHUNK:
-                    yield marks(held)
-                    held, size = [[] for _ in range(5)], 0
-                last = row[0]
-                size += len(row[1])
-                for into, v in zip(held, row, strict=True):
-                    into.append(v)
-        if held[0]:
-            yield marks(held)
-
-    # the flag is spread by code: an anchor is hot in all its rows or in none
-    plain = met.where("not often").select("code", "bytes", "key", "rid", "start").repartition("code").sortWithinPartitions("code")
-    spans = plain.mapInArrow(indexed, "key bigint, rid bigint, spans binary")
+            more = batch.column(1).to_pylist()
+            raw += more
+            size += sum(map(len, more))
+            numbers = np.concatenate([numbers, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3, 4)])], axis=1)
+            if size > CHUNK:
+                whole = int(np.searchsorted(numbers[0], numbers[0][-1]))  # the last anchor may go on in the next batch
+                if whole:
+                    yield marks(raw[:whole], numbers[:, :whole])
+                    raw, numbers = raw[whole:], numbers[:, whole:]
+                    size = sum(map(len, raw))
+        if raw:
+            yield marks(raw, numbers)
+
+    plain = met(False).repartition("code").sortWithinPartitions("code")
+    spans = plain.mapInArrow(indexed, "key bigint, rid bigint, span bigint")
     if len(hot.value):
-        spans = spans.unionByName(_hot_spans(met.where("often"), length))
-    taken = named.join(spans.groupBy("key", "rid").agg(F.collect_list("spans").alias("spans")), ["key", "rid"], "left")
+        spans = spans.unionByName(_hot_spans(cut_lineage(met(True)), length))
+    taken = named.join(spans.groupBy("key", "rid").agg(F.collect_list("span").alias("spans")), ["key", "rid"], "left")
     fields = [("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string"), *([("kept", "binary")] if with_text else [])]
     schema = T.StructType([*source.schema.fields[:len(carried)], *T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in fields))])
     result = to_arrow_schema(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _texts(batches, batch_text, SLICE):
+        for batch in slices(batches, batch_text, SLICE):
             out: list[tuple] = []
             for t, copy, found_ in zip(*(batch.column(batch_text + k).to_pylist() for k in range(3)), strict=True):
                 raw, spans_ = t.encode(), np.zeros((0, 2), np.int64)
                 if copy:
                     spans_ = np.array([[0, len(raw)]])
                 elif found_:
-                    each = np.concatenate([np.frombuffer(b, "<u4").reshape(-1, 2) for b in found_]).astype(np.int64) + [0, length - 1]
-                    each = each[np.argsort(each[:, 0])]
+                    each = np.sort(np.array(found_, np.int64))
+                    each = np.stack([each >> 32, (each & 0xFFFFFFFF) + length - 1], axis=1)
                     reach = np.maximum.accumulate(each[:, 1])
                     new = np.concatenate([[True], each[1:, 0] > reach[:-1]])
                     spans_ = np.stack([each[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(each) - 1)]], axis=1)
@@ -377,7 +291,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", k
 
 
 def _hot_spans(met: DataFrame, length: int) -> DataFrame:
-    """(key, rid, spans) of stretches whose anchor is in very many rows. Equal stretches are one from the first aggregate on, then the strings of the
+    """(key, rid, span) of stretches whose anchor is in very many rows. Equal stretches are one from the first aggregate on, then the strings of the
     different ones meet by 128 bits of a hash; the way back is by joins, whose frequent keys adaptive execution splits."""
     named = met.select("key", "rid", "start", "bytes", F.xxhash64("bytes").alias("s1"), F.xxhash64(F.lit(1), "bytes").alias("s2"))
     distinct = named.groupBy("s1", "s2").agg(F.min("key").alias("owner"), F.min("bytes").alias("bytes"))
@@ -389,12 +303,13 @@ def _hot_spans(met: DataFrame, length: int) -> DataFrame:
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [])
-            for k, r, start, owner, many, off_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs = np.array([[0, many]]) if k > owner else _runs(np.sort(np.array(off_ or [], np.int64)))
-                if len(runs):
-                    for into, v in zip(out, (k, r, (runs + start).astype("<u4").tobytes()), strict=True):
-                        into.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["key", "rid", "spans"])
-
-    return named.drop("bytes").join(judged, ["s1", "s2"]).select("key", "rid", "start", "owner", "many", "off").mapInArrow(marks, "key bigint, rid bigint, spans binary")
+            key, rid, start, owner, many = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+            place = np.cumsum(many) - many
+            flags = np.repeat(key > owner, many)
+            for p, off_ in zip(place.tolist(), batch.column(5).to_pylist(), strict=True):
+                if off_:
+                    flags[p + np.array(off_)] = True
+            row, span = _spans(start, many.astype(np.int64), flags)
+            yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(rid[row]), pa.array(span)], ["key", "rid", "span"])
+
+    return named.drop("bytes").join(judged, ["s1", "s2"]).select("key", "rid", "start", "owner", "many", "off").mapInArrow(marks, "key bigint, rid bigint, span bigint")

@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from shelfwave.llm import runindex as R
+from shelfwave.llm import runindex as R, sharing
 
 SCHEMA = "doc_id long, text string, n_bytes string, key int, rid string, c0 int"
 
@@ -67,8 +67,8 @@ COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 def test_equals_sets_of_strings(spark, monkeypatch, hot, chunk, slice_, block):
     for name, value in (("HOT", hot), ("CHUNK", chunk), ("SLICE", slice_), ("BLOCK", block)):
         monkeypatch.setattr(R, name, value)
+    monkeypatch.setattr(sharing, "SLICE", slice_)
     rows = rows_of(2, 90)
-    # tasks of a local session import the module anew: the small values above hold on the driver and go with the functions that use them
     got = R.without_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), with_text=True)
     assert got.columns == ["doc_id", "text", "key", "rid", "c0", *COLUMNS[1:], "kept"]
     found = got.collect()
