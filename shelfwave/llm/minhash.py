@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from shelfwave.llm.common import map_texts, mix, word_shingles
 from shelfwave.llm.components import components
+from shelfwave.llm.sharing import frequent_codes, shared_codes, slices
 from shelfwave.session import cut_lineage
 
 LAST = 2**63 - 1
+SET_BYTES = 8 << 20  # bytes of sets taken at once
 
 
 @dataclass(frozen=True)
@@ -77,7 +79,7 @@ def _signed(docs: DataFrame, banding: Banding, text: str) -> DataFrame:
         flat = np.concatenate(out["buckets"]) if out["buckets"] else np.zeros(0, np.int64)
         return out | {"buckets": pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat))}
 
-    return map_texts(docs, sign, "n_shingles bigint, k1 bigint, k2 bigint, buckets array<bigint>", text)
+    return map_texts(docs, sign, "n_shingles bigint, k1 bigint, k2 bigint, buckets array<bigint>", text, [c for c in docs.columns if c != text])
 
 
 BITS = 1 << 26  # of the bitmap of wanted rows: 8 MB at most
@@ -132,27 +134,64 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .join(sets.select(F.col("id").alias("b"), F.col("set").alias("right")), "b").select("a", "b", "left", "right"))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                ok = []
-                for x, y in zip(part.column("left"), part.column("right"), strict=True):
-                    x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * common >= percent * (len(x) + len(y) - common))
-                yield part.select(["a", "b"]).filter(pa.array(ok))
+        for part in slices(batches, 2, SET_BYTES):
+            ok = []
+            for x, y in zip(part.column("left"), part.column("right"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield part.select(["a", "b"]).filter(pa.array(ok))
 
     return cut_lineage(both.mapInArrow(confirm, "a bigint, b bigint"))
 
 
+FREQUENT = 1000  # members with one shingle, beyond which it comes last in the order of prefixes
+
+
+def _close(members: DataFrame, sets: DataFrame, percent: int, parts_each: int = 4) -> DataFrame:
+    """Pairs (a, b) of members (id, n, c) of different components c that may be alike enough; no pair that is gets lost, whatever buckets it shares.
+
+    Two sets that alike share a shingle among the first n - ceil(share * n) + 1 of each, in any order of shingles that is the same for all. Here shingles
+    of one member come first and those of over FREQUENT members last, so members that only have a passage in common, or a frequent word, do not meet. Where
+    they do, what is left of both sets from the first common shingle on must be enough for the overlap that their sizes ask for."""
+    spark = sets.sparkSession
+    parts = parts_each * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = cut_lineage(sets.join(members, "id"))
+    found = shared_codes(own.select(F.col("id").alias("key"), F.lit(0).cast("long").alias("rid"), F.col("set").alias("value")), lambda v: np.frombuffer(v, np.int64), parts, FREQUENT)
+    often = spark.sparkContext.broadcast(frequent_codes(found))
+    told = found.where("found is not null").groupBy(F.col("key").alias("id")).agg(F.collect_list("found").alias("found"))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = often.value
+        for batch in slices(batches, 3, SET_BYTES):
+            out: dict[str, list] = {"id": [], "n": [], "c": [], "at": [], "shingle": []}
+            for i, n, c, raw, codes in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                size = n - -(-percent * n // 100) + 1
+                shared = np.unique(np.concatenate([np.frombuffer(b, "<i8") for b in codes]))
+                alone = n - len(shared)
+                if alone < size:
+                    shared = shared[np.argsort(np.isin(shared, last), kind="stable")][:size - alone]
+                    for into, v in zip(out, (i, n, c), strict=False):
+                        out[into].append(np.full(len(shared), v))
+                    out["at"].append(alone + np.arange(len(shared)))
+                    out["shingle"].append(shared)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for v in out.values()], list(out))
+
+    begin = cut_lineage(own.join(told, "id").select("id", "n", "c", "set", "found").mapInArrow(first, "id bigint, n bigint, c bigint, at bigint, shingle bigint"))
+    left, right = (begin.select("shingle", *[F.col(x).alias(f"{x}{k}") for x in ("id", "n", "c", "at")]) for k in (1, 2))
+    enough = f"{100 + percent} * least(n1 - at1, n2 - at2) >= {percent} * (n1 + n2)"
+    return (left.join(right, "shingle").where(f"id1 > id2 and c1 <> c2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2) and {enough}")
+            .select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, banding: Banding = Banding(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: __row, key, n_shingles, component_id (least key reachable, itself included) and stays (one row of each component).
+    """Per row: __row, key, n_shingles, component_id (least key reachable, itself included), stays (one row of each component) and __hash of the text.
 
     Exact once a pair shares a bucket: candidates are confirmed on whole sets, and no pair of different components that shares a bucket is left out. Rows
     are told apart by their place in the input, which must be repeatable (a table). Null, empty or blank text: no shingles, linked with nothing,
     stays. Null keys are ignored where the component has others, else component_id is null. Repeated rows are one class, of which one stays. Extra
     columns do not matter. An empty table gives an empty result."""
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("__hash"))
     signed = cut_lineage(_signed(rows, banding, "text"))
     leader = F.min(F.struct(F.coalesce("key", F.lit(LAST)).alias("least"), F.col("__row").alias("row"))).alias("leader")
     # a class of copies is one row from here on; its partial aggregates meet, not its rows
@@ -179,14 +218,12 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), text: str = "
     more = _across(pairs.select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti"), groups)
     found = _linked(more, sets, banding.percent)
     groups = _joined(groups, found)
-    # 3: members that share a crowded bucket but are of different components; one side is never of the pivot's component
+    # 3: members of crowded buckets that hold several components
     named = (crowded.join(groups.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left")
              .join(groups.select(F.col("node").alias("pivot"), F.col("component").alias("pc")), "pivot", "left")
              .select("bucket", "id", "n", F.coalesce("c", "id").alias("c"), F.coalesce("pc", "pivot").alias("pc")))
-    mixed = cut_lineage(named.join(named.where("c <> pc").select("bucket").distinct(), "bucket", "left_semi"))
-    apart = mixed.where("c <> pc").select("bucket", F.col("id").alias("a"), F.col("n").alias("pn"), F.col("c").alias("ca"))
-    rest = (apart.join(mixed.select("bucket", "id", "n", "c"), "bucket").where("c <> ca and a <> id").where(near)
-            .select(F.greatest("a", "id").alias("a"), F.least("a", "id").alias("b")).distinct().join(pairs.select("a", "b").hint("merge"), ["a", "b"], "left_anti"))
+    mixed = cut_lineage(named.join(named.where("c <> pc").select("bucket").distinct(), "bucket", "left_semi").select("id", "n", "c").distinct())
+    rest = _close(mixed, sets, banding.percent).join(pairs.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
     found = _linked(rest, sets, banding.percent)
     groups = _joined(groups, found)
 
@@ -195,8 +232,8 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), text: str = "
     placed = cut_lineage(class_of.select("k1", "k2", "c").join(heads, "c").select("k1", "k2", "head"))
     full = signed.drop("buckets")
     return (full.where("n_shingles > 0").join(placed.hint("merge"), ["k1", "k2"])
-            .select("__row", F.col("key").alias(key), "n_shingles", F.when(F.col("head.least") < LAST, F.col("head.least")).otherwise(F.col("key")).alias("component_id"), (F.col("head.row") == F.col("__row")).alias("stays"))
-            .unionByName(full.where("n_shingles = 0").select("__row", F.col("key").alias(key), "n_shingles", F.col("key").alias("component_id"), F.lit(True).alias("stays"))))
+            .select("__row", F.col("key").alias(key), "n_shingles", F.when(F.col("head.least") < LAST, F.col("head.least")).otherwise(F.col("key")).alias("component_id"), (F.col("head.row") == F.col("__row")).alias("stays"), "__hash")
+            .unionByName(full.where("n_shingles = 0").select("__row", F.col("key").alias(key), "n_shingles", F.col("key").alias("component_id"), F.lit(True).alias("stays"), "__hash")))
 
 
 def _named(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -219,5 +256,6 @@ def _joined(groups: DataFrame, found: DataFrame) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, banding: Banding = Banding(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows that stay, with all their columns: one of each component, the one of the least key (then the first read)."""
-    go = cut_lineage(near_duplicates(docs, banding, text, key).where("not stays").select("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(go, "__row", "left_anti").drop("__row")
+    go = cut_lineage(near_duplicates(docs, banding, text, key).where("not stays").select("__row", "__hash"))
+    # read again: a row goes only if its text is the one that was judged
+    return docs.withColumns({"__row": F.monotonically_increasing_id(), "__hash": F.xxhash64(F.col(f"`{text}`"))}).join(go, ["__row", "__hash"], "left_anti").drop("__row", "__hash")
