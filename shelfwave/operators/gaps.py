@@ -6,13 +6,12 @@ from datetime import date
 
 from pyspark.sql import DataFrame, functions as F
 
-from shelfwave.operators.shelf import ALL, shelf, shelf_dimensions, shelf_items
+from shelfwave.operators.shelf import ALL, comparable, item_figures, shelf
 from shelfwave.rules import DEFAULT_RULES, Rules
 
 
-def shelf_gaps(snapshots: DataFrame, items: DataFrame, dimensions: DataFrame, week: date, by_type: bool = False,
-               rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """One row per gap: kind is opportunity (rising or peaking and rare on the shelf) or risk (declining, and well stocked or
+def shelf_gaps(snapshots: DataFrame, shelf: DataFrame, week: date, by_type: bool = False, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """One row per gap of a shelf table: kind is opportunity (rising or peaking and rare on the shelf) or risk (declining, and well stocked or
     being cleared deeper than its stores' usual sale). Only comparable dimensions take part; attributes that exist on
     sunglasses only are no gap of the optical shelf."""
     shelves = rules.product_types if by_type else (ALL,)
@@ -21,15 +20,15 @@ def shelf_gaps(snapshots: DataFrame, items: DataFrame, dimensions: DataFrame, we
     sun_only = F.lit(False)
     for dimension, code in rules.sun_only:
         sun_only = sun_only | ((F.col("dimension") == dimension) & (F.col("code") == code))
-    rows = (rows.where(~((F.col("shelf") == "optical") & sun_only))
-            .join(dimensions.where("comparable").select("shelf", "dimension"), ["shelf", "dimension"])
-            .join(items, ["shelf", "dimension", "code"], "left"))
-    clearance = F.coalesce(F.col("relative_depth") >= rules.clearance, F.lit(False))
-    share = F.coalesce("share", F.lit(0.0))
+    good = shelf.where(F.col("dimension").isNotNull() & comparable(F.col("tagged"), F.col("with_value"), F.col("unmapped"), rules)[1])
+    rows = (rows.where(~((F.col("shelf") == "optical") & sun_only)).join(good.select("shelf", "dimension", "tagged", "cells"), ["shelf", "dimension"])
+            .withColumn("item", item_figures(F.col("cells"), F.col("tagged"), F.col("code"))).drop("cells"))
+    clearance = F.coalesce(F.col("item.relative_depth") >= rules.clearance, F.lit(False))
+    share = F.coalesce("item.share", F.lit(0.0))
     kind = (F.when(F.col("status").isin("en_hausse", "au_pic") & (share < rules.opportunity_share), "opportunity")
             .when((F.col("status") == "en_baisse") & ((share >= rules.risk_share) | clearance), "risk"))
     return rows.select("shelf", "dimension", "code", kind.alias("kind"), "status", "momentum",
-                       F.coalesce("sku", F.lit(0)).alias("sku"), share.alias("share"), "relative_depth",
+                       F.coalesce("item.sku", F.lit(0)).alias("sku"), share.alias("share"), F.col("item.relative_depth").alias("relative_depth"),
                        clearance.alias("clearance")).where(F.col("kind").isNotNull())
 
 
@@ -46,8 +45,7 @@ def skipped_dimensions(dimensions: DataFrame) -> DataFrame:
 def gaps_by_type(snapshots: DataFrame, products: DataFrame, tags: DataFrame, sources: DataFrame, week: date,
                  rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Gaps of the optical and the sunglasses shelf in one pass, markdown baselines staying store-wide."""
-    cells = shelf(products, tags, sources, by_type=True, rules=rules)
-    return shelf_gaps(snapshots, shelf_items(cells), shelf_dimensions(cells.units, True, rules), week, True, rules)
+    return shelf_gaps(snapshots, shelf(products, tags, sources, by_type=True, rules=rules), week, True, rules)
 
 
 def with_labels(rows: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -1,17 +1,14 @@
 """The shelf: active products by attribute, prices, markdowns against the store's usual sale, vocabulary coverage.
 
-Tags are placed by product once; that exchange serves the duplicate removal, the per-product flags and the join. The heavy
-aggregates are keyed by (shelf, dimension, code, store, currency) with partial sums, and store baselines meet those
-aggregates, never the products."""
+Tags become one profile per product; a product meets its profile once and is expanded to every cell it counts in, for all shelves, dimensions,
+attributes and its store. One aggregate with partial sums holds all figures; store baselines meet that aggregate, never the products."""
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shelfwave.functions.numbers import ratio, rounded
-from shelfwave.functions.text import fold
+from shelfwave.functions.text import fold, let
 from shelfwave.operators.joins import bounded
 from shelfwave.rules import DEFAULT_RULES, Rules
 
@@ -135,75 +132,99 @@ def distinct_attributes(tags: DataFrame, *dimensions: str) -> DataFrame:
     return rows.select(F.col("product_id").alias("id"), "dimension", "code").repartition("id").distinct()
 
 
-def product_flags(attributes: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """Per product, one boolean per tracked dimension (tagged at all) and one per product type."""
-    has = lambda keep, name: F.bool_or(keep).alias(name)
-    return attributes.groupBy("id").agg(
-        *[has(F.col("dimension") == d, f"has_{d}") for d in rules.dimensions],
-        *[has((F.col("dimension") == "product_type") & (F.col("code") == t), f"is_{t}") for t in rules.product_types])
+def product_profiles(tags: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """(id, attributes): each tagged product's distinct (dimension, code) of the tracked dimensions and its product types. Supplier codes fold away before the shuffle."""
+    rows = tags.where(F.col("dimension").isin(*rules.dimensions, "product_type"))
+    return rows.groupBy(F.col("product_id").alias("id")).agg(F.collect_set(F.struct("dimension", "code")).alias("attributes"))
+
+
+STORE, WHOLE, UNIT, ITEM = 0, 1, 2, 3  # what a cell counts: a store's products, a shelf's, a dimension of a shelf, an attribute of a shelf
+
 
+def shelf_cells(active: DataFrame, tags: DataFrame, by_type: bool = False, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """(source_id, kind, shelf, dimension, code, currency) with partial sums: every figure of the shelf comes from this one aggregate.
 
-def shelf_cells(active: DataFrame, tags: DataFrame, by_type: bool = False, rules: Rules = DEFAULT_RULES) -> tuple[DataFrame, DataFrame]:
-    """The two aggregates every shelf figure comes from.
+    A product meets its profile once and is expanded to all cells it counts in; products and tags are read once."""
+    attributes = F.coalesce("attributes", F.array().cast("array<struct<dimension:string,code:string>>"))
+    tracked = F.filter(attributes, lambda a: a["dimension"].isin(*rules.dimensions))
+    typed = F.transform(F.filter(attributes, lambda a: (a["dimension"] == "product_type") & a["code"].isin(*rules.product_types)), lambda a: a["code"])
+    none, no = F.lit(None).cast("string"), F.lit(False)
 
-    units: (shelf, dimension, source_id) with tagged, with_value and unmapped; rows without a dimension count the products.
-    items: (shelf, dimension, code, source_id, currency) with counts and sums of prices and markdowns."""
-    attributes = distinct_attributes(tags, *rules.dimensions, "product_type")
-    products = active.join(product_flags(attributes, rules), "id", "left")
-    typed = F.filter(F.array(*[F.when(F.col(f"is_{t}"), F.lit(t)) for t in rules.product_types]), lambda t: t.isNotNull())
-    everything = F.array(F.lit(ALL))
+    def cell(kind: int, shelf: Column, dimension: Column, code: Column, tagged: Column = no, stated: Column = no) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), shelf.alias("shelf"), dimension.alias("dimension"), code.alias("code"), tagged.alias("tagged"), stated.alias("stated"))
 
-    unit = lambda d: F.struct(F.lit(d).alias("dimension"), F.coalesce(f"has_{d}", F.lit(False)).alias("tagged"),
-                              F.array_contains("stated", d).alias("stated"))
-    whole = F.struct(F.lit(None).cast("string").alias("dimension"), F.lit(False).alias("tagged"), F.lit(False).alias("stated"))
-    none = F.col("u.dimension").isNull()
-    units = (products.select("source_id", stated_dimensions(F.col("flags.raw_specs")).alias("stated"), *[f"has_{d}" for d in rules.dimensions],
-                             F.explode(typed if by_type else everything).alias("shelf"))
-             .select("shelf", "source_id", F.explode(F.array(*[unit(d) for d in rules.dimensions], whole)).alias("u"))
-             .groupBy("shelf", "u.dimension", "source_id")
-             .agg(F.count_if(none).alias("n"), F.count_if("u.tagged").alias("tagged"), F.count_if("u.stated").alias("with_value"),
-                  F.count_if(F.col("u.stated") & ~F.col("u.tagged")).alias("unmapped")))
+    def of(shelf: Column) -> Column:
+        unit = lambda d: cell(UNIT, shelf, F.lit(d), none, F.array_contains("tagged", d), F.array_contains("stated", d))
+        return F.concat(F.array(cell(WHOLE, shelf, none, none), *[unit(d) for d in rules.dimensions]),
+                        F.transform("tracked", lambda a: cell(ITEM, shelf, a["dimension"], a["code"])))
 
     priced = F.when((F.col("price") > 0) & (F.col("currency") != ""), F.col("currency"))
-    md = F.col("md")
-    sold = products if by_type else active
-    items = (sold.select("id", F.explode(typed if by_type else everything).alias("shelf"), "source_id", "price",
-                         priced.alias("currency"), markdown().alias("md"))
-             .join(attributes.where(F.col("dimension").isin(*rules.dimensions)), "id")
-             .groupBy("shelf", "dimension", "code", "source_id", "currency")
-             .agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("currency").isNotNull(), F.col("price"))).alias("price_sum"),
-                  F.sum(md).alias("md_sum"), F.count_if(md > 0).alias("n_cut"), F.sum(F.when(md > 0, md)).alias("cut_sum")))
-    return units, items
+    profiles = active.join(product_profiles(tags, rules), "id", "left").select(
+        "source_id", "price", "list_price", priced.alias("currency"), markdown().alias("md"), stated_dimensions(F.col("flags.raw_specs")).alias("stated"),
+        tracked.alias("tracked"), F.transform(tracked, lambda a: a["dimension"]).alias("tagged"), (typed if by_type else F.array(F.lit(ALL))).alias("shelves"))
+    cells = F.concat(F.array(cell(STORE, none, none, none)), F.flatten(F.transform("shelves", of)))
+    md, listed = F.col("md"), F.coalesce(F.col("list_price") != 0, no)
+    return (profiles.select("source_id", "price", "currency", "md", listed.alias("listed"), F.explode(cells).alias("c")).select("*", "c.*")
+            .groupBy("source_id", "kind", "shelf", "dimension", "code", F.when(F.col("kind") == ITEM, F.col("currency")).alias("currency"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("currency").isNotNull(), F.col("price"))).alias("price_sum"), F.sum(md).alias("md_sum"),
+                 F.count_if(md > 0).alias("n_cut"), F.sum(F.when(md > 0, md)).alias("cut_sum"), F.bool_or("listed").alias("listed"),
+                 F.count_if("tagged").alias("tagged"), F.count_if("stated").alias("with_value"), F.count_if(F.col("stated") & ~F.col("tagged")).alias("unmapped")))
+
+
+def shelf_table(cells: DataFrame) -> DataFrame:
+    """(shelf, dimension): products (on the row without a dimension), tagged, with_value, unmapped and `cells`, the sums of each (code, currency).
+
+    The usual markdown of a store, for stores that publish any list price, meets the store's cells; a store has at most some cells for each attribute."""
+    store, of_store = F.col("kind") == STORE, Window.partitionBy("source_id")
+    total = lambda c: F.sum(F.when(store, F.col(c))).over(of_store)
+    baseline = F.when(F.max(F.when(store, F.col("listed"))).over(of_store), total("md_sum") / total("n"))
+    rows = cells.withColumn("baseline", baseline).where(~store)
+    compared = F.col("baseline").isNotNull()
+    sums = rows.groupBy("kind", "shelf", "dimension", "code", "currency").agg(
+        F.sum("n").alias("n"), F.sum("price_sum").alias("price_sum"), F.sum(F.when(compared, F.col("n"))).alias("compared"), F.sum(F.when(compared, F.col("n_cut"))).alias("discounted"),
+        F.sum(F.when(compared, F.col("cut_sum"))).alias("cut_sum"), F.sum(F.col("md_sum") - F.col("n") * F.col("baseline")).alias("excess"),
+        *[F.sum(c).alias(c) for c in ("tagged", "with_value", "unmapped")])
+    item = F.when(F.col("kind") == ITEM, F.struct("code", "currency", "n", "price_sum", "compared", "discounted", "cut_sum", "excess"))
+    units = lambda c: F.sum(F.when(F.col("kind") == UNIT, F.col(c))).alias(c)
+    return sums.groupBy("shelf", "dimension").agg(F.sum(F.when(F.col("kind") == WHOLE, F.col("n"))).alias("products"), units("tagged"), units("with_value"), units("unmapped"),
+                                                  F.collect_list(item).alias("cells"))
 
 
-class Shelf(NamedTuple):
-    """The aggregates of one shelf reading: see `shelf_cells`; baselines are store-wide whatever the shelf."""
-    units: DataFrame
-    items: DataFrame
-    baselines: DataFrame
+def _figures(sku: Column, tagged: Column, compared: Column, discounted: Column, cut_sum: Column, excess: Column) -> list[Column]:
+    return [ratio(sku, tagged).alias("share"), compared.alias("compared"), discounted.alias("discounted"), rounded(ratio(discounted, compared), 4).alias("share_discounted"),
+            F.when(discounted > 0, rounded(cut_sum / discounted, 4)).alias("avg_depth"), rounded(excess / compared, 4).alias("relative_depth")]
 
 
-def shelf_items(cells: Shelf) -> DataFrame:
+def shelf_items(shelf: DataFrame) -> DataFrame:
     """(shelf, dimension, code): distinct products, share of the dimension's tagged products and markdown figures."""
     by = ["shelf", "dimension", "code"]
-    compared = F.col("baseline").isNotNull()
-    rows = cells.items.join(cells.baselines, "source_id", "left").groupBy(*by).agg(
-        F.sum("n").alias("sku"), F.sum(F.when(compared, F.col("n"))).alias("compared"),
-        F.sum(F.when(compared, F.col("n_cut"))).alias("discounted"), F.sum(F.when(compared, F.col("cut_sum"))).alias("cut_sum"),
-        F.sum(F.col("md_sum") - F.col("n") * F.col("baseline")).alias("excess"))
-    tagged = (cells.units.where(F.col("dimension").isNotNull()).groupBy("shelf", "dimension").agg(F.sum("tagged").alias("tagged")))
-    return rows.join(tagged, ["shelf", "dimension"]).select(
-        *by, "sku", "tagged", ratio(F.col("sku"), F.col("tagged")).alias("share"), "compared", "discounted",
-        rounded(ratio(F.col("discounted"), F.col("compared")), 4).alias("share_discounted"),
-        F.when(F.col("discounted") > 0, rounded(F.col("cut_sum") / F.col("discounted"), 4)).alias("avg_depth"),
-        rounded(F.col("excess") / F.col("compared"), 4).alias("relative_depth"))
+    names = ("compared", "discounted", "cut_sum", "excess")
+    rows = shelf.select("shelf", "dimension", "tagged", F.inline("cells")).groupBy(*by, "tagged").agg(F.sum("n").alias("sku"), *[F.sum(c).alias(c) for c in names])
+    return rows.select(*by, "sku", "tagged", *_figures(F.col("sku"), F.col("tagged"), *map(F.col, names)))
+
+
+def item_figures(shelf_row_cells: Column, tagged: Column, code: Column) -> Column:
+    """The figures of one attribute within a row of the shelf table, as a struct; NULL when no product carries it."""
+    own = F.filter(shelf_row_cells, lambda c: c["code"] == code)
 
+    def total(cells: Column, name: str) -> Column:
+        known = F.filter(F.transform(cells, lambda c: c[name].cast("double")), lambda v: v.isNotNull())
+        return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v))
 
-def shelf_prices(items: DataFrame) -> DataFrame:
+    return let(own, lambda cells: F.when(F.size(cells) > 0, F.struct(total(cells, "n").cast("long").alias("sku"), *_figures(
+        total(cells, "n"), tagged, *[total(cells, c) for c in ("compared", "discounted", "cut_sum", "excess")]))))
+
+
+def shelf_prices(shelf: DataFrame) -> DataFrame:
     """(shelf, dimension, code, currency): mean price of the products with a positive price and a currency."""
-    return (items.where(F.col("currency").isNotNull())
-            .groupBy("shelf", "dimension", "code", "currency").agg(F.sum("n").alias("priced"), F.sum("price_sum").alias("s"))
-            .select("shelf", "dimension", "code", "currency", "priced", rounded(F.col("s") / F.col("priced"), 2).alias("avg_price")))
+    return (shelf.select("shelf", "dimension", F.inline("cells")).where(F.col("currency").isNotNull())
+            .select("shelf", "dimension", "code", "currency", F.col("n").alias("priced"), rounded(F.col("price_sum") / F.col("n"), 2).alias("avg_price")))
+
+
+def comparable(tagged: Column, with_value: Column, unmapped: Column, rules: Rules = DEFAULT_RULES) -> tuple[Column, Column]:
+    """(share of stated values not recognised, whether a dimension's figures can be compared)."""
+    share = F.coalesce(ratio(unmapped, with_value), F.lit(0.0))
+    return share, (tagged >= rules.min_tagged) & (share <= rules.max_unmapped)
 
 
 def shelf_grid(spark: SparkSession, by_type: bool, rules: Rules = DEFAULT_RULES) -> DataFrame:
@@ -212,22 +233,20 @@ def shelf_grid(spark: SparkSession, by_type: bool, rules: Rules = DEFAULT_RULES)
     return spark.createDataFrame([(s, d) for s in shelves for d in rules.dimensions], "shelf string, dimension string")
 
 
-def shelf_dimensions(units: DataFrame, by_type: bool = False, rules: Rules = DEFAULT_RULES) -> DataFrame:
+def shelf_dimensions(shelf: DataFrame, by_type: bool = False, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """(shelf, dimension): tagged products, products stating a value, stated values not recognised, and whether the figures can
     be compared at all."""
-    seen = units.where(F.col("dimension").isNotNull()).groupBy("shelf", "dimension").agg(
-        F.sum("tagged").alias("tagged"), F.sum("with_value").alias("with_value"), F.sum("unmapped").alias("unmapped"))
+    seen = shelf.where(F.col("dimension").isNotNull()).select("shelf", "dimension", "tagged", "with_value", "unmapped")
     zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
-    rows = shelf_grid(units.sparkSession, by_type, rules).join(seen, ["shelf", "dimension"], "left").select(
+    rows = shelf_grid(shelf.sparkSession, by_type, rules).join(seen, ["shelf", "dimension"], "left").select(
         "shelf", "dimension", zero("tagged"), zero("with_value"), zero("unmapped"))
-    unmapped = F.coalesce(ratio(F.col("unmapped"), F.col("with_value")), F.lit(0.0))
-    return rows.withColumn("unmapped_share", unmapped).withColumn(
-        "comparable", (F.col("tagged") >= rules.min_tagged) & (unmapped <= rules.max_unmapped))
+    unmapped, good = comparable(F.col("tagged"), F.col("with_value"), F.col("unmapped"), rules)
+    return rows.withColumn("unmapped_share", unmapped).withColumn("comparable", good)
 
 
-def shelf_counts(units: DataFrame) -> DataFrame:
+def shelf_counts(shelf: DataFrame) -> DataFrame:
     """Products per shelf."""
-    return units.where(F.col("dimension").isNull()).groupBy("shelf").agg(F.sum("n").alias("products"))
+    return shelf.where(F.col("dimension").isNull()).select("shelf", "products")
 
 
 def store_summary(active: DataFrame) -> DataFrame:
@@ -236,11 +255,10 @@ def store_summary(active: DataFrame) -> DataFrame:
 
 
 def shelf(products: DataFrame, tags: DataFrame, sources: DataFrame, by_type: bool = False, country: str | None = "market",
-          rules: Rules = DEFAULT_RULES) -> Shelf:
-    """The market's shelf, or the shelf of every store with country=None."""
+          rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """The market's shelf table, or that of every store with country=None; baselines are store-wide whatever the shelf."""
     active = active_products(products, sources, rules.market_country if country == "market" else country)
-    units, items = shelf_cells(active, tags, by_type, rules)
-    return Shelf(units, items, store_baselines(active))
+    return shelf_table(shelf_cells(active, tags, by_type, rules))
 
 
 def tag_counts(tags: DataFrame, approximate: bool = False) -> DataFrame:

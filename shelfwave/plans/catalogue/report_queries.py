@@ -311,7 +311,7 @@ UNION ALL SELECT shelf, dimension, 0, CASE dimension WHEN 'color' THEN 'Couleur'
   CASE WHEN tagged < 20 THEN tagged || ' références renseignées' ELSE 'vocabulaire des boutiques non reconnu pour ' || CAST(round_even(unmapped_share * 100, 0) AS BIGINT) || ' % des valeurs' END || '), pas de comparaison.' FROM dm WHERE NOT comparable"""))
 def shelf_brief(spark, sf):
     cells = H.shelf(*tables(spark, sf), by_type=True)
-    rows = R.shelf_lines(H.shelf_items(cells), H.shelf_prices(cells.items), H.shelf_dimensions(cells.units, True), S.dictionary(spark, sf), LABELS)
+    rows = R.shelf_lines(H.shelf_items(cells), H.shelf_prices(cells), H.shelf_dimensions(cells, True), S.dictionary(spark, sf), LABELS)
     return rows.withColumn("ord", F.col("ord").cast("long"))
 
 

@@ -92,7 +92,7 @@ def shelf_by_type(spark, sf):
 WITH {ACTIVE}, {ITEMS} SELECT dimension, code, currency, count(*) AS priced, round_even(avg(price) * 100, 0) / 100 AS avg_price FROM rows_all
 WHERE price > 0 GROUP BY 1, 2, 3"""))
 def shelf_prices(spark, sf):
-    return H.shelf_prices(H.shelf(*tables(spark, sf)).items).select("dimension", "code", "currency", "priced", "avg_price")
+    return H.shelf_prices(H.shelf(*tables(spark, sf))).select("dimension", "code", "currency", "priced", "avg_price")
 
 
 COVERAGE = """st AS (SELECT id, 'color' AS dimension FROM tn WHERE p_size % 2 = 0 UNION ALL SELECT id, 'material' FROM tn WHERE p_size % 3 = 0
@@ -112,7 +112,7 @@ COVERAGE_TYPED = COVERAGE.format("ty.shelf", "JOIN ty ON ty.product_id = st.id",
 WITH {ACTIVE}, {BASE.format('tn')}, {ITEMS}, {ITEM_SELECT.format('rows_all')}, {COVERAGE_ALL}
 SELECT dimension, tagged, with_value, unmapped, round(unmapped_share, 6) AS unmapped_share, comparable FROM dm"""))
 def vocabulary_coverage(spark, sf):
-    return H.shelf_dimensions(H.shelf(*tables(spark, sf)).units).select("dimension", "tagged", "with_value", "unmapped", F.round("unmapped_share", 6).alias("unmapped_share"), "comparable")
+    return H.shelf_dimensions(H.shelf(*tables(spark, sf))).select("dimension", "tagged", "with_value", "unmapped", F.round("unmapped_share", 6).alias("unmapped_share"), "comparable")
 
 
 @query("store_summary", with_views("prod sources", f"WITH {ACTIVE} SELECT store, count(*) AS products, CAST(CAST(max(seen_at) AS DATE) AS VARCHAR) AS updated FROM tn GROUP BY store"))
@@ -154,7 +154,7 @@ WITH {ACTIVE}, {BASE.format('tn')}, {ITEMS}, {ITEM_SELECT.format('rows_all')}, {
 SELECT kind, dimension, code, status, momentum, sku, round(share, 6) AS share, relative_depth, clearance FROM gk WHERE kind IS NOT NULL"""))
 def shelf_gaps(spark, sf):
     cells = H.shelf(*tables(spark, sf), rules=RULES)
-    rows = G.ranked(G.shelf_gaps(gap_snapshots(spark, sf), H.shelf_items(cells), H.shelf_dimensions(cells.units), WEEK, rules=RULES))
+    rows = G.ranked(G.shelf_gaps(gap_snapshots(spark, sf), cells, WEEK, rules=RULES))
     return rows.select("kind", "dimension", "code", "status", "momentum", "sku", F.round("share", 6).alias("share"), "relative_depth", "clearance")
 
 
@@ -179,12 +179,12 @@ def gaps_grouped(spark, sf):
 WITH {ACTIVE}, {BASE.format('tn')}, {ITEMS}, {ITEM_SELECT.format('rows_typed')}, {COVERAGE_TYPED}
 SELECT shelf, dimension, tagged, round(unmapped_share, 6) AS unmapped_share FROM dm WHERE NOT comparable"""))
 def skipped_dimensions(spark, sf):
-    return G.skipped_dimensions(H.shelf_dimensions(H.shelf(*tables(spark, sf), by_type=True).units, True)).withColumn("unmapped_share", F.round("unmapped_share", 6))
+    return G.skipped_dimensions(H.shelf_dimensions(H.shelf(*tables(spark, sf), by_type=True), True)).withColumn("unmapped_share", F.round("unmapped_share", 6))
 
 
 @query("shelf_products_by_type", with_views("prod tags sources", f"WITH {ACTIVE}, {ITEMS} SELECT shelf, count(*) AS products FROM tn JOIN ty ON ty.product_id = tn.id GROUP BY shelf"))
 def shelf_products_by_type(spark, sf):
-    return H.shelf_counts(H.shelf(*tables(spark, sf), by_type=True).units)
+    return H.shelf_counts(H.shelf(*tables(spark, sf), by_type=True))
 
 
 @query("gap_labels", with_views("snaps dict", """

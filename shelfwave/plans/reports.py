@@ -63,10 +63,10 @@ def retail_overview(snapshots: DataFrame, products: DataFrame, tags: DataFrame,
                     rules: Rules = DEFAULT_RULES) -> Frames:
     """Market shelf against press: stores, products per shelf, gaps, dimensions left out, thresholds."""
     cells = H.shelf(products, tags, sources, by_type=True, rules=rules)
-    dimensions = H.shelf_dimensions(cells.units, True, rules)
-    gaps = G.shelf_gaps(snapshots, H.shelf_items(cells), dimensions, week, True, rules)
+    dimensions = H.shelf_dimensions(cells, True, rules)
+    gaps = G.shelf_gaps(snapshots, cells, week, True, rules)
     thresholds = [("opportunity_share", rules.opportunity_share), ("risk_share", rules.risk_share), ("min_tagged", float(rules.min_tagged))]
-    return {"stores": H.store_summary(H.active_products(products, sources, rules.market_country)), "types": H.shelf_counts(cells.units),
+    return {"stores": H.store_summary(H.active_products(products, sources, rules.market_country)), "types": H.shelf_counts(cells),
             "gaps": G.ranked(G.with_labels(gaps, dictionary)), "skipped": G.skipped_dimensions(dimensions),
             "thresholds": products.sparkSession.createDataFrame(thresholds, "name string, value double")}
 

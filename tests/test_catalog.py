@@ -43,9 +43,9 @@ def test_shelf_shares_prices_and_relative_markdown(market):
     assert got["shape", "round"].relative_depth == pytest.approx(0.35 - 0.7 / 3, abs=1e-4)
     assert (got["shape", "square"].sku, got["shape", "square"].compared, got["shape", "square"].avg_depth) == (2, 1, 0.5)
     assert got["color", "red"].sku == 1  # two supplier codes, one product
-    prices = {(r.code, r.currency): r.avg_price for r in S.shelf_prices(cells.items).where("dimension = 'shape'").collect()}
+    prices = {(r.code, r.currency): r.avg_price for r in S.shelf_prices(cells).where("dimension = 'shape'").collect()}
     assert prices == {("round", "TND"): 65.0, ("square", "TND"): 30.0}
-    dims = {r.dimension: r for r in S.shelf_dimensions(cells.units).collect()}
+    dims = {r.dimension: r for r in S.shelf_dimensions(cells).collect()}
     assert (dims["shape"].with_value, dims["shape"].unmapped, dims["shape"].comparable) == (2, 1, False)
     assert (dims["style"].tagged, dims["style"].unmapped_share) == (0, 0.0)
 
@@ -60,7 +60,7 @@ def test_gaps_need_a_comparable_shelf(spark, market):
     rules = Rules(min_tagged=1, max_unmapped=0.6, opportunity_share=0.4, risk_share=0.5)
     cells = S.shelf(*market, by_type=True, rules=rules)
     snaps = spark.createDataFrame([("shape", c, NOW.date(), st, m) for c, st, m in (("round", "en_hausse", 0.5), ("square", "en_baisse", -0.4), ("shield", "au_pic", 0.1))], "dimension string, code string, week date, status string, momentum double")
-    rows = G.shelf_gaps(snaps, S.shelf_items(cells), S.shelf_dimensions(cells.units, True, rules), NOW.date(), True, rules).collect()
+    rows = G.shelf_gaps(snaps, cells, NOW.date(), True, rules).collect()
     got = {(r.shelf, r.code): (r.kind, r.sku) for r in rows}
     assert got == {("sun", "square"): ("risk", 1), ("optical", "square"): ("risk", 1), ("sun", "shield"): ("opportunity", 0)}  # no shield gap on the optical shelf
 
