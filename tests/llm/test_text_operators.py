@@ -241,3 +241,18 @@ def test_shards_hold_near_equal_bytes(spark, table):
     assert odd.count() == table.count() and odd.columns.count("shard") == 1 and dict(odd.dtypes)["shard"] == "int"
     assert sharded(table.limit(0), 5).count() == 0
     assert {r["shard"] for r in sharded(table.limit(1), 5).collect()} <= set(range(5))
+
+
+def test_a_third_of_all_rows_equal_in_every_column_is_parted(spark, tmp_path):
+    from shelfwave.llm.shards import sharded
+
+    rows = [(7, "x" * 500) if k % 3 == 0 else (k % 40 if k % 3 == 1 else None, "y" * (k % 90)) for k in range(6000)]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).write.parquet(path)
+    got = sharded(spark.read.parquet(path), 40).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(rows, key=str)
+    total = sum(r["size"] for r in got)
+    for s in range(40):
+        own = [r for r in got if r["shard"] == s]
+        assert abs(sum(r["size"] for r in own) - total / 40) <= 2 * 516 + total / 40 / 500
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
