@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfwave.functions.dates import instant, parse_iso
 from shelfwave.functions.urls import title_from_url
 from shelfwave.operators.joins import bounded, numbered
+from shelfwave.session import cut_lineage
 
 MAX_TITLE = 500
 # Elements of the public sitemap format.
@@ -66,15 +67,21 @@ def sitemap_entries(sitemaps: DataFrame) -> DataFrame:
         "source_id", F.col("pos").cast("long").alias("pos"), F.replace(tag("loc"), F.lit("&amp;"), F.lit("&")).alias("loc"), parse_iso(tag("lastmod")).alias("lastmod"))
 
 
-def sitemap_children(indexes: DataFrame) -> DataFrame:
-    """All child sitemap URLs of sitemap index texts."""
-    found = F.regexp_extract_all("xml", F.lit(SITEMAP_LOC), F.lit(1))
-    return indexes.select("source_id", F.explode(found).alias("loc")).withColumn("loc", F.replace("loc", F.lit("&amp;"), F.lit("&")))
-
-
-def landed_children(indexes: DataFrame, landed: DataFrame) -> DataFrame:
-    """(source_id, xml) of every landed child text (loc, xml) that an index names; repeated mentions count once."""
-    return sitemap_children(indexes).distinct().join(landed, "loc").select("source_id", "xml")
+def sitemap_texts(roots: DataFrame, landed: DataFrame) -> DataFrame:
+    """(source_id, xml) of every landed text (loc, xml) that the roots (source_id, loc) lead to, through indexes of any depth; each once, whatever names
+    it how often. Indexes that name each other do no harm, and what was never landed is left out.
+
+    The links are read from the texts once. Then the frontier alone goes on: its children that were not seen before are the next one, until none are
+    left; a round a level, each with names only and a checkpoint."""
+    links = cut_lineage(landed.select(F.col("loc").alias("parent"), F.explode(F.regexp_extract_all("xml", F.lit(SITEMAP_LOC), F.lit(1))).alias("loc"))
+                        .withColumn("loc", F.replace("loc", F.lit("&amp;"), F.lit("&"))).distinct())
+    frontier = cut_lineage(roots.select("source_id", "loc").distinct())
+    seen = frontier
+    while not frontier.isEmpty():
+        children = frontier.withColumnRenamed("loc", "parent").join(links, "parent").select("source_id", "loc").distinct()
+        frontier = cut_lineage(children.join(seen, ["source_id", "loc"], "left_anti"), forget_size=True)
+        seen = cut_lineage(seen.unionByName(frontier), forget_size=True)
+    return seen.join(landed, "loc").select("source_id", "xml")
 
 
 def included(url: Column, parts: Column) -> Column:

@@ -18,7 +18,7 @@ SYNC = f"""cat AS (SELECT {URL} AS url, min(l_suppkey) AS source_id, min(p_brand
   WHERE l_shipdate < DATE '2001-01-01' GROUP BY 1),
 ca AS (SELECT *, seen_at >= DATE '2000-06-01' AS is_active FROM cat),
 obs AS (SELECT {URL} AS url, l_suppkey AS source_id, l_orderkey * 10 + l_linenumber AS seq, l_extendedprice AS price, p_brand, l_shipdate AS seen
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= DATE '2001-01-01' AND l_shipdate < DATE '2001-04-01'),
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= DATE '2001-01-01'),
 lt AS (SELECT source_id, url, max(seq) AS seq FROM obs GROUP BY 1, 2),
 lis AS (SELECT DISTINCT l_suppkey AS source_id, {URL} AS url FROM lineitem WHERE l_shipdate >= DATE '2000-01-01' AND l_shipdate < DATE '2001-01-01'
   AND (l_returnflag <> 'R' OR l_suppkey % 3 = 0)),

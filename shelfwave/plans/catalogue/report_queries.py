@@ -73,6 +73,24 @@ def ordered_entries(spark, sf):
     return I.sitemap_entries(sitemaps(spark, sf)).withColumn("pos", F.regexp_extract("loc", r"a-b-(\d+)", 1).cast("long"))
 
 
+def nested_sitemaps(spark, sf):
+    """(loc, xml): the sitemap texts under two levels of indexes. Indexes name themselves and each other again, one child was never landed, and every fifth
+    text is named by none."""
+    leaves = sitemaps(spark, sf).select("source_id", "part", F.concat(F.lit("https://s.example/map?s="), "source_id", F.lit("&p="), "part").alias("loc"), "xml")
+    refs = lambda locs: F.concat(F.lit("<sitemapindex>"), F.array_join(F.transform(locs, lambda c: F.concat(F.lit("<sitemap> <loc> "), F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit(" </loc></sitemap>"))), ""), F.lit("</sitemapindex>"))
+    root = lambda s: F.concat(F.lit("https://s.example/root?s="), s)
+    middle = (leaves.where(F.pmod("part", F.lit(5)) != 4).groupBy("source_id", F.concat(F.lit("https://s.example/index?s="), "source_id", F.lit("&k="), F.pmod("part", F.lit(3))).alias("loc"))
+              .agg(F.collect_list(F.col("loc")).alias("locs")).select("source_id", "loc", refs(F.concat("locs", F.array(root(F.col("source_id")), F.col("loc"), F.lit("https://s.example/lost")))).alias("xml")))
+    roots = middle.groupBy("source_id").agg(F.collect_list("loc").alias("locs")).select("source_id", root(F.col("source_id")).alias("loc"), refs("locs").alias("xml"))
+    return roots.select("source_id", "loc"), leaves.select("loc", "xml").unionByName(middle.select("loc", "xml")).unionByName(roots.select("loc", "xml"))
+
+
+@query("sitemap_tree", f"WITH {ENTRY} SELECT source_id, loc, strftime(lastmod, '%Y-%m-%d %H:%M') AS lastmod FROM en WHERE o_orderkey // 1000 % 5 <> 4")
+def sitemap_tree(spark, sf):
+    roots, landed = nested_sitemaps(spark, sf)
+    return I.sitemap_entries(I.sitemap_texts(roots, landed)).select("source_id", "loc", F.date_format("lastmod", "yyyy-MM-dd HH:mm").alias("lastmod"))
+
+
 @query("sitemap_documents", f"""
 WITH {ENTRY}, c AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY lastmod DESC, o_orderkey) AS checked FROM en WHERE lastmod >= TIMESTAMP '2001-03-01' AND contains(loc, 'news/') AND o_orderkey % 4 <> 0),
 p AS (SELECT c.*, row_number() OVER (PARTITION BY source_id ORDER BY checked) AS added FROM c WHERE checked <= 40 AND o_orderkey % 7 <> 0 AND NOT o_orderkey % 6 = 2)
@@ -127,11 +145,13 @@ def parsed_dates(spark, sf):
 
 @query("interest_upsert", with_views("search", """
 WITH b AS (SELECT * FROM search WHERE id % 3 = 0)
-SELECT s.code, s.lang, s.geo, CAST(s.wk AS VARCHAR) AS week, round(CASE WHEN s.id % 3 = 0 THEN s.val + 1 ELSE s.val END, 6) AS value, CASE WHEN s.id % 3 = 0 THEN 'new ' || s.code ELSE s.code END AS keyword FROM search s WHERE s.dimension = 'PROMO'"""))
+SELECT s.dimension, s.dimension || ':' || s.code AS code, s.lang, s.geo, CAST(s.wk AS VARCHAR) AS week, round(CASE WHEN s.id % 3 = 0 THEN s.val + 1 ELSE s.val END, 6) AS value,
+  CASE WHEN s.id % 3 = 0 THEN 'new ' || s.dimension || ':' || s.code ELSE s.code END AS keyword FROM search s"""))
 def interest_upsert(spark, sf):
-    rows = S.search_interest(spark, sf).where(F.col("dimension") == "PROMO")
+    """The key has no dimension, so each code names its own."""
+    rows = S.search_interest(spark, sf).withColumn("code", F.concat_ws(":", "dimension", "code"))
     batch = rows.where(F.pmod("id", F.lit(3)) == 0).withColumn("value", F.col("value") + 1).withColumn("keyword", F.concat(F.lit("new "), F.col("code"))).withColumn("id", F.lit(-1).cast("long"))
-    return I.upserted_interest(rows, batch).select("code", "lang", "geo", F.col("week").cast("string").alias("week"), F.round("value", 6).alias("value"), "keyword")
+    return I.upserted_interest(rows, batch).select("dimension", "code", "lang", "geo", F.col("week").cast("string").alias("week"), F.round("value", 6).alias("value"), "keyword")
 
 
 @query("demo_free_mentions", with_views("ment docs", "SELECT ment.id FROM ment WHERE document_id NOT IN (SELECT id FROM docs WHERE is_demo)"))
@@ -139,6 +159,17 @@ def demo_free_mentions(spark, sf):
     return I.without_demo(S.documents(spark, sf), S.mentions(spark, sf), S.search_interest(spark, sf))[1].select("id")
 
 
+@query("demo_free_documents", with_views("docs", "SELECT id FROM docs WHERE NOT is_demo"))
+def demo_free_documents(spark, sf):
+    return I.without_demo(S.documents(spark, sf), S.mentions(spark, sf), S.search_interest(spark, sf))[0].select("id")
+
+
+@query("demo_free_interest", with_views("search", "SELECT id, dimension, code, lang, geo, CAST(wk AS VARCHAR) AS week FROM search WHERE id % 50 <> 0"))
+def demo_free_interest(spark, sf):
+    rows = I.without_demo(S.documents(spark, sf), S.mentions(spark, sf), S.search_interest(spark, sf))[2]
+    return rows.select("id", "dimension", "code", "lang", "geo", F.col("week").cast("string").alias("week"))
+
+
 @query("duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_keys(spark, sf):
     return I.duplicate_keys(S.load(spark, sf, "lineitem"), ("l_orderkey", "l_linenumber"))
@@ -162,7 +193,7 @@ def french_numbers(spark, sf):
 
 
 EXPORT = with_views("snaps dict", """
-WITH r AS (SELECT s.*, label, sum(mentions) OVER () AS t FROM snaps s JOIN dict USING (dimension, code) WHERE wk = DATE '2001-08-20' AND dimension = 'PROMO')
+WITH r AS (SELECT s.*, label, sum(CAST(round(mentions * 10) AS BIGINT)) OVER () / 10 AS t FROM snaps s JOIN dict USING (dimension, code) WHERE wk = DATE '2001-08-20' AND dimension = 'PROMO')
 SELECT label AS attribut, code AS code, CAST(wk AS VARCHAR) AS semaine, replace(printf('%.1f', mentions), '.', ',') AS mentions,
   replace(printf('%.1f', round_even(mentions * 100 / t * 10, 0) / 10), '.', ',') AS part, CAST(CAST(round_even(momentum * 100, 0) AS BIGINT) AS VARCHAR) AS momentum,
   CASE status WHEN 'en_hausse' THEN 'En hausse' WHEN 'au_pic' THEN 'Au pic' WHEN 'stable' THEN 'Stable' WHEN 'en_baisse' THEN 'En baisse' ELSE 'Peu de données' END AS statut FROM r""")
@@ -208,7 +239,7 @@ def detail(spark, sf):
 
 @query("attribute_detail", with_views("snaps", """
 WITH s AS (SELECT * FROM snaps WHERE dimension = 'PROMO' AND code = 'red'), l AS (SELECT list(mentions ORDER BY wk) AS m FROM s),
-t AS (SELECT sum(mentions) AS t FROM snaps WHERE dimension = 'PROMO' AND wk = DATE '2001-09-24')
+t AS (SELECT sum(CAST(round(mentions * 10) AS BIGINT)) / 10 AS t FROM snaps WHERE dimension = 'PROMO' AND wk = DATE '2001-09-24')
 SELECT momentum, status, mentions AS this_week, round(mentions / CASE WHEN t = 0 THEN 1 ELSE t END, 4) AS share, round_even((m[8] + m[9] + m[10] + m[11]) / 4 * 100, 0) / 100 AS avg_4w FROM s, l, t WHERE wk = DATE '2001-09-24'"""))
 def attribute_detail(spark, sf):
     frames = detail(spark, sf)
@@ -288,17 +319,18 @@ LINE = """CASE dimension WHEN 'PROMO' THEN 'Promo' ELSE dimension END || ' | ' |
 
 
 @query("press_brief", with_views("snaps dict ment docs", f"""
-WITH v AS (SELECT dimension, code, sum(mentions) AS v4 FROM snaps WHERE wk > DATE '2001-07-23' AND wk <= DATE '2001-08-20' GROUP BY 1, 2),
+WITH v AS (SELECT dimension, code, sum(CAST(round(mentions * 10) AS BIGINT)) / 10 AS v4 FROM snaps WHERE wk > DATE '2001-07-23' AND wk <= DATE '2001-08-20' GROUP BY 1, 2),
 r AS (SELECT s.*, label, round(v4, 6) AS v4, {LINE.replace('v4', 'round(v4, 6)')} AS line FROM snaps s JOIN v USING (dimension, code) JOIN dict USING (dimension, code) WHERE wk = DATE '2001-08-20'),
 k AS (SELECT 1 AS section, row_number() OVER (ORDER BY momentum DESC, dimension, code) AS ord, line FROM r WHERE (mentions > 0 OR coalesce(s, 0) <> 0) AND status <> 'faible'
   UNION ALL SELECT 2, row_number() OVER (ORDER BY momentum DESC, dimension, code), line FROM r WHERE dimension = 'PROMO' AND status IN ('en_hausse', 'au_pic') AND v4 >= 10
   UNION ALL SELECT 3, row_number() OVER (ORDER BY momentum DESC, dimension, code), line FROM r WHERE (mentions > 0 OR coalesce(s, 0) <> 0) AND status = 'faible'
   UNION ALL SELECT 4, row_number() OVER (ORDER BY day DESC, summary_fr), '- ' || summary_fr FROM (SELECT summary_fr, max(occurred_on) AS day FROM docs JOIN ment ON document_id = docs.id
     WHERE occurred_on >= DATE '2001-08-20' AND summary_fr IS NOT NULL GROUP BY 1 ORDER BY day DESC, summary_fr LIMIT 12))
-SELECT * FROM k WHERE ord > 0""".replace("coalesce(s, 0)", "coalesce(search, 0)")))
+SELECT section, CAST(ord AS BIGINT) AS ord, line FROM k
+UNION ALL SELECT section, 0, title FROM (VALUES (1, '{R.SCORES_TITLE}'), (2, '{R.MUST_CITE_TITLE.format(Rules().must_cite_min // 10)}'), (3, '{R.WEAK_TITLE}'), (4, 'Extraits de sources:')) t(section, title)
+  WHERE section IN (SELECT section FROM k)""".replace("coalesce(s, 0)", "coalesce(search, 0)")))
 def press_brief(spark, sf):
-    rows = R.press_brief(snapshots(spark, sf), S.mentions(spark, sf), S.documents(spark, sf), S.dictionary(spark, sf), date(2001, 8, 20), {"PROMO": "Promo"}, Rules(must_cite_dimension="PROMO"))
-    return rows.where(F.col("ord") > 0)
+    return R.press_brief(snapshots(spark, sf), S.mentions(spark, sf), S.documents(spark, sf), S.dictionary(spark, sf), date(2001, 8, 20), {"PROMO": "Promo"}, Rules(must_cite_dimension="PROMO"))
 
 
 @query("shelf_brief", with_views("prod tags sources", f"""

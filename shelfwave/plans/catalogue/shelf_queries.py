@@ -196,11 +196,12 @@ def gap_labels(spark, sf):
 
 
 @query("unknown_codes", with_views("tags dict", """
-SELECT DISTINCT 'PROMO' AS dimension, code FROM tags WHERE dimension IN ('color', 'material')
-AND code NOT IN (SELECT code FROM dict WHERE dimension = 'PROMO')"""))
+SELECT DISTINCT dimension, code FROM tags WHERE (dimension, code) NOT IN (SELECT ('color', code) FROM dict UNION SELECT ('shape', dimension) FROM dict)"""))
 def unknown_codes(spark, sf):
-    rows = S.product_tags(spark, sf).where(F.col("dimension").isin("color", "material")).select(F.lit("PROMO").alias("dimension"), "code")
-    return G.unknown_codes(rows, S.dictionary(spark, sf))
+    """The dictionary knows colours and shapes only, as words and types of the parts."""
+    known = S.dictionary(spark, sf)
+    pairs = F.array(F.struct(F.lit("color").alias("dimension"), F.col("code").alias("code")), F.struct(F.lit("shape").alias("dimension"), F.col("dimension").alias("code")))
+    return G.unknown_codes(S.product_tags(spark, sf), known.select(F.inline(pairs)).distinct())
 
 
 # --- pairings --------------------------------------------------------------------------------------

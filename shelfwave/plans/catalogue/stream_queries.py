@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfwave.functions.dates import monday
 from shelfwave.operators.series import KEY
+from shelfwave.plans.catalogue.history_queries import REPLAYED, replay_sql
 from shelfwave.plans.registry import query
 from shelfwave.session import shared_folder
 from shelfwave.sources import samples as S
@@ -19,10 +21,10 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def stream_of(spark: SparkSession, rows: DataFrame, folder: str, files: int = 3) -> DataFrame:
-    """The rows as a stream of at least `files` micro-batches: landed in the shared folder in as many files, read one at a time."""
+def stream_of(spark: SparkSession, rows: DataFrame, folder: str, files: int = 3, at_once: int = 1) -> DataFrame:
+    """The rows as a stream of micro-batches: landed in the shared folder in `files` files, read `at_once` at a time."""
     rows.repartition(files).write.parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", at_once).parquet(folder)
 
 
 def event_mentions(rows: DataFrame) -> DataFrame:
@@ -64,3 +66,14 @@ def streamed_documents(spark, sf):
                                                  F.lit("2024-01-01").cast("timestamp").alias("collected_at"))
     J.ingest_documents(stream_of(spark, rows.unionByName(rows), f"{folder}/in"), f"{folder}/documents", f"{folder}/state", r"\b(nicht|pour|with)\b").awaitTermination()
     return spark.read.parquet(f"{folder}/documents").select("url", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query("streamed_catalog", replay_sql())
+def streamed_catalog(spark, sf):
+    """The crawls after the cut as one stream over the stored catalog: the same rows as replaying them step by step."""
+    folder = work_folder(spark)
+    crawls = [S.product_observations(spark, sf, a, b).withColumn("crawl_id", F.col("source_id") * 10 + k) for k, (a, b) in enumerate(zip(REPLAYED, [*REPLAYED[1:], None], strict=True))]
+    rows = reduce(DataFrame.unionByName, crawls).join(S.crawl_reports(spark, sf)[1], "source_id").withColumns({"listed_only": F.lit(False)})
+    stream = stream_of(spark, rows, f"{folder}/in", files=3, at_once=3)
+    J.maintain_catalog(stream, f"{folder}/catalog", f"{folder}/state", S.STATUS_NOW, initial=S.stored_catalog(spark, sf)).awaitTermination()
+    return J.latest_catalog(spark, f"{folder}/catalog").select("url", "source_id", "is_active")

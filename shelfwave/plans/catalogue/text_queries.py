@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-
+import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ from shelfwave.operators.phrases import phrase_table
 from shelfwave.plans.oracle_views import with_views
 from shelfwave.plans.registry import query
 from shelfwave.sources import samples as S
-from shelfwave.sources.dictionary import Dictionary, Item, dictionary_rows, phrase_rows
+from shelfwave.session import shared_folder
+from shelfwave.sources.dictionary import Dictionary, Item, dictionary_rows, phrase_rows, read_dictionary
 
 FOLD = "trim(regexp_replace(strip_accents(replace(replace(lower({0}), 'œ', 'oe'), 'æ', 'ae')), '[^a-z0-9]+', ' ', 'g'))"
 # A small dictionary over the sample vocabulary, with two-word phrases so that the longest match matters.
@@ -270,7 +272,8 @@ def reread(spark, sf):
     item = F.struct(F.lit("violet").alias("code"), F.lit("rising").alias("stance"), F.col("title").alias("evidence"))
     answers = A.reread_candidates(docs, "color", "v2").where(F.pmod("id", F.lit(2)) == 0).select(
         F.col("id").alias("document_id"), (F.pmod("id", F.lit(4)) == 0).alias("relevant"), F.array(item, item).alias("items"))
-    return A.reread_dimension(ment.where(F.col("dimension") == "PROMO").withColumn("dimension", F.lit("color")), docs, answers, "color", "v2")
+    promo = F.when(F.col("dimension") == "PROMO", "color").otherwise(F.col("dimension"))  # one part type stands for the colours
+    return A.reread_dimension(ment.withColumn("dimension", promo), docs, answers, "color", "v2")
 
 
 STALE = """st AS (SELECT * FROM docs WHERE status = 'extracted' AND NOT is_demo AND (prompt_version IS NULL OR (prompt_version <> 'v2' AND prompt_version NOT LIKE '%+color@v2')))"""
@@ -282,10 +285,11 @@ def reread_candidates(spark, sf):
 
 
 @query("reread_mentions", with_views("docs ment", f"""
-WITH {STALE} SELECT document_id, code, stance, evidence FROM ment WHERE dimension = 'PROMO' AND document_id NOT IN (SELECT id FROM st WHERE id % 4 = 0)
-UNION ALL SELECT id, 'violet', 'rising', title FROM st WHERE id % 4 = 0"""))
+WITH {STALE} SELECT document_id, CASE WHEN dimension = 'PROMO' THEN 'color' ELSE dimension END AS dimension, code, stance, evidence FROM ment
+WHERE dimension <> 'PROMO' OR document_id NOT IN (SELECT id FROM st WHERE id % 4 = 0)
+UNION ALL SELECT id, 'color', 'violet', 'rising', title FROM st WHERE id % 4 = 0"""))
 def reread_mentions(spark, sf):
-    return reread(spark, sf)[0].select("document_id", "code", "stance", "evidence")
+    return reread(spark, sf)[0].select("document_id", "dimension", "code", "stance", "evidence")
 
 
 @query("reread_markers", with_views("docs", f"""
@@ -294,8 +298,14 @@ def reread_markers(spark, sf):
     return reread(spark, sf)[1].select("id", "prompt_version")
 
 
-@query("pending_documents", with_views("docs", "SELECT id FROM docs WHERE status = 'pending' ORDER BY collected_at, id LIMIT 100"))
+@query("pending_documents", with_views("docs", "SELECT id FROM docs WHERE status = 'pending'"))
 def pending_documents(spark, sf):
+    return A.pending_documents(S.documents(spark, sf)).select("id")
+
+
+@query("pending_page", with_views("docs", "SELECT id FROM docs WHERE status = 'pending' ORDER BY collected_at, id LIMIT 100"))
+def pending_page(spark, sf):
+    """The oldest hundred, as a run asks for them."""
     return A.pending_documents(S.documents(spark, sf), 100).select("id")
 
 
@@ -304,6 +314,20 @@ def document_status_tallies(spark, sf):
     return A.status_tallies(S.documents(spark, sf))
 
 
+@query("loaded_dictionary", with_views("dict ment", """
+SELECT dict.dimension, dict.code, label, hex, multicolor, coalesce(n, 0) AS mentions FROM dict LEFT JOIN (SELECT dimension, code, count(*) AS n FROM ment GROUP BY 1, 2) USING (dimension, code)"""))
+def loaded_dictionary(spark, sf):
+    """The sample's attributes written as a dictionary file, loaded from it and joined to the mentions of each."""
+    items: dict[str, dict] = {}
+    for r in S.dictionary(spark, sf).collect():  # a dictionary's rows
+        items.setdefault(r["dimension"], {"label_fr": r["dimension"].title(), "items": {}})["items"][r["code"]] = {"fr": r["label"], "hex": r["hex"], "multicolor": r["multicolor"]}
+    path = f"{shared_folder(spark)}/dictionary-{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps({"dimensions": items}),)], "value string").write.text(path)
+    rows = dictionary_rows(spark, read_dictionary(spark, path))
+    counts = S.mentions(spark, sf).groupBy("dimension", "code").agg(F.count(F.lit(1)).alias("mentions"))
+    return rows.join(counts, ["dimension", "code"], "left").select("dimension", "code", "label", "hex", "multicolor", F.coalesce("mentions", F.lit(0)).alias("mentions"))
+
+
 @query("reading_cost", "SELECT count(*) AS documents, round(sum(length(text)) / 4 * 2e-6 + count(*) * 500 * 1e-5, 6) AS cost FROM documents")
 def reading_cost(spark, sf):
     return A.reading_cost(S.load(spark, sf, "documents")).select("documents", F.round("cost", 6).alias("cost"))

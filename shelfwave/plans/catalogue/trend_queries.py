@@ -164,28 +164,28 @@ def rising_streaks(spark, sf):
 
 
 @query("share_of_voice", with_views("snaps", """
-SELECT dimension, code, CAST(wk AS VARCHAR) AS week, round(mentions / CASE WHEN t = 0 THEN 1 ELSE t END, 6) AS share
-FROM (SELECT *, sum(mentions) OVER (PARTITION BY dimension, wk) AS t FROM snaps)"""))
+SELECT dimension, code, CAST(wk AS VARCHAR) AS week, round(CAST(round(mentions * 10) AS BIGINT) / CASE WHEN t = 0 THEN 1 ELSE t END, 6) AS share
+FROM (SELECT *, sum(CAST(round(mentions * 10) AS BIGINT)) OVER (PARTITION BY dimension, wk) AS t FROM snaps)"""))
 def share_of_voice(spark, sf):
     return T.share_of_voice(snapshots(spark, sf), WEEK, WEEKS).select(*KEY, text_day(), F.round("share", 6).alias("share"))
 
 
 @query("palette_of_the_week", with_views("snaps", """
-SELECT code, round(mentions / sum(mentions) OVER (), 6) AS share FROM snaps
+SELECT code, round(CAST(round(mentions * 10) AS BIGINT) / sum(CAST(round(mentions * 10) AS BIGINT)) OVER (), 6) AS share FROM snaps
 WHERE wk = DATE '2001-09-24' AND dimension = 'PROMO' QUALIFY mentions > 0"""))
 def palette_of_the_week(spark, sf):
     return T.palette(snapshots(spark, sf), WEEK, "PROMO").select("code", F.round("share", 6).alias("share"))
 
 
 @query("four_week_volume", with_views("snaps", """
-SELECT dimension, code, round(sum(mentions), 4) AS volume_4w FROM snaps WHERE wk > DATE '2001-08-27' AND wk <= DATE '2001-09-24'
+SELECT dimension, code, round(sum(CAST(round(mentions * 10) AS BIGINT)) / 10, 4) AS volume_4w FROM snaps WHERE wk > DATE '2001-08-27' AND wk <= DATE '2001-09-24'
 GROUP BY dimension, code"""))
 def four_week_volume(spark, sf):
     return T.four_week_volume(snapshots(spark, sf), WEEK).select(*KEY, F.round("volume_4w", 4).alias("volume_4w"))
 
 
 @query("must_cite_attributes", with_views("snaps", """
-WITH v AS (SELECT dimension, code, sum(mentions) AS volume_4w FROM snaps WHERE wk > DATE '2001-07-23' AND wk <= DATE '2001-08-20' GROUP BY 1, 2)
+WITH v AS (SELECT dimension, code, sum(CAST(round(mentions * 10) AS BIGINT)) / 10 AS volume_4w FROM snaps WHERE wk > DATE '2001-07-23' AND wk <= DATE '2001-08-20' GROUP BY 1, 2)
 SELECT s.code, s.momentum, s.status, round(volume_4w, 4) AS volume_4w FROM snaps s JOIN v USING (dimension, code)
 WHERE wk = DATE '2001-08-20' AND dimension = 'PROMO' AND status IN ('en_hausse', 'au_pic') AND round(volume_4w, 6) >= 10"""))
 def must_cite_attributes(spark, sf):
@@ -364,11 +364,10 @@ def demand_change(spark, sf):
 
 
 @query("demand_list", with_views("search snaps", """
-WITH q AS (SELECT DISTINCT dimension, code FROM search WHERE wk >= DATE '2001-10-08'),
+WITH q AS (SELECT DISTINCT dimension, code FROM search),
 r AS (SELECT coalesce(t.dimension, q.dimension) AS dimension, coalesce(t.code, q.code) AS code, q.code IS NOT NULL AS searched, momentum, status
       FROM (SELECT * FROM snaps WHERE wk = DATE '2001-09-24') t FULL JOIN q ON q.dimension = t.dimension AND q.code = t.code)
 SELECT dimension, code, searched, coalesce(momentum, -9.0) AS momentum FROM r
 WHERE dimension IN (SELECT dimension FROM q) AND (searched OR status <> 'faible')"""))
 def demand_list(spark, sf):
-    recent = S.search_interest(spark, sf).where(F.col("week") >= F.lit(date(2001, 10, 8)))
-    return T.demand_list(recent, T.at_week(snapshots(spark, sf), WEEK))
+    return T.demand_list(S.search_interest(spark, sf), T.at_week(snapshots(spark, sf), WEEK))

@@ -93,6 +93,11 @@ def load_dictionary(path: str | Path, aliases: dict[str, Iterable[tuple[str, str
     return from_mapping(yaml.safe_load(text), aliases)
 
 
+def read_dictionary(spark: SparkSession, path: str, aliases: dict[str, Iterable[tuple[str, str]]] | None = None) -> Dictionary:
+    """A JSON dictionary in any store that Spark reads; it is small by nature and read on the driver."""
+    return from_mapping(json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())), aliases)
+
+
 def dictionary_rows(spark: SparkSession, dictionary: Dictionary) -> DataFrame:
     """(dimension, code, label, hex, multicolor, ord): the public form, joined to results for their labels."""
     rows = [(i.dimension, i.code, i.label, i.hex, i.multicolor, n) for n, i in enumerate(dictionary.items)]

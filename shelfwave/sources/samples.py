@@ -13,8 +13,7 @@ from shelfwave.functions.dates import week_start
 TODAY = date(2001, 9, 26)           # scoring day of the sample: report week 2001-09-24
 CATALOG_NOW = datetime(2000, 7, 15)  # catalog clock of the sample
 STATUS_NOW = datetime(2001, 8, 5)    # crawl-log clock of the sample
-SYNC_CUT = date(2001, 1, 1)          # observations before it are the stored catalog, one quarter after it the new crawl
-SYNC_END = date(2001, 4, 1)
+SYNC_CUT = date(2001, 1, 1)          # observations before it are the stored catalog, those after it the new crawl
 
 
 _SCHEMAS: dict[str, object] = {}
@@ -294,8 +293,8 @@ def stored_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.when(~active, F.col("seen_at").cast("timestamp")).alias("dropped_at"))
 
 
-def product_observations(spark: SparkSession, sf_dir: str, start: date = SYNC_CUT, end: date | None = SYNC_END) -> DataFrame:
-    """A crawl of every supplier: the order lines from `start` on, before `end`; by default those of the first quarter after the cut."""
+def product_observations(spark: SparkSession, sf_dir: str, start: date = SYNC_CUT, end: date | None = None) -> DataFrame:
+    """A crawl of every supplier: the order lines from `start` on, before `end`; by default all after the cut."""
     line = load(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit(start))
     line = line if end is None else line.where(F.col("l_shipdate") < F.lit(end))
     rows = _observed(line, load(spark, sf_dir, "part"))

@@ -85,11 +85,12 @@ def maintain_snapshots(stream: DataFrame, mentions_path: str, snapshots_path: st
 
 
 def maintain_catalog(stream: DataFrame, catalog_path: str, checkpoint: str, now, available_now: bool = True,
-                     rules: Rules = DEFAULT_RULES) -> StreamingQuery:
+                     rules: Rules = DEFAULT_RULES, initial: DataFrame | None = None) -> StreamingQuery:
     """Catalog versions from a stream of crawl results (product_observations plus `listed_only`, `problems` and, where facets may have failed, `gaps`:
     array of (ord, facet, label, flag, per_variant)). The drop guard looks at store-wide totals and at the state the crawl before left, so a
     micro-batch is replayed crawl by crawl per store: the n-th crawl of every store makes one step, with its gaps carried over. Each step writes a
-    version folder; a repeated batch starts again from the version before it, and versions before that one are removed."""
+    version folder; a repeated batch starts again from the version before it, and versions before that one are removed. The first batch starts from
+    `initial`, the catalog as it was stored before, or from an empty one."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -100,7 +101,8 @@ def maintain_catalog(stream: DataFrame, catalog_path: str, checkpoint: str, now,
         n_turns = turns.agg(F.coalesce(F.max("turn"), F.lit(0))).first()[0]
         done = _versions(spark, catalog_path)
         older = [v for v in done if v < (batch_id, 0)]
-        current = spark.read.parquet(_folder(catalog_path, older[-1])) if older else spark.createDataFrame([], _catalog_schema())
+        empty = spark.createDataFrame([], _catalog_schema()) if initial is None else initial
+        current = spark.read.parquet(_folder(catalog_path, older[-1])) if older else empty
         for turn in range(1, n_turns + 1):
             step = batch.join(turns.where(F.col("turn") == turn).drop("turn"), ["source_id", "crawl_id"])
             seen = step.where(~F.col("listed_only")).drop("listed_only", "problems", "gaps")

@@ -148,10 +148,16 @@ def test_upserts_do_not_depend_on_order(spark, rows):
     assert ids == {((1, "u", "news"), (2, "v", "press"))}
 
 
-def test_every_landed_child_of_a_sitemap_index_is_read(spark):
+def test_every_landed_text_that_a_sitemap_index_leads_to_is_read_once(spark):
     from shelfwave.operators import ingest as I
 
-    index = "<sitemapindex>" + "".join(f"<sitemap><loc>https://s.test/{k}.xml</loc></sitemap>" for k in range(150)) + "</sitemapindex>"
-    landed_ = spark.createDataFrame([(f"https://s.test/{k}.xml", f"<urlset><url><loc>https://s.test/p{k}</loc></url></urlset>") for k in range(120)], "loc string, xml string")
-    children = I.landed_children(spark.createDataFrame([(1, index), (1, index)], "source_id bigint, xml string"), landed_)
-    assert I.sitemap_entries(children).count() == 120
+    index = lambda locs: "<sitemapindex>" + "".join(f"<sitemap><loc>{k}</loc></sitemap>" for k in locs) + "</sitemapindex>"
+    texts = {f"https://s.test/{k}.xml": f"<urlset><url><loc>https://s.test/p{k}</loc></url></urlset>" for k in range(120)}
+    texts["https://s.test/root"] = index([f"https://s.test/part{k}" for k in range(4)] * 2)
+    for k in range(4):  # the parts name the root and each other again, and texts that were never landed
+        texts[f"https://s.test/part{k}"] = index([f"https://s.test/{j}.xml" for j in range(150) if j % 4 == k] + ["https://s.test/root", f"https://s.test/part{(k + 1) % 4}"])
+    texts["https://s.test/alone"] = "<urlset><url><loc>https://s.test/none</loc></url></urlset>"
+    roots = spark.createDataFrame([(1, "https://s.test/root"), (1, "https://s.test/root"), (2, "https://s.test/3.xml"), (3, "https://s.test/gone")], "source_id bigint, loc string")
+    landed = spark.createDataFrame(list(texts.items()), "loc string, xml string")
+    got = sorted((r["source_id"], r["loc"]) for r in I.sitemap_entries(I.sitemap_texts(roots, landed)).collect())
+    assert got == sorted([(1, f"https://s.test/p{k}") for k in range(120)] + [(2, "https://s.test/p3")])
