@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,21 +82,36 @@ def fingerprints(docs: DataFrame, text: str = "text", keep=None) -> DataFrame:
     return map_texts(docs, lambda texts: {"fingerprint": list(map(fingerprint, texts))}, "fingerprint string", text, keep)
 
 
+def _cuts(rows: DataFrame, bins: int) -> list[tuple[int, int]]:
+    """Places (__order, __tie) that part the rows into about `bins` bins."""
+    if bins < 2:
+        return []
+    keys = Counter(int(q) for q in rows.approxQuantile("__order", [k / bins for k in range(1, bins)], 1 / (4 * bins)))
+    cuts = {(k + 1, 0) for k in keys}
+    often = [k for k, n in keys.items() if n > 1]
+    if often:  # at most bins / 2 keys
+        shares = F.array(*[F.lit(j / bins) for j in range(1, bins)])
+        for r in rows.where(F.col("__order").isin(often)).groupBy("__order").agg(F.percentile_approx("__tie", shares, F.lit(4 * bins)).alias("ties")).collect():
+            cuts |= {(r["__order"], 0), *((r["__order"], t + 1) for t in r["ties"][::max(1, bins // keys[r["__order"]])])}
+    return sorted(cuts)
+
+
 def with_edits(docs: DataFrame, text: str = "text", key: str = "doc_id", bins: int | None = None) -> DataFrame:
     """Per row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, where the edited text has its last half
     replaced by the start of the next row's text by (key, text), nulls first; after the last row comes the first.
 
     Rows go once to bins of keys. The first row of each bin is sent to the bin before as well, so each bin knows the row after its last one, and
-    nothing larger than a key per bin passes the driver. Bins are cut at approximate quantiles of the keys; repeated keys share a bin. Repeated
+    nothing larger than a key per bin passes the driver. Bins are cut at approximate quantiles of the keys; a key that would fill several bins (null keys
+    included) is cut again at quantiles of its texts' first bytes, which are in text order. Rows under one key whose texts begin alike share a bin. Repeated
     rows keep a row each; null keys come first; an empty table gives an empty result."""
     n = bins or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{key}`").alias("__key"), F.coalesce(F.col(f"`{key}`"), F.lit(-(2**63))).alias("__order"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    cuts = sorted(set(rows.approxQuantile("__order", [k / n for k in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    dealt = rows.withColumn("__bin", interval([(int(c) + 1, 0) for c in cuts])(F.col("__order"), F.lit(0).cast("long")))
-    least = dealt.groupBy("__bin").agg(F.min("__order").alias("least")).orderBy("__bin").collect()  # two numbers per bin
+    rows = rows.withColumn("__tie", F.conv(F.rpad(F.hex(F.substring(F.col("__text").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long"))
+    dealt = rows.withColumn("__bin", interval(_cuts(rows, n))(F.col("__order"), F.col("__tie")))
+    least = dealt.groupBy("__bin").agg(F.min(F.struct("__order", "__tie")).alias("least")).select("__bin", "least.*").orderBy("__bin").collect()  # three numbers per bin
     # the last bin comes before the first
-    before = docs.sparkSession.createDataFrame([(r["__bin"], r["least"], least[k - 1]["__bin"]) for k, r in enumerate(least)], "__bin int, least bigint, earlier int")
-    firsts = (dealt.where(F.col("__order").isin([r["least"] for r in least])).join(F.broadcast(before), "__bin").where("__order = least")
+    before = docs.sparkSession.createDataFrame([(r["__bin"], r["__order"], r["__tie"], least[k - 1]["__bin"]) for k, r in enumerate(least)], "__bin int, least bigint, least_tie bigint, earlier int")
+    firsts = (dealt.where(F.col("__order").isin([r["__order"] for r in least])).join(F.broadcast(before), "__bin").where("__order = least and __tie = least_tie")
               .groupBy("earlier", "__order").agg(F.min("__text").alias("__text")))
     back = firsts.select(F.lit(None).cast(docs.schema[key].dataType).alias("__key"), "__order", "__text", F.col("earlier").alias("__bin"), F.lit(True).alias("__guest"))
     both = dealt.select("__key", "__order", "__text", "__bin", F.lit(False).alias("__guest")).unionByName(back)

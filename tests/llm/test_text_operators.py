@@ -256,3 +256,39 @@ def test_a_third_of_all_rows_equal_in_every_column_is_parted(spark, tmp_path):
         own = [r for r in got if r["shard"] == s]
         assert abs(sum(r["size"] for r in own) - total / 40) <= 2 * 516 + total / 40 / 500
         assert sorted(r["slot"] for r in own) == list(range(len(own)))
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_a_hot_key_is_cut_in_text_order(spark, hot):
+    from shelfwave.llm import sketch as S
+    from shelfwave.llm.common import interval
+
+    r = random.Random(4)
+    rows = [(hot, "".join(r.choices("aé日b ", k=r.randrange(2, 30)))) for _ in range(120)] + [(k, f"t{k}" * (k % 9)) for k in range(240) if k != 7]
+    r.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    order = sorted(rows, key=lambda x: (-1 if x[0] is None else x[0], x[1].encode()))
+    want = Counter()
+    for j, (k, t) in enumerate(order):
+        half, after = len(t) // 2, order[(j + 1) % len(order)][1]
+        want[k, len(t), hashlib.sha256((t[:len(t) - half] + after[:half]).encode()).hexdigest()] += 1
+    got = S.with_edits(frame, bins=12)
+    assert Counter((x["doc_id"], x["n_chars"], x["edited_sha256"]) for x in got.collect()) == want
+    placed = frame.selectExpr("coalesce(doc_id, cast(-9223372036854775808 as bigint)) as __order", "text").withColumn(
+        "__tie", F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long"))
+    bins = placed.where(F.col("__order") == (7 if hot else -(2**63))).groupBy(interval(S._cuts(placed, 12))(F.col("__order"), F.col("__tie"))).count().collect()
+    assert len(bins) >= 3 and max(b["count"] for b in bins) < 80
+
+
+def test_likeness_is_near_the_exact_resemblance():
+    from shelfwave.llm import sketch as S
+
+    r = random.Random(6)
+    for share in (0.2, 0.5, 0.8):
+        errors = []
+        for _ in range(12):
+            a = "".join(r.choices("abcdefgh ", k=6000))
+            b = a[:int(6000 * share)] + "".join(r.choices("abcdefgh ", k=6000 - int(6000 * share)))
+            x, y = (set(S.shingle_hashes(t).tolist()) for t in (a, b))
+            errors.append(S.likeness(S.sketch(a), S.sketch(b)) - len(x & y) / len(x | y))
+        assert abs(sum(errors) / len(errors)) < 0.02 and max(map(abs, errors)) < 0.12  # some 375 hashes of 6,000 are kept on each side
