@@ -6,6 +6,7 @@ byte-level split pattern and no special string crosses one, so a document's coun
 from __future__ import annotations
 
 import functools
+import hashlib
 import os
 import re
 from collections import Counter
@@ -21,8 +22,9 @@ from shelfwave.session import cut_lineage
 UNSAFE = re.compile(r"\s ")
 BOUNDARY = re.compile(r"(?<=\S)(?= )")
 FLUSH = 300_000
-#: Frequent pre-tokens are looked up in each task; at most HEAVY, each of at most HEAVY_BYTES, so the broadcast is below 32 MB.
-HEAVY, HEAVY_BYTES, SEEN = 1 << 18, 64, 10_000
+#: Frequent pre-tokens are looked up in each task; at most HEAVY, and HEAVY_BYTES with 64 each for what holds them.
+HEAVY, HEAVY_BYTES, SEEN = 1 << 18, 32 << 20, 10_000
+LONG, LONGS = 512, 20_000  # characters from which a pre-token is counted where it is; how many of these a worker remembers by 128 bits of a hash
 
 
 @functools.lru_cache(maxsize=4)
@@ -53,6 +55,21 @@ def _pieces(units: list[str], path: str) -> list[int]:
     return n
 
 
+@functools.lru_cache(maxsize=1)
+def _longs(path: str) -> dict[bytes, int]:
+    return {}
+
+
+def long_pieces(unit: str, path: str) -> int:
+    """Pieces of a long pre-token: counted once in a worker, as far as it remembers."""
+    known, name = _longs(path), hashlib.blake2b(unit.encode(), digest_size=16).digest()
+    if name not in known:
+        if len(known) >= LONGS:
+            known.clear()
+        known[name] = _pieces([unit], path)[0]
+    return known[name]
+
+
 def frequent(docs: DataFrame, path: str, text: str = "text", most: int = HEAVY, rows: int = SEEN) -> dict[str, int]:
     """Pieces of pre-tokens that are frequent in about `rows` rows, at most `most` of them. They are only looked up sooner than others: which they are
     changes no count."""
@@ -60,7 +77,7 @@ def frequent(docs: DataFrame, path: str, text: str = "text", most: int = HEAVY,
         seen: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                seen.update(u for u in pretokens(t) if len(u.encode()) <= HEAVY_BYTES)
+                seen.update(u for u in pretokens(t) if len(u) < LONG)
                 if len(seen) >= FLUSH:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "uses"])
                     seen.clear()
@@ -75,10 +92,10 @@ def frequent(docs: DataFrame, path: str, text: str = "text", most: int = HEAVY,
     some = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"), F.monotonically_increasing_id().alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(every)) == 0)
     uses = cut_lineage(some.select("t").mapInArrow(count, "unit string, uses bigint").groupBy("unit").agg(F.sum("uses").alias("uses")))
     degree = F.floor(F.log2("uses") * 8)
-    total, least = 0, None
-    for c in uses.groupBy(degree.alias("degree")).count().orderBy(F.desc("degree")).collect():  # some hundred degrees at most
-        total += c["count"]
-        if total > most:
+    total, size, least = 0, 0, None
+    for c in uses.groupBy(degree.alias("degree")).agg(F.count("*").alias("units"), F.sum(F.octet_length("unit")).alias("bytes")).orderBy(F.desc("degree")).collect():  # some hundred degrees at most
+        total, size = total + c["units"], size + c["bytes"] + 64 * c["units"]
+        if total > most or size > HEAVY_BYTES:
             break
         least = c["degree"]
     if least is None:
@@ -90,8 +107,9 @@ def frequent(docs: DataFrame, path: str, text: str = "text", most: int = HEAVY,
 def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), most: int = HEAVY) -> DataFrame:
     """The kept columns, n_bytes and n_tokens of every row as the tokenizer file gives them, without added special tokens.
 
-    Frequent pre-tokens are joined in the task to a broadcast of checked size. Every other (row, pre-token, frequency) is moved to its pre-token, where
-    each distinct one is counted once; none of these is frequent, so no key is hot. Rows are told apart by their place in the input, which must be
+    Frequent pre-tokens are joined in the task to a broadcast of checked size (which they are is told by a count of the rows and a look at some of them
+    while the plan is built). Very long ones, blank-free texts say, are counted where they are, once in a worker, so their strings never move. Every other
+    (row, pre-token, frequency) is moved to its pre-token, where each distinct one is counted once; none of these is frequent, so no key is hot. Rows are told apart by their place in the input, which must be
     repeatable (a table, a checkpoint): repeated rows and null ids each keep a row. Null or empty text: 0 tokens. Result columns replace input columns
     of the same name."""
     carried = [c for c in keep if c not in ("n_bytes", "n_tokens")]
@@ -107,7 +125,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
                 for r, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     found = 0
                     for u, n in pretokens(t).items():
-                        pieces = table.get(u)
+                        pieces = table.get(u) if len(u) < LONG else long_pieces(u, path)
                         if pieces is None:
                             row.append(r)
                             unit.append(u)
