@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from shelfwave.llm.token_counts import tokenizer
 
 WINDOW, END = 2048, 1
-CACHE = 700_000  # distinct words, and distinct pieces of words, that a worker remembers: some 250 MB
+CACHE, LONG = 700_000, 64  # distinct words, and distinct pieces of words, that a worker remembers, each below LONG characters: some 250 MB
 PLAIN = re.compile(r"[!-~¡-¬®-ÿ]+")  # printable Latin-1: no white space, nothing to normalise but case
 
 
@@ -57,7 +57,9 @@ class WordIds:
 
     def piece(self, piece: str) -> bytes:
         tokens = self.library.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet))
-        got = self.pieces[piece] = array("I", [t.id for t in tokens]).tobytes()
+        got = array("I", [t.id for t in tokens]).tobytes()
+        if len(piece) < LONG:
+            self.pieces[piece] = got
         return got
 
     def __call__(self, text: str) -> bytes:
@@ -67,9 +69,13 @@ class WordIds:
             known.clear()
         if len(self.pieces) > CACHE:
             self.pieces.clear()
-        for u in set(units).difference(known):
-            known[u] = self.unit(u)
-        return b"".join(map(known.__getitem__, units))
+        new, here = set(units).difference(known), known
+        if len(new) > CACHE or any(len(u) >= LONG for u in new):  # these are for this text alone
+            here = {u: known[u] if u in known else self.unit(u) for u in set(units)}
+        else:
+            for u in new:
+                known[u] = self.unit(u)
+        return b"".join(map(here.__getitem__, units))
 
 
 @functools.lru_cache(maxsize=2)

@@ -292,3 +292,33 @@ def test_likeness_is_near_the_exact_resemblance():
             x, y = (set(S.shingle_hashes(t).tolist()) for t in (a, b))
             errors.append(S.likeness(S.sketch(a), S.sketch(b)) - len(x & y) / len(x | y))
         assert abs(sum(errors) / len(errors)) < 0.02 and max(map(abs, errors)) < 0.12  # some 375 hashes of 6,000 are kept on each side
+
+
+def test_a_long_pretoken_in_a_third_of_the_rows_stays_in_its_task(spark, tmp_path, monkeypatch):
+    from shelfwave.llm import token_counts as C
+
+    path = P.path("byte_bpe_50k.json")
+    r = random.Random(8)
+    long = "".join(r.choices("abcdé漢", k=10_000))
+    rows = [(k, f"some {long} text {k}" if k % 3 == 0 else f"w{k} " * (k % 20) + "u" * (k % 700)) for k in range(90)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "rows"))
+    frame = spark.read.parquet(str(tmp_path / "rows"))
+    want = {x["doc_id"]: x["n_tokens"] for x in C.plain_counts(frame, path, keep=["doc_id"]).collect()}
+    for most in (C.HEAVY, 0):
+        assert {x["doc_id"]: x["n_tokens"] for x in C.token_counts(frame, path, most=most).collect()} == want
+    assert not any(len(u) >= C.LONG for u in C.frequent(frame, path))
+    monkeypatch.setattr(C, "LONGS", 1)
+    C._longs.cache_clear()
+    assert [C.long_pieces(u, path) for u in (long, long[1:], long)] == [len(C.tokenizer(path).encode(u, add_special_tokens=False)) for u in (long, long[1:], long)]
+    assert len(C._longs(path)) == 1
+
+
+def test_long_words_of_a_text_are_not_remembered():
+    from shelfwave.llm.packing import LONG, WordIds
+
+    path = P.path("word_bpe_49k.json")
+    ids, library = WordIds(path), WordIds(path).library
+    text = "short words " + " ".join("x" * LONG + str(k) for k in range(50)) + " Straße " + "ab-" * 90
+    assert ids(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert max(map(len, [*ids.units, *ids.pieces, ""])) < LONG
+    assert ids("short words") == np.array(library.encode("short words", add_special_tokens=False).ids, "<u4").tobytes() and "short" in ids.units
