@@ -28,7 +28,7 @@ UNSAFE = re.compile(r"\s ")
 BOUNDARY = re.compile(r"(?<=\S)(?= )")
 SLICE = 2 << 20  # characters of the texts taken at once
 JOINED = 256 << 10  # characters of new stretches that are tokenized in one call
-MEMO = 96 << 20  # bytes of aligned stretches a worker remembers
+MEMO = 160 << 20  # bytes of aligned stretches a worker remembers, some 1.6 million
 PENDING = 2_000_000  # links of documents a task holds before it counts them
 FREQUENT = 1 << 20  # pairs whose counts every task gets: 16 bytes each, 16 MB at most; all others are joined
 PARTS = 8  # parts of the id pairs for each shuffle partition
@@ -58,13 +58,19 @@ class Pair:
         # a piece with a blank after another character could cross a boundary: such a model gets whole texts
         self.parted = not any("▁" in p.lstrip("▁") for p in pieces)
         self.width = len(pieces)
+        self.names = list(map(str, range(max(len(self.bytes_a), self.width))))
+        if len(self.bytes_a) * self.width >= 2**32:
+            raise ValueError("id pairs of these vocabularies do not fit 32 bits")
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.numbers = np.zeros((0, 4), np.int64)  # tokens of A and B, groups, links; below 0: cannot be aligned
-        self.written, self.written_to = b"", np.zeros(1, np.int64)
-        self.links, self.links_to = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.numbers = np.zeros((0, 4), np.int32)  # tokens of A and B, groups, links; below 0: cannot be aligned
+        self.written, self.written_to = np.zeros(0, np.uint8), np.zeros(1, np.uint32)
+        self.links, self.links_to = np.zeros(0, np.uint32), np.zeros(1, np.uint32)
+
+    def size(self) -> int:
+        return sum(a.nbytes for a in (self.keys, self.at, self.numbers, self.written, self.written_to, self.links, self.links_to))
 
     def stretches(self, text: str) -> list[str]:
         """Stretches of blank + text; each begins with a blank, and only the last may end in white space. None is a lone blank, for which the model alone
@@ -78,56 +84,55 @@ class Pair:
         """Token ids of A and B for a text that begins with a blank, and the byte offset where each ends; None where the bytes of A's or B's tokens are not the text's."""
         raw = text.encode()
         got = self.a.encode(text, add_special_tokens=False)
-        ids_a = np.array(got.ids, np.int64)
-        pieces = self.b.encode(text[1:], return_type="proto").pieces
-        ids_b = np.array([p.id for p in pieces], np.int64)
-        if b"".join([self.bytes_a[k] for k in got.ids]) != raw or b"".join([self.bytes_b[k] for k in ids_b.tolist()]) != raw:
+        list_a = got.ids
+        pieces = np.array([(p.id, p.end) for p in self.b.encode(text[1:], return_type="proto").pieces], np.int64).reshape(-1, 2)
+        ids_a, ids_b = np.array(list_a, np.int64), pieces[:, 0]
+        if b"".join(map(self.bytes_a.__getitem__, list_a)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) != raw:
             return None
         spans = np.array(got.offsets, np.int64).reshape(-1, 2)
         upto = np.arange(len(text) + 1) if len(raw) == len(text) else np.concatenate([[0], np.cumsum(UTF8[np.frombuffer(text.encode("utf-32-le"), "<u4").clip(max=0x10000)])])
         shared = np.append(spans[1:, 0] < spans[:-1, 1], False)  # the next token has a part of this one's last character
         ends_a = np.where(shared, np.cumsum(self.size_a[ids_a]), upto[spans[:, 1]])
-        ends_b = np.array([p.end for p in pieces], np.int64) + 1  # its spans count bytes, and do not count the blank
-        ends_b = np.where(self.fallback[ids_b], np.cumsum(self.size_b[ids_b]), ends_b)
+        ends_b = np.where(self.fallback[ids_b], np.cumsum(self.size_b[ids_b]), pieces[:, 1] + 1)  # its spans count bytes, and do not count the blank
         return ids_a, ids_b, ends_a, ends_b
 
-    def align(self, units: list[str]) -> Iterator[tuple[np.ndarray, list[bytes], list[np.ndarray]]]:
-        """Of each stretch: numbers, groups as written, links as id pairs. Stretches are tokenized together; if something does not fit, in halves."""
+    def align(self, units: list[str]) -> Iterator[tuple[np.ndarray, bytes, np.ndarray, np.ndarray]]:
+        """Of stretches: numbers, all groups as written and how long those of each are, all links as id pairs. They are tokenized together; if something does
+        not fit, in halves."""
         found = self.ends("".join(units))
         until = np.cumsum([len(u.encode()) for u in units])
         if found is not None:
             ids_a, ids_b, ends_a, ends_b = found
-            cuts = np.intersect1d(ends_a, ends_b)
-            if np.isin(until, cuts).all():
+            cuts = ends_a[np.isin(ends_a, ends_b, kind="table")]
+            if np.isin(until, cuts, kind="table").all():
                 yield self._groups(ids_a, ids_b, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), np.searchsorted(until, cuts), len(units))
                 return
         if len(units) == 1:
-            yield np.full((1, 4), -1), [b""], [np.zeros(0, np.int64)]
+            yield np.full((1, 4), -1), b"", np.zeros(1, np.int64), np.zeros(0, np.int64)
             return
         half = len(units) // 2
         yield from self.align(units[:half])
         yield from self.align(units[half:])
 
-    def _groups(self, ids_a, ids_b, group_a, group_b, unit, n) -> tuple[np.ndarray, list[bytes], list[np.ndarray]]:
-        """group_a, group_b: group of each token; unit: stretch of each group."""
+    def _groups(self, ids_a, ids_b, group_a, group_b, unit, n) -> tuple[np.ndarray, bytes, np.ndarray, np.ndarray]:
+        """group_a, group_b: group of each token; unit: stretch of each group, none without any."""
         many_a, many_b = np.bincount(group_a, minlength=len(unit)), np.bincount(group_b, minlength=len(unit))
         to_a, to_b = np.cumsum(many_a), np.cumsum(many_b)
-        numbers = np.zeros((n, 4), np.int64)
-        for k, of in enumerate((many_a, many_b, np.ones(len(unit), np.int64), many_a * many_b)):
-            np.add.at(numbers[:, k], unit, of)
+        first = np.searchsorted(unit, np.arange(n))
+        numbers = np.stack([np.add.reduceat(of, first) for of in (many_a, many_b, np.ones(len(unit), np.int64), many_a * many_b)], axis=1)
         times = many_b[group_a]
-        first = np.repeat((to_b - many_b)[group_a], times)
-        links = np.repeat(ids_a, times) * self.width + ids_b[first + np.arange(len(first)) - np.repeat(np.cumsum(times) - times, times)]
-        name_a, name_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        written, a, b = [[] for _ in range(n)], 0, 0
-        for u, x, y in zip(unit.tolist(), to_a.tolist(), to_b.tolist(), strict=True):
-            written[u].append(f"{name_a[a] if x == a + 1 else ','.join(name_a[a:x])}|{name_b[b] if y == b + 1 else ','.join(name_b[b:y])};")
+        begin = np.repeat((to_b - many_b)[group_a] - (np.cumsum(times) - times), times)
+        links = np.repeat(ids_a, times) * self.width + ids_b[begin + np.arange(len(begin))]
+        name_a, name_b = (list(map(self.names.__getitem__, ids.tolist())) for ids in (ids_a, ids_b))
+        written, a, b = [], 0, 0
+        for x, y in zip(to_a.tolist(), to_b.tolist(), strict=True):
+            written.append(f"{name_a[a] if x == a + 1 else ','.join(name_a[a:x])}|{name_b[b] if y == b + 1 else ','.join(name_b[b:y])};")
             a, b = x, y
-        return numbers, ["".join(w).encode() for w in written], np.split(links, np.cumsum(numbers[:-1, 3]))
+        return numbers, "".join(written).encode(), np.add.reduceat(np.array(list(map(len, written))), first), links
 
     def places(self, units: list[str]) -> np.ndarray:
         """Place of each stretch among the remembered; new ones are aligned and remembered. Stretches are told apart by 64 bits of a keyed hash."""
-        if len(self.written) + 8 * len(self.links) + 64 * len(self.keys) > MEMO:
+        if self.size() > MEMO:
             self.forget()
         h = word_hashes(units)
         at = np.searchsorted(self.keys, h)
@@ -135,26 +140,26 @@ class Pair:
         if not known.all():
             new, first = np.unique(h[~known], return_index=True)
             where = np.flatnonzero(~known)[first]
-            numbers, written, links, some, size = [], [], [], [], 0
+            numbers, written, lengths, links, some, size = [], [], [], [], [], 0
             for k, place in enumerate(where):
                 some.append(units[place])
                 size += len(some[-1])
                 if size > JOINED or k + 1 == len(where) or some[-1][-1].isspace():
-                    for x, y, z in self.align(some):
-                        numbers.append(x)
-                        written += y
-                        links += z
+                    for found in self.align(some):
+                        for into, part in zip((numbers, written, lengths, links), found, strict=True):
+                            into.append(part)
                     some, size = [], 0
             base = len(self.numbers)
-            self.numbers = np.concatenate([self.numbers, *numbers])
-            self.written_to = np.concatenate([self.written_to, self.written_to[-1] + np.cumsum(list(map(len, written)))])
-            self.links_to = np.concatenate([self.links_to, self.links_to[-1] + np.cumsum(list(map(len, links)))])
-            self.written, self.links = b"".join([self.written, *written]), np.concatenate([self.links, *links])
-            keys, at = np.concatenate([self.keys, new]), np.concatenate([self.at, base + np.arange(len(new))])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.at = keys[order], at[order]
+            self.numbers = np.concatenate([self.numbers, *numbers], dtype=np.int32, casting="unsafe")
+            many = self.numbers[base:, 3].astype(np.int64).clip(min=0)
+            self.written_to = np.concatenate([self.written_to, self.written_to[-1] + np.cumsum(np.concatenate(lengths))], dtype=np.uint32, casting="unsafe")
+            self.links_to = np.concatenate([self.links_to, self.links_to[-1] + np.cumsum(many)], dtype=np.uint32, casting="unsafe")
+            self.written = np.concatenate([self.written, np.frombuffer(b"".join(written), np.uint8)])
+            self.links = np.concatenate([self.links, *links], dtype=np.uint32, casting="unsafe")
+            at = np.searchsorted(self.keys, new)
+            self.keys, self.at = np.insert(self.keys, at, new), np.insert(self.at, at, base + np.arange(len(new), dtype=np.int32))
             at = np.searchsorted(self.keys, h)
-        return self.at[at]
+        return self.at[at].astype(np.int64)
 
 
 UTF8 = np.array([1 if c < 0x80 else 2 if c < 0x800 else 3 for c in range(0x10000)] + [4])  # bytes of a character
@@ -167,8 +172,9 @@ def tokenizers(path_a: str, path_b: str) -> Pair:
 
 def _gathered(values: np.ndarray, upto: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs values[upto[k]:upto[k + 1]] for each k in `at`, one after another, and their lengths."""
-    size = upto[at + 1] - upto[at]
-    return values[np.repeat(upto[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+    first = upto[at].astype(np.int64)
+    size = upto[at + 1] - first
+    return values[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
 
 
 def aligned_texts(pair: Pair, texts: list[str]) -> tuple[list[list[str]], np.ndarray, list[memoryview], list[np.ndarray], list[np.ndarray]]:
@@ -182,9 +188,9 @@ def aligned_texts(pair: Pair, texts: list[str]) -> tuple[list[list[str]], np.nda
     bad[doc[pair.numbers[at, 0] < 0]] = True
     good = ~bad[doc]
     doc, at = doc[good], at[good]
-    numbers = np.zeros((len(texts), 4), np.int64)
-    np.add.at(numbers, doc, pair.numbers[at])
-    written, size = _gathered(np.frombuffer(pair.written, np.uint8), pair.written_to, at)
+    bound = np.searchsorted(doc, np.arange(len(texts) + 1))  # stretches come text by text
+    numbers = np.diff(np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(pair.numbers[at], axis=0, dtype=np.int64)])[bound], axis=0)
+    written, size = _gathered(pair.written, pair.written_to, at)
     ends = np.cumsum(np.bincount(doc, weights=size, minlength=len(texts)).astype(np.int64))
     views = [memoryview(written)[s:max(s, e - 1)] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
     # a stretch that a text repeats is looked up once
@@ -192,7 +198,7 @@ def aligned_texts(pair: Pair, texts: list[str]) -> tuple[list[list[str]], np.nda
     place = of % max(1, len(pair.numbers))
     links, size = _gathered(pair.links, pair.links_to, place)
     room = len(pair.bytes_a) * pair.width
-    key = np.repeat(of // max(1, len(pair.numbers)), size) * room + links
+    key = np.repeat(of // max(1, len(pair.numbers)), size) * room + links.astype(np.int64)
     order = np.argsort(key, kind="stable")
     key, often = key[order], np.repeat(often, size)[order]
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
