@@ -55,6 +55,29 @@ def mentions_page(enriched: DataFrame, limit: int = 20, offset: int = 0, **filte
     return mention_rows(rows.orderBy(F.desc("occurred_on"), F.desc("id")).offset(offset).limit(limit))
 
 
+def mentions_after(enriched: DataFrame, after: tuple[date, int] | None, limit: int = 20, **filters) -> DataFrame:
+    """The page after the row (date, id), or the first one: a top-k over what is below that key, however far down it is."""
+    rows = filter_mentions(enriched, **filters)
+    if after is not None:
+        day, key = F.lit(after[0]), F.lit(after[1])
+        rows = rows.where((F.col("occurred_on") < day) | ((F.col("occurred_on") == day) & (F.col("id") < key)))
+    return mention_rows(rows.orderBy(F.desc("occurred_on"), F.desc("id")).limit(limit))
+
+
+def deep_page(enriched: DataFrame, limit: int = 20, offset: int = 0, **filters) -> DataFrame:
+    """mentions_page for page numbers far down. The rows of each day are counted first (a calendar-sized result); the page begins within a day that the
+    counts name, so no task ranks more rows than a day has, and earlier days are not read again where the table is kept by day."""
+    rows, before, start = filter_mentions(enriched, **filters), 0, None
+    for day in rows.groupBy("occurred_on").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("occurred_on")).collect():
+        start = day["occurred_on"]
+        if before + day["n"] > offset:
+            break
+        before += day["n"]
+    if start is not None:
+        rows = rows.where(F.col("occurred_on") <= F.lit(start)) if before <= offset else rows
+    return mention_rows(rows.orderBy(F.desc("occurred_on"), F.desc("id")).offset(offset - before).limit(limit))
+
+
 def mentions_total(enriched: DataFrame, **filters) -> DataFrame:
     return filter_mentions(enriched, **filters).agg(F.count(F.lit(1)).alias("total"))
 

@@ -196,14 +196,15 @@ EXPORT = with_views("snaps dict", """
 WITH r AS (SELECT s.*, label, sum(CAST(round(mentions * 10) AS BIGINT)) OVER () / 10 AS t FROM snaps s JOIN dict USING (dimension, code) WHERE wk = DATE '2001-08-20' AND dimension = 'PROMO')
 SELECT label AS attribut, code AS code, CAST(wk AS VARCHAR) AS semaine, replace(printf('%.1f', mentions), '.', ',') AS mentions,
   replace(printf('%.1f', round_even(mentions * 100 / t * 10, 0) / 10), '.', ',') AS part, CAST(CAST(round_even(momentum * 100, 0) AS BIGINT) AS VARCHAR) AS momentum,
-  CASE status WHEN 'en_hausse' THEN 'En hausse' WHEN 'au_pic' THEN 'Au pic' WHEN 'stable' THEN 'Stable' WHEN 'en_baisse' THEN 'En baisse' ELSE 'Peu de données' END AS statut FROM r""")
+  CASE status WHEN 'en_hausse' THEN 'En hausse' WHEN 'au_pic' THEN 'Au pic' WHEN 'stable' THEN 'Stable' WHEN 'en_baisse' THEN 'En baisse' ELSE 'Peu de données' END AS statut,
+  coalesce(CAST(CAST(round_even(decline_share * 100, 0) AS BIGINT) AS VARCHAR), '') AS recul, coalesce(replace(printf('%.1f', search), '.', ','), '') AS recherche FROM r""")
 
 
 @query("spreadsheet_export", EXPORT)
 def spreadsheet_export(spark, sf):
     rows = sinks.export_rows(snapshots(spark, sf), S.dictionary(spark, sf), "PROMO", date(2001, 8, 20))
-    names = ["attribut", "code", "semaine", "mentions", "part", "momentum", "statut"]
-    return rows.select(*[F.col(f"`{h}`").alias(n) for h, n in zip(sinks.CSV_HEADER, names)])
+    names = ["attribut", "code", "semaine", "mentions", "part", "momentum", "statut", "recul", "recherche"]
+    return rows.select(*[F.col(f"`{h}`").alias(n) for h, n in zip(sinks.CSV_HEADER, names, strict=True)])
 
 
 # --- reports ---------------------------------------------------------------------------------------
@@ -218,10 +219,15 @@ def overview_leaders(spark, sf):
 
 
 @query("dimension_trends", with_views("snaps dict", """
-SELECT s.code, label, max(CASE WHEN wk = DATE '2001-09-24' THEN mentions END) AS current, max(CASE WHEN wk = DATE '2001-09-24' THEN status END) AS status FROM snaps s JOIN dict USING (dimension, code)
-WHERE dimension = 'ECONOMY' GROUP BY 1, 2"""))
+WITH own AS (SELECT * FROM snaps WHERE dimension = 'ECONOMY'), l AS (SELECT * FROM own WHERE wk = DATE '2001-09-24'), t AS (SELECT sum(CAST(round(mentions * 10) AS BIGINT)) AS t FROM l),
+a AS (SELECT code, string_agg(CAST(CAST(round(mentions * 10) AS BIGINT) AS VARCHAR), '|' ORDER BY wk) AS mentions, string_agg(coalesce(CAST(CAST(floor(search * 1000 + 0.5) AS BIGINT) AS VARCHAR), '-'), '|' ORDER BY wk) AS search FROM own GROUP BY code)
+SELECT 'ECONOMY' AS dimension, a.code, a.mentions, a.search, momentum, status, tone, decline_share, l.mentions AS current, round(CAST(round(l.mentions * 10) AS BIGINT) / t, 6) AS share,
+  CASE WHEN status = 'en_baisse' THEN CASE WHEN momentum <= -0.25 THEN 'volume' ELSE 'tonalite' END END AS decline_reason, label, hex, multicolor
+FROM a JOIN l USING (code) CROSS JOIN t JOIN dict ON dict.dimension = 'ECONOMY' AND dict.code = a.code"""))
 def dimension_trends(spark, sf):
-    return R.dimension_trends(snapshots(spark, sf), S.dictionary(spark, sf), "ECONOMY", WEEK, WEEKS).select("code", "label", "current", "status")
+    joined = lambda c, digits: F.array_join(F.transform(c, lambda v: F.coalesce(F.floor(v * 10 ** digits + 0.5).cast("long").cast("string"), F.lit("-"))), "|").alias(c)
+    return R.dimension_trends(snapshots(spark, sf), S.dictionary(spark, sf), "ECONOMY", WEEK, WEEKS).select(
+        "dimension", "code", joined("mentions", 1), joined("search", 3), "momentum", "status", "tone", "decline_share", "current", F.round("share", 6).alias("share"), "decline_reason", "label", "hex", "multicolor")
 
 
 @query("detail_search", with_views("search", """

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfwave.functions.dates import monday
 from shelfwave.operators.series import KEY
 from shelfwave.plans.catalogue.history_queries import REPLAYED, replay_sql
-from shelfwave.plans.registry import query
+from shelfwave.plans.catalogue import trend_queries as _trends  # noqa: F401  registers what sql_of names
+from shelfwave.plans.catalogue.shared import WEEKS, kinds
+from shelfwave.plans.registry import query, sql_of
 from shelfwave.session import shared_folder
 from shelfwave.sources import samples as S
 from shelfwave.streaming import jobs as J
@@ -57,6 +59,16 @@ def streamed_snapshots(spark, sf):
     return spark.read.parquet(f"{folder}/snapshots").where("mentions > 0").select(*KEY, F.col("week").cast("string").alias("week"), "mentions")
 
 
+@query("streamed_scores", sql_of("trend_snapshots"))
+def streamed_scores(spark, sf):
+    """The sample's mentions as a stream, scored with the search interest after each batch: the same rows as scoring the whole table at once."""
+    folder = work_folder(spark)
+    stream = stream_of(spark, kinds(spark, sf), f"{folder}/in")
+    J.maintain_snapshots(stream, f"{folder}/mentions", f"{folder}/snapshots", f"{folder}/state", S.TODAY, WEEKS, lambda session: S.search_interest(session, sf)).awaitTermination()
+    return spark.read.parquet(f"{folder}/snapshots").select(*KEY, F.col("week").cast("string").alias("week"), "mentions", F.round("search", 6).alias("search"), "momentum",
+                                                            "status", "tone", "decline_share")
+
+
 @query("streamed_documents", r"""
 SELECT url, md5(text) AS text FROM (SELECT lang || md5(text) AS url, text FROM documents WHERE regexp_matches(chr(10) || text, '(^|[^\w\x{C0}-\x{24F}])(nicht|pour|with)($|[^\w\x{C0}-\x{24F}])', 'i'))
 GROUP BY url, text""")

@@ -222,8 +222,8 @@ def signal_counts(spark, sf):
 @query("trend_table", with_views("snaps", """
 SELECT dimension, code, string_agg(CAST(CAST(round(mentions * 10) AS BIGINT) AS VARCHAR), '|' ORDER BY wk) AS mentions,
   max(CASE WHEN wk = DATE '2001-09-24' THEN momentum END) AS momentum, max(CASE WHEN wk = DATE '2001-09-24' THEN status END) AS status,
-  round(max(CASE WHEN wk = DATE '2001-09-24' THEN mentions END) / any_value(t), 6) AS share
-FROM (SELECT *, sum(CASE WHEN wk = DATE '2001-09-24' THEN mentions ELSE 0 END) OVER (PARTITION BY dimension) AS t FROM snaps)
+  round(max(CASE WHEN wk = DATE '2001-09-24' THEN CAST(round(mentions * 10) AS BIGINT) END) / any_value(t), 6) AS share
+FROM (SELECT *, sum(CASE WHEN wk = DATE '2001-09-24' THEN CAST(round(mentions * 10) AS BIGINT) ELSE 0 END) OVER (PARTITION BY dimension) AS t FROM snaps)
 GROUP BY dimension, code"""))
 def trend_table(spark, sf):
     return T.trend_table(snapshots(spark, sf), WEEK, WEEKS).select(
@@ -249,6 +249,25 @@ def mentions_page(spark, sf):
     return M.mentions_page(enriched(spark, sf), limit=20, offset=40, dimension="LARGE").select("id", "code", text_day("date"), "source")
 
 
+DEEP_SQL = with_views("ment docs sources", """
+SELECT m.id, m.code, CAST(occurred_on AS VARCHAR) AS date, s.name AS source FROM ment m JOIN docs ON docs.id = m.document_id
+JOIN sources s ON s.id = docs.source_id WHERE dimension = 'LARGE' ORDER BY occurred_on DESC, m.id DESC LIMIT 25 OFFSET 700""")
+
+
+@query("mentions_deep_page", DEEP_SQL)
+def mentions_deep_page(spark, sf):
+    """A page far down, found by counts of days."""
+    return M.deep_page(enriched(spark, sf), limit=25, offset=700, dimension="LARGE").select("id", "code", text_day("date"), "source")
+
+
+@query("mentions_next_page", DEEP_SQL)
+def mentions_next_page(spark, sf):
+    """The same page as the rows after the last one of the page before."""
+    rows = enriched(spark, sf)
+    last = M.deep_page(rows, limit=1, offset=699, dimension="LARGE").select("date", "id").first()
+    return M.mentions_after(rows, None if last is None else tuple(last), limit=25, dimension="LARGE").select("id", "code", text_day("date"), "source")
+
+
 @query("mentions_total", with_views("ment docs sources", """
 SELECT count(*) AS total FROM ment m JOIN docs ON docs.id = m.document_id JOIN sources s ON s.id = docs.source_id
 WHERE kind = 'press' AND occurred_on >= DATE '2000-01-01'"""))
