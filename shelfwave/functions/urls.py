@@ -57,25 +57,29 @@ def domain(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(host)), r"\.+$", ""), r"^www\.", "")
 
 
+def escaped(text: Column, unsafe: str) -> Column:
+    """Percent-encoding over UTF-8 bytes of blanks, control characters, all beyond ASCII and the characters of `unsafe`; what is encoded already stays."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for char in "/?#[]@!$&'()*+,;=:~|\"<>^`{}\\%":
+        if char not in unsafe:
+            out = F.replace(out, F.lit("%%%02X" % ord(char)), F.lit(char))
+    return out
+
+
 def stored(url: Column, limit: int = 1000) -> Column:
-    """The stored form of a product URL: http(s) only, lower-case scheme and host, "/" after a bare host, blanks and
-    non-ASCII characters of the path percent-encoded; NULL when invalid or longer than `limit`."""
-    parts = r"^([hH][tT][tT][pP][sS]?)://([^/?#\s]+)([^?#]*)(.*)$"
-    scheme, host = F.lower(F.regexp_extract(url, parts, 1)), F.lower(F.regexp_extract(url, parts, 2))
-    path, rest = F.regexp_extract(url, parts, 3), F.regexp_extract(url, parts, 4)
-
-    def escape(text: Column) -> Column:
-        # url_encode of one blank or non-ASCII run at a time would need a lambda; encode the whole text, then give the
-        # reserved ASCII characters back
-        out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
-        for char, code in ((c, "%%%02X" % ord(c)) for c in "/?#[]@!$&'()*+,;=:~|\"<>^`{}\\%"):
-            out = F.replace(out, F.lit(code), F.lit(char))
-        return out
-
-    plain_ascii = rest.rlike(r"^[\x21-\x7e]*$") & path.rlike(r"^[\x21-\x7e]*$")
-    tail = F.when(plain_ascii, F.concat(path, rest)).otherwise(F.concat(escape(path), escape(rest)))
+    """The stored form of a product URL: http(s) only, lower-case scheme and host, no default port, "/" after a bare host, path, query and fragment
+    percent-encoded by the rules of each (blanks, quotes and other unsafe characters, all bytes of characters beyond ASCII); NULL when invalid or longer
+    than `limit`. Line ends and tabs are dropped, blanks around the URL too. Hosts beyond ASCII are kept as they are."""
+    clean = F.trim(F.regexp_replace(url, r"[\t\r\n]", ""))
+    parts = r"^([hH][tT][tT][pP][sS]?)://([^/?#\\\s]+)([^?#]*)((?:\?[^#]*)?)((?:#.*)?)$"
+    part = lambda k: F.regexp_extract(clean, parts, k)
+    scheme, host = F.lower(part(1)), F.lower(part(2))
+    host = F.regexp_replace(F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(F.regexp_replace(host, ":443$", "")), ":$", "")
+    path = F.replace(part(3), F.lit("\\"), F.lit("/"))
+    plain = clean.rlike(r"^[\x21\x23-\x26\x28-\x3b\x3d\x3f-\x5b\x5d-\x5f\x61-\x7a\x7c\x7e]*$")  # nothing to encode, as in nearly all
+    tail = F.when(plain, F.concat(path, part(4), part(5))).otherwise(F.concat(escaped(path, '"<>`{}'), escaped(part(4), "\"<>'"), escaped(part(5), '"<>`')))
     text = F.concat(scheme, F.lit("://"), host, F.when(path == "", F.lit("/")).otherwise(F.lit("")), tail)
-    return F.when(url.rlike(parts) & (F.length(text) <= limit), text)
+    return F.when(clean.rlike(parts) & (host != "") & (F.length(text) <= limit), text)
 
 
 def title_from_url(url: Column) -> Column:

@@ -355,9 +355,9 @@ def page_urls(spark, sf):
 
 @query("page_stored_urls", r"""
 SELECT page_id, CASE WHEN length(url) <= 1000 THEN lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) || CASE WHEN regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE '' END
-  || regexp_extract(url, '^https?://[^/?#]+(.*)$', 1) END AS stored FROM pages WHERE regexp_full_match(url, '[\x21-\x7e]*')""")
+  || regexp_extract(url, '^https?://[^/?#]+(.*)$', 1) END AS stored FROM pages""")
 def page_stored_urls(spark, sf):
-    return S.load(spark, sf, "pages").where(F.col("url").rlike(r"^[\x21-\x7e]*$")).select("page_id", U.stored(F.col("url")).alias("stored"))
+    return S.load(spark, sf, "pages").select("page_id", U.stored(F.col("url")).alias("stored"))
 
 
 @query("page_text", r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS text FROM pages")

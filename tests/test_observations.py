@@ -27,12 +27,12 @@ def test_reasons_a_listing_is_incomplete(spark):
 
 
 def test_ranks_models_and_categories(spark, rows):
-    cards = spark.createDataFrame([(1, 0, 1, 1, "u/norton-48", "Sun"), (1, 0, 1, 2, "u/norton-50", "Sun"), (1, 0, 2, 1, "u/plain", "Sun"), (1, 1, 1, 1, "u/norton-48", "Men"), (1, 1, 1, 2, "u/izzi-40", "Men"), (1, 1, 2, 1, "u/plain", "Sun")],
+    cards = spark.createDataFrame([(1, 0, 1, 1, "u/lagoon-48", "Sun"), (1, 0, 1, 2, "u/lagoon-50", "Sun"), (1, 0, 2, 1, "u/plain", "Sun"), (1, 1, 1, 1, "u/lagoon-48", "Men"), (1, 1, 1, 2, "u/cinder-40", "Men"), (1, 1, 2, 1, "u/plain", "Sun")],
                                   "crawl_id long, entry int, page int, pos int, url string, category string")
     key = F.when(F.col("url").rlike(r"/(\w+)-\d+$"), F.regexp_extract("url", r"/(\w+)-\d+$", 1))
     ranks = W.listing_ranks(W.kept_cards(W.first_appearances(cards, key)))
-    assert rows(ranks, "url", "rank") == [("u/izzi-40", 3), ("u/norton-48", 1), ("u/plain", 2)]
-    assert rows(W.category_labels(cards), "url", "categories") == [("u/izzi-40", "Men"), ("u/norton-48", "Sun, Men"), ("u/norton-50", "Sun"), ("u/plain", "Sun")]
+    assert rows(ranks, "url", "rank") == [("u/cinder-40", 3), ("u/lagoon-48", 1), ("u/plain", 2)]
+    assert rows(W.category_labels(cards), "url", "categories") == [("u/cinder-40", "Men"), ("u/lagoon-48", "Sun, Men"), ("u/lagoon-50", "Sun"), ("u/plain", "Sun")]
 
 
 @pytest.fixture()
