@@ -37,8 +37,8 @@ def with_sources(sources: DataFrame, wanted: DataFrame) -> DataFrame:
     rest = [c for c in wanted.columns if c != "url"]
     first = wanted.groupBy("url").agg(F.min(F.struct(*rest)).alias("s")).select("url", "s.*") if rest else wanted.distinct()
     fresh = numbered_urls(unseen(first, sources)).withColumn("active", F.lit(True))
-    last = sources.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    fresh = fresh.join(F.broadcast(last)).withColumn("id", (F.col("last") + F.col("n")).cast("long"))
+    last = sources.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    fresh = fresh.withColumn("id", (last + F.col("n")).cast("long"))
     return sources.unionByName(fresh.select(*sources.columns))
 
 

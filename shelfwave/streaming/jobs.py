@@ -28,18 +28,30 @@ def _existing(spark, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if fs.exists(root) else spark.createDataFrame([], schema)
 
 
+def url_bucket(buckets: int):
+    return F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
+
+
+def seen_urls(stored: DataFrame, batch: DataFrame, buckets: int) -> DataFrame:
+    """Stored URLs of the buckets that a batch touches: the list of them (at most `buckets` numbers) prunes the folders, and only the URL column is read."""
+    touched = [r["bucket"] for r in batch.select(url_bucket(buckets).alias("bucket")).distinct().collect()]
+    return stored.where(F.col("bucket").isin(touched)).select("url")
+
+
 def ingest_documents(stream: DataFrame, path: str, checkpoint: str, topic: str = TOPIC, order: str = "collected_at",
-                     available_now: bool = True) -> StreamingQuery:
+                     available_now: bool = True, buckets: int = 64) -> StreamingQuery:
     """Documents (url, title, text, collected_at, ...) landing as files or messages -> exactly one stored row per URL, however late a copy
     comes. The topic filter comes first. Copies inside a micro-batch are reduced by a partial aggregate before any shuffle, so one URL copied
-    endlessly is no hot state; stored ones go by an anti-join on the URL column alone. A batch writes its own partition, so a repeated batch
-    overwrites itself."""
+    endlessly is no hot state; stored ones go by an anti-join on the URL column alone, of the URL buckets that the batch touches. The table is kept by
+    bucket of the URL's hash and by batch, so a repeated batch overwrites itself; the number of buckets stays as the table began."""
     kept = stream.where(F.concat_ws("\n", "title", "text").rlike(f"(?iU){topic}"))
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        stored = _existing(batch.sparkSession, path, batch.withColumn("batch", F.lit(0)).schema)
-        fresh = I.new_documents(batch.withColumn("_order", F.struct(order, F.xxhash64(*batch.columns))), stored.where(F.col("batch") != batch_id), "_order")
-        write_batch(fresh.select(*batch.columns), path, batch_id)
+        stored = _existing(batch.sparkSession, path, batch.withColumns({"bucket": F.lit(0), "batch": F.lit(0)}).schema)
+        seen = seen_urls(stored.where(F.col("batch") != batch_id), batch, buckets)
+        fresh = I.new_documents(batch.withColumn("_order", F.struct(order, F.xxhash64(*batch.columns))), seen, "_order")
+        rows = fresh.select(*batch.columns, url_bucket(buckets).alias("bucket")).hint("rebalance", "bucket")  # a bucket is few files
+        write_batch(rows, path, batch_id, "bucket")
 
     return _start(kept.writeStream.foreachBatch(store).outputMode("append"), checkpoint, available_now)
 

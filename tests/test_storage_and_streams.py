@@ -161,3 +161,18 @@ def test_every_landed_text_that_a_sitemap_index_leads_to_is_read_once(spark):
     landed = spark.createDataFrame(list(texts.items()), "loc string, xml string")
     got = sorted((r["source_id"], r["loc"]) for r in I.sitemap_entries(I.sitemap_texts(roots, landed)).collect())
     assert got == sorted([(1, f"https://s.test/p{k}") for k in range(120)] + [(2, "https://s.test/p3")])
+
+
+def test_a_batch_reads_the_urls_of_its_buckets_alone(spark, tmp_path):
+    from shelfwave.streaming import jobs as J
+
+    path = str(tmp_path / "documents")
+    urls = spark.range(400).selectExpr("concat('u', id) as url", "id as n")
+    urls.withColumns({"bucket": J.url_bucket(16), "batch": F.lit(0)}).write.partitionBy("bucket", "batch").parquet(path)
+    stored = spark.read.parquet(path)
+    batch = spark.createDataFrame([("u7",), ("new",)], "url string")
+    seen = J.seen_urls(stored, batch, 16)
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "ReadSchema: struct<url:string>" in plan
+    got = {r["url"] for r in seen.collect()}
+    assert "u7" in got and len(got) < 100
