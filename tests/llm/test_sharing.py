@@ -47,15 +47,15 @@ def crowd(n: int, near: int):
 def test_a_crowd_with_one_passage_meets_only_its_near_copies(spark, tmp_path, monkeypatch):
     rows, n = crowd(700, 60)
     met = []
-    close = M._close
-    monkeypatch.setattr(M, "_close", lambda *a: met.append(close(*a)) or met[-1])
+    meeting = M._meeting
+    monkeypatch.setattr(M, "_meeting", lambda *a: met.append(meeting(*a)) or met[-1])
     monkeypatch.setattr(M, "FREQUENT", 100)
     path = str(tmp_path / "crowd")
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
     # single values as bands: all 760 share some bucket, so every pair is left to the last pass
     got = {x["doc_id"]: x["component_id"] for x in M.near_duplicates(spark.read.parquet(path), M.Banding(permutations=40, rows=1)).collect()}
     assert got == {k: k if k < n else k - n for k, _ in rows}
-    assert met[0].count() <= 4 * 60  # of 288,000 pairs
+    assert len(met) == 3 and all(m.count() <= 4 * 60 for m in met)  # of 288,000 pairs
 
 
 def test_no_alike_pair_is_lost_by_prefixes(spark):
@@ -64,9 +64,17 @@ def test_no_alike_pair_is_lost_by_prefixes(spark):
     texts = [" ".join(base[a:a + r.randrange(20, 60)] + [f"x{r.randrange(50)}" for _ in range(r.randrange(6))]) for a in (r.randrange(0, 300, 3) for _ in range(220))]
     sets = [word_shingles(t, 3) for t in texts]
     frame = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(sets)], "id long, set binary")
-    members = spark.createDataFrame([(k, len(s), k % 7) for k, s in enumerate(sets)], "id long, n long, c long")
+    members = spark.createDataFrame([(k, len(s)) for k, s in enumerate(sets)], "id long, n long")
+    groups = spark.createDataFrame([(k, k % 7) for k in range(220)], "node long, component long")
     for percent in (80, 50):
-        got = {(x["a"], x["b"]) for x in M._close(members, frame, percent).collect()}
+        begin = M._prefixes(members, frame, percent)
+        got = {(x["a"], x["b"]) for x in M._meeting(begin, groups, percent).collect()}
+        for pivot, head in (("min", min), ("max", max)):
+            of: dict = {}
+            for x in begin.collect():
+                of.setdefault(x["shingle"], []).append(x["id"])
+            some = {(x["a"], x["b"]) for x in M._meeting(begin, groups, percent, pivot).collect()}
+            assert some <= got and some <= {(max(i, head(v)), min(i, head(v))) for v in of.values() for i in v}
         both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in range(220) for b in range(a) if a % 7 != b % 7}
         alike = {(a, b) for (a, b), n in both.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)}
         assert alike and alike <= got and len(got) < len(both) / (10 if percent == 80 else 4)
