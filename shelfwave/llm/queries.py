@@ -186,7 +186,21 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"), keep=["doc_id"])
 
 
-@query("op11_repeated_passages")
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT doc_id, hex(b) AS h, octet_length(b) AS n FROM d),
+s AS (SELECT doc_id, unnest(range(n - 49)) AS i, h FROM h WHERE n >= 50),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS k FROM s),
+o AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM w) WHERE least < doc_id),
+g AS (SELECT *, sum(CASE WHEN i - before > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM o)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM g GROUP BY doc_id, run),
+p AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM r),
+c AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans, max(z) AS last_, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS kept FROM p JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE kept || substr(h, 2 * last_ + 1) END)) AS kept_sha256 FROM h LEFT JOIN c USING (doc_id)"""
+
+
+@query("op11_repeated_passages", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfwave.llm.runindex import without_repeats
 
