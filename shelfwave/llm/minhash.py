@@ -146,10 +146,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 FREQUENT = 1000  # members with one shingle, beyond which it comes last in the order of prefixes
+CLASSES = 32  # classes of shared shingles by hash, whose sizes bound an overlap
 
 
 def _prefixes(members: DataFrame, sets: DataFrame, percent: int, parts_each: int = 4) -> DataFrame:
-    """(id, n, at, shingle): the first shingles of each member (id, n) that others have too, with their places in the order of all members' shingles.
+    """(id, n, at, shingle, sizes): the first shingles of each member (id, n) that others have too, with their places in the order of all members' shingles,
+    and how many of all its shared shingles are in each class.
 
     Two sets that are alike share a shingle among the first n - ceil(share * n) + 1 of each, in any order of shingles that is the same for all. Here shingles
     of one member come first and those of over FREQUENT members last, so members that only have a passage in common, or a frequent word, do not meet."""
@@ -164,33 +166,32 @@ def _prefixes(members: DataFrame, sets: DataFrame, percent: int, parts_each: int
         last = often.value
         for batch in slices(batches, 2, SET_BYTES):
             out: dict[str, list] = {"id": [], "n": [], "at": [], "shingle": []}
+            sizes: list[list[int]] = []
             for i, n, _, codes in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 size = n - -(-percent * n // 100) + 1
                 shared = np.unique(np.concatenate([np.frombuffer(b, "<i8") for b in codes]))
                 alone = n - len(shared)
                 if alone < size:
+                    counts = np.bincount(shared.view(np.uint64) % np.uint64(CLASSES), minlength=CLASSES).tolist()
                     shared = shared[np.argsort(np.isin(shared, last), kind="stable")][:size - alone]
                     for into, v in zip(out.values(), (np.full(len(shared), i), np.full(len(shared), n), alone + np.arange(len(shared)), shared), strict=True):
                         into.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for v in out.values()], list(out))
+                    sizes += [counts] * len(shared)
+            numbers = [pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for v in out.values()]
+            yield pa.RecordBatch.from_arrays([*numbers, pa.array(sizes, pa.list_(pa.int32()))], [*out, "sizes"])
 
-    return cut_lineage(own.join(told, "id").select("id", "n", "set", "found").mapInArrow(first, "id bigint, n bigint, at bigint, shingle bigint"))
+    return cut_lineage(own.join(told, "id").select("id", "n", "set", "found").mapInArrow(first, "id bigint, n bigint, at bigint, shingle bigint, sizes array<int>"))
 
 
-def _meeting(begin: DataFrame, groups: DataFrame, percent: int, pivot: str | None = None) -> DataFrame:
-    """Pairs (a, b) of different components that share a first shingle and may be alike: where they meet, what is left of both sets must be enough for the
-    overlap that their sizes ask for. `pivot` ("min" or "max"): each member meets the least or greatest one of each of its shingles; without, it meets
-    all, and then no pair that is alike is left out."""
+def _meeting(begin: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a first shingle and may be alike; no pair that is alike is left out. What is left of both sets
+    from the shingle on, and the classes' smaller sizes together, must each be enough for the overlap that the sizes of both sets ask for."""
     placed = begin.join(groups.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    side = lambda df, k: df.select("shingle", *[F.col(x).alias(f"{x}{k}") for x in ("id", "n", "c", "at")])
-    other = side(placed, 2)
-    if pivot:
-        heads = begin.groupBy("shingle").agg(getattr(F, pivot)("id").alias("head"))
-        other = other.join(heads, "shingle").where("id2 = head").drop("head")
-    enough = f"{100 + percent} * least(n1 - at1, n2 - at2) >= {percent} * (n1 + n2)"
-    apart = "id1 <> id2" if pivot else "id1 > id2"
-    return (side(placed, 1).join(other, "shingle").where(f"{apart} and c1 <> c2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2) and {enough}")
-            .select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b")).distinct())
+    side = lambda k: placed.select("shingle", *[F.col(x).alias(f"{x}{k}") for x in ("id", "n", "c", "at", "sizes")])
+    least = " + ".join(f"least(sizes1[{k}], sizes2[{k}])" for k in range(CLASSES))
+    enough = lambda bound: f"{100 + percent} * cast({bound} as bigint) >= {percent} * (n1 + n2)"
+    return (side(1).join(side(2), "shingle").where(f"id1 > id2 and c1 <> c2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2) and {enough('least(n1 - at1, n2 - at2)')} and {enough(f'({least})')}")
+            .select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, banding: Banding = Banding(), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -233,10 +234,8 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), text: str = "
              .select("bucket", "id", "n", F.coalesce("c", "id").alias("c"), F.coalesce("pc", "pivot").alias("pc")))
     mixed = named.join(named.where("c <> pc").select("bucket").distinct(), "bucket", "left_semi").select("id", "n").distinct()
     begin = _prefixes(mixed, sets, banding.percent)
-    for pivot in ("min", "max", None):  # most that belong together are joined through a few, so that few are left to meet all others
-        rest = cut_lineage(_meeting(begin, groups, banding.percent, pivot).join(pairs.select("a", "b").hint("merge"), ["a", "b"], "left_anti"))
-        pairs = cut_lineage(pairs.select("a", "b").unionByName(rest), forget_size=True)
-        groups = _joined(groups, _linked(rest, sets, banding.percent))
+    rest = _meeting(begin, groups, banding.percent).join(pairs.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+    groups = _joined(groups, _linked(rest, sets, banding.percent))
 
     class_of = classes.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("k1", "k2", F.struct("least", "row").alias("leader"), F.coalesce("component", "id").alias("c"))
     heads = cut_lineage(class_of.groupBy("c").agg(F.min("leader").alias("head")))

@@ -55,7 +55,7 @@ def test_a_crowd_with_one_passage_meets_only_its_near_copies(spark, tmp_path, mo
     # single values as bands: all 760 share some bucket, so every pair is left to the last pass
     got = {x["doc_id"]: x["component_id"] for x in M.near_duplicates(spark.read.parquet(path), M.Banding(permutations=40, rows=1)).collect()}
     assert got == {k: k if k < n else k - n for k, _ in rows}
-    assert len(met) == 3 and all(m.count() <= 4 * 60 for m in met)  # of 288,000 pairs
+    assert len(met) == 1 and met[0].count() <= 60  # of 288,000 pairs
 
 
 def test_no_alike_pair_is_lost_by_prefixes(spark):
@@ -69,12 +69,6 @@ def test_no_alike_pair_is_lost_by_prefixes(spark):
     for percent in (80, 50):
         begin = M._prefixes(members, frame, percent)
         got = {(x["a"], x["b"]) for x in M._meeting(begin, groups, percent).collect()}
-        for pivot, head in (("min", min), ("max", max)):
-            of: dict = {}
-            for x in begin.collect():
-                of.setdefault(x["shingle"], []).append(x["id"])
-            some = {(x["a"], x["b"]) for x in M._meeting(begin, groups, percent, pivot).collect()}
-            assert some <= got and some <= {(max(i, head(v)), min(i, head(v))) for v in of.values() for i in v}
         both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in range(220) for b in range(a) if a % 7 != b % 7}
         alike = {(a, b) for (a, b), n in both.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)}
         assert alike and alike <= got and len(got) < len(both) / (10 if percent == 80 else 4)
