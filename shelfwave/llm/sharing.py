@@ -15,15 +15,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from shelfwave.session import cut_lineage
 
 SLICE = 4 << 20  # bytes of values whose codes are sent together
+ROWS = 1 << 16  # rows of a slice at most: their numbers go as 16 bits
 MOST_FREQUENT = 1 << 20  # codes every task may be told: 8 MB
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about `most` bytes in a string or binary column."""
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about `most` bytes in a string or binary column, and at most `rows` rows."""
     for batch in batches:
         upto, start = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64)), 0
         while start < batch.num_rows:
-            end = max(start + 1, int(np.searchsorted(upto, most + (upto[start - 1] if start else 0), "right")))
+            end = min(start + rows, max(start + 1, int(np.searchsorted(upto, most + (upto[start - 1] if start else 0), "right"))))
             yield batch.slice(start, end - start)
             start = end
 
@@ -41,7 +42,7 @@ def shared_codes(rows: DataFrame, codes: Callable[[object], np.ndarray], parts:
     names = ["key", "rid", "found", "code", "rows"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, SLICE):
+        for batch in slices(batches, 2, SLICE, ROWS):
             keys, rids = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             own = [codes(v.as_py()) for v in batch.column(2)]
             row, code = np.repeat(np.arange(len(own)), list(map(len, own))), np.concatenate(own)
@@ -58,7 +59,7 @@ def shared_codes(rows: DataFrame, codes: Callable[[object], np.ndarray], parts:
                 a, b = np.searchsorted(lone_part, (p, p + 1))
                 c, d = np.searchsorted(part[many], (p, p + 1))
                 used, at = np.unique(lone_row[a:b], return_inverse=True)
-                out.append((p, lone_code[a:b].astype(kind).tobytes(), at.astype("<u4").tobytes(), np.stack([keys[used], rids[used]], axis=1).astype("<i8").tobytes(),
+                out.append((p, lone_code[a:b].astype(kind).tobytes(), at.astype("<u2").tobytes(), np.stack([keys[used], rids[used]], axis=1).astype("<i8").tobytes(),
                             code[many[c:d]].astype(kind).tobytes(), times[times > 1][c:d].astype("<u4").tobytes(), None, None, None))
             by = np.argsort(row[several], kind="stable")
             past_row, past_code = row[several][by], code[several][by]
@@ -101,13 +102,16 @@ def shared_codes(rows: DataFrame, codes: Callable[[object], np.ndarray], parts:
                     yield judged(last, *held)
                     held = ([], [], [], [], [])
                 last = part
-                for into, b, k in zip(held, blobs, (kind, "<u4", "<i8", kind, "<u4"), strict=True):
+                for into, b, k in zip(held, blobs, (kind, "<u2", "<i8", kind, "<u4"), strict=True):
                     values = np.frombuffer(b, k)
                     into.append(values.reshape(-1, 2) if into is held[2] else values)
         if held[0]:
             yield judged(last, *held)
 
-    return cut_lineage(rows.select("key", "rid", "value").mapInArrow(send, fields).repartition("part").sortWithinPartitions("part").mapInArrow(gather, "key bigint, rid bigint, found binary, code bigint, rows bigint"))
+    found = cut_lineage(rows.select("key", "rid", "value").mapInArrow(send, fields).repartition("part").sortWithinPartitions("part").mapInArrow(gather, "key bigint, rid bigint, found binary, code bigint, rows bigint"))
+    # what was moved for it is of no more use; Spark removes its files when the driver collects its garbage, so it is told to
+    rows.sparkSession.sparkContext._jvm.System.gc()
+    return found
 
 
 def frequent_codes(found: DataFrame, most: int = MOST_FREQUENT) -> np.ndarray:
