@@ -18,6 +18,7 @@ LIST_PRICE_TYPES = ("listprice", "strikethroughprice", "msrp", "srp")
 SOLD_OUT = ("outofstock", "soldout", "discontinued")
 # The keys that nest further nodes.
 NESTING = ("@graph", "itemListElement", "item")
+NESTED = "struct<" + ",".join(f"`{key}`:variant" for key in NESTING) + ">"
 NODE = "array<struct<path:array<int>,node:variant>>"
 
 
@@ -42,7 +43,8 @@ def _as_list(v: Column) -> Column:
 
 
 def _is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    # a cast that asks for no more than a name; schema_of_variant would walk all that is below
+    return F.try_variant_get(v, "$", "struct<`@id`:variant>").isNotNull()
 
 
 def _first(v: Column) -> Column:
@@ -52,29 +54,45 @@ def _first(v: Column) -> Column:
 def _children(parent: Column) -> Column:
     """The elements of a list, or the values under an object's nesting keys, with their places appended to the path."""
     node, path = parent["node"], parent["path"]
-    at = lambda i, v: F.struct(F.concat(path, F.array(i)).alias("path"), v.alias("node"))
+    at = lambda i, v: F.struct(F.concat_ws(",", path, i.cast("string")).alias("path"), v.alias("node"))
     elements = F.transform(F.try_variant_get(node, "$", "array<variant>"), lambda v, i: at(i, v))
-    values = F.filter(F.array(*[at(F.lit(n), _get(node, key)) for n, key in enumerate(NESTING)]), lambda c: c["node"].isNotNull())
+    nested = F.try_variant_get(node, "$", NESTED)  # all keys by one cast, nothing for what is no object
+    values = let(nested, lambda o: F.filter(F.array(*[at(F.lit(n), o[key]) for n, key in enumerate(NESTING)]), lambda c: c["node"].isNotNull()))
     return F.coalesce(elements, values)
 
 
-def json_ld_nodes(html: Column) -> Column:
-    """Every JSON-LD node of a page with its path in reading order; nested graphs, item lists and lists in lists are followed to any depth. Scripts
-    that are not JSON are skipped.
+def _path(text: Column) -> Column:
+    return F.split(text, ",").cast("array<int>")
+
 
-    Every step down takes one "[" or ":" of the text, so their number bounds the steps; steps after the last level do nothing."""
+def _walked(html: Column) -> Column:
+    """json_ld_nodes with the path as text: an array is copied number by number at every step of the walk.
+
+    Every step down takes one "[" or a nesting key of the text, so their number bounds the steps; steps after the last level do nothing. A key may be
+    written with \\u escapes; a text that has any counts all its ":" as keys."""
     bodies = script_bodies(html, r'type="application/ld\+json"')
-    steps = F.aggregate(bodies, F.lit(0), lambda n, s: n + F.length(s) - F.length(F.translate(s, "[:", "")))
-    roots = F.transform(bodies, lambda s, i: F.struct(F.array(i).alias("path"), F.try_parse_json(s).alias("node")))
-    first = F.filter(roots, lambda r: r["node"].isNotNull())
+    without = lambda s, chars: F.length(s) - F.length(F.translate(s, chars, ""))
+    keys = F.lit("\"(?:" + "|".join(NESTING) + ")\"\\s*:")
+    count = lambda s: F.when(s.contains("\\u"), without(s, "[:")).otherwise(without(s, "[") + F.regexp_count(s, keys))
 
     def down(acc: Column, _: Column) -> Column:
         below = lambda level: let(F.flatten(F.transform(level, _children)), lambda n: F.struct(n.alias("level"), F.concat(acc["all"], n).alias("all")))
         return F.when(F.size(acc["level"]) == 0, acc).otherwise(below(acc["level"]))
 
-    turns = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
-    walked = let(first, lambda f: F.aggregate(turns, F.struct(f.alias("level"), f.alias("all")), down)["all"])
-    return F.filter(walked, lambda n: _is_object(n["node"]))
+    def walk(texts: Column) -> Column:
+        steps = F.aggregate(texts, F.lit(0), lambda n, s: n + count(s))
+        roots = F.transform(texts, lambda s, i: F.struct(i.cast("string").alias("path"), F.try_parse_json(s).alias("node")))
+        turns = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+        first = F.filter(roots, lambda r: r["node"].isNotNull())
+        return let(first, lambda f: F.aggregate(turns, F.struct(f.alias("level"), f.alias("all")), down)["all"])
+
+    return F.filter(let(bodies, walk), lambda n: _is_object(n["node"]))
+
+
+def json_ld_nodes(html: Column) -> Column:
+    """Every JSON-LD node of a page with its path in reading order; nested graphs, item lists and lists in lists are followed to any depth. Scripts
+    that are not JSON are skipped."""
+    return F.transform(_walked(html), lambda n: F.struct(_path(n["path"]).alias("path"), n["node"].alias("node")))
 
 
 def _types(node: Column) -> Column:
@@ -107,10 +125,10 @@ def json_ld_products(pages: DataFrame) -> DataFrame:
     """schema.org Product nodes of pages (page_id, url, html) with their fields and raw offers, in reading order (`path`)."""
     # references are resolved while the page is one row, so its nodes do not travel with every product
     product = lambda n, nodes: F.struct(
-        n["path"].alias("path"), n["node"].alias("node"), resolve(_first(_get(n["node"], "brand")), nodes).alias("brand_node"),
+        _path(n["path"]).alias("path"), n["node"].alias("node"), resolve(_first(_get(n["node"], "brand")), nodes).alias("brand_node"),
         resolve(_first(_get(n["node"], "image")), nodes).alias("image_node"), F.transform(_as_list(_get(n["node"], "offers")), lambda o: resolve(o, nodes)).alias("offers"))
     found = lambda nodes: F.transform(F.filter(nodes, lambda n: F.array_contains(_types(n["node"]), "Product")), lambda n: product(n, nodes))
-    rows = (pages.select("page_id", F.col("url").alias("page_url"), F.explode(let(json_ld_nodes(F.col("html")), found)).alias("n"))
+    rows = (pages.select("page_id", F.col("url").alias("page_url"), F.explode(let(_walked(F.col("html")), found)).alias("n"))
             .select("page_id", "page_url", "n.*"))
     head = F.get("offers", F.lit(0))
     rows = rows.withColumn("offer", F.when(_is_object(head), F.try_variant_get(head, "$", "map<string,variant>")))

@@ -85,7 +85,7 @@ def json_ld_deep_products(spark, sf):
     deep = F.pmod("p_partkey", F.lit(40)).cast("int")
     html = F.concat(F.lit('<script type="application/ld+json">'), F.repeat(F.lit('{"@type":"ItemList","itemListElement":[["x",'), deep), F.lit('{"@type":"Product","name":"'), F.col("p_name"),
                     F.lit('"}'), F.repeat(F.lit("]]}"), deep), F.lit("</script>"))
-    pages = S.load(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://shop.example/").alias("url"), html.alias("html"))
+    pages = S.spread(S.load(spark, sf, "part")).select(F.col("p_partkey").alias("page_id"), F.lit("https://shop.example/").alias("url"), html.alias("html"))
     return K.json_ld_products(pages).select("page_id", "name", F.size("path").alias("depth"))
 
 
