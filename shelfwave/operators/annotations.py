@@ -75,7 +75,8 @@ def mentions_by_index(documents: DataFrame, phrases: DataFrame, rising: tuple[st
     up, down = _has_word(F.col("evidence"), rising), _has_word(F.col("evidence"), declining)
     stance = F.when(up & ~down, "rising").when(down & ~up, "declining").otherwise("neutral")
     days = documents.select(F.col("id").alias("document_id"), document_day().alias("occurred_on"))
-    return rows.join(days, "document_id").select("document_id", "dimension", "code", stance.alias("stance"), "evidence", "occurred_on", "term")
+    # one row a document: an estimate from the files' size would broadcast the days of millions of them
+    return rows.join(days.hint("merge"), "document_id").select("document_id", "dimension", "code", stance.alias("stance"), "evidence", "occurred_on", "term")
 
 
 # --- annotations made outside ----------------------------------------------------------------------

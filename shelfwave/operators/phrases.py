@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfwave.functions.text import fold_py, let
-from shelfwave.operators.joins import bounded
+from shelfwave.operators.joins import MAX_BROADCAST_BYTES
 from shelfwave.sources.dictionary import CATEGORY_WORDS, Dictionary
 
 MATCH = "array<struct<phrase:string,code:string,around:string,at:int>>"
@@ -27,12 +27,26 @@ def phrase_table(spark: SparkSession, dictionary: Dictionary) -> DataFrame:
 
 def phrase_hits(texts: DataFrame, phrases: DataFrame, around: int = 0) -> DataFrame:
     """(text_id, group, phrase, code, n, at, around): every place of every phrase in texts (text_id, folded, and `group` where a text is only to meet
-    the phrases of one). `around` is the phrase with up to that many words on each side."""
+    the phrases of one). `around` is the phrase with up to that many words on each side.
+
+    The phrases are measured, not estimated: up to MAX_BROADCAST_BYTES of them go to the texts, and windows are cut for places that begin a phrase alone.
+    Beyond that every place carries its window to the phrases; the texts themselves are never broadcast."""
     by = ["group"] if "group" in texts.columns else []
     table = phrases.where("phrase <> ''").select("group", "phrase", "code").distinct().withColumn("n", F.size(F.split("phrase", " ")))
-    longest = table.agg(F.max("n")).first()[0] or 1  # one number; a window of that many words is all a place carries
+    size = F.length("phrase") * 2 + F.coalesce(F.length("code"), F.lit(0)) + F.coalesce(F.length("group"), F.lit(0)) + 64
+    longest, held = table.agg(F.coalesce(F.max("n"), F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()  # two numbers
     head = lambda c: F.substring_index(c, " ", 1)
     index = table.select(*by, head("phrase").alias("head"), "n").groupBy(*by, "head").agg(F.collect_set("n").alias("sizes"))
+    none = F.lit(None).cast("string")
+    if held <= MAX_BROADCAST_BYTES:
+        # outer, so that no filter on the words is inferred below, which would fold and split every text twice
+        words = texts.select("text_id", *by, F.split("folded", " ").alias("words"))
+        starts = words.select("text_id", *by, "words", F.posexplode_outer("words").alias("at", "head"))
+        runs = (starts.join(F.broadcast(index), [*by, "head"]).select("text_id", *by, "at", "words", F.explode("sizes").alias("n"))
+                .where(F.size("words") >= F.col("at") + F.col("n")).withColumn("phrase", F.array_join(F.slice("words", F.col("at") + 1, F.col("n")), " ")))
+        first = F.greatest(F.col("at") - around, F.lit(0))
+        beside = F.array_join(F.slice("words", first + 1, F.col("at") - first + F.col("n") + around), " ") if around else none
+        return runs.join(F.broadcast(table), [*by, "phrase", "n"]).select("text_id", "group", "phrase", "code", "n", "at", beside.alias("around"))
 
     def place(words: Column, i: Column) -> Column:
         first = F.greatest(i - around, F.lit(0))
@@ -42,10 +56,10 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, around: int = 0) -> DataFr
 
     places = let(F.split("folded", " "), lambda words: F.transform(words, lambda _, i: place(words, i)))
     starts = texts.where("folded <> ''").select("text_id", *by, F.explode(places).alias("p")).select("text_id", *by, "p.*").withColumn("head", head("tail"))
-    runs = (starts.join(bounded(index), [*by, "head"]).select("text_id", *by, "at", "tail", "left", "right", F.explode("sizes").alias("n"))
+    runs = (starts.hint("merge").join(index, [*by, "head"]).select("text_id", *by, "at", "tail", "left", "right", F.explode("sizes").alias("n"))
             .where(F.size(F.split("tail", " ")) >= F.col("n")).withColumn("phrase", F.expr("substring_index(tail, ' ', n)")))
-    beside = F.concat_ws(" ", F.when(F.col("left") != "", F.col("left")), F.expr(f"substring_index(right, ' ', n + {around})")) if around else F.lit(None).cast("string")
-    return runs.join(bounded(table), [*by, "phrase", "n"]).select("text_id", "group", "phrase", "code", "n", "at", beside.alias("around"))
+    beside = F.concat_ws(" ", F.when(F.col("left") != "", F.col("left")), F.expr(f"substring_index(right, ' ', n + {around})")) if around else none
+    return runs.hint("merge").join(table, [*by, "phrase", "n"]).select("text_id", "group", "phrase", "code", "n", "at", beside.alias("around"))
 
 
 def consumed(hits: DataFrame) -> DataFrame:
@@ -73,8 +87,9 @@ def consumed(hits: DataFrame) -> DataFrame:
 
 
 def find_phrases(texts: DataFrame, phrases: DataFrame, around: int = 0) -> DataFrame:
-    """(text_id, group, matches): whole-word phrases of folded texts in index order, each match consuming its span. A text without any has no row."""
-    return consumed(phrase_hits(texts, phrases, around)).where(F.size("matches") > 0)
+    """(text_id, group, matches): whole-word phrases of folded texts in index order, each match consuming its span. A text without any has no row,
+    and the first hit of a text is always a match."""
+    return consumed(phrase_hits(texts, phrases, around))
 
 
 def matched_texts(rows: DataFrame, key: str, texts: Column, phrases: DataFrame) -> DataFrame:

@@ -209,7 +209,7 @@ def near_mentions(spark, sf, detect):
     """One text per part: a stance word, long words, the colour, long words, the other stance word."""
     filler = lambda n: F.repeat(F.lit(" " + "y" * 70), n.cast("int"))
     text = F.concat(F.lit("Rising"), filler(F.pmod("p_partkey", F.lit(12))), F.lit(" "), F.get(F.split("p_name", " "), F.lit(0)), filler(F.pmod("p_size", F.lit(12))), F.lit(" fading."))
-    docs = S.load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lit(None).cast("string").alias("title"), text.alias("text"),
+    docs = S.spread(S.load(spark, sf, "part")).select(F.col("p_partkey").alias("id"), F.lit(None).cast("string").alias("title"), text.alias("text"),
                                             F.lit(None).cast("timestamp").alias("published_at"), F.lit("2024-01-02").cast("timestamp").alias("collected_at"))
     return detect(docs).withColumn("occurred_on", F.col("occurred_on").cast("string"))
 
