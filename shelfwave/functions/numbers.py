@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from shelfwave.functions.text import let
+
 NARROW_NBSP = "\u202f"
 
 
@@ -62,23 +64,30 @@ def number_from_text(raw: Column) -> Column:
 
     With both separators the last one is the decimal one; a single comma is decimal; repeated separators of one kind
     group thousands."""
-    s = F.regexp_replace(F.regexp_replace(raw, f"[{_SPACES}]", ""), "^[.,]+|[.,]+$", "")
-    commas = F.length(s) - F.length(F.replace(s, F.lit(","), F.lit("")))
-    dots = F.length(s) - F.length(F.replace(s, F.lit("."), F.lit("")))
-    no_dots, no_commas = F.replace(s, F.lit("."), F.lit("")), F.replace(s, F.lit(","), F.lit(""))
-    comma_decimal = F.replace(no_dots, F.lit(","), F.lit("."))
-    comma_is_last = s.rlike(",[^.]*$")
-    text = (F.when((commas > 0) & (dots > 0), F.when(comma_is_last, comma_decimal).otherwise(no_commas))
-            .when(commas == 1, comma_decimal)
-            .when(commas > 1, no_commas)
-            .when(dots > 1, no_dots)
-            .otherwise(s))
-    return F.when(text != "", text.try_cast("double"))
+    cleaned = F.regexp_replace(F.regexp_replace(raw, f"[{_SPACES}]", ""), "^[.,]+|[.,]+$", "")
+
+    def plain(s: Column) -> Column:
+        commas = F.length(s) - F.length(F.replace(s, F.lit(","), F.lit("")))
+        dots = F.length(s) - F.length(F.replace(s, F.lit("."), F.lit("")))
+        no_dots, no_commas = F.replace(s, F.lit("."), F.lit("")), F.replace(s, F.lit(","), F.lit(""))
+        comma_decimal = F.replace(no_dots, F.lit(","), F.lit("."))
+        comma_is_last = s.rlike(",[^.]*$")
+        return (F.when((commas > 0) & (dots > 0), F.when(comma_is_last, comma_decimal).otherwise(no_commas))
+                .when(commas == 1, comma_decimal)
+                .when(commas > 1, no_commas)
+                .when(dots > 1, no_dots)
+                .otherwise(s))
+
+    return let(let(cleaned, plain), lambda text: F.when(text != "", text.try_cast("double")))
 
 
 def price_of(text: Column) -> tuple[Column, Column]:
     """(price, ISO currency) of a display text; both NULL when it holds no number."""
-    price = number_from_text(F.nullif(F.regexp_extract(text, f"[0-9][0-9{_SPACES}.,]*", 0), F.lit("")))
-    upper = F.upper(text)
-    currency = F.coalesce(*[F.when(upper.contains(token), F.lit(iso)) for token, iso in CURRENCY_TOKENS])
-    return price, F.when(price.isNotNull(), currency)
+    def read(t: Column) -> Column:
+        upper = F.upper(t)
+        currency = F.coalesce(*[F.when(upper.contains(token), F.lit(iso)) for token, iso in CURRENCY_TOKENS])
+        price = number_from_text(F.regexp_extract(t, f"[0-9][0-9{_SPACES}.,]*", 0))
+        return let(price, lambda p: F.struct(p.alias("price"), F.when(p.isNotNull(), currency).alias("currency")))
+
+    found = let(text, read)  # the text is built and read once for both
+    return found["price"], found["currency"]
