@@ -32,9 +32,11 @@ def first_appearances(cards: DataFrame, model: Column | None = None) -> DataFram
 
 def kept_cards(firsts: DataFrame) -> DataFrame:
     """The first URL of each model; URLs without a model key are all kept. The others stay listed but are not products."""
-    best = firsts.where(F.col("model").isNotNull()).groupBy("crawl_id", "model").agg(F.min("first").alias("best"))
-    rows = firsts.join(best, ["crawl_id", "model"], "left")
-    return rows.where(F.col("model").isNull() | (F.col("first") == F.col("best"))).select("crawl_id", "url", "first", "model")
+    # one pass over the first appearances: a join with the best of each model would make them twice. URLs without a model are groups of their own
+    own = F.when(F.col("model").isNull(), F.col("url"))
+    best = F.min("first").over(Window.partitionBy("crawl_id", "model", own))
+    kept = F.col("model").isNull() | ((F.col("first") == F.col("best")) & F.col("crawl_id").isNotNull())
+    return firsts.withColumn("best", best).where(kept).select("crawl_id", "url", "first", "model")
 
 
 def listing_ranks(kept: DataFrame) -> DataFrame:

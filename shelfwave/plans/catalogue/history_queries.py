@@ -181,12 +181,18 @@ gp AS (SELECT crawl_id, entry, facet, label, any_value(flag) AS flag, any_value(
 
 
 def facet_plan(spark, sf):
-    """Ranked listing and facet cards, landed once, as matches, gaps and flags all read them; then the matches, the gaps and the pages."""
-    order, cards = cut_lineage(ranks(spark, sf)), cut_lineage(S.facet_cards(spark, sf))
+    """Ranked listing, landed once, as matches, gaps and flags all read it; facet cards, of which each reads the columns it needs; then the matches,
+    the gaps and the pages."""
+    order, cards = cut_lineage(ranks(spark, sf)), S.facet_cards(spark, sf)
     pages = S.facet_pages(spark, sf, cards)
     return order, cards, W.facet_matches(cards, order), W.facet_gaps(pages, cards, order), pages
 
 
+def matched_cards(spark, sf):
+    """The matches alone: the ranked listing is read once, so nothing is landed."""
+    return W.facet_matches(S.facet_cards(spark, sf), ranks(spark, sf))
+
+
 @query("facet_gaps", f"WITH {CARDS}, {FACETS} SELECT crawl_id, entry, facet, label, reason FROM gp WHERE reason IS NOT NULL")
 def facet_gaps(spark, sf):
     return facet_plan(spark, sf)[3].select("crawl_id", "entry", "facet", "label", "reason")
@@ -195,13 +201,13 @@ def facet_gaps(spark, sf):
 @query("facet_labels", f"""
 WITH {CARDS}, {FACETS} SELECT crawl_id, url, string_agg(label, ', ' ORDER BY label) AS labels FROM (SELECT DISTINCT crawl_id, url, label FROM fm WHERE known AND flag IS NULL) GROUP BY 1, 2""")
 def facet_labels(spark, sf):
-    return W.facet_labels(facet_plan(spark, sf)[2]).select("crawl_id", "url", F.col("raw_specs")["Return"].alias("labels"))
+    return W.facet_labels(matched_cards(spark, sf)).select("crawl_id", "url", F.col("raw_specs")["Return"].alias("labels"))
 
 
 @query("facet_variant_colors", f"""
 WITH {CARDS}, {FACETS} SELECT crawl_id, url, variant_id, arg_min(label, ord) AS label FROM fm WHERE known AND flag IS NULL GROUP BY 1, 2, 3""")
 def facet_variant_colors(spark, sf):
-    rows = W.variant_colors(facet_plan(spark, sf)[2])
+    rows = W.variant_colors(matched_cards(spark, sf))
     return rows.select("crawl_id", "url", F.explode("variant_colors").alias("variant_id", "label"))
 
 
@@ -229,8 +235,7 @@ def facet_flags(spark, sf):
 
 @query("flag_listing", f"WITH {CARDS}, {FACETS} SELECT DISTINCT crawl_id, url, true AS value FROM fm WHERE known AND flag IS NOT NULL")
 def flag_listing(spark, sf):
-    order, cards, _, _, _ = facet_plan(spark, sf)
-    return W.flag_listing(cards.where(F.col("flag").isNotNull()), order).select("crawl_id", "url", "value")
+    return W.flag_listing(S.facet_cards(spark, sf).where(F.col("flag").isNotNull()), ranks(spark, sf)).select("crawl_id", "url", "value")
 
 
 @query("crawl_statuses", f"""
