@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfwave.functions.dates import monday
+from shelfwave.operators.joins import estimated_bytes
 from shelfwave.operators.series import KEY
 from shelfwave.plans.catalogue.history_queries import REPLAYED, replay_sql
 from shelfwave.plans.catalogue import trend_queries as _trends  # noqa: F401  registers what sql_of names
@@ -23,10 +24,15 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def stream_of(spark: SparkSession, rows: DataFrame, folder: str, files: int = 3, at_once: int = 1) -> DataFrame:
-    """The rows as a stream of micro-batches: landed in the shared folder in `files` files, read `at_once` at a time."""
-    rows.repartition(files).write.parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", at_once).parquet(folder)
+FILE_BYTES = 32 << 20
+
+
+def stream_of(spark: SparkSession, rows: DataFrame, folder: str, table: DataFrame, batches: int = 3, at_once: bool = False) -> DataFrame:
+    """The rows as a stream of `batches` micro-batches (one, if `at_once`), landed in the shared folder. A batch has as many files as its share of
+    `table`, the stored table the rows come from, fills by size, so no task holds more when there is more input."""
+    files = max(1, -(-estimated_bytes(table) // (batches * FILE_BYTES)))
+    rows.repartition(batches * files).write.parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", batches * files if at_once else files).parquet(folder)
 
 
 def event_mentions(rows: DataFrame) -> DataFrame:
@@ -44,7 +50,7 @@ WITH {EVENTS} SELECT dimension, code, CAST(wk AS VARCHAR) AS week, CAST(sum(CASE
   CAST(sum(CASE WHEN stance = 'declining' THEN w ELSE 0 END) AS BIGINT) AS declining, CAST(sum(w) AS BIGINT) AS volume FROM e GROUP BY 1, 2, 3""")
 def streamed_weekly_counts(spark, sf):
     folder = work_folder(spark)
-    stream = stream_of(spark, event_mentions(S.load(spark, sf, "events")), f"{folder}/in")  # weeks come in any order: most rows are late
+    stream = stream_of(spark, event_mentions(S.load(spark, sf, "events")), f"{folder}/in", S.load(spark, sf, "events"))  # weeks come in any order: most rows are late
     J.maintain_weekly_counts(stream, f"{folder}/mentions", f"{folder}/weekly", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/weekly").select(*KEY, F.col("week").cast("string").alias("week"), "rising", "declining", "volume")
 
@@ -55,7 +61,7 @@ def streamed_snapshots(spark, sf):
     folder, events = work_folder(spark), event_mentions(S.load(spark, sf, "events"))
     span = events.agg(F.min("occurred_on").alias("first"), F.max("occurred_on").alias("last")).first()
     weeks = (monday(span["last"]) - monday(span["first"])).days // 7 + 1
-    J.maintain_snapshots(stream_of(spark, events, f"{folder}/in"), f"{folder}/mentions", f"{folder}/snapshots", f"{folder}/state", lambda: span["last"], weeks).awaitTermination()
+    J.maintain_snapshots(stream_of(spark, events, f"{folder}/in", S.load(spark, sf, "events")), f"{folder}/mentions", f"{folder}/snapshots", f"{folder}/state", lambda: span["last"], weeks).awaitTermination()
     return spark.read.parquet(f"{folder}/snapshots").where("mentions > 0").select(*KEY, F.col("week").cast("string").alias("week"), "mentions")
 
 
@@ -63,7 +69,7 @@ def streamed_snapshots(spark, sf):
 def streamed_scores(spark, sf):
     """The sample's mentions as a stream, scored with the search interest after each batch: the same rows as scoring the whole table at once."""
     folder = work_folder(spark)
-    stream = stream_of(spark, kinds(spark, sf), f"{folder}/in")
+    stream = stream_of(spark, kinds(spark, sf), f"{folder}/in", S.load(spark, sf, "lineitem"))
     J.maintain_snapshots(stream, f"{folder}/mentions", f"{folder}/snapshots", f"{folder}/state", S.TODAY, WEEKS, lambda session: S.search_interest(session, sf)).awaitTermination()
     return spark.read.parquet(f"{folder}/snapshots").select(*KEY, F.col("week").cast("string").alias("week"), "mentions", F.round("search", 6).alias("search"), "momentum",
                                                             "status", "tone", "decline_share")
@@ -76,7 +82,7 @@ def streamed_documents(spark, sf):
     folder = work_folder(spark)
     rows = S.load(spark, sf, "documents").select(F.concat("lang", F.md5(F.col("text").cast("binary"))).alias("url"), F.lit("").alias("title"), "text",
                                                  F.lit("2024-01-01").cast("timestamp").alias("collected_at"))
-    J.ingest_documents(stream_of(spark, rows.unionByName(rows), f"{folder}/in"), f"{folder}/documents", f"{folder}/state", r"\b(nicht|pour|with)\b").awaitTermination()
+    J.ingest_documents(stream_of(spark, rows.unionByName(rows), f"{folder}/in", rows), f"{folder}/documents", f"{folder}/state", r"\b(nicht|pour|with)\b").awaitTermination()
     return spark.read.parquet(f"{folder}/documents").select("url", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
@@ -86,6 +92,6 @@ def streamed_catalog(spark, sf):
     folder = work_folder(spark)
     crawls = [S.product_observations(spark, sf, a, b).withColumn("crawl_id", F.col("source_id") * 10 + k) for k, (a, b) in enumerate(zip(REPLAYED, [*REPLAYED[1:], None], strict=True))]
     rows = reduce(DataFrame.unionByName, crawls).join(S.crawl_reports(spark, sf)[1], "source_id").withColumns({"listed_only": F.lit(False)})
-    stream = stream_of(spark, rows, f"{folder}/in", files=3, at_once=3)
+    stream = stream_of(spark, rows, f"{folder}/in", S.load(spark, sf, "lineitem"), at_once=True)
     J.maintain_catalog(stream, f"{folder}/catalog", f"{folder}/state", S.STATUS_NOW, initial=S.stored_catalog(spark, sf)).awaitTermination()
     return J.latest_catalog(spark, f"{folder}/catalog").select("url", "source_id", "is_active")
