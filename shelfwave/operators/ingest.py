@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfwave.functions.dates import instant, parse_iso
 from shelfwave.functions.urls import title_from_url
-from shelfwave.operators.joins import bounded, numbered
+from shelfwave.operators.joins import bounded, numbered, placed
 from shelfwave.session import cut_lineage
 
 MAX_TITLE = 500
@@ -167,5 +167,6 @@ def without_demo(documents: DataFrame, mentions: DataFrame, interest: DataFrame)
 
 
 def duplicate_keys(table: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """Key values that occur more than once; NULLs are equal here. Must be empty before a table is published."""
-    return table.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+    """Key values that occur more than once; NULLs are equal here. Must be empty before a table is published. Most keys occur once, so nothing is
+    counted before they are placed, and a task holds the keys of its share of the input."""
+    return placed(table.select(*key), *key).groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)

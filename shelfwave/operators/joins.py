@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 MAX_BROADCAST_BYTES = 8 << 20
+PLACED_BYTES = 2 << 20  # of stored input for one task, where a stored row becomes several wider ones
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -12,6 +13,21 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def scanned_bytes(df: DataFrame) -> int:
+    """Size of the files a frame is read from; 0 where it is read from none. No job runs."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in df.inputFiles()]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+
+
+def placed(df: DataFrame, *columns: str, each: int = PLACED_BYTES) -> DataFrame:
+    """Rows brought together by `columns` in one task for every `each` bytes of stored input, so that a task holds no more when there is more
+    input. Aggregates, windows and joins on these columns need no other exchange."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-scanned_bytes(df) // each))
+    return df.repartition(n, *columns)
+
+
 def bounded(side: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES, measured: DataFrame | None = None) -> DataFrame:
     """Broadcast `side` only when its scans hold at most `max_bytes`; otherwise hand it back unhinted, and adaptive execution chooses by the real size
     (a shuffle join with skew handling, or a broadcast below its own threshold). `measured` is measured instead where `side` is computed from large

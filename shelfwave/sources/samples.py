@@ -9,6 +9,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfwave.functions.dates import week_start
+from shelfwave.operators.joins import placed
 
 TODAY = date(2001, 9, 26)           # scoring day of the sample: report week 2001-09-24
 CATALOG_NOW = datetime(2000, 7, 15)  # catalog clock of the sample
@@ -152,7 +153,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def product_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of every product: colour (twice for parts with two supplier codes), material, shape, type and lamination."""
-    keys = load(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    keys = placed(load(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey"), "l_partkey").distinct()  # the join needs no other exchange
     part = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
     first, second = words("p_name")
     neighbour = part.select((F.col("p_partkey") - 1).alias("n_key"), first.alias("next_word"))
