@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfwave.functions.dates import instant
 from shelfwave.functions.text import let
-from shelfwave.operators.joins import bounded
+from shelfwave.operators.joins import bounded, placed
 from shelfwave.rules import DEFAULT_RULES, Rules
 from shelfwave.session import cut_lineage
 from shelfwave.sources.tables import FLAGS
@@ -183,10 +183,13 @@ def tag_changes(stored: DataFrame, wanted: DataFrame, compared: tuple[str, ...]
 
 
 def collapse_duplicate_tags(tags: DataFrame) -> DataFrame:
-    """One row per (product, dimension, code), the lowest id: the form without supplier codes."""
-    keep = [c for c in tags.columns if c not in ("product_id", "dimension", "code", "id")]
-    return (tags.groupBy("product_id", "dimension", "code").agg(F.min("id").alias("id"), F.min_by(F.struct(*keep), "id").alias("t"))
-            .select("id", "product_id", "dimension", "code", "t.*"))
+    """One row per (product, dimension, code), the lowest id: the form without supplier codes. A product's tags are few, so they are placed by
+    product once and ranked there; columns that nobody reads are not moved."""
+    key = ["product_id", "dimension", "code"]
+    keep = [c for c in tags.columns if c not in (*key, "id")]
+    first = Window.partitionBy(*key).orderBy(F.asc_nulls_last("id"))
+    return (placed(tags, "product_id").withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1)
+            .select("id", *key, *[F.when(F.col("id").isNotNull(), F.col(c)).alias(c) for c in keep]))
 
 
 def activity_backfill(products: DataFrame, days: int = 14) -> DataFrame:

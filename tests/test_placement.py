@@ -29,3 +29,15 @@ def test_duplicate_keys_are_counted_where_they_are_placed(spark, tmp_path):
     found = I.duplicate_keys(spark.read.parquet(str(tmp_path / "t")), ("k", "c"))
     assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, "a", 2), (1, None, 2), (None, None, 3)], key=str)
     assert plan(found).count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan(found)
+
+
+def test_tags_collapse_without_sorting_what_is_not_placed(spark):
+    rows = [(7, 1, "color", "red", "name", "D1"), (5, 1, "color", "red", "name", "C1"), (9, 1, "color", "blue", "name", None), (3, 2, "color", "red", "name", None),
+            (None, 4, "shape", "round", "name", "E"), (2, None, "shape", "round", "name", None), (None, 1, "color", "red", "name", "X")]
+    got = H.collapse_duplicate_tags(tags_of(spark, rows))
+    assert got.columns == ["id", "product_id", "dimension", "code", "field", "supplier_code"]
+    assert {tuple(r) for r in got.collect()} == {(5, 1, "color", "red", "name", "C1"), (9, 1, "color", "blue", "name", None), (3, 2, "color", "red", "name", None),
+                                                 (None, 4, "shape", "round", None, None), (2, None, "shape", "round", "name", None)}
+    narrow = plan(got.select("id", "supplier_code"))
+    assert "SortAggregate" not in narrow and narrow.count("Exchange") == 1
+    assert not any("field" in line for line in narrow.splitlines() if "Exchange" in line or "Window" in line)  # moved only where it is read
