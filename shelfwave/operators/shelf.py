@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shelfwave.functions.numbers import ratio, rounded
 from shelfwave.functions.text import fold, let
-from shelfwave.operators.joins import bounded
+from shelfwave.operators.joins import bounded, placed
 from shelfwave.rules import DEFAULT_RULES, Rules
 
 ALL = "all"
@@ -129,7 +129,7 @@ def distinct_attributes(tags: DataFrame, *dimensions: str) -> DataFrame:
     """(id, dimension, code) of each product, supplier codes folded away. Placed by product once: the duplicate removal, the
     per-product flags and the join with products all reuse that exchange, and all of them are hash operators."""
     rows = tags.where(F.col("dimension").isin(*dimensions)) if dimensions else tags
-    return rows.select(F.col("product_id").alias("id"), "dimension", "code").repartition("id").distinct()
+    return placed(rows.select(F.col("product_id").alias("id"), "dimension", "code"), "id").distinct()
 
 
 def product_profiles(tags: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:

@@ -118,7 +118,7 @@ def product_base(spark: SparkSession, sf_dir: str, until: date | None = None) ->
     line = load(spark, sf_dir, "lineitem")
     if until is not None:
         line = line.where(F.col("l_shipdate") < F.lit(until))
-    return line.groupBy("l_suppkey", "l_partkey").agg(
+    return placed(line, "l_partkey").groupBy("l_suppkey", "l_partkey").agg(  # the join with the parts needs no other exchange
         F.max("l_extendedprice").alias("top"), F.max("l_discount").alias("cut"), F.min("l_shipdate").alias("first_day"),
         F.max("l_shipdate").alias("last_day"))
 
@@ -283,7 +283,7 @@ def stored_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog as left by the order lines before the cut: the last observation of each URL, by its first store."""
     line = load(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit(SYNC_CUT))
     rows = _observed(line, load(spark, sf_dir, "part"))
-    one = rows.groupBy("url").agg(F.min("l_suppkey").alias("source_id"), F.min("p_name").alias("name"), F.min("p_brand").alias("brand"),
+    one = placed(rows, "url").groupBy("url").agg(F.min("l_suppkey").alias("source_id"), F.min("p_name").alias("name"), F.min("p_brand").alias("brand"),
                                   F.max("l_extendedprice").alias("price"), F.min("l_shipdate").alias("first_seen_at"), F.max("l_shipdate").alias("seen_at"))
     active = F.col("seen_at") >= F.lit(date(2000, 6, 1))
     return one.select(F.xxhash64("url").alias("id"), "source_id", "url", "name", "brand", "price", F.lit(None).cast("double").alias("list_price"),
