@@ -16,6 +16,7 @@ from shelfwave.plans.catalogue.shelf_queries import (ACTIVE, BASE, COVERAGE_TYPE
 from shelfwave.plans.oracle_views import with_views
 from shelfwave.plans.registry import query, sql_of
 from shelfwave.rules import Rules
+from shelfwave.session import cut_lineage
 from shelfwave.sources import samples as S, sinks
 from shelfwave.sources.tables import UNIQUE_KEYS
 
@@ -348,7 +349,7 @@ SELECT shelf, dimension, ord, CASE dimension WHEN 'color' THEN 'Couleur' WHEN 's
 UNION ALL SELECT shelf, dimension, 0, CASE dimension WHEN 'color' THEN 'Couleur' WHEN 'shape' THEN 'Forme' WHEN 'material' THEN 'Matière' ELSE dimension END || ' : couverture insuffisante (' ||
   CASE WHEN tagged < 20 THEN tagged || ' références renseignées' ELSE 'vocabulaire des boutiques non reconnu pour ' || CAST(round_even(unmapped_share * 100, 0) AS BIGINT) || ' % des valeurs' END || '), pas de comparaison.' FROM dm WHERE NOT comparable"""))
 def shelf_brief(spark, sf):
-    cells = H.shelf(*tables(spark, sf), by_type=True)
+    cells = cut_lineage(H.shelf(*tables(spark, sf), by_type=True))  # landed once, as items, prices and dimensions all read it
     rows = R.shelf_lines(H.shelf_items(cells), H.shelf_prices(cells), H.shelf_dimensions(cells, True), S.dictionary(spark, sf), LABELS)
     return rows.withColumn("ord", F.col("ord").cast("long"))
 
