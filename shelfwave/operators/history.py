@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfwave.functions.dates import instant
 from shelfwave.functions.text import let
-from shelfwave.operators.joins import bounded, placed
+from shelfwave.operators.joins import PLACED_BYTES, bounded, placed, scanned_bytes
 from shelfwave.rules import DEFAULT_RULES, Rules
-from shelfwave.session import cut_lineage
+from shelfwave.session import cut_lineage, shared_folder
 from shelfwave.sources.tables import FLAGS
 
 VALUES = ["name", "brand", "price", "list_price", "currency", "rank", "flags", "image_url", "seen_at"]
@@ -96,7 +98,10 @@ def drop_decisions(catalog: DataFrame, observations: DataFrame, listed: DataFram
     counts = (present.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_present"))
               .join(catalog.where("is_active").groupBy("source_id").agg(F.count(F.lit(1)).alias("n_active")), "source_id", "full_outer")
               .join(observations.groupBy("source_id").agg(F.max("seen_at").alias("seen")), "source_id", "left"))
-    rows = reports.select("source_id", "problems").join(counts, "source_id", "left")
+    return _decisions(reports.select("source_id", "problems").join(counts, "source_id", "left"), default_when, observations.schema["seen_at"].dataType, accept_drops, rules)
+
+
+def _decisions(rows: DataFrame, default_when: datetime, when_type, accept_drops: bool, rules: Rules) -> DataFrame:
     n_problems = F.coalesce(F.size("problems"), F.lit(0))
     n_problems = F.greatest(n_problems, F.lit(0))
     n_active, n_present = F.coalesce("n_active", F.lit(0)), F.coalesce("n_present", F.lit(0))
@@ -107,7 +112,7 @@ def drop_decisions(catalog: DataFrame, observations: DataFrame, listed: DataFram
     if not accept_drops:
         skipped = F.coalesce(skipped, F.when(shrunk, F.concat(F.lit("listing shrank "), n_active.cast("string"), F.lit(" -> "), n_present.cast("string"))))
     return rows.select("source_id", skipped.isNull().alias("may_drop"), skipped.alias("drop_skipped"),
-                       F.coalesce("seen", instant(default_when).cast(observations.schema["seen_at"].dataType)).alias("dropped_when"))
+                       F.coalesce("seen", instant(default_when).cast(when_type)).alias("dropped_when"))
 
 
 def sync(catalog: DataFrame, observations: DataFrame, listed: DataFrame, reports: DataFrame, gaps: DataFrame | None,
@@ -157,15 +162,80 @@ def sync_summary(changes: DataFrame, batch_claims: DataFrame, decisions: DataFra
             .select("source_id", *[zero(c) for c in ("inserted", "updated", "reactivated", "dropped", "carried", "conflicts")], "drop_skipped"))
 
 
+def crawl_events(step: int, observations: DataFrame, listed: DataFrame) -> DataFrame:
+    """(step, source_id, url, seen, ...) of one crawl: what was read and, with `seen` false, what was only listed."""
+    read = observations.select(F.lit(step).alias("step"), "source_id", "url", F.lit(True).alias("seen"), "crawl_id", "seq", *VALUES)
+    return read.unionByName(listed.select(F.lit(step).alias("step"), "source_id", "url", F.lit(False).alias("seen")), allowMissingColumns=True)
+
+
 def replay(catalog: DataFrame, steps: list[tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]], now: datetime,
            rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """Several crawls in order. Each guard looks at the state the one before left, so the steps are sequential; each step handles
-    all its stores at once. The plan is cut after every step by a reliable checkpoint."""
-    for observations, listed, reports, gaps in steps:
-        catalog = cut_lineage(sync(catalog, observations, listed, reports, gaps, now, rules=rules).drop("action", "carried"))
+    """Several crawls in order; each guard looks at the state the one before left. Without gaps, values never depend on older ones, so the rows meet
+    once (`replay_events`). With gaps, or where a step has two reports of one store, the steps follow each other as `sync`, each cut by a reliable checkpoint."""
+    if not steps:
+        return catalog
+    reports = reduce(DataFrame.unionByName, [r.select(F.lit(k).alias("step"), "source_id", "problems") for k, (_, _, r, _) in enumerate(steps, 1)])
+    if all(gaps is None for *_, gaps in steps) and reports.where(F.col("source_id").isNotNull()).groupBy("step", "source_id").count().where("count > 1").isEmpty():
+        events = reduce(DataFrame.unionByName, [crawl_events(k, observations, listed) for k, (observations, listed, _, _) in enumerate(steps, 1)])
+        return replay_events(catalog, events, reports, len(steps), now, rules)
+    for observations, listed, report, gaps in steps:
+        catalog = cut_lineage(sync(catalog, observations, listed, report, gaps, now, rules=rules).drop("action", "carried"))
     return catalog
 
 
+def replay_events(catalog: DataFrame, events: DataFrame, reports: DataFrame, n_steps: int, now: datetime, rules: Rules = DEFAULT_RULES, tasks: int = 1) -> DataFrame:
+    """The catalog (one row per URL) after steps 1 to `n_steps` of `sync` without gaps. `events` are those of `crawl_events`, `reports` (step, source_id,
+    problems) one row per store and step.
+
+    A URL belongs to one store all along: the one that holds it or, for a new URL, the one that claims it first. So the rows of a URL meet once, as
+    `marks`: 2 * step where its store listed it, 2 * step + 1 where it read it. The guard needs but counts of active products, so the steps run over
+    the numbers of products of each (store, state, marks); the decisions then go back to the products in one join."""
+    tasks = max(tasks, events.sparkSession.sparkContext.defaultParallelism, -(-scanned_bytes(catalog) // PLACED_BYTES))
+    seen, when_type = F.col("seen"), events.schema["seen_at"].dataType
+    latest = events.repartition(tasks, "url").groupBy("url", "source_id", "step").agg(
+        F.max("seen").alias("seen"), F.max(F.when(seen, F.col("seen_at"))).alias("last_at"), *[F.max_by(c, F.when(seen, F.col("seq"))).alias(c) for c in ("crawl_id", *VALUES)])
+    presence = cut_lineage(latest.groupBy("step", "source_id").agg(F.count(F.lit(1)).alias("n_present"), F.max("last_at").alias("seen")), forget_size=True)
+    meeting = catalog.join(_owned(catalog, latest), "url", "full_outer").withColumn("marks", F.coalesce("marks", F.array().cast("array<int>")))
+    store = F.coalesce("source_id", "owner")
+    state = cut_lineage(meeting.groupBy(store.alias("source_id"), F.col("is_active").alias("active"), "marks").agg(F.count(F.lit(1)).alias("n")), forget_size=True)
+    decided = []
+    for k in range(1, n_steps + 1):
+        active = state.where("active").groupBy("source_id").agg(F.sum("n").alias("n_active"))
+        rows = (reports.where(F.col("step") == k).select("source_id", "problems").join(presence.where(F.col("step") == k).drop("step"), "source_id", "left")
+                .join(active, "source_id", "left"))
+        decided.append(cut_lineage(_decisions(rows, now, when_type, False, rules).where("may_drop").select("source_id", F.lit(k).alias("step"), "dropped_when"), forget_size=True))
+        marked = lambda n: F.array_contains("marks", F.lit(2 * k + n))  # noqa: B023, E731
+        drops = F.col("active") & F.col("step").isNotNull() & ~marked(0)
+        state = cut_lineage(state.join(decided[-1].select("source_id", "step"), "source_id", "left")
+                            .withColumn("active", F.when(marked(1), F.lit(True)).when(drops, F.lit(False)).otherwise(F.col("active"))).drop("step"), forget_size=True)
+    folder = f"{shared_folder(catalog.sparkSession)}/decisions-{uuid.uuid4().hex}"
+    reduce(DataFrame.unionByName, decided).write.parquet(folder)  # as files, so that their size is known: a few bytes a store
+    stored = catalog.sparkSession.read.parquet(folder)
+    drops = bounded(stored.groupBy(F.col("source_id").alias("store")).agg(F.array_sort(F.collect_list(F.struct("step", "dropped_when"))).alias("drops")), 32 << 20, measured=stored)
+    rows = meeting.withColumn("store", store).join(drops, "store", "left").withColumn("last", F.coalesce("last", F.lit(0)))
+    gone = F.get(F.filter("drops", lambda d: (d["step"] > F.col("last")) & ~F.array_contains("marks", d["step"] * 2)), F.lit(0))
+    read = F.col("last") > 0
+    rows = rows.withColumn("gone", F.when(read | F.col("is_active"), gone))
+    dropped = F.col("gone").isNotNull()
+    return rows.select(
+        F.coalesce("id", F.xxhash64("url")).alias("id"), F.col("store").alias("source_id"), "url", *[F.when(read, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in VALUES],
+        F.coalesce("first_seen_at", "n_first_at").alias("first_seen_at"), F.when(dropped, F.lit(False)).when(read, F.lit(True)).otherwise(F.col("is_active")).alias("is_active"),
+        F.when(dropped, F.col("gone.dropped_when")).when(read, F.lit(None)).otherwise(F.col("dropped_at")).alias("dropped_at"))
+
+
+def _owned(catalog: DataFrame, latest: DataFrame) -> DataFrame:
+    """(url, owner, marks, last, n_...) of each URL that its store listed or read; `n_...` are the values of the last step it was read in."""
+    claim = F.min(F.when(F.col("seen"), F.struct("crawl_id", "source_id"))).over(Window.partitionBy("url", "step"))["source_id"]
+    rows = latest.where(F.col("url").isNotNull()).withColumn("claim", claim).join(catalog.select("url", F.col("source_id").alias("held_by")), "url", "left")
+    first = F.min(F.when(F.col("claim").isNotNull(), F.struct("step", "claim"))).over(Window.partitionBy("url"))
+    rows = rows.withColumn("first", first).withColumn("owner", F.coalesce("held_by", F.col("first.claim")))
+    since = F.when(F.col("held_by").isNotNull(), F.lit(0)).otherwise(F.col("first.step"))
+    read = F.when(F.col("seen"), F.col("step"))
+    return (rows.where((F.col("source_id") == F.col("owner")) & (F.col("step") >= since)).groupBy("url").agg(
+        F.max("owner").alias("owner"), F.array_sort(F.collect_list(F.col("step") * 2 + F.col("seen").cast("int"))).alias("marks"), F.max(read).alias("last"),
+        F.min_by("seen_at", F.when(F.col("seen_at").isNotNull(), read)).alias("n_first_at"), *[F.max_by(c, read).alias(f"n_{c}") for c in VALUES]))
+
+
 # --- tags ------------------------------------------------------------------------------------------
 
 TAG_KEY = ["product_id", "dimension", "code", "supplier_code"]
