@@ -147,11 +147,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 FREQUENT = 1000  # members with one shingle, beyond which it comes last in the order of prefixes
 CLASSES = 32  # classes of shared shingles by hash, whose sizes bound an overlap
+EARLY = 16  # shingles of a prefix, by which two members that met before are told
 
 
 def _prefixes(members: DataFrame, sets: DataFrame, percent: int, parts_each: int = 4) -> DataFrame:
-    """(id, n, at, shingle, sizes): the first shingles of each member (id, n) that others have too, with their places in the order of all members' shingles,
-    and how many of all its shared shingles are in each class.
+    """(id, n, at, shingle, sizes, early): the first shingles of each member (id, n) that others have too, with their places in the order of all members'
+    shingles, how many of all its shared shingles are in each class, and those of its first EARLY ones that come before.
 
     Two sets that are alike share a shingle among the first n - ceil(share * n) + 1 of each, in any order of shingles that is the same for all. Here shingles
     of one member come first and those of over FREQUENT members last, so members that only have a passage in common, or a frequent word, do not meet."""
@@ -167,6 +168,7 @@ def _prefixes(members: DataFrame, sets: DataFrame, percent: int, parts_each: int
         for batch in slices(batches, 2, SET_BYTES):
             out: dict[str, list] = {"id": [], "n": [], "at": [], "shingle": []}
             sizes: list[list[int]] = []
+            early: list[np.ndarray] = []
             for i, n, _, codes in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 size = n - -(-percent * n // 100) + 1
                 shared = np.unique(np.concatenate([np.frombuffer(b, "<i8") for b in codes]))
@@ -177,20 +179,23 @@ def _prefixes(members: DataFrame, sets: DataFrame, percent: int, parts_each: int
                     for into, v in zip(out.values(), (np.full(len(shared), i), np.full(len(shared), n), alone + np.arange(len(shared)), shared), strict=True):
                         into.append(v)
                     sizes += [counts] * len(shared)
+                    early += [shared[:min(k, EARLY)] for k in range(len(shared))]
             numbers = [pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for v in out.values()]
-            yield pa.RecordBatch.from_arrays([*numbers, pa.array(sizes, pa.list_(pa.int32()))], [*out, "sizes"])
+            yield pa.RecordBatch.from_arrays([*numbers, pa.array(sizes, pa.list_(pa.int32())), pa.array(early, pa.list_(pa.int64()))], [*out, "sizes", "early"])
 
-    return cut_lineage(own.join(told, "id").select("id", "n", "set", "found").mapInArrow(first, "id bigint, n bigint, at bigint, shingle bigint, sizes array<int>"))
+    return cut_lineage(own.join(told, "id").select("id", "n", "set", "found").mapInArrow(first, "id bigint, n bigint, at bigint, shingle bigint, sizes array<int>, early array<bigint>"))
 
 
 def _meeting(begin: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a first shingle and may be alike; no pair that is alike is left out. What is left of both sets
-    from the shingle on, and the classes' smaller sizes together, must each be enough for the overlap that the sizes of both sets ask for."""
+    from the shingle on, and the classes' smaller sizes together, must each be enough for the overlap that the sizes of both sets ask for. A pair comes
+    from its first common shingle: with an earlier one in common it has met there, where no bound is tighter."""
     placed = begin.join(groups.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    side = lambda k: placed.select("shingle", *[F.col(x).alias(f"{x}{k}") for x in ("id", "n", "c", "at", "sizes")])
+    side = lambda k: placed.select("shingle", *[F.col(x).alias(f"{x}{k}") for x in ("id", "n", "c", "at", "sizes", "early")])
     least = " + ".join(f"least(sizes1[{k}], sizes2[{k}])" for k in range(CLASSES))
     enough = lambda bound: f"{100 + percent} * cast({bound} as bigint) >= {percent} * (n1 + n2)"
-    return (side(1).join(side(2), "shingle").where(f"id1 > id2 and c1 <> c2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2) and {enough('least(n1 - at1, n2 - at2)')} and {enough(f'({least})')}")
+    return (side(1).join(side(2), "shingle")
+            .where(f"id1 > id2 and c1 <> c2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2) and {enough('least(n1 - at1, n2 - at2)')} and {enough(f'({least})')} and not arrays_overlap(early1, early2)")
             .select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct())
 
 

@@ -72,3 +72,16 @@ def test_no_alike_pair_is_lost_by_prefixes(spark):
         both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in range(220) for b in range(a) if a % 7 != b % 7}
         alike = {(a, b) for (a, b), n in both.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)}
         assert alike and alike <= got and len(got) < len(both) / (10 if percent == 80 else 4)
+
+
+def test_a_pair_meets_at_its_first_common_shingle_only(spark, monkeypatch):
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join([*base, *(f"x{r.randrange(10**6)}" for _ in range(3))]) for _ in range(30)]
+    sets = [word_shingles(t, 3) for t in texts]
+    frame = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(sets)], "id long, set binary")
+    members = spark.createDataFrame([(k, len(s)) for k, s in enumerate(sets)], "id long, n long")
+    begin = M._prefixes(members, frame, 80)
+    assert begin.count() > 10 * len(sets)  # each pair has many shingles of its prefixes in common
+    monkeypatch.setattr(type(begin), "distinct", lambda self: self)
+    assert M._meeting(begin, spark.createDataFrame([], "node long, component long"), 80).count() == 30 * 29 // 2
