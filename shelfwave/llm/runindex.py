@@ -28,6 +28,8 @@ STRETCH = 64  # strings of one stretch at most
 CHUNK = 1 << 20  # bytes of stretches indexed together, and the group of the last anchor
 HOT = 50_000  # rows with one anchor, up to which its stretches (some 7 MB) meet in one task
 PARTS = 8  # parts of the anchors for each shuffle partition
+PARCEL = 8 << 20  # bytes of stretches packed together
+PARCELS = 2  # groups of anchors for each shuffle partition, whose stretches are packed together
 
 
 def gram_hashes(raw: bytes, size: int) -> np.ndarray:
@@ -185,6 +187,63 @@ def marked(raw: list[bytes], code: np.ndarray, key: np.ndarray, start: np.ndarra
     return _spans(start, own, least[here] < np.repeat(key, own))
 
 
+def parcels(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+    """Rows (stretch's anchor, bytes, document, rid, start) packed by group of anchors, some PARCEL bytes of stretches at a time: equal stretches once,
+    all compressed together, as they are most of what is moved."""
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        code, key, rid, start = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in (0, 2, 3, 4))
+        # equal bytes have one anchor
+        coded = pa.chunked_array([b.column(1) for b in held]).combine_chunks().dictionary_encode()
+        which, group = coded.indices.to_numpy(), (code >> 32) % groups
+        order = np.lexsort((start, rid, key, group))
+        bounds = np.searchsorted(group[order], np.arange(groups + 1))
+        out: list[tuple[int, int, bytes]] = []
+        for g in np.flatnonzero(np.diff(bounds)).tolist():
+            rows = order[bounds[g]:bounds[g + 1]]
+            some, first, at = np.unique(which[rows], return_index=True, return_inverse=True)
+            each = coded.dictionary.take(pa.array(some)).to_pylist()
+            ids, doc = np.unique(np.stack([key[rows], rid[rows]], axis=1), axis=0, return_inverse=True)
+            numbers = [np.array([len(some), len(rows), len(ids)]), code[rows][first], np.array([len(b) for b in each], "<u4"), at.astype("<u4"), doc.ravel().astype("<u4"), start[rows].astype("<u4"), ids]
+            plain = b"".join([*(v.tobytes() for v in numbers), *each])
+            out.append((g, len(plain), pa.compress(plain, "zstd", asbytes=True)))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "size", "packed"])
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.column(1).nbytes
+        if size > PARCEL:
+            yield packed(held)
+            held, size = [], 0
+    if held:
+        yield packed(held)
+
+
+def unpacked(packed: list[tuple[int, bytes]]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a group's parcels: all bytes; of each stretch its place there and size; of each row its stretch; anchor, document, rid, start."""
+    raw, places, ats, rows, base, stretches = [], [], [], [], 0, 0
+    for size, blob in packed:
+        plain, at = pa.decompress(blob, size, "zstd", asbytes=True), 0
+
+        def take(kind: str, n: int) -> np.ndarray:
+            nonlocal at
+            at += np.dtype(kind).itemsize * n
+            return np.frombuffer(plain, kind, n, at - np.dtype(kind).itemsize * n)  # noqa: B023
+
+        some, many, docs = take("<i8", 3).tolist()
+        code, sizes = take("<i8", some), take("<u4", some).astype(np.int64)
+        of, doc, start = take("<u4", many).astype(np.int64), take("<u4", many), take("<u4", many).astype(np.int64)
+        ids = take("<i8", 2 * docs).reshape(-1, 2)[doc]
+        places.append(np.stack([base + np.cumsum(sizes) - sizes, sizes]))
+        ats.append(stretches + of)
+        rows.append(np.stack([code[of], ids[:, 0], ids[:, 1], start]))
+        raw.append(plain[at:])
+        base, stretches = base + len(raw[-1]), stretches + some
+    place, sizes = np.concatenate(places, axis=1)
+    return b"".join(raw), place, sizes, np.concatenate(ats), np.concatenate(rows, axis=1)
+
+
 def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, with_text: bool = False, most_hot: int = MOST_FREQUENT) -> DataFrame:
     """The kept columns, n_bytes, n_removed, n_spans and kept_sha256 of every row, where a byte is removed if a string of `length` bytes over it also starts
     in a row of a smaller key; `with_text` adds the rest of the text as `kept` (binary: a cut may part a character).
@@ -238,32 +297,40 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", k
     stretch_schema = to_arrow_schema(T.StructType.fromDDL(stretch_fields))
     # all joins to the texts are alike, so Spark moves the texts once and reads them again
     names, batch_text = [*(f"c{k}" for k in range(len(carried))), "key", "rid", "text"], len(carried) + 2
-    met = lambda often: source.join(wanted, ["key", "rid"], "left").select(*names, "found").mapInArrow(stretches(often), stretch_fields)
+    met = lambda make, fields: source.join(wanted, ["key", "rid"], "left").select(*names, "found").mapInArrow(make, fields)
+
+    def judged(packed: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        raw, place, size, at, rows = unpacked(packed)
+        order = np.argsort(rows[0], kind="stable")
+        at, rows = at[order], rows[:, order]
+        upto, begin = np.cumsum(size[at]), 0
+        while begin < len(at):  # some CHUNK bytes, and all rows of the last anchor
+            last = min(len(at) - 1, int(np.searchsorted(upto, CHUNK + (upto[begin - 1] if begin else 0))))
+            end = int(np.searchsorted(rows[0], rows[0][last], "right"))
+            some = at[begin:end]
+            code, key, rid, start = rows[:, begin:end]
+            row, span = marked([raw[a:a + n] for a, n in zip(place[some].tolist(), size[some].tolist(), strict=True)], code, key, start, length)
+            yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(rid[row]), pa.array(span)], ["key", "rid", "span"])
+            begin = end
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def marks(raw: list, numbers: np.ndarray) -> pa.RecordBatch:
-            row, span = marked(raw, numbers[0], numbers[1], numbers[3], length)
-            return pa.RecordBatch.from_arrays([pa.array(numbers[1][row]), pa.array(numbers[2][row]), pa.array(span)], ["key", "rid", "span"])
-
-        raw, numbers, size = [], np.zeros((4, 0), np.int64), 0
-        for batch in batches:  # sorted by code
-            more = batch.column(1).to_pylist()
-            raw += more
-            size += sum(map(len, more))
-            numbers = np.concatenate([numbers, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3, 4)])], axis=1)
-            if size > CHUNK:
-                whole = int(np.searchsorted(numbers[0], numbers[0][-1]))  # the last anchor may go on in the next batch
-                if whole:
-                    yield marks(raw[:whole], numbers[:, :whole])
-                    raw, numbers = raw[whole:], numbers[:, whole:]
-                    size = sum(map(len, raw))
-        if raw:
-            yield marks(raw, numbers)
-
-    plain = met(False).repartition("code").sortWithinPartitions("code")
+        last, held = None, []
+        for batch in batches:  # sorted by part
+            for part, *parcel in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != last and held:
+                    yield from judged(held)
+                    held = []
+                last = part
+                held.append(parcel)
+        if held:
+            yield from judged(held)
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = met(lambda batches: parcels(stretches(False)(batches), PARCELS * tasks), "part int, size bigint, packed binary")
+    plain = sent.repartitionById(tasks, F.expr(f"part % {tasks}")).sortWithinPartitions("part")
     spans = plain.mapInArrow(indexed, "key bigint, rid bigint, span bigint")
     if len(hot.value):
-        spans = spans.unionByName(_hot_spans(cut_lineage(met(True)), length))
+        spans = spans.unionByName(_hot_spans(cut_lineage(met(stretches(True), stretch_fields)), length))
     taken = named.join(spans.groupBy("key", "rid").agg(F.collect_list("span").alias("spans")), ["key", "rid"], "left")
     fields = [("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string"), *([("kept", "binary")] if with_text else [])]
     schema = T.StructType([*source.schema.fields[:len(carried)], *T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in fields))])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.clientserver import DEFAULT_WORKER_SLEEP_TIME
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,7 +112,10 @@ def shared_codes(rows: DataFrame, codes: Callable[[object], np.ndarray], parts:
             yield judged(last, *held)
 
     found = cut_lineage(rows.select("key", "rid", "value").mapInArrow(send, fields).repartition("part").sortWithinPartitions("part").mapInArrow(gather, "key bigint, rid bigint, found binary, code bigint, rows bigint"))
-    # what was moved for it is of no more use; Spark removes its files when the driver collects its garbage, so it is told to
+    # what was moved for it is of no more use; Spark removes its files when the driver collects its garbage, so it is told to. Before that, Python has to let
+    # go of the frames (they lie in cycles), of which its gateway tells the JVM within a second
+    gc.collect()
+    time.sleep(2 * DEFAULT_WORKER_SLEEP_TIME)
     rows.sparkSession.sparkContext._jvm.System.gc()
     return found
 

@@ -123,3 +123,28 @@ def test_runs_are_fewer_than_places_in_repetitive_text():
     many = np.full(len(stretches), 61)
     index = R.RunIndex.of(np.frombuffer(b"".join(stretches), np.uint8), 110 * np.arange(len(stretches)), many, np.zeros(len(stretches), np.int64), 50)
     assert index.size.sum() < many.sum() / 5 and len(index.place) <= index.size.sum()
+
+
+@pytest.mark.parametrize("parcel", [R.PARCEL, 1, 900])
+def test_parcels_hold_every_row_and_equal_stretches_once(monkeypatch, parcel):
+    import pyarrow as pa
+
+    monkeypatch.setattr(R, "PARCEL", parcel)
+    r, groups = random.Random(parcel), 3
+    known = [(r.randrange(1 << 40), bytes(r.choices(b"abc", k=50 + r.randrange(60)))) for _ in range(12)]
+    rows = [(*r.choice(known), r.randrange(-5, 5), r.choice([-1, 1]) * r.randrange(1 << 62), r.randrange(1 << 31)) for _ in range(300)]
+    names = ["code", "bytes", "key", "rid", "start"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 70], strict=True), (pa.int64(), pa.binary(), *[pa.int64()] * 3), strict=True)], names) for k in range(0, 300, 70)]
+    batches.insert(1, batches[0].slice(0, 0))
+    sent: dict[int, list] = {}
+    for b in R.parcels(iter(batches), groups):
+        for part, size, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            sent.setdefault(part, []).append((size, packed))
+    got = []
+    for part, packed in sent.items():
+        raw, place, size, at, numbers = R.unpacked(packed)
+        assert all((c >> 32) % groups == part for c in numbers[0].tolist())
+        if parcel > 10**6:
+            assert len(raw) == sum(len(b) for b in {b for c, b in known if (c >> 32) % groups == part and any(x[0] == c for x in rows)})
+        got += [(c, raw[place[a]:place[a] + size[a]], k, i, s) for a, (c, k, i, s) in zip(at.tolist(), numbers.T.tolist(), strict=True)]
+    assert sorted(got) == sorted(rows)

@@ -85,3 +85,25 @@ def test_a_pair_meets_at_its_first_common_shingle_only(spark, monkeypatch):
     assert begin.count() > 10 * len(sets)  # each pair has many shingles of its prefixes in common
     monkeypatch.setattr(type(begin), "distinct", lambda self: self)
     assert M._meeting(begin, spark.createDataFrame([], "node long, component long"), 80).count() == 30 * 29 // 2
+
+
+def test_what_was_moved_for_shared_codes_is_removed(spark, tmp_path):
+    import gc
+    import time
+
+    path = str(tmp_path / "codes")
+    spark.range(200).selectExpr("id as key", "-id as rid", "unhex(lpad(hex(id % 9), 16, '0')) as value").write.parquet(path)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for n in (disk.getAllFiles().apply(k).getName() for k in range(disk.getAllFiles().size())) if n.startswith("shuffle_")}
+    gc.collect()
+    gc.disable()  # whether Python collects its garbage meanwhile is left to chance otherwise
+    try:
+        before = files()
+        found = S.shared_codes(spark.read.parquet(path), lambda v: np.frombuffer(v, ">i8").astype(np.int64), 4, 3)
+        for _ in range(20):
+            if not files() - before:
+                break
+            time.sleep(0.5)
+        assert not files() - before and found.count() > 0
+    finally:
+        gc.enable()
