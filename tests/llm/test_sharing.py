@@ -89,12 +89,13 @@ def test_a_pair_meets_at_its_first_common_shingle_only(spark, monkeypatch):
 
 def test_what_was_moved_for_shared_codes_is_removed(spark, tmp_path):
     import gc
+    import re
     import time
 
     path = str(tmp_path / "codes")
     spark.range(200).selectExpr("id as key", "-id as rid", "unhex(lpad(hex(id % 9), 16, '0')) as value").write.parquet(path)
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-    files = lambda: {n for n in (disk.getAllFiles().apply(k).getName() for k in range(disk.getAllFiles().size())) if n.startswith("shuffle_")}
+    files = lambda: {n for n in re.findall(r"shuffle_\w+", disk.getAllFiles().mkString(" "))}  # noqa: E731  one list, as files go meanwhile
     gc.collect()
     gc.disable()  # whether Python collects its garbage meanwhile is left to chance otherwise
     try:
