@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from shelfwave.llm.token_counts import tokenizer
 
 WINDOW, END = 2048, 1
-CACHE, LONG = 700_000, 64  # distinct words, and distinct pieces of words, that a worker remembers, each below LONG characters: some 250 MB
+CACHE, LONG = 250_000, 64  # distinct words, and distinct pieces of words, that a task remembers, each below LONG characters: some 90 MB
 PLAIN = re.compile(r"[!-~¡-¬®-ÿ]+")  # printable Latin-1: no white space, nothing to normalise but case
 
 
@@ -45,6 +45,7 @@ class WordIds:
         self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.units: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.again: set[str] = set()  # units that were known when a text had them
 
     def unit(self, unit: str) -> bytes:
         if PLAIN.fullmatch(unit) and "<|" not in unit:
@@ -62,16 +63,23 @@ class WordIds:
             self.pieces[piece] = got
         return got
 
+    def forget(self) -> None:
+        """Only units met in several texts stay. A worker lives on after its task, and what it remembers adds to what the session's other work needs."""
+        often = self.again if len(self.again) <= CACHE // 4 else ()
+        self.units = {u: self.units[u] for u in often if u in self.units}
+        self.pieces = {p: ids for p, ids in self.pieces.items() if p in self.units}
+        self.again = set()
+
     def __call__(self, text: str) -> bytes:
         # the tokenizer drops white space and nothing it matches crosses a blank or line end, so units do not depend on their neighbours
+        if max(len(self.units), len(self.pieces)) > CACHE:
+            self.forget()
         units, known = text.replace("\n", " ").split(" "), self.units
-        if len(known) > CACHE:
-            known.clear()
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        new, here = set(units).difference(known), known
+        distinct = set(units)
+        new, here = distinct.difference(known), known
+        self.again |= distinct - new
         if len(new) > CACHE or any(len(u) >= LONG for u in new):  # these are for this text alone
-            here = {u: known[u] if u in known else self.unit(u) for u in set(units)}
+            here = {u: known[u] if u in known else self.unit(u) for u in distinct}
         else:
             for u in new:
                 known[u] = self.unit(u)
@@ -203,6 +211,7 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, tex
         done += packer.drain()
         if done:
             yield batch_of(done)
+        ids_of.forget()
 
     return source.mapInArrow(run, schema)
 

@@ -322,3 +322,30 @@ def test_long_words_of_a_text_are_not_remembered():
     assert ids(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     assert max(map(len, [*ids.units, *ids.pieces, ""])) < LONG
     assert ids("short words") == np.array(library.encode("short words", add_special_tokens=False).ids, "<u4").tobytes() and "short" in ids.units
+
+
+def test_a_worker_keeps_after_its_task_only_words_met_again(spark, monkeypatch):
+    from shelfwave.llm import packing as K
+
+    path = P.path("word_bpe_49k.json")
+    ids, library = K.WordIds(path), K.WordIds(path).library
+    texts = [f"Common common, w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}x own{k}" for k in range(100)]
+    plain = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(map(ids, texts)) == plain
+    ids.forget()
+    assert set(ids.units) == {"Common", "common,"} and set(ids.pieces) <= set(ids.units)
+    monkeypatch.setattr(K, "CACHE", 12)
+    for t, want in zip(texts, plain, strict=True):
+        assert ids(t) == want and max(len(ids.units), len(ids.pieces)) <= 12 + 8
+    monkeypatch.undo()
+
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    assert K.packed(rows, path).select("doc_id").distinct().count() == 100
+
+    def left(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(K.word_ids(path).units)], pa.int64())], ["n"])
+
+    assert max(r["n"] for r in spark.range(0, 16, 1, 16).mapInArrow(left, "n long").collect()) < 100
