@@ -148,17 +148,20 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 FREQUENT = 1000  # members with one shingle, beyond which it comes last in the order of prefixes
 CLASSES = 32  # classes of shared shingles by hash, whose sizes bound an overlap
 EARLY = 16  # shingles of a prefix, by which two members that met before are told
+PART, PARTS = 1 << 18, 24  # shingles that one part is to judge, and parts at least
 
 
-def _prefixes(members: DataFrame, sets: DataFrame, percent: int, parts_each: int = 4) -> DataFrame:
+def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(id, n, at, shingle, sizes, early): the first shingles of each member (id, n) that others have too, with their places in the order of all members'
     shingles, how many of all its shared shingles are in each class, and those of its first EARLY ones that come before.
 
     Two sets that are alike share a shingle among the first n - ceil(share * n) + 1 of each, in any order of shingles that is the same for all. Here shingles
-    of one member come first and those of over FREQUENT members last, so members that only have a passage in common, or a frequent word, do not meet."""
+    of one member come first and those of over FREQUENT members last, so members that only have a passage in common, or a frequent word, do not meet.
+
+    Each part tells a member in a row of its own what it found, so parts go by the number of shingles, not by that of tasks."""
     spark = sets.sparkSession
-    parts = parts_each * int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = cut_lineage(sets.join(members.select("id", "n"), "id"))
+    parts = max(PARTS, -(-(own.agg(F.sum("n")).first()[0] or 0) // PART))
     found = shared_codes(own.select(F.col("id").alias("key"), F.lit(0).cast("long").alias("rid"), F.col("set").alias("value")), lambda v: np.frombuffer(v, np.int64), parts, FREQUENT)
     often = spark.sparkContext.broadcast(frequent_codes(found))
     told = found.where("found is not null").groupBy(F.col("key").alias("id")).agg(F.collect_list("found").alias("found"))

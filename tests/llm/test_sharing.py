@@ -87,6 +87,27 @@ def test_a_pair_meets_at_its_first_common_shingle_only(spark, monkeypatch):
     assert M._meeting(begin, spark.createDataFrame([], "node long, component long"), 80).count() == 30 * 29 // 2
 
 
+def test_rows_that_tell_shared_shingles_do_not_grow_with_the_tasks(spark, monkeypatch):
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(150)]
+    sets = [word_shingles(" ".join([*base, f"x{r.randrange(10**6)}", f"y{k}"]), 3) for k in range(40)]
+    frame = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(sets)], "id long, set binary").repartition(40)
+    members = spark.createDataFrame([(k, len(s)) for k, s in enumerate(sets)], "id long, n long")
+    told = []
+    shared = M.shared_codes
+    monkeypatch.setattr(M, "shared_codes", lambda *a: told.append(shared(*a)) or told[-1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        begins = []
+        for tasks in ("2", "50"):
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            begins.append(sorted((x["id"], x["at"], x["shingle"]) for x in M._prefixes(members, frame, 80).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert begins[0] == begins[1] and begins[0]
+    assert all(t.where("found is not null").count() <= len(sets) * M.PARTS for t in told)  # not one for each of 148 shingles
+
+
 def test_what_was_moved_for_shared_codes_is_removed(spark, tmp_path):
     import gc
     import re
